@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quire.llm.common import lower_ascii, stage
 
@@ -48,42 +47,47 @@ def prefix_tokens(grams: DataFrame, docs: DataFrame) -> DataFrame:
     return first.groupBy(F.col("p.token").alias("token")).agg(F.collect_list(F.struct(F.col("p.off").alias("off"), "gram", "item_ids")).alias("wins"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """Mark every document word that lies inside an occurrence of a ``window``-word stretch of a benchmark item.
-
-    docs: doc_id, text (more columns are ignored); items: item_id, text. Returns one row per input row: doc_id, n_words,
-    n_hit, n_items, item_ids (sorted strings), items_sha256, contaminated.
-
-    Null or empty texts have no words and are never contaminated; null items have no windows; an item shorter than the window
-    is one window of its own length. Null doc_ids and repeated rows are kept, each with its own result. An empty benchmark
-    leaves every document clean, an empty corpus gives an empty result.
-    """
+def marked(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """Like ``decontaminate``, with h (a hash of the text) besides."""
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
     tokens = stage(prefix_tokens(stage(item_windows(items, window), "windows"), docs), "prefixes")
-    split = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(lower_ascii(F.col("text"))).alias("w"))
-    each = split.select("row", "doc_id", "w", F.posexplode_outer("w").alias("pos", "token"))
+    split = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("h"), words(lower_ascii(F.col("text"))).alias("w"))
+    each = split.select("row", "doc_id", "h", "w", F.posexplode_outer("w").alias("pos", "token"))
     keys = _small(tokens.select("token", F.lit(True).alias("rare")), "token")
     # The first word of each document (or its absence) carries the document itself; all other rows are candidates. A row
     # without a rare word gets a token of its own that matches nothing, so that such rows stay spread out in a shuffle.
     cand = each.join(keys, "token", "left").filter(F.col("rare") | F.coalesce(F.col("pos") == 0, F.lit(True)))
     around = F.slice("w", F.greatest(F.col("pos") - window + 2, F.lit(1)), 2 * window - 1)
-    cand = cand.select("row", "doc_id", F.greatest(F.size("w"), F.lit(0)).alias("n_words"), "pos", F.when(F.col("rare"), F.col("token")).otherwise(F.concat(F.lit(" "), F.col("row").cast("string"))).alias("token"), F.when(F.col("rare"), around).alias("near"))
+    cand = cand.select("row", "doc_id", "h", F.greatest(F.size("w"), F.lit(0)).alias("n_words"), "pos", F.when(F.col("rare"), F.col("token")).otherwise(F.concat(F.lit(" "), F.col("row").cast("string"))).alias("token"), F.when(F.col("rare"), around).alias("near"))
     at = F.least(F.col("pos"), F.lit(window - 1))  # where the rare word stands in near
     fits = F.filter("wins", lambda c: (at >= c["off"]) & (F.slice("near", F.greatest(at - c["off"] + 1, F.lit(1)), F.size(c["gram"])) == c["gram"]))
-    found = cand.join(_hinted(tokens), "token", "left").select("row", "doc_id", "n_words", "pos", F.when(F.col("wins").isNotNull(), fits).alias("hits"))
+    found = cand.join(_hinted(tokens), "token", "left").select("row", "doc_id", "h", "n_words", "pos", F.when(F.col("wins").isNotNull(), fits).alias("hits"))
     spans = F.transform("hits", lambda c: F.struct((F.col("pos") - c["off"]).alias("at"), F.size(c["gram"]).alias("n"), c["item_ids"].alias("item_ids")))
-    per_doc = found.select("row", "doc_id", "n_words", F.when(F.size("hits") > 0, spans).alias("spans")).groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans")
+    per_doc = found.select("row", "doc_id", "h", "n_words", F.when(F.size("hits") > 0, spans).alias("spans")).groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("h").alias("h"), F.max("n_words").cast("long").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans")
     )
     inside = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
     ids = F.array_sort(F.array_distinct(F.flatten(F.col("spans.item_ids"))))
-    out = per_doc.select("doc_id", "n_words", F.size(inside).cast("long").alias("n_hit"), ids.alias("item_ids"))
+    out = per_doc.select("doc_id", "h", "n_words", F.size(inside).cast("long").alias("n_hit"), ids.alias("item_ids"))
     return out.select(
-        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids",
+        "doc_id", "h", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids",
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """Mark every document word that lies inside an occurrence of a ``window``-word stretch of a benchmark item.
+
+    docs: doc_id, text (more columns are ignored); items: item_id, text. Returns one row per input row: doc_id, n_words,
+    n_hit, n_items, item_ids (sorted strings), items_sha256, contaminated.
+
+    Null or empty texts have no words and are never contaminated; null items have no windows; an item shorter than the window
+    is one window of its own length. Null doc_ids and repeated rows are kept, each with its own result. An empty benchmark
+    leaves every document clean, an empty corpus gives an empty result.
+    """
+    return marked(docs, items, window).drop("h")
+
+
 def _hinted(tokens: DataFrame) -> DataFrame:
     """The windows themselves go to all executors only below 64 MB."""
     size = tokens.agg(F.coalesce(F.sum(F.size("wins") * F.lit(256)), F.lit(0))).first()[0]
@@ -93,11 +97,11 @@ def _hinted(tokens: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, min_hit: int = 1) -> DataFrame:
     """The documents of which fewer than ``min_hit`` words lie in benchmark windows, with all their columns.
 
-    Whole rows stay or go; documents are matched by doc_id and text, so copies share the verdict.
+    Rows are matched by doc_id and text, so repeated rows share the verdict.
     """
-    marked = docs.select("doc_id", "text").distinct()
-    hit = decontaminate(marked, items, window).filter(F.col("n_hit") >= min_hit).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+    hit = marked(docs, items, window).filter(F.col("n_hit") >= min_hit).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    return keyed.join(hit, keyed["doc_id"].eqNullSafe(hit["_id"]) & (keyed["_key"] == hit["_h"]), "left_anti").drop("_key")
 
 
 ORACLE = r"""
