@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, language_id, line_dedup, simhash
+from quire.llm import bpe, decontaminate, html_main, language_id, line_dedup, quality_rules, simhash, toxicity, warc, weak_labels
 from quire.llm.common import read
 
 
@@ -29,6 +29,19 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents"))
+
+
+def op4_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(warc.records_of_pages(read(spark, sf_dir, "pages")))
+    return warc.digest(out)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(read(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -37,19 +50,33 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_warc_revisit": op4_warc_revisit,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
+    "op10_html_main": op10_html_main,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op4_warc_revisit": warc.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
 }
