@@ -22,7 +22,7 @@ ROWS = 256
 LABELLERS = ("symbols", "capitals", "repetition", "sentences", "shouting", "cells", "length", "copied_lines")
 GOOD, BAD, NONE = 1, 2, 0
 #: The largest probability of a bad vote on a good document that a labeller can be found to have.
-FALSE_ALARM = 0.005
+FALSE_ALARM = 0.001
 
 _END = re.compile(rb"[.?!](?=\s|$)")
 _shapes: list[np.ndarray] = []
@@ -45,7 +45,7 @@ def vote(text: bytes) -> int:
     votes = (
         either(symbols > 0.05, False), either(capitals > 0.4, False), either(n > 20 and repeated > 0.85, repeated < 0.7),
         either(n > 40 and ends < 0.01, 0.02 < ends < 0.35), either(loud > 0.1, False), either(cells > 0.1, False),
-        either(n < 10, n > 40), either(copied > 0.3, len(lines) > 2 and copied == 0),
+        either(n < 2, n > 40), either(copied > 0.3, len(lines) > 2 and copied == 0),
     )
     return sum(v * 3**i for i, v in enumerate(votes))
 
@@ -59,7 +59,7 @@ def estimate(patterns: dict[int, int], rounds: int = 200) -> tuple[float, np.nda
     codes = np.array(sorted(patterns), np.int64)
     n = np.array([patterns[c] for c in codes], float)
     votes = np.stack([codes // 3**i % 3 for i in range(len(LABELLERS))], axis=1) if len(codes) else np.zeros((0, len(LABELLERS)), np.int64)
-    prior, p = 0.8, np.tile(np.array([[0.497, 0.498, 0.005], [0.5, 0.2, 0.3]]), (len(LABELLERS), 1, 1))
+    prior, p = 0.8, np.tile(np.array([[0.499, 0.5, 0.001], [0.5, 0.2, 0.3]]), (len(LABELLERS), 1, 1))
     post = np.zeros(len(codes))
     for _ in range(rounds):
         log = np.stack([np.log(p[np.arange(len(LABELLERS)), k, :][np.arange(len(LABELLERS)), votes]).sum(axis=1) for k in (0, 1)], axis=1) + np.log([prior, 1 - prior])
