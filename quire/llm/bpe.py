@@ -43,9 +43,9 @@ def _splitter(pattern: str):
     if pattern not in _made:
         import regex
 
-        odd = re.compile("[" + re.escape("".join(c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isdecimal())) + "\x1c-\x1f]")
+        odd = {c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isdecimal()} | set("\x1c\x1d\x1e\x1f")
         full = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"(?!\S)", f"(?![^{WHITE}])").replace(r"\s", f"[{WHITE}]"))
-        _made[pattern] = lambda text: full.findall(text) if odd.search(text) else FAST.findall(text)
+        _made[pattern] = lambda text: FAST.findall(text) if odd.isdisjoint(text) else full.findall(text)
     return _made[pattern]
 
 
@@ -133,10 +133,10 @@ def encode(docs: DataFrame, path: str, pattern: str, head_docs: int = HEAD_DOCS,
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64("text").alias("h"), "text")
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = _splitter(pattern), head.value.keys()
+        split, known = _splitter(pattern), head.value
         for b in batches:
             for lo in range(0, b.num_rows, ROWS):
-                found = [list(set(split(t or "")) - known) for t in b.column(2).slice(lo, ROWS).to_pylist()]
+                found = [[w for w in set(split(t or "")) if w not in known] for t in b.column(2).slice(lo, ROWS).to_pylist()]
                 at = np.repeat(np.arange(len(found)), [len(x) for x in found])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, ROWS).take(at), b.column(1).slice(lo, ROWS).take(at), pa.array([w for x in found for w in x], pa.string())], ["k", "h", "word"])
 
