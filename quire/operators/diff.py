@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 from pyspark.sql.window import Window
 
 #: Words that make a numeric change important; the mixed-case ones never occur in lower-cased text.
@@ -43,7 +44,7 @@ def important(a: Column, b: Column) -> Column:
     return any_word & numbers_differ(a, b)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The standard library's character similarity of two texts."""
     from difflib import SequenceMatcher
@@ -52,7 +53,7 @@ def similarity_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator
         yield pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def word_changes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The first five word-level edits from one text to the other."""
     from difflib import SequenceMatcher

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quire.config import DEFAULT, EngineConfig
 from quire.functions.text import keep_case, matches
@@ -134,7 +135,7 @@ def inline_markup(content: Column, reviewed: Column, changes: Column) -> Column:
     return F.when(content == reviewed, reviewed).otherwise(F.aggregate(order, content, put))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def word_markup(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Word-level markup of two texts (their words joined by single spaces), for ten changes and more."""
     from difflib import SequenceMatcher

@@ -34,7 +34,7 @@ def read_documents(spark: SparkSession, path: str, parse: Callable[[str, bytes],
                     rows += [{"path": name, "error": None, **r} for r in parse(name, content)]
                 except Exception as e:  # one bad file is a row, not a failed job
                     rows.append({"path": name, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in schema.split(", ")])
+            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in schema.split(", ")], dtype=object)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(each, schema)
 
