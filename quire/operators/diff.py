@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 from pyspark.sql.window import Window
 
+from quire.config import DEFAULT
+
 #: Words that make a numeric change important; the mixed-case ones never occur in lower-cased text.
 KEYWORDS = ["voltage", "current", "frequency", "temperature", "max", "min", "MHz", "GHz", "mA", "µA", "typical", "maximum", "minimum"]
 
@@ -114,7 +116,7 @@ def changelog(changed: DataFrame, title: Column) -> DataFrame:
     return g.select("document_id", F.concat(head, high, medium, low).alias("changelog"))
 
 
-def align_greedy(v1: DataFrame, v2: DataFrame, threshold: float = 0.7) -> DataFrame:
+def align_greedy(v1: DataFrame, v2: DataFrame, threshold: float = DEFAULT.align_threshold) -> DataFrame:
     """document_id, id1, id2, similarity: one-to-one matches in v1's order, each taking the best free v2 vector.
 
     v1: document_id, id1, e1; v2: document_id, id2, e2. Unmatched v1 rows have null id2 (removed), unmatched v2 rows null id1

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.config import DEFAULT
 from quire.functions.text import cosine, squared_distance
 
 #: Encoder names and dimensions by purpose.
@@ -71,14 +72,15 @@ def collection_stats(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("document_id").agg(F.count("*").alias("n_vectors"))
 
 
-def align(left: DataFrame, right: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """id1, id2, similarity: each left vector's best right one by cosine (ties: smallest id2), if at least ``threshold``.
+def align(left: DataFrame, right: DataFrame, threshold: float = DEFAULT.align_threshold) -> DataFrame:
+    """document_id, id1, id2, similarity: each left vector's best right one of its document by cosine (ties: smallest id2), if at least ``threshold``.
 
-    left: id1, e1; right: id2, e2, a bounded set of sections of one document. One right vector may serve several left ones.
+    left: document_id, id1, e1; right: document_id, id2, e2. One right vector may serve several left ones. A document's
+    sections are compared pair by pair, and only the best of each is kept as pairs arise.
     """
-    pairs = left.join(F.broadcast(right)).select("id1", "id2", cosine(F.col("e1"), F.col("e2")).alias("similarity"))
-    best = pairs.groupBy("id1").agg(F.max(F.struct("similarity", (-F.col("id2")).alias("minus"), "id2")).alias("b"))
-    return best.select("id1", "b.id2", "b.similarity").filter(F.col("similarity") >= threshold)
+    pairs = left.join(right, "document_id").select("document_id", "id1", "id2", cosine(F.col("e1"), F.col("e2")).alias("similarity"))
+    best = pairs.groupBy("document_id", "id1").agg(F.max(F.struct("similarity", (-F.col("id2")).alias("minus"), "id2")).alias("b"))
+    return best.select("document_id", "id1", "b.id2", "b.similarity").filter(F.col("similarity") >= threshold)
 
 
 def patterns(changes: DataFrame) -> DataFrame:
@@ -91,13 +93,13 @@ def patterns(changes: DataFrame) -> DataFrame:
     )
 
 
-def suggest(similar: DataFrame, library: DataFrame, threshold: float = 0.85) -> DataFrame:
+def suggest(similar: DataFrame, library: DataFrame, threshold: float = DEFAULT.suggest_threshold) -> DataFrame:
     """query_id, suggestion, confidence, issue_type: the best pattern of each query (search result joined on vec_id), if similar enough."""
     best = similar.filter("rank = 1").filter(F.col("similarity") >= threshold)
     return best.join(library, "vec_id").select("query_id", F.col("corrected_text").alias("suggestion"), (F.col("confidence") * F.col("similarity")).alias("confidence"), "issue_type", "similarity")
 
 
-def review_context(similar: DataFrame, threshold: float = 0.85) -> DataFrame:
+def review_context(similar: DataFrame, threshold: float = DEFAULT.suggest_threshold) -> DataFrame:
     """query_id, patterns (two nearest of three), has_suggestion, confidence_boost (0.05 for each of the three found)."""
     top = similar.filter("rank <= 3").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("p"), F.max("similarity").alias("best"))
     return top.select("query_id", F.slice("p", 1, 2)["vec_id"].alias("patterns"), (F.col("best") >= threshold).alias("has_suggestion"), (F.size("p") * F.lit(0.05)).alias("confidence_boost"))

@@ -46,8 +46,9 @@ def similar_chunks(spark, d):
 
 def align_argmax(spark, d):
     v = vectors(spark, d)
-    out = V.align(v.select(F.col("vec_id").alias("id1"), F.col("a").alias("e1")), v.select(F.col("vec_id").alias("id2"), F.col("e").alias("e2")))
-    return out.select("id1", "id2", F.round("similarity", 6).alias("similarity"))
+    doc = F.concat(F.lit("d"), (F.col("vec_id") / 50).cast("long").cast("string")).alias("document_id")
+    out = V.align(v.select(doc, F.col("vec_id").alias("id1"), F.col("a").alias("e1")), v.select(doc, F.col("vec_id").alias("id2"), F.col("e").alias("e2")))
+    return out.select("document_id", "id1", "id2", F.round("similarity", 6).alias("similarity"))
 
 
 def collection_stats(spark, d):
@@ -123,7 +124,7 @@ ORACLES = {
     "vector_topk": _top(5, "true") + " SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM top",
     "vector_topk_filtered": _top(5, "i.label = q.label") + " SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM top",
     "similar_chunks": _top(4, "i.vec_id <> q.vec_id") + " SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM top",
-    "align_argmax": f"WITH {_V}, s AS (SELECT x.vec_id AS id1, y.vec_id AS id2, {_COS('x.a', 'y.e')} AS s FROM v x JOIN v y ON true), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id1 ORDER BY s DESC, id2) = 1) SELECT id1, id2, round(s, 6) AS similarity FROM b WHERE s >= 0.7",
+    "align_argmax": f"WITH {_V}, s AS (SELECT 'd' || (x.vec_id // 50) AS document_id, x.vec_id AS id1, y.vec_id AS id2, {_COS('x.a', 'y.e')} AS s FROM v x JOIN v y ON x.vec_id // 50 = y.vec_id // 50), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id1 ORDER BY s DESC, id2) = 1) SELECT document_id, id1, id2, round(s, 6) AS similarity FROM b WHERE s >= 0.7",
     "collection_stats": "SELECT 'doc_' || label AS document_id, count(*) AS n_vectors FROM embeddings GROUP BY label",
     "pattern_upsert": _C + _PAT + " SELECT * FROM pat",
     "pattern_similar": _NEAR + " SELECT query_id, rank, pattern_id, frequency, round(s, 6) AS similarity FROM top JOIN lib USING (vec_id)",
