@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.llm.common import small_batches
+
 #: Path characters that make up a block of neighbouring URLs; a host's blocks are ordered in different tasks.
 BLOCK = 6
 
 #: Elements whose content is no text, elements that are template, those that end a line, and void elements.
-SILENT = ("script", "style", "template", "noscript", "iframe", "svg", "object", "canvas", "head", "select", "textarea", "button")
+SILENT = ("title", "template", "noscript", "iframe", "svg", "object", "canvas", "select", "textarea", "button")
 TEMPLATE = {"nav", "footer", "aside", "form", "menu", "dialog"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2",
@@ -39,7 +41,12 @@ MARKED = re.compile(
     r"footer|masthead|header|topbar|toolbar|share|sharing|social|related|recommended|comments?|comment-list|replies|reply|disqus|respond|search|login|pagination|pager|copyright|complementary|contentinfo)(?=$|[\s\"'>_-])",
     re.I,
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(" + "|".join(SILENT) + r")\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
+# Comments, scripts and styles run to the page's end where they are not closed; other silent elements must be closed.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<(" + "|".join(SILENT) + r")\b[^>]*>.*?</\2\s*>|<[!?][^>]*>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>",
+    re.S | re.I,
+)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 ARTICLE, OPEN, CLOSED = 2, 1, 0
 
@@ -59,23 +66,22 @@ def lines(source: str) -> list[tuple[str, int]]:
     for m in _TOKEN.finditer(source):
         part.append(source[at : m.start()])
         at = m.end()
-        name = (m[3] or "").lower()
+        name = (m[4] or "").lower()
         if not name:
             continue
         if name in BLOCKS:
             end()
-        if m[2]:
+        if m[3]:
             if any(s[0] == name for s in stack):
-                end() if name in BLOCKS else None
                 while stack.pop()[0] != name:
                     pass
-        elif name not in VOID and not m[4].endswith("/"):
+        elif name not in VOID and not m[5].endswith("/"):
             if name == "p" or name == "li":  # an open one of the same kind ends here
                 while stack and stack[-1][0] in (name, "b", "i", "em", "strong", "a", "span", "u", "font", "small") and any(s[0] == name for s in stack):
                     stack.pop()
             article = name in ("article", "main")
             inside = any(a for _, _, a in stack)
-            template = name in TEMPLATE or name == "header" and not inside or not article and name not in ("html", "body") and any(MARKED.search(x.strip("\"'")) for x in _NAMED.findall(m[4] or ""))
+            template = name in TEMPLATE or name == "header" and not inside or not article and name not in ("html", "body") and any(MARKED.search(x.strip("\"'")) for x in _NAMED.findall(m[5] or ""))
             stack.append((name, template, article))
     part.append(source[at:])
     end()
@@ -180,5 +186,5 @@ def main_text(pages: DataFrame) -> DataFrame:
                 out.append(" ".join(kept))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    met = neighbours(pages)
+    met = neighbours(small_batches(pages))
     return met.mapInArrow(each, f"page_id {met.dtypes[0][1]}, url string, text string, n_chars long")
