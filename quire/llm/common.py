@@ -37,6 +37,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """``df``, with at most ``rows`` rows in each batch that its session sends to Python, so that whole texts stay few in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, rows)
+    return df
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; other letters keep their case."""
     return F.translate(text, UPPER, LOWER)

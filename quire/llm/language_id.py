@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import held_out
+from quire.llm.common import held_out, small_batches
 
 FEATURES = 1 << 12
 #: Bound on the sample for the centroids: about so many documents of each language, however many there are.
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, centroids: int
     Document frequencies cover all rows; the centroids come from the texts with the smallest hashes, about
     ``sample_per_lang`` of each language.
     """
-    docs = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
+    docs = small_batches(docs).filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
     n, df = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.01)
     sizes = docs.groupBy("lang").count()
@@ -141,11 +141,12 @@ def predict(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Data
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = ["doc_id"] if keep is None else keep
+    own = keep.index("text") if "text" in keep else len(keep)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            texts, langs, scores, far = b.column(b.num_columns - 1), [], [], []
+            texts, langs, scores, far = b.column(own), [], [], []
             for lo in range(0, b.num_rows, ROWS):
                 part = texts.slice(lo, ROWS).to_pylist()
                 if not m["langs"]:
@@ -160,10 +161,10 @@ def predict(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Data
                 scores += np.where(empty, 0.0, np.clip(top, 0.0, 1.0)).tolist()
                 far += (empty | (top < REJECT_SHARE * m["floors"][best])).tolist()
             pred = pa.array([x or "und" for x in langs], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pred, pa.array(scores, pa.float64()), pa.array(far, pa.bool_())], [*b.schema.names[:-1], "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pred, pa.array(scores, pa.float64()), pa.array(far, pa.bool_())], [*b.schema.names[: len(keep)], "lang_pred", "score", "rejected"])
 
-    taken = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in taken.dtypes[:-1]), "lang_pred string, score double, rejected boolean"])
+    taken = docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("_text")]))
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in taken.dtypes[: len(keep)]), "lang_pred string, score double, rejected boolean"])
     return taken.mapInArrow(each, schema)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import held_out
+from quire.llm.common import held_out, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds on the sample: so many confirmed toxic and so many other documents, however many there are.
@@ -113,13 +113,14 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
     return taken.mapInArrow(each, f"doc_id {taken.dtypes[0][1]}, score double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from score 0.5 on) of every row of ``docs`` (doc_id, text).
 
     Learns from rows whose crc32(doc_id as text) mod 5 is not 0; null doc_ids are scored but not learned from. Repeated label
     rows of a document count once, as toxic if any says so; without any toxic label every score is near 0. Further columns
     are ignored; an empty table gives an empty result.
     """
+    small_batches(docs)
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 != 0, F.lit(False))
-    model = fit(docs.select("doc_id", "text").filter(fold), labels.select("doc_id", "toxic").filter(fold))
+    model = fit(docs.select("doc_id", "text").filter(fold), labels.select("doc_id", "toxic").filter(fold), prior)
     return score(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
