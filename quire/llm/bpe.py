@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stage
+from quire.llm.common import small_batches, stage
 
 #: Bounds on the head: documents that are sampled for it, and words that are sent to every task.
 HEAD_DOCS = 60_000
@@ -84,7 +84,7 @@ def _head(docs: DataFrame, vocabulary: _Vocabulary, head_docs: int, head_words:
         for b in batches:
             for t in b.column(0):
                 seen.update(split(t.as_py() or ""))
-        seen = {w: n for w, n in seen.items() if len(w) <= HEAD_CHARS}
+        seen = {w: seen[w] for w in sorted(seen) if len(w) <= HEAD_CHARS}  # sorted words shuffle in fewer bytes
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,6 +109,12 @@ def _packed(enc, word: str) -> bytes:
     return np.array(enc.encode_ordinary(word), "<u4").tobytes()
 
 
+def _unpacked(word_ids: bytes) -> tuple[str, bytes]:
+    """Word and ids of a packed pair: the ids' length in four bytes, the ids, the word."""
+    end = 4 + int.from_bytes(word_ids[:4], "little")
+    return word_ids[end:].decode(), word_ids[4:end]
+
+
 class _Lookup(dict):
     """The head's ids; words beyond it come from ``own``, the document's own list."""
 
@@ -127,7 +133,7 @@ def encode(docs: DataFrame, path: str, pattern: str, head_docs: int = HEAD_DOCS,
     """
     spark = docs.sparkSession
     vocabulary = _Vocabulary(spark, path, pattern)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     head = spark.sparkContext.broadcast(_head(docs, vocabulary, head_docs, head_words))
     # Equal keys have equal texts and so need the same words.
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64("text").alias("h"), "text")
@@ -146,12 +152,13 @@ def encode(docs: DataFrame, path: str, pattern: str, head_docs: int = HEAD_DOCS,
             out = []
             for w in b.column(2).to_pylist():
                 if w != last:
-                    last, packed = w, _packed(enc, w)
+                    ids = _packed(enc, w)
+                    last, packed = w, len(ids).to_bytes(4, "little") + ids + w.encode()
                 out.append(packed)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], ["k", "h", "word", "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out, pa.binary())], ["k", "h", "word_ids"])
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=6)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([press.compress(t.as_py() or b"") for t in b.column(3)], pa.binary())], ["doc_id", "k", "h", "z"])
 
@@ -160,16 +167,15 @@ def encode(docs: DataFrame, path: str, pattern: str, head_docs: int = HEAD_DOCS,
         for b in batches:
             for lo in range(0, b.num_rows, ROWS):
                 part, out = b.slice(lo, ROWS), []
-                for z, words, ids in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
-                    look.own = dict(zip(words or (), ids or ()))
+                for z, own in zip(*(part.column(i).to_pylist() for i in (1, 2))):
+                    look.own = dict(map(_unpacked, own or ()))
                     out.append(b"".join(map(look.__getitem__, split(press.decompress(z).decode()))))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     tail = keyed.select("k", "h", "text").mapInArrow(rare, "k long, h long, word string").repartition("word").sortWithinPartitions("word")
-    tail = tail.mapInArrow(once, "k long, h long, word string, ids binary")
-    own = tail.groupBy("k", "h").agg(F.collect_list("word").alias("words"), F.collect_list("ids").alias("own_ids"))
+    own = tail.mapInArrow(once, "k long, h long, word_ids binary").groupBy("k", "h").agg(F.collect_list("word_ids").alias("own"))
     texts = keyed.withColumn("text", F.col("text").cast("binary")).mapInArrow(squeeze, "doc_id long, k long, h long, z binary")
-    met = texts.join(own, ["k", "h"], "left").select("doc_id", "z", "words", "own_ids")
+    met = texts.join(own, ["k", "h"], "left").select("doc_id", "z", "own")
     return met.mapInArrow(join, "doc_id long, n_tokens long, ids binary")
 
 
@@ -192,5 +198,5 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 out = [None if x is None else b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
-    kept = encoded.drop("decoded")
+    kept = small_batches(encoded).drop("decoded")
     return kept.mapInArrow(each, ", ".join([*(f"`{n}` {t}" for n, t in kept.dtypes), "decoded binary"]))
