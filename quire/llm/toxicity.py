@@ -8,11 +8,11 @@ correction kept non-negative: where a batch's estimate of the negatives' risk fa
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,31 +31,29 @@ def word_set(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, rounds: int = 400, seed: int = 7) -> tuple[dict[str, float], float]:
-    """Word weights and bias of the scorer; ``prior`` is the share of positives among the unlabelled."""
-    positive, unlabelled = ([set(x) for x in dict.fromkeys(map(frozenset, y))] for y in (positive, unlabelled))  # copies teach nothing
-    if not positive or not unlabelled:
+def train(positive: pa.ListArray, unlabelled: pa.ListArray, prior: float, rounds: int = 400, seed: int = 7) -> tuple[dict[str, float], float]:
+    """Word weights and bias of the scorer from the documents' words; ``prior`` is the share of positives among the unlabelled."""
+    n_p, n_u = len(positive), len(unlabelled)
+    if not n_p or not n_u:
         return {}, -10.0
-    in_p, in_u = Counter(w for s in positive for w in s), Counter(w for s in unlabelled for w in s)
-    chance = {w: len(positive) * (in_u[w] + 1) / (len(unlabelled) + 1) for w in in_p}
-    told = {w: n * np.log(n / chance[w]) - n + chance[w] for w, n in in_p.items() if n > 2 * chance[w]}
-    vocab = {w: i for i, w in enumerate(sorted((w for w in sorted(told) if told[w] >= EVIDENCE), key=lambda w: -told[w])[:FEATURES])}
-
-    def rows(sets: list[set[str]]) -> np.ndarray:
-        x = np.zeros((len(sets), len(vocab)), np.float32)
-        for i, s in enumerate(sets):
-            x[i, [vocab[w] for w in s if w in vocab]] = 1
-        return x
-
-    def order(sets: list[set[str]]) -> list[set[str]]:
-        return sorted(sets, key=lambda s: (len(s), sorted(s)[:5]))
-
-    p, u = order(positive), order(unlabelled)
+    coded = pa.concat_arrays([positive.flatten(), unlabelled.flatten()]).dictionary_encode()
+    words, index = coded.dictionary, coded.indices.to_numpy()
+    row = np.repeat(np.arange(n_p + n_u), np.concatenate([np.diff(x.offsets.to_numpy()) for x in (positive, unlabelled)]))
+    in_p, in_u = (np.bincount(index[part], minlength=len(words)) for part in (row < n_p, row >= n_p))
+    chance = n_p * (in_u + 1) / (n_u + 1)
+    told = np.where(in_p > 2 * chance, in_p * np.log(np.maximum(in_p, 1) / chance) - in_p + chance, 0)
+    vocab = sorted(np.flatnonzero(told >= EVIDENCE).tolist(), key=lambda i: (-told[i], words[i].as_py()))[:FEATURES]
+    column = np.full(len(words), -1)
+    column[vocab] = np.arange(len(vocab))
+    has = column[index] >= 0
+    table = np.zeros((n_p + n_u, len(vocab)), np.uint8)
+    table[row[has], column[index[has]]] = 1
+    p, u = table[:n_p], table[n_p:]
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     w, b, rng = np.zeros(len(vocab), np.float32), np.float32(np.log(prior / (1 - prior))), np.random.default_rng(seed)
     m, v, t, mean = np.zeros(len(vocab) + 1), np.zeros(len(vocab) + 1), 0, np.zeros(len(vocab) + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for _ in range(rounds):
-        xp, xu = (rows([s[i] for i in rng.choice(len(s), min(1024, len(s)), replace=False)]) for s in (p, u))
+        xp, xu = (x[rng.choice(len(x), min(1024, len(x)), replace=False)].astype(np.float32) for x in (p, u))
         zp, zu = xp @ w + b, xu @ w + b
         # Logistic losses: positives as positive, positives as negative, unlabelled as negative.
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
@@ -68,20 +66,25 @@ def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, ro
         w, b = (w - step[:-1]).astype(np.float32), np.float32(b - step[-1])
         if 2 * t > rounds:
             mean += np.append(w, b) / (rounds // 2)
-    return {x: float(mean[i]) for x, i in vocab.items()}, float(mean[-1])
+    return {words[i].as_py(): float(mean[k]) for k, i in enumerate(vocab)}, float(mean[-1])
 
 
-def _sample(docs: DataFrame, bound: int) -> list[set[str]]:
-    """Word sets of about ``bound`` documents, those with the smallest hashes."""
+def _sample(docs: DataFrame, bound: int) -> pa.ListArray:
+    """Distinct words of about ``bound`` documents, those with the smallest hashes; documents of equal words count once."""
     share = F.xxhash64("doc_id", F.lit("toxicity")).cast("double") / F.lit(2.0**64) + 0.5
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(word_set(t.as_py())) for t in b.column(0)], pa.list_(pa.string()))], ["w"])
+            sets = [sorted(word_set(t.as_py())) for t in b.column(0)]
+            keys = [xxhash.xxh64_intdigest("\n".join(x).encode()) for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.string()))], ["key", "w"])
 
     total = docs.count()
-    got = docs.filter(share * total < bound).select("text").mapInArrow(each, "w array<string>").toArrow()
-    return [set(x.as_py()) for x in got.column(0)]
+    got = docs.filter(share * total < bound).select("text").mapInArrow(each, "key long, w array<string>").toArrow()
+    first = np.unique(got.column("key").to_numpy(), return_index=True)[1]
+    lists = got.column("w").combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.take(pa.array(first)).cast(pa.list_(pa.string()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> tuple[dict[str, float], float]:
