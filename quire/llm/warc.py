@@ -59,9 +59,11 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     (has_tag, tag), (has_date, date) = agree("etag"), agree("last_modified")
     verdict = F.when(F.col("found").isNull(), "missing").when((has_tag | has_date) & tag & date, "resolved").otherwise("mismatch")
     found = found.select(F.col("record_id").alias("_id"), verdict.alias("_status"), F.col("found.record_id").alias("_refers")).dropDuplicates(["_id"])
-    out = r.join(found, (F.col("record_id") == F.col("_id")) & (F.col("kind") == "revisit"), "left")
-    status = F.when(F.col("kind") == "response", "full").when(F.col("kind") == "revisit", F.coalesce("_status", F.lit("missing"))).otherwise("other")
-    out = out.withColumn("status", status).withColumn("refers_to", F.when(F.col("status") == "resolved", F.col("_refers")))
+    # Only revisits are joined; payloads of full responses move once, to the revisits that refer to them.
+    revisit = F.coalesce(F.col("kind") == "revisit", F.lit(False))
+    others = r.filter(~revisit).withColumns({"status": F.when(F.col("kind") == "response", "full").otherwise("other"), "refers_to": F.lit(None).cast("long")})
+    out = r.filter(revisit).join(found, F.col("record_id") == F.col("_id"), "left").withColumn("status", F.coalesce("_status", F.lit("missing")))
+    out = out.withColumn("refers_to", F.when(F.col("status") == "resolved", F.col("_refers")))
     stored = records.filter("kind = 'response'").select(F.col("record_id").alias("_stored"), F.col("payload").alias("_payload"), F.col("headers").alias("_headers")).dropDuplicates(["_stored"])
     out = out.join(stored, out["refers_to"] == stored["_stored"], "left")
     fresh = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(STORED_ONLY))
@@ -69,7 +71,7 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     resolved = F.col("status") == "resolved"
     out = out.withColumn("payload", F.when(resolved, F.col("_payload")).otherwise(F.col("payload")))
     out = out.withColumn("headers", F.when(resolved, F.map_concat(kept, fresh)).otherwise(F.col("headers")))
-    return out.drop("_id", "_status", "_refers", "_stored", "_payload", "_headers")
+    return out.drop("_id", "_status", "_refers", "_stored", "_payload", "_headers").unionByName(others)
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
