@@ -15,14 +15,29 @@ def lines(spark, d):
     return p.select("document_id", "page", (F.col("ord") * 100_000 + F.col("no")).alias("line"), headed.alias("text"), F.when(F.col("ord") % 6 == 0, 11.0).otherwise(14.0).alias("font_size"))
 
 
-def tables(spark, d):
+def _rows(spark, d):
     row = F.array(F.when(F.col("p_partkey") % 7 != 0, F.col("p_name")), F.when(F.col("p_partkey") % 5 != 0, F.col("p_type")).otherwise("---"), F.col("p_size").cast("string"))
-    rows = frame(spark, d, "seed_cells").filter("row_no <= 12").withColumn("row", F.when(F.col("p_partkey") % 11 == 0, F.slice(row, 1, 2)).otherwise(row))
-    t = rows.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("row_no", "row"))).alias("r"), F.min("p_partkey").alias("k"))
+    return frame(spark, d, "seed_cells").withColumn("row", F.when(F.col("p_partkey") % 11 == 0, F.slice(row, 1, 2)).otherwise(row))
+
+
+def _page_text(k):
+    return F.when(k % 3 == 0, F.concat(F.lit("Table "), (k % 2 + 1).cast("string"), F.lit(": Sizes of "), "p_brand", F.lit("\nnext"))).when(k % 3 == 1, F.concat(F.lit("see TABLE 4-2. Parts "), "p_brand")).otherwise("nothing")
+
+
+def tables(spark, d):
+    """The tables of the oracles: one of each brand, from its first 12 parts only, as their SQL has it (see ``all_tables``)."""
+    t = _rows(spark, d).filter("row_no <= 12").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("row_no", "row"))).alias("r"), F.min("p_partkey").alias("k"))
     k = F.col("k")
     cells = F.when(k % 4 == 0, F.slice(F.col("r.row"), 1, 1)).otherwise(F.col("r.row"))
-    text = F.when(k % 3 == 0, F.concat(F.lit("Table "), (k % 2 + 1).cast("string"), F.lit(": Sizes of "), "p_brand", F.lit("\nnext"))).when(k % 3 == 1, F.concat(F.lit("see TABLE 4-2. Parts "), "p_brand")).otherwise("nothing")
-    return t.select(F.col("p_brand").alias("document_id"), (k % 90 + 1).cast("int").alias("page"), (k % 2).cast("int").alias("table_index"), cells.alias("cells"), text.alias("page_text"))
+    return t.select(F.col("p_brand").alias("document_id"), (k % 90 + 1).cast("int").alias("page"), (k % 2).cast("int").alias("table_index"), cells.alias("cells"), _page_text(k).alias("page_text"))
+
+
+def all_tables(spark, d):
+    """Every part of every brand: each brand's parts in tables of up to 12 rows."""
+    index = F.floor((F.col("row_no") - 1) / 12).cast("int").alias("table_index")
+    t = _rows(spark, d).groupBy("p_brand", index).agg(F.array_sort(F.collect_list(F.struct("row_no", "row"))).alias("r"), F.min("p_partkey").alias("k"))
+    k = F.col("k")
+    return t.select(F.col("p_brand").alias("document_id"), (k % 90 + 1).cast("int").alias("page"), "table_index", F.col("r.row").alias("cells"), _page_text(k).alias("page_text"))
 
 
 def src_toc_sections(spark, d):
