@@ -1,10 +1,11 @@
 """Queries over whole inputs: what the oracles' SQL cuts or has no words for."""
 
 from collections import Counter
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from quire.queries import report, sources
+from quire.queries import diff, report, sources
 from quire.sources.seed import frame
 
 DATA = "/root/testdata/sf0.001"
@@ -29,3 +30,24 @@ def test_tables_go_past_twelve_rows(spark, monkeypatch):
     got = {r.table_index: len(r.cells) for r in sources.all_tables(spark, DATA).collect()}
     assert got == {0: 12, 1: 12, 2: 6}
     assert report._corpus(spark, DATA).filter("chunk_type = 'table'").agg(F.sum("rows")).first()[0] == 30
+
+
+def words(a, b):
+    x, y, out = a.split(), b.split(), []
+    for tag, i, j, k, m in SequenceMatcher(None, x, y).get_opcodes():
+        old, new = " ".join(x[i:j]), " ".join(y[k:m])
+        out += {"equal": [], "replace": [f"'{old}' → '{new}'"], "delete": [f"Removed: '{old}'"], "insert": [f"Added: '{new}'"]}[tag]
+    return "; ".join(out[:5])
+
+
+def test_diff_words_of_every_document(spark, monkeypatch):
+    schema = "document_id string, section_hierarchy string, chunk_type string, ord long, page_start int, content string"
+    one = [("src1", "1", "text", 1, 1, "the cat sat"), ("src7", "1", "text", 2, 1, "alpha beta gamma"), ("src7", "2", "text", 3, 2, "aaaa bbbb"), ("src9", "1", "text", 4, 1, "same")]
+    two = [("src1", "1", "text", 1, 1, "the dog sat"), ("src7", "1", "text", 2, 1, "alpha gamma delta"), ("src7", "2", "text", 3, 2, "zzzz yyyy"), ("src9", "1", "text", 4, 1, "same"), ("src9", "2", "text", 5, 2, "new")]
+    monkeypatch.setattr(diff, "frame", lambda s, d, n: s.createDataFrame(one if n == "seed_v1" else two, schema))
+    got = {(r.document_id, r.section): (r.significance, r.details) for r in diff.diff_words(spark, DATA).collect()}
+    want = {("src9", "2"): ("medium", "New section added: 2")}
+    for (d, s, *_, a), (*_, b) in zip(one, two):
+        if a != b:
+            want[d, s] = ("medium" if SequenceMatcher(None, a, b).ratio() < 0.5 else "low", words(a, b))
+    assert got == want and {level for level, _ in got.values()} == {"medium", "low"}
