@@ -72,7 +72,8 @@ def minimal_runs(lines: DataFrame, min_words: int) -> DataFrame:
 
 def later_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """doc_id, h, start, n of every minimal run that is a later copy; units are counted from 0."""
-    lines = stage(repeated_lines(docs), "ranks")
+    # Rows that repeat doc_id and text are one document; their lines' own counts only leave ranks unused.
+    lines = stage(repeated_lines(docs).dropDuplicates([*DOC, "idx"]), "ranks")
     level, length, levels = lines.select(*DOC, "idx", "rank"), 1, None
     while True:
         at = level.withColumn("length", F.lit(length))

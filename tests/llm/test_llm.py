@@ -81,6 +81,16 @@ def test_line_dedup_awkward(spark, awkward, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_repeated_rows(spark):
+    passage = "\n".join(" ".join(f"w{i}x{j}" for j in range(20)) for i in range(4))
+    texts = ["head\n" + passage, "own\n" + passage + "\nend", "alone\nlines"]
+    df = frame(spark, texts)
+    got = line_dedup.dedup_lines(df.unionByName(df.filter("doc_id <> 1")).unionByName(df.filter("doc_id = 0"))).collect()
+    assert len(got) == 6 and {(r.doc_id, r.text) for r in got} == set(enumerate(brute_lines(texts)))
+    got = line_dedup.dedup_lines(df.unionByName(df.filter("doc_id = 1"))).collect()
+    assert len(got) == 4 and {(r.doc_id, r.text) for r in got} == set(enumerate(brute_lines(texts)))
+
+
 # Byte-level BPE
 
 
