@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.functions.text import cosine
 from quire.operators import vectors as V
@@ -60,30 +61,64 @@ def pattern_upsert(spark, d):
 
 
 def _library(spark, d):
-    p = V.patterns(frame(spark, d, "seed_changes"))
-    from pyspark.sql.window import Window
+    """Patterns with vec_id, their place by pattern_id: counted within buckets of its first digits and moved on by the buckets before."""
+    p = V.patterns(frame(spark, d, "seed_changes")).withColumn("bucket", F.substring("pattern_id", 1, 3))
+    sizes = p.groupBy("bucket").agg(F.count("*").alias("n"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("pattern_id")) + F.col("start")
+    return p.join(F.broadcast(starts), "bucket").select(place.cast("long").alias("vec_id"), "pattern_id", "corrected_text", "issue_type", F.coalesce("confidence", F.lit(0.8)).alias("confidence"), "frequency")
 
-    return p.withColumn("vec_id", F.row_number().over(Window.orderBy("pattern_id")).cast("long")).select("vec_id", "pattern_id", "corrected_text", "issue_type", F.coalesce("confidence", F.lit(0.8)).alias("confidence"), "frequency")
 
-
-def _near_patterns(spark, d):
+def _near_patterns(spark, d, library=None):
+    """The three nearest vectors of each query: of all vectors, as the oracles' SQL has it, or only of ``library``'s patterns."""
     v = vectors(spark, d)
     q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    return V.search(v.select("vec_id", "a").withColumnRenamed("a", "e"), q, k=3)
+    index = v if library is None else v.join(library.select("vec_id"), "vec_id", "left_semi")
+    return V.search(index.select("vec_id", F.col("a").alias("e")), q, k=3)
+
+
+def _similar(near, library):
+    return near.join(library, "vec_id").select("query_id", "rank", "pattern_id", "frequency", F.round("similarity", 6).alias("similarity"))
+
+
+def _suggested(near, library):
+    out = V.suggest(near, library, 0.1)
+    return out.select("query_id", "suggestion", F.round("confidence", 6).alias("confidence"), "issue_type", F.round("similarity", 6).alias("similarity"))
+
+
+def _context(near):
+    out = V.review_context(near, 0.1)
+    return out.select("query_id", F.array_join(F.col("patterns").cast("array<string>"), ",").alias("patterns"), "has_suggestion", F.round("confidence_boost", 6).alias("confidence_boost"))
 
 
 def pattern_similar(spark, d):
-    return _near_patterns(spark, d).join(_library(spark, d), "vec_id").select("query_id", "rank", "pattern_id", "frequency", F.round("similarity", 6).alias("similarity"))
+    return _similar(_near_patterns(spark, d), _library(spark, d))
 
 
 def pattern_suggest(spark, d):
-    out = V.suggest(_near_patterns(spark, d), _library(spark, d), 0.1)
-    return out.select("query_id", "suggestion", F.round("confidence", 6).alias("confidence"), "issue_type", F.round("similarity", 6).alias("similarity"))
+    return _suggested(_near_patterns(spark, d), _library(spark, d))
 
 
 def review_context(spark, d):
-    out = V.review_context(_near_patterns(spark, d), 0.1)
-    return out.select("query_id", F.array_join(F.col("patterns").cast("array<string>"), ",").alias("patterns"), "has_suggestion", F.round("confidence_boost", 6).alias("confidence_boost"))
+    return _context(_near_patterns(spark, d))
+
+
+def library_similar(spark, d):
+    """Rows only: the three nearest patterns of every query, searched among the library's vectors alone."""
+    library = _library(spark, d)
+    return _similar(_near_patterns(spark, d, library), library)
+
+
+def library_suggest(spark, d):
+    """Rows only."""
+    library = _library(spark, d)
+    return _suggested(_near_patterns(spark, d, library), library)
+
+
+def library_context(spark, d):
+    """Rows only."""
+    return _context(_near_patterns(spark, d, _library(spark, d)))
 
 
 def pattern_stats(spark, d):
@@ -106,7 +141,7 @@ def embedding_encode(spark, d):
     return V.encode(frame(spark, d, "seed_chunks"), lambda: lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts])
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, vector_topk, vector_topk_filtered, similar_chunks, align_argmax, collection_stats, pattern_upsert, pattern_similar, pattern_suggest, review_context, pattern_stats, embedding_uncached, embedding_models, embedding_encode)}
+QUERIES = {f.__name__: f for f in (cosine_pairs, vector_topk, vector_topk_filtered, similar_chunks, align_argmax, collection_stats, pattern_upsert, pattern_similar, pattern_suggest, review_context, library_similar, library_suggest, library_context, pattern_stats, embedding_uncached, embedding_models, embedding_encode)}
 
 _V = "v0 AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS a FROM embeddings), v AS (SELECT x.vec_id, x.label, x.a, list_transform(list_zip(x.a, y.a), lambda z: CASE WHEN x.vec_id % 2 = 0 THEN 0.9 ELSE 0.5 END::DOUBLE * z[1] + CASE WHEN x.vec_id % 2 = 0 THEN 0.4 ELSE 0.9 END::DOUBLE * z[2]) AS e FROM v0 x JOIN v0 y ON y.vec_id = (x.vec_id + 1) % (SELECT max(vec_id) + 1 FROM v0))"
 _COS = "list_cosine_similarity({}, {})".format

@@ -5,7 +5,7 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from quire.queries import diff, report, sources
+from quire.queries import diff, report, sources, vectors
 from quire.sources.seed import frame
 
 DATA = "/root/testdata/sf0.001"
@@ -51,3 +51,16 @@ def test_diff_words_of_every_document(spark, monkeypatch):
         if a != b:
             want[d, s] = ("medium" if SequenceMatcher(None, a, b).ratio() < 0.5 else "low", words(a, b))
     assert got == want and {level for level, _ in got.values()} == {"medium", "low"}
+
+
+def test_library_search_finds_patterns_only(spark):
+    library = {r.vec_id: r.pattern_id for r in vectors._library(spark, DATA).collect()}
+    assert sorted(library) == list(range(1, len(library) + 1)) and [library[i] for i in sorted(library)] == sorted(library.values())
+    v = {r.vec_id: r for r in vectors.vectors(spark, DATA).select("vec_id", "a", "e").collect()}
+    want = {}
+    for q in (i for i in v if i % 20 == 0):
+        near = sorted((sum((x - y) ** 2 for x, y in zip(v[i].a, v[q].e)), i) for i in library)[:3]
+        want |= {(q, n + 1): library[i] for n, (_, i) in enumerate(near)}
+    got = {(r.query_id, r.rank): r.pattern_id for r in vectors.library_similar(spark, DATA).collect()}
+    assert got == want and len(got) == 3 * sum(i % 20 == 0 for i in v)
+    assert vectors.library_context(spark, DATA).filter("abs(confidence_boost - 0.15) < 1e-9").count() * 3 == len(got)
