@@ -3,7 +3,7 @@
 Texts are lower-cased, everything but letters becomes a single space, and character 1- to 3-grams are hashed into a fixed
 number of features, weighted log(1 + count) times the inverse document frequency over all learnable documents, and
 normalised. Each language gets a few centroids by spherical k-means over a bounded sample; a text takes the language of the
-centroid with the largest cosine and is rejected where it lies much further from it than the centroid's own texts.
+centroid with the largest cosine and is rejected where it lies further from it than the language's own texts of its length.
 """
 
 from __future__ import annotations
@@ -23,8 +23,14 @@ FEATURES = 1 << 12
 SAMPLE_PER_LANG = 1500
 #: Centroids of a language.
 CENTROIDS = 4
-#: A text is rejected below this share of the 1st percentile of its centroid's own cosines.
-REJECT_SHARE = 0.2
+#: Fewer texts than this, or than this share of a language's texts, are no cluster of their own.
+LEAST, LEAST_SHARE = 10, 0.05
+#: A text is rejected below this share of the 1st percentile of its language's own cosines at its length.
+REJECT_SHARE = 0.7
+#: The same where it cannot be told: for texts of fewer than SHORT letters and spaces, or where fewer than KNOWN texts were learned from.
+LOOSE_SHARE, SHORT, KNOWN = 0.2, 64, 50
+#: Lengths are banded by powers of two; all longer texts share the last band.
+BANDS = 16
 ROWS = 256  # texts made dense at a time
 
 _letters: list[np.ndarray] = []
@@ -61,14 +67,24 @@ def counts(c: np.ndarray) -> np.ndarray:
     return out
 
 
-def vectors(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
-    m = np.stack([counts(codes(t)) for t in texts])
-    np.log1p(m, out=m)
-    m *= idf
+def counted(texts: list[str | None]) -> np.ndarray:
+    return np.stack([counts(codes(t)) for t in texts])
+
+
+def weighted(m: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    m = np.log1p(m) * idf
     norm = np.sqrt(np.einsum("ij,ij->i", m, m))
     return m / np.maximum(norm, 1e-12)[:, None]
 
 
+def vectors(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
+    return weighted(counted(texts), idf)
+
+
+def band(n_letters: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(n_letters, 1)).astype(int), BANDS - 1)
+
+
 def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     """Number of texts with a letter and, for each feature, of those that have it; one small row per feature leaves a task."""
 
@@ -87,21 +103,39 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     return got.get(-1, 0), np.array([got.get(i, 0) for i in range(FEATURES)], np.float64)
 
 
-def cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from farthest-first starts: centroids and the 1st percentile of their members' cosines."""
-    centres = [x.mean(axis=0)]
-    while len(centres) < min(k, len(x)):
-        centres.append(x[np.argmin(np.max(x @ np.stack(centres).T / np.linalg.norm(centres, axis=1), axis=1))])
-    c = np.stack(centres)
-    for _ in range(rounds):
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        near = np.argmax(x @ c.T, axis=1)
-        c = np.stack([x[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(len(c))])
-    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    cos = x @ c.T
-    near = np.argmax(cos, axis=1)
-    low = np.array([np.quantile(cos[near == i, i], 0.01) if (near == i).any() else 0.0 for i in range(len(c))])
-    return c, low
+def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    """Centroids by spherical k-means from k-means++ starts with a fixed seed; clusters of few members join the others."""
+    rng = np.random.default_rng(0)
+    c = x[[rng.integers(len(x))]]
+    while len(c) < min(k, len(x)):
+        far = np.maximum(1 - np.max(x @ c.T, axis=1), 0.0).astype(float)
+        if far.sum() <= 1e-6:
+            break
+        c = np.concatenate([c, x[[rng.choice(len(x), p=far / far.sum())]]])
+    least = max(LEAST, LEAST_SHARE * len(x))
+    while True:
+        for _ in range(rounds):
+            near = np.argmax(x @ c.T, axis=1)
+            c = np.stack([x[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(len(c))])
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        sizes = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+        if len(c) == 1 or sizes.min() >= least:
+            return c
+        c = np.delete(c, np.argmin(sizes), axis=0)
+
+
+def floors(top: np.ndarray, n_letters: np.ndarray) -> list[float]:
+    """For each band of length the cosine that a text must reach; bands of few texts are taken with their neighbours, short ones apart."""
+    out, own, short = [], band(n_letters), int(np.log2(SHORT))
+    for b in range(BANDS):
+        least, most = (short, BANDS - 1) if b >= short else (0, short - 1)
+        lo = hi = b
+        while ((own >= lo) & (own <= hi)).sum() < KNOWN and (lo > least or hi < most):
+            lo, hi = max(lo - 1, least), min(hi + 1, most)
+        some = top[(own >= lo) & (own <= hi)]
+        tight = len(some) >= KNOWN and b >= short
+        out.append(float((REJECT_SHARE if tight else LOOSE_SHARE) * np.quantile(some, 0.01)) if len(some) else 0.0)
+    return out
 
 
 def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, centroids: int = CENTROIDS) -> dict:
@@ -120,16 +154,18 @@ def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, centroids: int
     def train(group: pd.DataFrame) -> pd.DataFrame:
         texts = [t for t in group["text"].sort_values() if len(codes(t))]
         if not texts:
-            return pd.DataFrame({"lang": [], "centroid": [], "floor": []})
-        c, low = cluster(np.concatenate([vectors(texts[i : i + ROWS], idf) for i in range(0, len(texts), ROWS)]), centroids)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [x.astype(np.float32).tobytes() for x in c], "floor": low})
+            return pd.DataFrame({"lang": [], "centroid": [], "floors": []})
+        x = np.concatenate([vectors(texts[i : i + ROWS], idf) for i in range(0, len(texts), ROWS)])
+        c = cluster(x, centroids)
+        low = floors(np.max(x @ c.T, axis=1), np.array([len(codes(t)) for t in texts]))
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [y.astype(np.float32).tobytes() for y in c], "floors": [low] * len(c)})
 
-    rows = sample.groupBy("lang").applyInPandas(train, "lang string, centroid binary, floor double").orderBy("lang", "centroid").collect()
+    rows = sample.groupBy("lang").applyInPandas(train, "lang string, centroid binary, floors array<double>").orderBy("lang", "centroid").collect()
     return {
         "idf": idf,
         "langs": [r["lang"] for r in rows],
         "centroids": np.stack([np.frombuffer(r["centroid"], np.float32) for r in rows]) if rows else np.zeros((0, FEATURES), np.float32),
-        "floors": np.array([r["floor"] for r in rows]),
+        "floors": np.array([r["floors"] for r in rows]),
     }
 
 
@@ -152,14 +188,16 @@ def predict(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Data
                 if not m["langs"]:
                     langs, scores, far = langs + ["und"] * len(part), scores + [0.0] * len(part), far + [True] * len(part)
                     continue
-                v = vectors(part, m["idf"])
+                n = counted(part)
+                length = n.sum(axis=1) / 3 + 1  # of 1-, 2- and 3-grams, the latter are one and two fewer
+                v = weighted(n, m["idf"])
                 cos = v @ m["centroids"].T
                 best = np.argmax(cos, axis=1)
                 top = cos[np.arange(len(part)), best].astype(float)
                 empty = ~v.any(axis=1)
                 langs += [None if e else m["langs"][i] for i, e in zip(best, empty)]
                 scores += np.where(empty, 0.0, np.clip(top, 0.0, 1.0)).tolist()
-                far += (empty | (top < REJECT_SHARE * m["floors"][best])).tolist()
+                far += (empty | (top < m["floors"][best, band(length)])).tolist()
             pred = pa.array([x or "und" for x in langs], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pred, pa.array(scores, pa.float64()), pa.array(far, pa.bool_())], [*b.schema.names[: len(keep)], "lang_pred", "score", "rejected"])
 

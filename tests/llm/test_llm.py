@@ -247,6 +247,30 @@ def test_language_id(docs, awkward, empty):
     assert language_id.keep_identified(docs).count() == docs.count() and language_id.keep_identified(docs).columns == docs.columns
 
 
+def test_language_clusters_are_no_outliers():
+    rng = np.random.default_rng(3)
+    x = np.abs(np.concatenate([rng.normal(0, 0.1, (60, 8)) + [1, 0, 0, 0, 0, 0, 0, 0], rng.normal(0, 0.1, (40, 8)) + [0, 1, 0, 0, 0, 0, 0, 0], np.eye(8)[5:]]))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sizes = np.bincount(np.argmax(x @ language_id.cluster(x, 4).T, axis=1))
+    assert len(sizes) > 1 and sizes.min() >= language_id.LEAST
+
+
+def test_unlearned_languages_are_rejected(spark):
+    rng = random.Random(6)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 1500").select("doc_id", "text", "lang")
+    letters = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n)) for n in (40, 40, 80, 80, 150, 150)]
+    odd = letters + [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        " ".join("%08x" % rng.getrandbits(32) for _ in range(100)), "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    ]
+    model = language_id.fit(docs.filter("crc32(cast(doc_id as string)) % 3 != 1"))
+    got = language_id.predict(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).collect()
+    assert [r.doc_id for r in got if not r.rejected] == []
+    held = language_id.predict(docs.filter("crc32(cast(doc_id as string)) % 3 = 1 AND lang IS NOT NULL AND text IS NOT NULL"), model).collect()
+    assert len(held) > 300 and np.mean([r.rejected for r in held]) < 0.005
+
+
 # Toxicity
 
 
