@@ -49,6 +49,8 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 ARTICLE, OPEN, CLOSED = 2, 1, 0
+#: A neighbour that shares at least this part of a page's open lines is a copy of it.
+COPY = 0.9
 
 
 def lines(source: str) -> list[tuple[str, int]]:
@@ -160,28 +162,40 @@ def neighbours(pages: DataFrame) -> DataFrame:
     p = p.join(ends, ["host", "block"], "left").withColumn("prev", F.coalesce("prev", "before")).withColumn("next", F.coalesce("next", "after"))
     common = lambda c: F.coalesce(F.size(F.filter(F.sequence(F.lit(1), F.least(F.length("path"), F.length(f"{c}.path"), F.lit(64))), lambda n: F.substr("path", F.lit(1), n) == F.substr(f"{c}.path", F.lit(1), n))), F.lit(-1))
     closer = F.when(F.col("prev").isNull(), F.col("next.ids")).when(F.col("next").isNull() | (common("prev") >= common("next")), F.col("prev.ids")).otherwise(F.col("next.ids"))
-    return p.select("page_id", "url", "ids", "z", closer.alias("other"))
+    further = F.when(closer.eqNullSafe(F.col("prev.ids")), F.col("next.ids")).otherwise(F.col("prev.ids"))
+    return p.select("page_id", "url", "ids", "z", closer.alias("other"), further.alias("further"))
+
+
+def _template(page: list, ids: list[int], *others: list[int] | None) -> set[int]:
+    """Shared lines with the first neighbour that is no copy in the open lines; with none, all go beside an article, else none."""
+    opens, gone = [place for place, k in enumerate(k for _, k in page if k != ARTICLE) if k == OPEN], set()
+    for other in others:
+        if other:
+            gone = shared(ids, other)
+            if sum(place in gone for place in opens) < COPY * len(opens):
+                return gone
+    return gone if any(k == ARTICLE for _, k in page) else set()
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html; more columns are ignored).
 
     Lines are joined by one space. A null or empty html has the empty text; a null url counts as the empty URL; a page
-    without a neighbour loses template elements only; repeated rows are each other's neighbours, which never costs article
-    text; an empty table gives an empty result.
+    without a neighbour, or without an article and with copies on both sides, loses template elements only; an empty table
+    gives an empty result.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for ids, z, other in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
+            for ids, z, other, further in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5))):
                 page = json.loads(press.decompress(z))
-                gone = shared(ids, other) if other else set()
-                article, place, kept = any(k == ARTICLE for _, k in page), -1, []
+                gone = _template(page, ids, other, further)
+                place, kept = -1, []
                 for t, k in page:
                     place += k != ARTICLE
-                    if k == ARTICLE or k == OPEN and not article and place not in gone:
+                    if k == ARTICLE or k == OPEN and place not in gone:
                         kept.append(t)
                 out.append(" ".join(kept))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])

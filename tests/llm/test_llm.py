@@ -342,6 +342,20 @@ def test_main_text(spark):
     assert [t for _, t, _ in got] == ["One Alpha & beta gamma", "Only two", "Only three", "One Alpha", "", "", ""] and all(n == len(t) for _, t, n in got)
 
 
+def test_main_text_outside_a_teaser(spark):
+    page = "<body><article><p>Teaser {0}</p></article><div><p>Slogan</p><p>Body {0}</p></div></body>"
+    pages = [(i, f"http://a.com/p/{i}", page.format(i)) for i in (1, 2)]
+    got = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Teaser 1 Body 1", 2: "Teaser 2 Body 2"}
+
+
+def test_main_text_of_copies(spark):
+    page = "<body><div><p>Slogan</p><p>Body one</p><p>Body two</p></div></body>"
+    pages = [(1, "http://a.com/p/1", page), (2, "http://a.com/p/2", page), (3, "http://a.com/p/2b", "<body><div><p>Slogan</p><p>Other</p></div></body>")]
+    got = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Slogan Body one Body two", 2: "Body one Body two", 3: "Other"}
+
+
 # The pipeline
 
 
