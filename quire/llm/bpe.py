@@ -29,7 +29,9 @@ HEAD_WORDS = 400_000
 HEAD_CHARS = 32
 ROWS = 1000  # documents put together at a time
 
-#: The pre-token pattern's alternatives for the standard library's engine, where letters are word characters but
+#: Fixed value: the one pattern that FAST stands for.
+FAST_FOR = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: That pattern's alternatives for the standard library's engine, where letters are word characters but
 #: digits and the underscore. Texts with a character that the two engines class differently take the full pattern.
 FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Fixed value: Unicode's White_Space characters.
@@ -45,7 +47,7 @@ def _splitter(pattern: str):
 
         odd = {c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isdecimal()} | set("\x1c\x1d\x1e\x1f")
         full = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"(?!\S)", f"(?![^{WHITE}])").replace(r"\s", f"[{WHITE}]"))
-        _made[pattern] = lambda text: FAST.findall(text) if odd.isdisjoint(text) else full.findall(text)
+        _made[pattern] = lambda text: FAST.findall(text) if pattern == FAST_FOR and odd.isdisjoint(text) else full.findall(text)
     return _made[pattern]
 
 

@@ -119,6 +119,11 @@ def test_bpe_awkward(spark, awkward, empty):
     assert bpe.encode(empty, path, pattern).count() == 0
 
 
+def test_bpe_splits_by_the_given_pattern():
+    assert bpe.FAST_FOR == tokenizer()[1]
+    assert bpe._splitter(r"\p{L}|[^\p{L}]")("ab 1") == ["a", "b", " ", "1"]
+
+
 # Quality rules
 
 
