@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches, stage
+from quire.llm.common import in_batches, stage
 
 #: Bounds on the head: documents that are sampled for it, and words that are sent to every task.
 HEAD_DOCS = 60_000
@@ -135,7 +135,7 @@ def encode(docs: DataFrame, path: str, pattern: str, head_docs: int = HEAD_DOCS,
     """
     spark = docs.sparkSession
     vocabulary = _Vocabulary(spark, path, pattern)
-    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     head = spark.sparkContext.broadcast(_head(docs, vocabulary, head_docs, head_words))
     # Equal keys have equal texts and so need the same words.
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64("text").alias("h"), "text")
@@ -200,5 +200,5 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 out = [None if x is None else b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
-    kept = small_batches(encoded).drop("decoded")
+    kept = encoded.drop("decoded")
     return kept.mapInArrow(each, ", ".join([*(f"`{n}` {t}" for n, t in kept.dtypes), "decoded binary"]))

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII capitals and their lower-case letters.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Rows that a Python function gets at a time.
+ROWS = 500
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,10 +22,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The folder that the cluster shares for checkpoints (``spark.checkpoint.dir``).
+
+    Where it is unset, a temporary one serves a local master, whose tasks share the driver's disk; a cluster's would not, so there it is an error.
+    """
     sc = spark.sparkContext
     if base := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
         return base
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(base := tempfile.mkdtemp(prefix="quire-"))
     return base
 
@@ -30,6 +39,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor; columns that are read by several later steps are computed once.
+    The files serve lazy results, so whoever owns the folder clears it after the job.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -37,12 +47,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
-    """``df``, with at most ``rows`` rows in each batch that its session sends to Python, so that whole texts stay few in memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
-        df.sparkSession.conf.set(key, rows)
-    return df
+def in_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = ROWS) -> DataFrame:
+    """``df.mapInArrow`` where ``each`` gets at most ``rows`` rows at a time, so that whole texts stay few as Python objects."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return each(b.slice(lo, rows) for b in batches for lo in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(sliced, schema)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import small_batches
+from quire.llm.common import in_batches
 
 #: Path characters that make up a block of neighbouring URLs; a host's blocks are ordered in different tasks.
 BLOCK = 6
@@ -200,5 +200,5 @@ def main_text(pages: DataFrame) -> DataFrame:
                 out.append(" ".join(kept))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    met = neighbours(small_batches(pages))
+    met = neighbours(pages)
     return met.mapInArrow(each, f"page_id {met.dtypes[0][1]}, url string, text string, n_chars long")

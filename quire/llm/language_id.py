@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import held_out, small_batches
+from quire.llm.common import held_out, in_batches
 
 FEATURES = 1 << 12
 #: Bound on the sample for the centroids: about so many documents of each language, however many there are.
@@ -98,7 +98,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
                     n += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, FEATURES)), pa.array(np.concatenate([[n], df]))], ["feature", "n"])
 
-    found = docs.select("text").mapInArrow(each, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    found = in_batches(docs.select("text"), each, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     got = {r["feature"]: r["n"] for r in found}
     return got.get(-1, 0), np.array([got.get(i, 0) for i in range(FEATURES)], np.float64)
 
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, centroids: int
     Document frequencies cover all rows; the centroids come from the texts with the smallest hashes, about
     ``sample_per_lang`` of each language.
     """
-    docs = small_batches(docs).filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
+    docs = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
     n, df = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.01)
     sizes = docs.groupBy("lang").count()
@@ -203,7 +203,7 @@ def predict(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Data
 
     taken = docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("_text")]))
     schema = ", ".join([*(f"`{n}` {t}" for n, t in taken.dtypes[: len(keep)]), "lang_pred string, score double, rejected boolean"])
-    return taken.mapInArrow(each, schema)
+    return in_batches(taken, each, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches, stage
+from quire.llm.common import in_batches, stage
 
 #: Larger blocks are keyed again; after two rounds at most 256 fingerprints share a key.
 MAX_BLOCK = 4096
@@ -53,8 +53,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = np.fromiter((fingerprint(x.as_py() or b"", shingle) for x in b.column(2)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "h", "fp"])
 
-    taken = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("t"))
-    return taken.mapInArrow(each, "doc_id long, h long, fp long")
+    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("t"))
+    return in_batches(taken, each, "doc_id long, h long, fp long")
 
 
 def count_past(planes: np.ndarray, radius: int) -> np.ndarray:

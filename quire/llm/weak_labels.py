@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches
+from quire.llm.common import in_batches
 
 FEATURES = 1 << 12
 #: Bound on the scorer's training sample, in documents.
@@ -161,7 +161,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     kept is true where the scorer's probability of good is at least 0.5. A null text is scored as an empty one; repeated rows
     vote as often as they occur; further columns are ignored; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(small_batches(docs).select("doc_id", "text"), sample))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text"), sample))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
