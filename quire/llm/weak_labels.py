@@ -1,7 +1,7 @@
 """A quality classifier from weak labels.
 
 Overlapping heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation over the counts of all
-vote patterns estimates the prior and how often each labeller votes what on good and on bad documents; the resulting
+vote patterns estimates the prior and how often each labeller that votes is wrong on good and on bad documents; the resulting
 posterior of a pattern is the training label of a linear scorer over hashed character-shape n-grams.
 """
 
@@ -21,10 +21,11 @@ FEATURES = 1 << 12
 #: Bound on the scorer's training sample, in documents.
 SAMPLE = 4000
 ROWS = 256
-LABELLERS = ("symbols", "capitals", "repetition", "sentences", "shouting", "cells", "length", "copied_lines")
+LABELLERS = ("symbols", "capitals", "repetition", "sentences", "shouting", "cells", "length", "copied_lines", "word_length")
 GOOD, BAD, NONE = 1, 2, 0
-#: The largest probability of a bad vote on a good document that a labeller can be found to have.
-FALSE_ALARM = 0.001
+#: Where the estimation starts: share of good documents, and how often a voting labeller says bad on good and on bad ones.
+#: Only the order matters (alarms are rarer on good documents): it tells which of the two classes is the good one.
+START = (0.8, 0.05, 0.4)
 
 _END = re.compile(rb"[.?!](?=\s|$)")
 _shapes: list[np.ndarray] = []
@@ -44,39 +45,35 @@ def vote(text: bytes) -> int:
     cells = text.count(b" | ") / max(1, n)
     copied = 1 - len(set(lines)) / max(1, len(lines))
     either = lambda bad, good: BAD if bad else GOOD if good else NONE
+    word = chars / max(1, n)
     votes = (
-        either(symbols > 0.05, False), either(capitals > 0.4, False), either(n > 20 and repeated > 0.85, repeated < 0.7),
-        either(n > 40 and ends < 0.01, 0.02 < ends < 0.35), either(loud > 0.1, False), either(cells > 0.1, False),
-        either(n < 2, n > 40), either(copied > 0.3, len(lines) > 2 and copied == 0),
+        either(symbols > 0.03, symbols < 0.01), either(capitals > 0.3, capitals < 0.06), either(n >= 20 and repeated > 0.6, repeated < 0.4),
+        either(n >= 20 and not 0.03 <= ends <= 0.5, 0.04 < ends < 0.3), either(loud > 0.05, loud == 0), either(cells > 0.05, cells == 0),
+        either(n < 8, n >= 30), either(copied > 0.25, copied == 0 and len(lines) > 1), either(not 5 <= word <= 7.5, 5.5 < word < 7.2),
     )
     return sum(v * 3**i for i, v in enumerate(votes))
 
 
-def estimate(patterns: dict[int, int], rounds: int = 200) -> tuple[float, np.ndarray, dict[int, float]]:
-    """Prior of good, probabilities [labeller, class (good, bad), vote] and each pattern's posterior of good.
+def estimate(patterns: dict[int, int], rounds: int = 300) -> tuple[float, np.ndarray, dict[int, float]]:
+    """Prior of good, alarms [labeller, class (good, bad)] and each pattern's posterior of good; patterns: code to count.
 
-    Kinds of bad text differ, so each labeller sees only some of them: a labeller that says nothing tells little, and one that
-    votes bad on a good document is held to FALSE_ALARM of its votes at most. So class good stays the one without alarms.
+    An alarm is the probability that a labeller which votes says bad. Not voting is no evidence: labellers keep silent on
+    short texts together, which says nothing of their worth.
     """
     codes = np.array(sorted(patterns), np.int64)
     n = np.array([patterns[c] for c in codes], float)
-    votes = np.stack([codes // 3**i % 3 for i in range(len(LABELLERS))], axis=1) if len(codes) else np.zeros((0, len(LABELLERS)), np.int64)
-    prior, p = 0.8, np.tile(np.array([[0.499, 0.5, 0.001], [0.5, 0.2, 0.3]]), (len(LABELLERS), 1, 1))
+    votes = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
+    bad, good = (votes == BAD).astype(float), (votes == GOOD).astype(float)
+    prior, alarm = START[0], np.tile(np.array(START[1:]), (len(LABELLERS), 1))
     post = np.zeros(len(codes))
     for _ in range(rounds):
-        log = np.stack([np.log(p[np.arange(len(LABELLERS)), k, :][np.arange(len(LABELLERS)), votes]).sum(axis=1) for k in (0, 1)], axis=1) + np.log([prior, 1 - prior])
+        log = bad @ np.log(alarm) + good @ np.log(1 - alarm) + np.log([prior, 1 - prior])
         post = 1 / (1 + np.exp(np.clip(log[:, 1] - log[:, 0], -500, 500)))
         weight = np.stack([n * post, n * (1 - post)])
-        prior = float(np.clip((weight[0].sum() + 1) / (n.sum() + 2), 0.01, 0.99))
-        for k in (0, 1):
-            for v in (NONE, GOOD, BAD):
-                # Pseudo-votes keep every probability off zero and each labeller on its side where it hardly votes.
-                p[:, k, v] = (weight[k] @ (votes == v)) + (2.0 if (k, v) in ((0, GOOD), (1, BAD)) else 1.0)
-            p[:, k] /= p[:, k].sum(axis=1, keepdims=True)
-        alarm = np.minimum(p[:, 0, BAD], FALSE_ALARM)
-        p[:, 0] *= ((1 - alarm) / (1 - p[:, 0, BAD]))[:, None]
-        p[:, 0, BAD] = alarm
-    return prior, p, dict(zip(codes.tolist(), post.tolist()))
+        # One pseudo-vote each way keeps every probability off zero.
+        prior = float((weight[0].sum() + 1) / (n.sum() + 2))
+        alarm = ((weight @ bad + 1) / (weight @ (bad + good) + 2)).T
+    return prior, alarm, dict(zip(codes.tolist(), post.tolist()))
 
 
 def shapes() -> np.ndarray:
@@ -132,27 +129,31 @@ def _votes(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([vote(t.as_py() or b"") for t in b.column(0)], pa.int64())], ["code"])
 
-    return docs.select(F.col("text").cast("binary").alias("t")).mapInArrow(each, "code long")
+    return in_batches(docs.select(F.col("text").cast("binary").alias("t")), each, "code long")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
-    """posterior (by vote pattern), prior, accuracies, weights, bias; pattern counts cover all of ``docs``."""
-    patterns = {r["code"]: r["n"] for r in _votes(docs).groupBy("code").agg(F.count("*").alias("n")).collect()}  # at most 3 ** 8
-    prior, p, posterior = estimate(patterns)
+    """posterior (by vote pattern), prior, alarms, weights, bias; pattern counts cover all of ``docs``."""
+    patterns = {r["code"]: r["n"] for r in _votes(docs).groupBy("code").agg(F.count("*").alias("n")).collect()}  # at most 3 ** 9
+    prior, alarm, posterior = estimate(patterns)
     total = sum(patterns.values())
-    share = F.xxhash64("doc_id", F.lit("quality")).cast("double") / F.lit(2.0**64) + 0.5
+    key = F.xxhash64("doc_id", "text", F.lit("quality"))
+    share = key.cast("double") / F.lit(2.0**64) + 0.5
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).to_pylist()
+            texts = b.column(1).to_pylist()
             for lo in range(0, len(texts), ROWS):
                 part = texts[lo : lo + ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array([vote((t or "").encode()) for t in part], pa.int64()), pa.array([features(t).astype(np.float16).tobytes() for t in part], pa.binary())], ["code", "x"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(lo, ROWS), pa.array([vote((t or "").encode()) for t in part], pa.int64()), pa.array([features(t).astype(np.float16).tobytes() for t in part], pa.binary())], ["key", "code", "x"]
+                )
 
-    got = docs.filter(share * F.lit(total) < sample).select("text").mapInArrow(each, "code long, x binary").toArrow().sort_by([("code", "ascending"), ("x", "ascending")])
+    drawn = docs.filter(share * F.lit(total) < sample).select(key.alias("key"), "text").mapInArrow(each, "key long, code long, x binary")
+    got = drawn.dropDuplicates(["key"]).drop("key").toArrow().sort_by([("code", "ascending"), ("x", "ascending")])  # repeated rows are drawn as one
     x = np.stack([np.frombuffer(b.as_py(), np.float16) for b in got.column(1)]).astype(np.float32) if got.num_rows else np.zeros((0, FEATURES), np.float32)
     w, bias = train(x, np.array([posterior[c] for c in got.column(0).to_pylist()]))
-    return {"prior": prior, "accuracy": p, "posterior": posterior, "weights": w, "bias": bias}
+    return {"prior": prior, "alarms": alarm, "posterior": posterior, "weights": w, "bias": bias}
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
