@@ -7,6 +7,8 @@ brought up to date by the headers that a not-modified answer may change.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +16,7 @@ from pyspark.sql.window import Window
 #: Headers that describe the stored payload and so are never taken from a not-modified answer.
 STORED_ONLY = ["content-encoding", "content-length", "content-location", "content-md5", "content-range", "content-type", "transfer-encoding"]
 #: Records of a URL are ordered within spans of so many seconds and the last response of each span is carried over to later ones.
-SPAN = 86_400
+SPAN = 3600
 
 
 def canonical_url(url: Column) -> Column:
@@ -33,70 +35,97 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
 
     records: record_id (long), kind ('response' or 'revisit'; others pass through), url, ts (seconds, long), etag,
     last_modified, headers (map of lower-case names), payload. Adds canonical, status ('full' for responses, 'resolved',
-    'mismatch', 'missing' where no earlier response exists, 'other') and refers_to (the response's record_id); resolved rows
-    get the response's payload and merged headers. Further columns are kept.
-
-    Earlier means a smaller (ts, record_id). Validators: of etag and last_modified, those that both sides have must be equal
-    and at least one must be shared. A null url or ts never matches; repeated record_ids are resolved alike; equal responses
-    at one time are told apart by record_id; an empty table gives an empty result.
+    'mismatch', 'missing' where no earlier response exists, 'other') and refers_to (the response's record_id), replacing
+    columns of these names; resolved rows get the response's payload and merged headers. Further columns are kept.
+
+    Earlier means a smaller (ts, record_id), null ids first, and a response before a revisit of the same two; of responses
+    alike in these the one with the larger validators counts, and of those alike in validators too the one with the smaller
+    hash of payload. Validators: of etag and last_modified, those that both sides have must be equal and at least one must be
+    shared. A null url or ts never matches and is missing; repeated and null record_ids are resolved row by row; an empty
+    table gives an empty result.
     """
-    r = records.withColumn("canonical", canonical_url(F.col("url")))
-    full = (F.col("kind") == "response") & F.col("canonical").isNotNull() & F.col("ts").isNotNull()
-    keys = r.filter(full | (F.col("kind") == "revisit")).filter("canonical IS NOT NULL AND ts IS NOT NULL")
-    keys = keys.select("canonical", "ts", "record_id", "kind", "etag", "last_modified", F.floor(F.col("ts") / span).alias("span"))
-    seen = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified"))
-    inside = Window.partitionBy("canonical", "span").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    spans = keys.groupBy("canonical", "span").agg(F.max(seen).alias("end"))
-    earlier = Window.partitionBy("canonical").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spans.select("canonical", "span", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
-    own = keys.withColumn("own", F.last(seen, ignorenulls=True).over(inside)).filter("kind = 'revisit'")
+    names = [c for c in records.columns if c not in ("canonical", "status", "refers_to")]
+    of = lambda c: F.col(f"row.{c}")
+    # Whole rows travel as one struct, so no column of theirs can clash; payloads of responses stay where they are.
+    rows = records.select(F.struct(*names).alias("row"), canonical_url(F.col("url")).alias("canonical"))
+    placed = F.col("canonical").isNotNull() & of("ts").isNotNull()
+    is_revisit = F.coalesce(of("kind") == "revisit", F.lit(False))
+    at = [F.col("canonical"), of("ts").alias("ts"), of("record_id").alias("id"), of("etag").alias("etag"), of("last_modified").alias("date"), F.floor(of("ts") / span).alias("span")]
+    revisits = rows.filter(is_revisit & placed).select(*at, F.col("row"))
+    responses = rows.filter((of("kind") == "response") & placed).select(*at, F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
+    keys = responses.unionByName(revisits)
+    seen = F.when(F.col("row").isNull(), F.struct("ts", "id", "etag", "date"))
+    order = [F.col("ts"), F.col("id"), F.col("row").isNotNull(), F.col("etag"), F.col("date")]
+    inside = Window.partitionBy("canonical", "span").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = responses.groupBy("canonical", "span").agg(F.max(F.struct("ts", "id", "etag", "date")).alias("end"))
+    # A span's revisits take the last response of the nearest earlier span; only spans of revisits ask for it.
+    asked = revisits.select("canonical", "span").distinct().withColumn("end", F.lit(None).cast(ends.schema["end"].dataType))
+    earlier = Window.partitionBy("canonical").orderBy("span").rangeBetween(Window.unboundedPreceding, -1)
+    carried = ends.unionByName(asked).select("canonical", "span", F.col("end").isNull().alias("asks"), F.last("end", ignorenulls=True).over(earlier).alias("carried")).filter("asks").drop("asks")
+    own = keys.withColumn("own", F.last(seen, ignorenulls=True).over(inside)).filter("row IS NOT NULL")
     found = own.join(carried, ["canonical", "span"], "left").withColumn("found", F.coalesce("own", "carried"))
 
     def agree(name: str) -> tuple[Column, Column]:
         both = F.col(name).isNotNull() & F.col(f"found.{name}").isNotNull()
         return both, ~both | (F.col(name) == F.col(f"found.{name}"))
 
-    (has_tag, tag), (has_date, date) = agree("etag"), agree("last_modified")
+    (has_tag, tag), (has_date, date) = agree("etag"), agree("date")
     verdict = F.when(F.col("found").isNull(), "missing").when((has_tag | has_date) & tag & date, "resolved").otherwise("mismatch")
-    found = found.select(F.col("record_id").alias("_id"), verdict.alias("_status"), F.col("found.record_id").alias("_refers")).dropDuplicates(["_id"])
-    # Only revisits are joined; payloads of full responses move once, to the revisits that refer to them.
-    revisit = F.coalesce(F.col("kind") == "revisit", F.lit(False))
-    others = r.filter(~revisit).withColumns({"status": F.when(F.col("kind") == "response", "full").otherwise("other"), "refers_to": F.lit(None).cast("long")})
-    out = r.filter(revisit).join(found, F.col("record_id") == F.col("_id"), "left").withColumn("status", F.coalesce("_status", F.lit("missing")))
-    out = out.withColumn("refers_to", F.when(F.col("status") == "resolved", F.col("_refers")))
-    stored = records.filter("kind = 'response'").select(F.col("record_id").alias("_stored"), F.col("payload").alias("_payload"), F.col("headers").alias("_headers")).dropDuplicates(["_stored"])
-    out = out.join(stored, out["refers_to"] == stored["_stored"], "left")
-    fresh = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(STORED_ONLY))
-    kept = F.map_filter(F.coalesce("_headers", F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.map_keys(fresh), k))
-    resolved = F.col("status") == "resolved"
-    out = out.withColumn("payload", F.when(resolved, F.col("_payload")).otherwise(F.col("payload")))
-    out = out.withColumn("headers", F.when(resolved, F.map_concat(kept, fresh)).otherwise(F.col("headers")))
-    return out.drop("_id", "_status", "_refers", "_stored", "_payload", "_headers").unionByName(others)
+    found = found.select("row", "canonical", verdict.alias("status"), "found")
+
+    null = lambda kind: F.lit(None).cast(kind)
+    finished = lambda df, payload, headers, status, refers: df.select(
+        *[{"payload": payload, "headers": headers}.get(c, of(c)).alias(c) for c in names], "canonical", status.alias("status"), refers.cast("long").alias("refers_to")
+    )
+    as_is = lambda df, status: finished(df, of("payload"), of("headers"), status, null("long"))
+    others = as_is(rows.filter(~is_revisit), F.when(of("kind") == "response", "full").otherwise("other"))
+    lost = as_is(rows.filter(is_revisit & ~placed), F.lit("missing"))
+    unresolved = as_is(found.filter("status <> 'resolved'"), F.col("status"))
+    # Only resolved rows are joined, so no null key gathers the rest; a response's payload moves once, to its revisits.
+    resolved = found.filter("status = 'resolved'").select("row", "canonical", *[F.col(f"found.{c}").alias(f"r_{c}") for c in ("ts", "id", "etag", "date")])
+    stored = rows.filter((of("kind") == "response") & placed).select(F.col("canonical").alias("s_url"), *[c.alias(f"s_{n}") for c, n in zip((of("ts"), of("record_id"), of("etag"), of("last_modified")), ("ts", "id", "etag", "date"))], of("payload").alias("s_payload"), of("headers").alias("s_headers"))
+    same = ["s_url", "s_ts", "s_id", "s_etag", "s_date"]
+    stored = stored.groupBy(*same).agg(F.min_by(F.struct("s_payload", "s_headers"), F.xxhash64("s_payload")).alias("stored"))
+    on = (F.col("canonical") == F.col("s_url")) & (F.col("r_ts") == F.col("s_ts")) & F.col("r_id").eqNullSafe(F.col("s_id")) & F.col("r_etag").eqNullSafe(F.col("s_etag")) & F.col("r_date").eqNullSafe(F.col("s_date"))
+    met = resolved.join(stored, on)
+    none = F.create_map().cast("map<string,string>")
+    fresh = F.map_filter(F.coalesce(of("headers"), none), lambda k, v: ~k.isin(STORED_ONLY))
+    kept = F.map_filter(F.coalesce(F.col("stored.s_headers"), none), lambda k, v: ~F.array_contains(F.map_keys(fresh), k))
+    done = finished(met, F.col("stored.s_payload"), F.map_concat(kept, fresh), F.lit("resolved"), F.col("r_id"))
+    return others.unionByName(lost).unionByName(unresolved).unionByName(done)
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
-    """A capture log from pages: each page's full response, and a revisit of it under another spelling of its URL.
+    """A capture log from pages: one or two versions of each page, revisits of it under other spellings, and a hot URL.
 
-    By page_id: some revisits come before the response, some name another version, some have only a date or no validator.
+    By page_id: revisits come before the first version, between or after the versions; they name the first or the second
+    version or another one, or have only a date or no validator. Every fiftieth page is also a capture of one portal.
     """
     i = F.col("page_id")
     day = F.lit(1_700_000_000).cast("long") + i * 600
-    tag = F.concat(F.lit('"'), F.substr(F.md5(F.coalesce("html", F.lit(""))), F.lit(1), F.lit(12)), F.lit('"'))
+    text = F.coalesce("html", F.lit(""))
+    version = lambda k: F.col("html") if k == 0 else F.concat(text, F.lit("<!-- 2 -->"))
+    tag = lambda k: F.concat(F.lit('"'), F.substr(F.md5(F.coalesce(version(k), F.lit(""))), F.lit(1), F.lit(12)), F.lit('"'))
     date = F.concat(F.lit("day "), (i % 9).cast("string"))
     header = lambda *kv: F.map_from_arrays(F.array(*[F.lit(k) for k in kv[::2]]), F.array(*kv[1::2]))
-    response = pages.select(
-        (i * 2).alias("record_id"), F.lit("response").alias("kind"), "url", day.alias("ts"), tag.alias("etag"), date.alias("last_modified"),
-        header("content-type", F.lit("text/html"), "content-length", F.octet_length(F.coalesce("html", F.lit(""))).cast("string"), "date", day.cast("string"), "server", F.concat(F.lit("s"), (i % 3).cast("string"))).alias("headers"),
-        F.col("html").alias("payload"), "page_id",
-    )
-    later = day + F.when(i % 7 == 0, -300).otherwise(F.when(i % 2 == 0, 400_000).otherwise(450))
-    revisit = pages.select(
-        (i * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), F.concat("url", F.when(i % 3 == 0, "#seen").otherwise("")).alias("url"), later.alias("ts"),
-        F.when(i % 5 == 0, F.lit('"other"')).when(i % 5 < 3, tag).alias("etag"), F.when(i % 5 == 3, date).alias("last_modified"),
-        header("date", later.cast("string"), "content-length", F.lit("0"), "cache-control", F.lit("max-age=60")).alias("headers"),
-        F.lit(None).cast("string").alias("payload"), "page_id",
-    )
-    return response.unionByName(revisit)
+
+    def response(n: int, url: Column, ts: Column, k: int, where: Column) -> DataFrame:
+        size = F.octet_length(F.coalesce(version(k), F.lit(""))).cast("string")
+        heads = header("content-type", F.lit("text/html"), "content-length", size, "date", ts.cast("string"), "server", F.concat(F.lit("s"), (i % 3).cast("string")))
+        return pages.filter(where).select((i * 8 + n).alias("record_id"), F.lit("response").alias("kind"), url.alias("url"), ts.alias("ts"), tag(k).alias("etag"), date.alias("last_modified"), heads.alias("headers"), version(k).alias("payload"), "page_id")
+
+    def revisit(n: int, url: Column, ts: Column, etag: Column, last: Column, where: Column) -> DataFrame:
+        heads = header("date", ts.cast("string"), "content-length", F.lit("0"), "cache-control", F.lit("max-age=60"))
+        return pages.filter(where).select((i * 8 + n).alias("record_id"), F.lit("revisit").alias("kind"), url.alias("url"), ts.alias("ts"), etag.alias("etag"), last.alias("last_modified"), heads.alias("headers"), F.lit(None).cast("string").alias("payload"), "page_id")
+
+    url = F.col("url")
+    parts = [response(0, url, day, 0, F.lit(True)), response(1, url, day + 100_000, 1, i % 2 == 0), response(2, F.lit("http://portal.example/index.html"), day + 7, 0, i % 50 == 3)]
+    for j in range(4):
+        ts = day + (F.when(i % 7 == 0, -300) if j == 0 else F.when(F.lit(False), 0)).when(i % 2 == 0, 400_000 + j).otherwise(450 + j * 60_000)
+        etag = F.when((i + j) % 5 == 0, F.lit('"other"')).when((i + j) % 5 < 3, tag(j % 2))
+        parts.append(revisit(3 + j, F.concat("url", F.when(i % 3 == 0, "#seen").otherwise("")), ts, etag, F.when((i + j) % 5 == 3, date), i % 4 >= j))
+    parts.append(revisit(7, F.lit("https://www.portal.example/?utm_source=x"), day + 9, F.when(i % 100 == 3, F.lit('"other"')).otherwise(tag(0)), F.lit(None).cast("string"), i % 50 == 3))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def digest(resolved: DataFrame) -> DataFrame:
@@ -106,19 +135,24 @@ def digest(resolved: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH c AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS u0, chr(34) || left(md5(coalesce(html, '')), 12) || chr(34) AS tag, 'day ' || (page_id % 9) AS d, 1700000000 + page_id * 600 AS day FROM pages),
-k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(u0 || '&', '([?&])(?:utm_[^&]*&)+', '\1', 'g'), '([?&])&+', '\1', 'g'), '[?&]+$', '') AS u1 FROM c),
+WITH c AS (SELECT *, coalesce(html, '') AS t, regexp_replace(trim(url), '#.*$', '') AS u0, 'day ' || (page_id % 9) AS d, 1700000000 + page_id * 600 AS day FROM pages),
+g AS (SELECT *, chr(34) || left(md5(t), 12) || chr(34) AS tag0, chr(34) || left(md5(t || '<!-- 2 -->'), 12) || chr(34) AS tag1 FROM c),
+k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(u0 || '&', '([?&])(?:utm_[^&]*&)+', '\1', 'g'), '([?&])&+', '\1', 'g'), '[?&]+$', '') AS u1 FROM g),
 h AS (SELECT *, lower(regexp_extract(u1, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*')) AS head FROM k),
 p AS (SELECT *, regexp_replace(regexp_replace(head, '^https?://(www\.)?', ''), ':(80|443)$', '') || regexp_replace(regexp_replace(substr(u1, length(head) + 1), '(/index\.html?|/)(\?|$)', '\2'), '^$', '') AS canonical FROM h),
-r AS (SELECT page_id * 2 AS record_id, canonical, day AS ts, tag, d, strlen(coalesce(html, '')) AS n, page_id % 3 AS s, html FROM p),
-v AS (SELECT page_id * 2 + 1 AS record_id, page_id, canonical, day + CASE WHEN page_id % 7 = 0 THEN -300 WHEN page_id % 2 = 0 THEN 400000 ELSE 450 END AS ts,
-      CASE WHEN page_id % 5 = 0 THEN '"other"' WHEN page_id % 5 < 3 THEN tag END AS tag, CASE WHEN page_id % 5 = 3 THEN d END AS d FROM p),
-j AS (SELECT v.*, r.record_id AS ref, r.ts AS r_ts, r.n, r.s, r.html, r.tag AS r_tag, r.d AS r_d FROM v LEFT JOIN r ON v.canonical = r.canonical AND (r.ts < v.ts OR (r.ts = v.ts AND r.record_id < v.record_id))
+r AS (SELECT page_id * 8 AS record_id, page_id, canonical, day AS ts, tag0 AS tag, d, t AS body FROM p
+      UNION ALL SELECT page_id * 8 + 1, page_id, canonical, day + 100000, tag1, d, t || '<!-- 2 -->' FROM p WHERE page_id % 2 = 0
+      UNION ALL SELECT page_id * 8 + 2, page_id, 'portal.example', day + 7, tag0, d, t FROM p WHERE page_id % 50 = 3),
+v AS (SELECT page_id * 8 + 3 + j AS record_id, page_id, canonical, day + CASE WHEN j = 0 AND page_id % 7 = 0 THEN -300 WHEN page_id % 2 = 0 THEN 400000 + j ELSE 450 + j * 60000 END AS ts,
+        CASE WHEN (page_id + j) % 5 = 0 THEN '"other"' WHEN (page_id + j) % 5 < 3 THEN CASE WHEN j % 2 = 0 THEN tag0 ELSE tag1 END END AS tag, CASE WHEN (page_id + j) % 5 = 3 THEN d END AS d
+      FROM p, (SELECT unnest(range(0, 4)) AS j) WHERE page_id % 4 >= j
+      UNION ALL SELECT page_id * 8 + 7, page_id, 'portal.example', day + 9, CASE WHEN page_id % 100 = 3 THEN '"other"' ELSE tag0 END, NULL FROM p WHERE page_id % 50 = 3),
+j AS (SELECT v.*, r.record_id AS ref, r.page_id AS r_page, r.body, r.tag AS r_tag, r.d AS r_d FROM v LEFT JOIN r ON v.canonical = r.canonical AND (r.ts < v.ts OR (r.ts = v.ts AND r.record_id < v.record_id))
       QUALIFY row_number() OVER (PARTITION BY v.record_id ORDER BY r.ts DESC NULLS LAST, r.record_id DESC) = 1),
-x AS (SELECT *, CASE WHEN ref IS NULL THEN 'missing' WHEN coalesce(tag = r_tag, d = r_d, false) THEN 'resolved' ELSE 'mismatch' END AS status FROM j)
-SELECT page_id * 2 AS record_id, page_id, canonical, 'full' AS status, CAST(NULL AS BIGINT) AS refers_to,
-       'content-length: ' || strlen(coalesce(html, '')) || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || day || chr(10) || 'server: s' || (page_id % 3) AS headers, sha256(coalesce(html, '')) AS payload_sha256 FROM p
+x AS (SELECT *, CASE WHEN ref IS NULL THEN 'missing' WHEN coalesce(tag = r_tag, true) AND coalesce(d = r_d, true) AND (coalesce(tag = r_tag, false) OR coalesce(d = r_d, false)) THEN 'resolved' ELSE 'mismatch' END AS status FROM j)
+SELECT record_id, page_id, canonical, 'full' AS status, CAST(NULL AS BIGINT) AS refers_to,
+       'content-length: ' || strlen(body) || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'server: s' || (page_id % 3) AS headers, sha256(body) AS payload_sha256 FROM r
 UNION ALL SELECT record_id, page_id, canonical, status, CASE WHEN status = 'resolved' THEN ref END,
-       'cache-control: max-age=60' || chr(10) || 'content-length: ' || CASE WHEN status = 'resolved' THEN n || chr(10) || 'content-type: text/html' ELSE '0' END || chr(10) || 'date: ' || ts || CASE WHEN status = 'resolved' THEN chr(10) || 'server: s' || s ELSE '' END,
-       sha256(CASE WHEN status = 'resolved' THEN coalesce(html, '') ELSE '' END) FROM x
+       'cache-control: max-age=60' || chr(10) || 'content-length: ' || CASE WHEN status = 'resolved' THEN strlen(body) || chr(10) || 'content-type: text/html' ELSE '0' END || chr(10) || 'date: ' || ts || CASE WHEN status = 'resolved' THEN chr(10) || 'server: s' || (r_page % 3) ELSE '' END,
+       sha256(CASE WHEN status = 'resolved' THEN body ELSE '' END) FROM x
 """
