@@ -1,7 +1,7 @@
 """SimHash near-duplicate detection with bit-sliced comparison.
 
-Fingerprints that differ in at most two bits agree on at least two of four 16-bit parts, so each distinct fingerprint enters
-six tables, keyed by two parts. Inside a key's block the fingerprints are stored as vertical bit planes: one exclusive-or
+Fingerprints that differ in at most r bits agree on at least two of r + 2 parts, so each distinct fingerprint enters a table
+for every two parts, keyed by them (radius 2: six tables with keys of 32 bits; radius 6: 28 tables with keys of 16). Inside a key's block the fingerprints are stored as vertical bit planes: one exclusive-or
 and a few carry-save steps update the distances of all of a block's members at once, and a block is abandoned as soon as
 every counter is past the radius. Blocks of more than ``MAX_BLOCK`` members are keyed again on their remaining bits.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import in_batches, stage
 
-#: Larger blocks are keyed again; after two rounds at most 256 fingerprints share a key.
+#: Larger blocks are keyed again by parts of the bits that are left, once, and up to radius 2 twice.
 MAX_BLOCK = 4096
 #: Blocks below this size compare pairs in lanes, larger ones compare a member with the whole block's planes.
 LANES = 24
@@ -137,17 +137,19 @@ def small_links(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nda
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.empty(0, np.uint64), np.empty(0, np.uint64))
 
 
-def _masks() -> dict[int, list[int]]:
-    """For each set of already fixed bits the six sets that fix two more quarters of the rest; 0 is the start."""
-    out, todo = {}, [(0, 64)]
-    while todo:
-        fixed, free = todo.pop()
-        bits = [i for i in range(64) if not fixed >> i & 1]
-        parts = [bits[i * free // 4 : (i + 1) * free // 4] for i in range(4)]
-        out[fixed] = [fixed | sum(1 << i for p in two for i in p) for two in combinations(parts, 2)]
-        if free > 32:
-            todo += [(x, free // 2) for x in out[fixed]]
-    return out
+def _below(fixed: int, radius: int) -> list[int]:
+    """The bit sets that fix two more of radius + 2 parts of the bits outside ``fixed``."""
+    bits, n = [i for i in range(64) if not fixed >> i & 1], radius + 2
+    parts = [bits[i * len(bits) // n : (i + 1) * len(bits) // n] for i in range(n)]
+    return [fixed | sum(1 << i for p in two for i in p) for two in combinations(parts, 2)]
+
+
+def _masks(radius: int) -> list[dict[int, list[int]]]:
+    """For each round of keying the sets that it leads to from the sets fixed before."""
+    rounds = [{0: _below(0, radius)}]
+    for _ in range(2 if radius <= 2 else 1):
+        rounds.append({m: _below(m, radius) for v in rounds[-1].values() for m in v})
+    return rounds
 
 
 def _signed(x: int) -> int:
@@ -160,14 +162,14 @@ def _keyed(fps: DataFrame, masks: dict[int, list[int]], fixed: Column) -> DataFr
 
 
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """Links a, b between distinct fingerprints (column fp) that connect every pair within ``radius`` (at most 2) bits."""
-    if radius > 2:
-        raise ValueError("four parts of which two agree reach no further than two bits")
-    masks = _masks()
-    top = {0: masks.pop(0)}
+    """Links a, b between distinct fingerprints (column fp) that connect every pair within ``radius`` bits.
+
+    Keys hold 128 / (radius + 2) bits, so blocks, and the work in them, grow with the radius.
+    """
+    top, *more = _masks(radius)
     level = _keyed(fps, top, F.lit(0).cast("long"))
     blocks = None
-    for below in (masks, {m: _below(m) for v in masks.values() for m in v}):
+    for below in more:
         heavy = level.groupBy("mask", "key").count().filter(F.col("count") > MAX_BLOCK).select("mask", "key")
         light = level.join(heavy, ["mask", "key"], "left_anti")
         blocks = light if blocks is None else blocks.unionByName(light)
@@ -196,13 +198,6 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return dealt.mapInArrow(each, "a long, b long").distinct()
 
 
-def _below(fixed: int) -> list[int]:
-    bits = [i for i in range(64) if not fixed >> i & 1]
-    n = len(bits)
-    parts = [bits[i * n // 4 : (i + 1) * n // 4] for i in range(4)]
-    return [fixed | sum(1 << i for p in two for i in p) for two in combinations(parts, 2)]
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node that it reaches) of every node with a link; edges: a, b.
 
