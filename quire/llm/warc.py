@@ -7,8 +7,6 @@ brought up to date by the headers that a not-modified answer may change.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,51 +46,39 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     of = lambda c: F.col(f"row.{c}")
     # Whole rows travel as one struct, so no column of theirs can clash; payloads of responses stay where they are.
     rows = records.select(F.struct(*names).alias("row"), canonical_url(F.col("url")).alias("canonical"))
+    is_revisit, is_response = (F.coalesce(of("kind") == k, F.lit(False)) for k in ("revisit", "response"))
     placed = F.col("canonical").isNotNull() & of("ts").isNotNull()
-    is_revisit = F.coalesce(of("kind") == "revisit", F.lit(False))
-    at = [F.col("canonical"), of("ts").alias("ts"), of("record_id").alias("id"), of("etag").alias("etag"), of("last_modified").alias("date"), F.floor(of("ts") / span).alias("span")]
-    revisits = rows.filter(is_revisit & placed).select(*at, F.col("row"))
-    responses = rows.filter((of("kind") == "response") & placed).select(*at, F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
-    keys = responses.unionByName(revisits)
-    seen = F.when(F.col("row").isNull(), F.struct("ts", "id", "etag", "date"))
-    order = [F.col("ts"), F.col("id"), F.col("row").isNotNull(), F.col("etag"), F.col("date")]
-    inside = Window.partitionBy("canonical", "span").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ends = responses.groupBy("canonical", "span").agg(F.max(F.struct("ts", "id", "etag", "date")).alias("end"))
-    # A span's revisits take the last response of the nearest earlier span; only spans of revisits ask for it.
-    asked = revisits.select("canonical", "span").distinct().withColumn("end", F.lit(None).cast(ends.schema["end"].dataType))
-    earlier = Window.partitionBy("canonical").orderBy("span").rangeBetween(Window.unboundedPreceding, -1)
-    carried = ends.unionByName(asked).select("canonical", "span", F.col("end").isNull().alias("asks"), F.last("end", ignorenulls=True).over(earlier).alias("carried")).filter("asks").drop("asks")
-    own = keys.withColumn("own", F.last(seen, ignorenulls=True).over(inside)).filter("row IS NOT NULL")
+    place = F.struct(of("ts").alias("ts"), of("record_id").alias("id"), of("etag").alias("etag"), of("last_modified").alias("date"))
+    keys = rows.filter(placed & (is_revisit | is_response)).select("canonical", F.floor(of("ts") / span).alias("span"), place.alias("at"), F.when(is_revisit, F.col("row")).alias("row"))
+    seen, asks = F.when(F.col("row").isNull(), F.col("at")), F.col("row").isNotNull()
+    inside = Window.partitionBy("canonical", "span").orderBy("at.ts", "at.id", asks, "at.etag", "at.date").rowsBetween(Window.unboundedPreceding, -1)
+    spans = keys.groupBy("canonical", "span").agg(F.max(seen).alias("end"), F.bool_or(asks).alias("asks"))
+    earlier = Window.partitionBy("canonical").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.withColumn("carried", F.last("end", ignorenulls=True).over(earlier)).filter("asks").select("canonical", "span", "carried")
+    own = keys.withColumn("own", F.last(seen, ignorenulls=True).over(inside)).filter(asks)
     found = own.join(carried, ["canonical", "span"], "left").withColumn("found", F.coalesce("own", "carried"))
 
     def agree(name: str) -> tuple[Column, Column]:
-        both = F.col(name).isNotNull() & F.col(f"found.{name}").isNotNull()
-        return both, ~both | (F.col(name) == F.col(f"found.{name}"))
+        both = F.col(f"at.{name}").isNotNull() & F.col(f"found.{name}").isNotNull()
+        return both, ~both | (F.col(f"at.{name}") == F.col(f"found.{name}"))
 
     (has_tag, tag), (has_date, date) = agree("etag"), agree("date")
     verdict = F.when(F.col("found").isNull(), "missing").when((has_tag | has_date) & tag & date, "resolved").otherwise("mismatch")
-    found = found.select("row", "canonical", verdict.alias("status"), "found")
-
-    null = lambda kind: F.lit(None).cast(kind)
-    finished = lambda df, payload, headers, status, refers: df.select(
-        *[{"payload": payload, "headers": headers}.get(c, of(c)).alias(c) for c in names], "canonical", status.alias("status"), refers.cast("long").alias("refers_to")
-    )
-    as_is = lambda df, status: finished(df, of("payload"), of("headers"), status, null("long"))
-    others = as_is(rows.filter(~is_revisit), F.when(of("kind") == "response", "full").otherwise("other"))
-    lost = as_is(rows.filter(is_revisit & ~placed), F.lit("missing"))
-    unresolved = as_is(found.filter("status <> 'resolved'"), F.col("status"))
-    # Only resolved rows are joined, so no null key gathers the rest; a response's payload moves once, to its revisits.
-    resolved = found.filter("status = 'resolved'").select("row", "canonical", *[F.col(f"found.{c}").alias(f"r_{c}") for c in ("ts", "id", "etag", "date")])
-    stored = rows.filter((of("kind") == "response") & placed).select(F.col("canonical").alias("s_url"), *[c.alias(f"s_{n}") for c, n in zip((of("ts"), of("record_id"), of("etag"), of("last_modified")), ("ts", "id", "etag", "date"))], of("payload").alias("s_payload"), of("headers").alias("s_headers"))
-    same = ["s_url", "s_ts", "s_id", "s_etag", "s_date"]
-    stored = stored.groupBy(*same).agg(F.min_by(F.struct("s_payload", "s_headers"), F.xxhash64("s_payload")).alias("stored"))
-    on = (F.col("canonical") == F.col("s_url")) & (F.col("r_ts") == F.col("s_ts")) & F.col("r_id").eqNullSafe(F.col("s_id")) & F.col("r_etag").eqNullSafe(F.col("s_etag")) & F.col("r_date").eqNullSafe(F.col("s_date"))
-    met = resolved.join(stored, on)
+    # Rows that refer to nothing get keys of their own that match nothing, so that they stay spread out.
+    nothing = F.struct(F.monotonically_increasing_id().cast("string").alias("canonical"), F.lit(None).cast(keys.schema["at"].dataType).alias("at"))
+    found = found.withColumn("status", verdict).withColumn("key", F.when(F.col("status") == "resolved", F.struct("canonical", F.col("found").alias("at"))).otherwise(nothing))
+    stored = rows.filter(placed & is_response).select(F.struct("canonical", place.alias("at")).alias("key"), F.struct(of("payload").alias("payload"), of("headers").alias("headers")).alias("stored"))
+    stored = stored.groupBy("key").agg(F.min_by("stored", F.xxhash64("stored.payload")).alias("stored"))
+    met = found.join(stored, "key", "left")  # a response's payload moves once, to its revisits
     none = F.create_map().cast("map<string,string>")
     fresh = F.map_filter(F.coalesce(of("headers"), none), lambda k, v: ~k.isin(STORED_ONLY))
-    kept = F.map_filter(F.coalesce(F.col("stored.s_headers"), none), lambda k, v: ~F.array_contains(F.map_keys(fresh), k))
-    done = finished(met, F.col("stored.s_payload"), F.map_concat(kept, fresh), F.lit("resolved"), F.col("r_id"))
-    return others.unionByName(lost).unionByName(unresolved).unionByName(done)
+    kept = F.map_filter(F.coalesce(F.col("stored.headers"), none), lambda k, v: ~F.array_contains(F.map_keys(fresh), k))
+    resolved = F.col("status") == "resolved"
+    new = {"payload": F.when(resolved, F.col("stored.payload")).otherwise(of("payload")), "headers": F.when(resolved, F.map_concat(kept, fresh)).otherwise(of("headers"))}
+    done = met.select(*[new.get(c, of(c)).alias(c) for c in names], "canonical", "status", F.when(resolved, F.col("found.id")).cast("long").alias("refers_to"))
+    status = F.when(is_response, "full").when(is_revisit, "missing").otherwise("other")
+    rest = rows.filter(~(placed & is_revisit)).select("row.*", "canonical", status.alias("status"), F.lit(None).cast("long").alias("refers_to"))
+    return rest.unionByName(done)
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
@@ -101,31 +87,29 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
     By page_id: revisits come before the first version, between or after the versions; they name the first or the second
     version or another one, or have only a date or no validator. Every fiftieth page is also a capture of one portal.
     """
-    i = F.col("page_id")
+    i, n = F.col("page_id"), F.col("n")
     day = F.lit(1_700_000_000).cast("long") + i * 600
-    text = F.coalesce("html", F.lit(""))
-    version = lambda k: F.col("html") if k == 0 else F.concat(text, F.lit("<!-- 2 -->"))
-    tag = lambda k: F.concat(F.lit('"'), F.substr(F.md5(F.coalesce(version(k), F.lit(""))), F.lit(1), F.lit(12)), F.lit('"'))
+    # n: 0 to 2 are responses (two versions, the portal), 3 to 7 revisits (four of the page, one of the portal).
+    there = {0: F.lit(True), 1: i % 2 == 0, 2: i % 50 == 3, **{3 + j: i % 4 >= j for j in range(4)}, 7: i % 50 == 3}
+    each = pages.select("page_id", "url", "html", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in there.items()]))).alias("n"))
+    first, second = F.coalesce("html", F.lit("")), F.concat(F.coalesce("html", F.lit("")), F.lit("<!-- 2 -->"))
+    j, is_response, of_portal = n - 3, n <= 2, n.isin(2, 7)
+    ts = day + (
+        F.when(n == 0, 0).when(n == 1, 100_000).when(n == 2, 7).when(n == 7, 9)
+        .when((n == 3) & (i % 7 == 0), -300).when(i % 2 == 0, 400_000 + j).otherwise(450 + j * 60_000)
+    )
+    url = F.when(of_portal, F.when(is_response, "http://portal.example/index.html").otherwise("https://www.portal.example/?utm_source=x")).otherwise(F.concat("url", F.when(~is_response & (i % 3 == 0), "#seen").otherwise("")))
+    version = F.when((n == 1) | ~is_response & ~of_portal & (j % 2 == 1), second).otherwise(first)
+    tag = F.concat(F.lit('"'), F.substr(F.md5(version), F.lit(1), F.lit(12)), F.lit('"'))
+    named = F.when(is_response, tag).when(n == 7, F.when(i % 100 == 3, '"other"').otherwise(tag)).when((i + j) % 5 == 0, '"other"').when((i + j) % 5 < 3, tag)
     date = F.concat(F.lit("day "), (i % 9).cast("string"))
     header = lambda *kv: F.map_from_arrays(F.array(*[F.lit(k) for k in kv[::2]]), F.array(*kv[1::2]))
-
-    def response(n: int, url: Column, ts: Column, k: int, where: Column) -> DataFrame:
-        size = F.octet_length(F.coalesce(version(k), F.lit(""))).cast("string")
-        heads = header("content-type", F.lit("text/html"), "content-length", size, "date", ts.cast("string"), "server", F.concat(F.lit("s"), (i % 3).cast("string")))
-        return pages.filter(where).select((i * 8 + n).alias("record_id"), F.lit("response").alias("kind"), url.alias("url"), ts.alias("ts"), tag(k).alias("etag"), date.alias("last_modified"), heads.alias("headers"), version(k).alias("payload"), "page_id")
-
-    def revisit(n: int, url: Column, ts: Column, etag: Column, last: Column, where: Column) -> DataFrame:
-        heads = header("date", ts.cast("string"), "content-length", F.lit("0"), "cache-control", F.lit("max-age=60"))
-        return pages.filter(where).select((i * 8 + n).alias("record_id"), F.lit("revisit").alias("kind"), url.alias("url"), ts.alias("ts"), etag.alias("etag"), last.alias("last_modified"), heads.alias("headers"), F.lit(None).cast("string").alias("payload"), "page_id")
-
-    url = F.col("url")
-    parts = [response(0, url, day, 0, F.lit(True)), response(1, url, day + 100_000, 1, i % 2 == 0), response(2, F.lit("http://portal.example/index.html"), day + 7, 0, i % 50 == 3)]
-    for j in range(4):
-        ts = day + (F.when(i % 7 == 0, -300) if j == 0 else F.when(F.lit(False), 0)).when(i % 2 == 0, 400_000 + j).otherwise(450 + j * 60_000)
-        etag = F.when((i + j) % 5 == 0, F.lit('"other"')).when((i + j) % 5 < 3, tag(j % 2))
-        parts.append(revisit(3 + j, F.concat("url", F.when(i % 3 == 0, "#seen").otherwise("")), ts, etag, F.when((i + j) % 5 == 3, date), i % 4 >= j))
-    parts.append(revisit(7, F.lit("https://www.portal.example/?utm_source=x"), day + 9, F.when(i % 100 == 3, F.lit('"other"')).otherwise(tag(0)), F.lit(None).cast("string"), i % 50 == 3))
-    return reduce(DataFrame.unionByName, parts)
+    full = header("content-type", F.lit("text/html"), "content-length", F.octet_length(version).cast("string"), "date", ts.cast("string"), "server", F.concat(F.lit("s"), (i % 3).cast("string")))
+    short = header("date", ts.cast("string"), "content-length", F.lit("0"), "cache-control", F.lit("max-age=60"))
+    return each.select(
+        (i * 8 + n).alias("record_id"), F.when(is_response, "response").otherwise("revisit").alias("kind"), url.alias("url"), ts.alias("ts"), named.alias("etag"),
+        F.when(is_response | ~of_portal & ((i + j) % 5 == 3), date).alias("last_modified"), F.when(is_response, full).otherwise(short).alias("headers"), F.when(is_response, version).alias("payload"), "page_id",
+    )
 
 
 def digest(resolved: DataFrame) -> DataFrame:
