@@ -14,8 +14,8 @@ from quire.llm.common import lower_ascii, stage
 
 #: Fixed value: a word is a run of ASCII letters, digits and any non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A vocabulary of more words than this is joined by shuffle instead of broadcast (64 MB at 64 bytes a word).
-BROADCAST_WORDS = 1_000_000
+#: Tables of more words or bytes than this are joined by shuffle instead of broadcast.
+BROADCAST_WORDS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -24,8 +24,8 @@ def words(text: Column) -> Column:
 
 def _small(df: DataFrame, key: str) -> DataFrame:
     """Hint a broadcast only for a vocabulary whose size has been checked."""
-    n, chars = df.agg(F.count("*"), F.coalesce(F.max(F.octet_length(key)), F.lit(0))).first()
-    return F.broadcast(df) if n <= BROADCAST_WORDS and n * (chars + 32) <= 64 << 20 else df
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(key) + 32), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_WORDS and size <= BROADCAST_BYTES else df
 
 
 def item_windows(items: DataFrame, window: int = 10) -> DataFrame:
@@ -89,9 +89,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
 
 def _hinted(tokens: DataFrame) -> DataFrame:
-    """The windows themselves go to all executors only below 64 MB."""
-    size = tokens.agg(F.coalesce(F.sum(F.size("wins") * F.lit(256)), F.lit(0))).first()[0]
-    return F.broadcast(tokens) if size <= 64 << 20 else tokens
+    """The windows themselves go to all executors only below BROADCAST_BYTES: their words and item ids, at 16 bytes more each."""
+    listed = lambda a: F.octet_length(F.array_join(a, "")) + 16 * F.size(a) + 32
+    win = F.aggregate("wins", F.lit(0).cast("long"), lambda n, w: n + listed(w["gram"]) + listed(w["item_ids"]))
+    size = tokens.agg(F.coalesce(F.sum(win), F.lit(0))).first()[0]
+    return F.broadcast(tokens) if size <= BROADCAST_BYTES else tokens
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, min_hit: int = 1) -> DataFrame:

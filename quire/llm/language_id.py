@@ -21,8 +21,9 @@ from quire.llm.common import held_out, in_batches
 FEATURES = 1 << 12
 #: Bound on the sample for the centroids: about so many documents of each language, however many there are.
 SAMPLE_PER_LANG = 1500
-#: Centroids of a language.
+#: Centroids of a language, and the languages that can be told apart: all centroids go to every task (256 MB at most).
 CENTROIDS = 4
+MOST_LANGS = 4096
 #: Fewer texts than this, or than this share of a language's texts, are no cluster of their own.
 LEAST, LEAST_SHARE = 10, 0.05
 #: A text is rejected below this share of the 1st percentile of its language's own cosines at its length.
@@ -147,9 +148,12 @@ def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, centroids: int
     docs = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
     n, df = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.01)
-    sizes = docs.groupBy("lang").count()
-    share = F.xxhash64("doc_id", F.lit("sample")).cast("double") / F.lit(2.0**64) + 0.5
-    sample = docs.join(F.broadcast(sizes), "lang").filter(share * F.col("count") < sample_per_lang).select("lang", "text")
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    share = F.xxhash64("doc_id", "text", F.lit("sample")).cast("double") / F.lit(2.0**64) + 0.5
+    size = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col("lang")] if sizes else F.lit(0)
+    sample = docs.filter(share * size < sample_per_lang).select("lang", "text").distinct()  # repeated texts are drawn as one
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
         texts = [t for t in group["text"].sort_values() if len(codes(t))]

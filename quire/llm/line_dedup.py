@@ -90,7 +90,8 @@ def later_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
         named = _joined(named, part, at)
     named = stage(named.select(*DOC, "start", "n", "head", "tail"), "runs")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "start")).alias("first")
-    firsts = named.groupBy("n", "head", "tail").agg(first, F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    # Staged, so that the join stands in a stage of its own, where a run with very many copies can be split.
+    firsts = stage(named.groupBy("n", "head", "tail").agg(first, F.count("*").alias("copies")).filter("copies > 1").drop("copies"), "firsts")
     later = named.join(firsts, ["n", "head", "tail"])
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
     # Within the first copy's own document a later copy starts after the first copy's end.

@@ -24,8 +24,9 @@ ROWS = 256
 LABELLERS = ("symbols", "capitals", "repetition", "sentences", "shouting", "cells", "length", "copied_lines", "word_length")
 GOOD, BAD, NONE = 1, 2, 0
 #: Where the estimation starts: share of good documents, and how often a voting labeller says bad on good and on bad ones.
-#: Only the order matters (alarms are rarer on good documents): it tells which of the two classes is the good one.
-START = (0.8, 0.05, 0.4)
+#: The order (alarms are rarer on good documents) tells which of the two classes is the good one. PSEUDO votes at these rates
+#: are added for each class; they steady tables of a few hundred documents and are nothing against the votes of larger ones.
+START, PSEUDO = (0.8, 0.02, 0.25), 10.0
 
 _END = re.compile(rb"[.?!](?=\s|$)")
 _shapes: list[np.ndarray] = []
@@ -70,9 +71,8 @@ def estimate(patterns: dict[int, int], rounds: int = 300) -> tuple[float, np.nda
         log = bad @ np.log(alarm) + good @ np.log(1 - alarm) + np.log([prior, 1 - prior])
         post = 1 / (1 + np.exp(np.clip(log[:, 1] - log[:, 0], -500, 500)))
         weight = np.stack([n * post, n * (1 - post)])
-        # One pseudo-vote each way keeps every probability off zero.
-        prior = float((weight[0].sum() + 1) / (n.sum() + 2))
-        alarm = ((weight @ bad + 1) / (weight @ (bad + good) + 2)).T
+        prior = float((weight[0].sum() + PSEUDO * START[0]) / (n.sum() + PSEUDO))
+        alarm = ((weight @ bad + PSEUDO * np.array(START[1:])[:, None]) / (weight @ (bad + good) + PSEUDO)).T
     return prior, alarm, dict(zip(codes.tolist(), post.tolist()))
 
 

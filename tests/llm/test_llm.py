@@ -376,7 +376,7 @@ def test_pipeline(spark):
     parent = {i: i for i in left}
     for i in left:
         for j in left:
-            if i < j and (fps[i] ^ fps[j]).bit_count() <= 2:
+            if i < j and (fps[i] ^ fps[j]).bit_count() <= corpus_pipeline.RADIUS:
                 x, y = find(parent, i), find(parent, j)
                 parent[max(x, y)] = min(x, y)
     left = {i: t for i, t in left.items() if parent[i] == i}
