@@ -3,7 +3,8 @@
 Texts are cut into pre-tokens. A bounded head of common words is encoded first and sent to every task; which words are in it
 changes the traffic, never the result. All other pre-tokens are exploded with their positions and go through one global
 shuffle by word, where equal words meet and are encoded once; their ids return to the documents in a second shuffle. There
-they fill, by position, the places that they left in the document's sequence of head ids. Decoding looks ids up in the
+they fill, by position, the places that they left in the document's sequence of head words, which travels as the words'
+numbers by frequency. Decoding looks ids up in the
 vocabulary's fixed table of token bytes, which every task holds: a broadcast join with a table of known size.
 
 Without the head every pre-token would travel twice with its document and position: on the 0.5 GB of test documents 83 million
@@ -27,7 +28,7 @@ from quire.llm.common import in_batches, stage
 
 #: Bounds on the head: documents that are sampled for it, words that are sent to every task, and their bytes.
 HEAD_DOCS = 60_000
-HEAD_WORDS = 400_000
+HEAD_WORDS = 400_000  # below 1 << 24, the numbers that three bytes hold
 HEAD_BYTES = 16 << 20
 ROWS = 500  # documents put together at a time
 
@@ -71,14 +72,13 @@ def _encoder(vocabulary):
 class _Vocabulary:
     """A broadcast of pattern and ranks with a name that workers can keep made objects under.
 
-    Between tasks ids travel in ``kind``, the narrowest that holds them and ``hole``, which stands for a word outside the head.
+    Between tasks ids travel in ``kind``, the narrowest that holds them.
     """
 
     def __init__(self, spark, path: str, pattern: str):
         ranks = load_ranks(path)
         self.id, self.shared = (path, pattern), spark.sparkContext.broadcast({"pattern": pattern, "ranks": ranks})
-        self.hole = max(ranks.values()) + 1
-        self.kind = "<u2" if self.hole < 1 << 16 else "<u4"
+        self.kind = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
 
     @property
     def value(self) -> dict:
@@ -88,8 +88,47 @@ class _Vocabulary:
         return np.array(_encoder(self).encode_ordinary(word), self.kind).tobytes()
 
 
-def _head(docs: DataFrame, vocabulary: _Vocabulary, head_docs: int, head_words: int, head_bytes: int) -> dict[str, bytes]:
-    """Ids, as bytes, of the most frequent words of the documents with the smallest hashes."""
+class _Head:
+    """Common words by number, and their ids one after the other; the number after the last one stands for a hole."""
+
+    def __init__(self, words: list[str], ids: list[bytes], kind: str):
+        self.numbers = {w: i for i, w in enumerate(words)}
+        self.hole, self.flat = len(words), np.frombuffer(b"".join(ids), kind)
+        self.sizes = np.array([*(len(x) // np.dtype(kind).itemsize for x in ids), 0], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def pack(self, words: list[str]) -> bytes:
+        """The words' numbers by lower, middle and upper bytes, which compress better apart."""
+        get, hole = self.numbers.get, self.hole
+        return np.array([get(w, hole) for w in words], "<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+
+    def fill(self, packed: bytes, own: list[bytes] | None) -> np.ndarray:
+        """The ids of a document: those of its head words, and in each hole those of the word that belongs there."""
+        three = np.frombuffer(packed, np.uint8).reshape(3, -1).astype(np.uint32)
+        numbers = three[0] | three[1] << 8 | three[2] << 16
+        holes = numbers == self.hole
+        counts = self.sizes[numbers]
+        words: list = [None] * int(holes.sum())
+        for x in own or ():
+            width = x[0]
+            n = int.from_bytes(x[1 : 1 + width], "little")
+            end = 1 + width * (n + 1)
+            ids = np.frombuffer(x[end:], self.flat.dtype)
+            for at in np.frombuffer(x[1 + width : end], f"<u{width}").tolist():
+                words[at] = ids
+        if words:
+            counts[holes] = [len(x) for x in words]
+        size = counts[~holes]
+        take = np.repeat(self.starts[numbers[~holes]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        out, common = np.empty(int(counts.sum()), self.flat.dtype), np.repeat(~holes, counts)
+        out[common] = self.flat[take]
+        if words:
+            out[~common] = np.concatenate(words)
+        return out
+
+
+def _head(docs: DataFrame, vocabulary: _Vocabulary, head_docs: int, head_words: int, head_bytes: int) -> _Head:
+    """The most frequent words of the documents with the smallest hashes."""
     pattern = vocabulary.id[1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +141,7 @@ def _head(docs: DataFrame, vocabulary: _Vocabulary, head_docs: int, head_words:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([vocabulary.ids(w) for w in b.column(0).to_pylist()], pa.binary())], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([vocabulary.ids(w) for w in b.column(0).to_pylist()], pa.binary())], ["word", "n", "ids"])
 
     total = docs.count()
     share = F.xxhash64("doc_id", "text", F.lit("head")).cast("double") / F.lit(2.0**64) + 0.5
@@ -114,9 +153,36 @@ def _head(docs: DataFrame, vocabulary: _Vocabulary, head_docs: int, head_words:
             break
         least = r["n"]
     if least is None:
-        return {}
-    rows = words.filter(F.col("n") >= least).select("word").repartition(12).mapInArrow(encode, "word string, ids binary").toArrow()
-    return dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
+        return _Head([], [], vocabulary.kind)
+    rows = words.filter(F.col("n") >= least).select("word", "n").repartition(12).mapInArrow(encode, "word string, n long, ids binary").toArrow()
+    rows = rows.sort_by([("n", "descending"), ("word", "ascending")])
+    return _Head(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), vocabulary.kind)
+
+
+def _places(at: list[int]) -> bytes:
+    """Ascending places among a document's holes as bytes: their width (2 or 4), their number, themselves."""
+    kind, width = ("<u2", b"\x02") if at[-1] < 1 << 16 else ("<u4", b"\x04")
+    return width + np.array([len(at), *at], kind).tobytes()
+
+
+def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([vocabulary.ids(w) for w in b.column(0).to_pylist()], pa.binary())], ["word", "n", "ids"])
+
+    total = docs.count()
+    share = F.xxhash64("doc_id", "text", F.lit("head")).cast("double") / F.lit(2.0**64) + 0.5
+    words = stage(docs.filter(share * total < head_docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "head")
+    least, n_words, n_bytes = None, 0, 0
+    for r in words.groupBy("n").agg(F.count("*").alias("words"), F.sum(F.octet_length("word") + 16).alias("bytes")).orderBy(F.desc("n")).toLocalIterator():
+        n_words, n_bytes = n_words + r["words"], n_bytes + r["bytes"]
+        if n_words > head_words or n_bytes > head_bytes:
+            break
+        least = r["n"]
+    if least is None:
+        return _Head([], [], vocabulary.kind)
+    rows = words.filter(F.col("n") >= least).select("word", "n").repartition(12).mapInArrow(encode, "word string, n long, ids binary").toArrow()
+    rows = rows.sort_by([("n", "descending"), ("word", "ascending")])
+    return _Head(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), vocabulary.kind)
 
 
 def _places(at: list[int]) -> bytes:
@@ -160,7 +226,7 @@ def encode(docs: DataFrame, path: str, pattern: str, head_docs: int = HEAD_DOCS,
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64("text").alias("h"), "text")
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = _splitter(pattern), head.value
+        split, known = _splitter(pattern), head.value.numbers
         for b in batches:
             rows, words, places = [], [], []
             for i, t in enumerate(b.column(2).to_pylist()):
@@ -184,15 +250,15 @@ def encode(docs: DataFrame, path: str, pattern: str, head_docs: int = HEAD_DOCS,
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out, pa.binary())], ["k", "h", "filling"])
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known, press, hole = _splitter(pattern), head.value, zstandard.ZstdCompressor(level=6), np.array([vocabulary.hole], vocabulary.kind).tobytes()
+        split, pack, press = _splitter(pattern), head.value.pack, zstandard.ZstdCompressor(level=3)
         for b in batches:
-            z = [press.compress(b"".join([known.get(w, hole) for w in split(t or "")])) for t in b.column(3).to_pylist()]
+            z = [press.compress(pack(split(t or ""))) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(z, pa.binary())], ["doc_id", "k", "h", "z"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, kind = zstandard.ZstdDecompressor(), vocabulary.kind
+        press, fill_in = zstandard.ZstdDecompressor(), head.value.fill
         for b in batches:
-            out = [_filled(np.frombuffer(press.decompress(z), kind), vocabulary.hole, own, kind).astype("<u4").tobytes() for z, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            out = [fill_in(press.decompress(z), own).astype("<u4").tobytes() for z, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     tail = in_batches(keyed.select("k", "h", "text"), rare, "k long, h long, word string, places binary", ROWS).repartition("word").sortWithinPartitions("word")
