@@ -165,52 +165,6 @@ def _places(at: list[int]) -> bytes:
     return width + np.array([len(at), *at], kind).tobytes()
 
 
-def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([vocabulary.ids(w) for w in b.column(0).to_pylist()], pa.binary())], ["word", "n", "ids"])
-
-    total = docs.count()
-    share = F.xxhash64("doc_id", "text", F.lit("head")).cast("double") / F.lit(2.0**64) + 0.5
-    words = stage(docs.filter(share * total < head_docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "head")
-    least, n_words, n_bytes = None, 0, 0
-    for r in words.groupBy("n").agg(F.count("*").alias("words"), F.sum(F.octet_length("word") + 16).alias("bytes")).orderBy(F.desc("n")).toLocalIterator():
-        n_words, n_bytes = n_words + r["words"], n_bytes + r["bytes"]
-        if n_words > head_words or n_bytes > head_bytes:
-            break
-        least = r["n"]
-    if least is None:
-        return _Head([], [], vocabulary.kind)
-    rows = words.filter(F.col("n") >= least).select("word", "n").repartition(12).mapInArrow(encode, "word string, n long, ids binary").toArrow()
-    rows = rows.sort_by([("n", "descending"), ("word", "ascending")])
-    return _Head(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), vocabulary.kind)
-
-
-def _places(at: list[int]) -> bytes:
-    """Ascending places among a document's holes as bytes: their width (2 or 4), their number, themselves."""
-    kind, width = ("<u2", b"\x02") if at[-1] < 1 << 16 else ("<u4", b"\x04")
-    return width + np.array([len(at), *at], kind).tobytes()
-
-
-def _filled(row: np.ndarray, hole: int, own: list[bytes] | None, kind: str) -> np.ndarray:
-    """The ids of a document: ``row`` with each hole filled by the ids of the word that belongs there."""
-    holes = row == hole
-    if not holes.any():
-        return row
-    words: list = [None] * int(holes.sum())
-    for x in own or ():
-        width = x[0]
-        n = int.from_bytes(x[1 : 1 + width], "little")
-        end = 1 + width * (n + 1)
-        ids = np.frombuffer(x[end:], kind)
-        for at in np.frombuffer(x[1 + width : end], f"<u{width}").tolist():
-            words[at] = ids
-    counts = np.ones(len(row), np.int64)
-    counts[holes] = [len(x) for x in words]
-    out = np.repeat(row, counts)
-    out[np.repeat(holes, counts)] = np.concatenate(words)
-    return out
-
-
 def encode(docs: DataFrame, path: str, pattern: str, head_docs: int = HEAD_DOCS, head_words: int = HEAD_WORDS, head_bytes: int = HEAD_BYTES) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers as binary) of every row of ``docs`` (doc_id, text).
 

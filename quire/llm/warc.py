@@ -64,10 +64,12 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
 
     (has_tag, tag), (has_date, date) = agree("etag"), agree("date")
     verdict = F.when(F.col("found").isNull(), "missing").when((has_tag | has_date) & tag & date, "resolved").otherwise("mismatch")
-    # Rows that refer to nothing get keys of their own that match nothing, so that they stay spread out.
-    nothing = F.struct(F.monotonically_increasing_id().cast("string").alias("canonical"), F.lit(None).cast(keys.schema["at"].dataType).alias("at"))
-    found = found.withColumn("status", verdict).withColumn("key", F.when(F.col("status") == "resolved", F.struct("canonical", F.col("found").alias("at"))).otherwise(nothing))
-    stored = rows.filter(placed & is_response).select(F.struct("canonical", place.alias("at")).alias("key"), F.struct(of("payload").alias("payload"), of("headers").alias("headers")).alias("stored"))
+    # One array of strings is the key: nulls in it are equal, and grouping and join need no second shuffle. Rows that refer to
+    # nothing get keys of their own that match nothing, so that they stay spread out.
+    key_of = lambda x: F.array(F.col("canonical"), *[x[c].cast("string") for c in ("ts", "id", "etag", "date")])
+    nothing = F.array(F.monotonically_increasing_id().cast("string"))
+    found = found.withColumn("status", verdict).withColumn("key", F.when(F.col("status") == "resolved", key_of(F.col("found"))).otherwise(nothing))
+    stored = rows.filter(placed & is_response).select(key_of(place).alias("key"), F.struct(of("payload").alias("payload"), of("headers").alias("headers")).alias("stored"))
     stored = stored.groupBy("key").agg(F.min_by("stored", F.xxhash64("stored.payload")).alias("stored"))
     met = found.join(stored, "key", "left")  # a response's payload moves once, to its revisits
     none = F.create_map().cast("map<string,string>")
