@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A character that marks match starts; it does not occur in document text.
-MARK = "\x01"
+#: A character that marks match starts; where a text has it, it counts as OTHER, so that positions stay right.
+MARK, OTHER = "\x01", "\x02"
 
 
 def strip(text: Column) -> Column:
@@ -21,7 +21,7 @@ def bind(value: Column, body) -> Column:
 
 def match_starts(text: Column, pattern: str) -> Column:
     """0-based start of every match of ``pattern``, in order."""
-    pieces = F.split(F.regexp_replace(text, f"({pattern})", MARK + "$1"), MARK)
+    pieces = F.split(F.regexp_replace(F.translate(text, MARK, OTHER), f"({pattern})", MARK + "$1"), MARK)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
     def step(a: Column, p: Column) -> Column:

@@ -26,11 +26,17 @@ TARGETS = {
 TYPES = ("section", "figure", "table", "equation")
 
 
+def literal(pattern: str) -> str:
+    """The fixed characters that a reference pattern starts with."""
+    return pattern.split("\\s")[0].replace("\\", "")
+
+
 def references_of(content: Column) -> Column:
     """array<struct<pattern_no, type, text, number, position>> in type, pattern and position order; patterns may overlap."""
 
     def of(no: int, kind: str, pattern: str) -> Column:
-        return F.transform(matches(content, pattern), lambda m: F.struct(F.lit(no).alias("pattern_no"), F.lit(kind).alias("reference_type"), m["text"].alias("reference_text"), m["value"].alias("target_number"), m["position"].alias("position")))
+        found = F.when(content.contains(literal(pattern)), matches(content, pattern))  # most texts lack most of the words
+        return F.transform(F.coalesce(found, F.array().cast("array<struct<text:string,value:string,position:int>>")), lambda m: F.struct(F.lit(no).alias("pattern_no"), F.lit(kind).alias("reference_type"), m["text"].alias("reference_text"), m["value"].alias("target_number"), m["position"].alias("position")))
 
     return F.concat(*[of(i, t, p) for i, (t, p) in enumerate(REFERENCES)])
 
@@ -42,8 +48,13 @@ def extract_references(chunks: DataFrame) -> DataFrame:
     return r.select(ref_id.alias("ref_id"), "document_id", "chunk_id", "reference_text", "reference_type", "target_number", "position", "pattern_no", "page_number")
 
 
+def _document(*parts: DataFrame) -> list[str]:
+    """The document's column where all have it: references and targets meet within their document."""
+    return ["document_id"] if all("document_id" in p.columns for p in parts) else []
+
+
 def extract_targets(chunks: DataFrame, from_text: bool = False) -> DataFrame:
-    """Distinct (ref_type, target) that figure and table chunks define; text chunks define sections only if ``from_text``."""
+    """Distinct (document_id, ref_type, target) that figure and table chunks define; text chunks define sections only if ``from_text``."""
     kind = {"figure": "figure", "table": "table"} | ({"text": "section"} if from_text else {})
     found = F.array().cast("array<struct<ref_type:string,target:string>>")
 
@@ -53,7 +64,7 @@ def extract_targets(chunks: DataFrame, from_text: bool = False) -> DataFrame:
 
     for chunk_type, ref_type in kind.items():
         found = F.when(F.col("chunk_type") == chunk_type, of(ref_type)).otherwise(found)
-    return chunks.select(F.inline_outer(found)).filter("target IS NOT NULL").distinct()
+    return chunks.select(*_document(chunks), F.inline_outer(found)).filter("target IS NOT NULL").distinct()
 
 
 def known_targets(*parts: DataFrame) -> DataFrame:
@@ -70,51 +81,67 @@ def similar(a: Column, b: Column) -> Column:
     return (n == F.length(b)) & (n > 0) & ((F.size(at) == 1) | F.coalesce(swapped, F.lit(False)))
 
 
+def _alike(number: Column) -> tuple[Column, Column]:
+    """For a number the forms that similar ones share: one character left open, and two neighbours swapped."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(number), F.lit(1)))
+    left, right = lambda i: F.substr(number, F.lit(1), i - 1), lambda i: F.substr(number, i, F.length(number))
+    opened = F.transform(at, lambda i: F.concat(F.lit("?"), left(i), F.lit("*"), right(i + 1)))
+    swapped = F.transform(at, lambda i: F.concat(F.lit("="), left(i), F.substr(number, i + 1, F.lit(1)), F.substr(number, i, F.lit(1)), right(i + 2)))
+    return opened, F.slice(swapped, F.lit(1), F.greatest(F.length(number) - 1, F.lit(0)))
+
+
+def _target_keys(target: Column) -> Column:
+    return F.concat(F.array(F.concat(F.lit("="), target), F.concat(F.lit("0"), F.rtrim(target, F.lit(".0")))), _alike(target)[0])
+
+
+#: The rules' confidences and names by rank.
+RULES = [(1.0, "exact"), (0.98, "suffix"), (0.97, "numeric"), (0.9, "ancestor"), (0.85, "hyphen"), (0.8, "joined"), (0.7, "similar")]
+
+
 def validate(refs: DataFrame, targets: DataFrame) -> DataFrame:
-    """refs with target_id, is_valid, confidence and match_reason by the first rule that finds a target.
+    """refs with target_id, is_valid, confidence and match_reason by the first rule that finds a target in the same document.
 
     Rules in order: the same number; '.0' added; equal after trailing zeros and dots go; the nearest ancestor; the part before
-    a hyphen; hyphens removed; a similar number. The smallest target wins ties. Every rule is an equi-join of the distinct
-    numbers with the targets, similar numbers on their length.
+    a hyphen; hyphens removed; a similar number. The smallest target wins ties. Each distinct number of a document gives the
+    keys of all rules in one pass and meets the keys of the document's targets in one equi-join.
     """
-    num = refs.select(F.col("reference_type").alias("rt"), F.col("target_number").alias("num")).distinct()
-    t = targets.select(F.col("ref_type").alias("rt"), "target")
-    plain = ~F.col("num").contains(".") & ~F.col("num").contains("-")
-    base = lambda c: F.rtrim(F.col(c), F.lit(".0"))
-    parts = F.split("num", r"\.")
-    up = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.struct(F.concat_ws(".", F.slice(parts, F.lit(1), k)).alias("key"), k.alias("depth")))
-    keyed = [
-        (0, "exact", 1.0, num.withColumn("key", F.col("num")), t.withColumn("key", F.col("target"))),
-        (1, "suffix", 0.98, num.filter(plain).withColumn("key", F.concat("num", F.lit(".0"))), t.withColumn("key", F.col("target"))),
-        (2, "numeric", 0.97, num.withColumn("key", base("num")), t.withColumn("key", base("target"))),
-        (3, "ancestor", 0.9, num.filter(F.col("num").contains(".")).select("rt", "num", F.inline(up)), t.withColumn("key", F.col("target"))),
-        (4, "hyphen", 0.85, num.filter(F.col("num").contains("-")).withColumn("key", F.substring_index("num", "-", 1)), t.withColumn("key", F.col("target"))),
-        (5, "joined", 0.8, num.filter(F.col("num").contains("-")).withColumn("key", F.replace(F.col("num"), F.lit("-"), F.lit(""))), t.withColumn("key", F.col("target"))),
-        (6, "similar", 0.7, num.withColumn("key", F.length("num").cast("string")), t.withColumn("key", F.length("target").cast("string"))),
-    ]
-    found = []
-    for rank, reason, conf, left, right in keyed:
-        j = left.join(right, ["rt", "key"])
-        if reason == "similar":
-            j = j.filter(similar(F.col("num"), F.col("target")))
-        depth = F.col("depth") if "depth" in left.columns else F.lit(0)
-        found.append(j.select("rt", "num", F.struct(F.lit(rank).alias("rank"), (-depth).alias("up"), F.col("target").alias("target"), F.lit(conf).alias("conf"), F.lit(reason).alias("reason")).alias("m")))
-    best = reduce(DataFrame.unionByName, found).groupBy("rt", "num").agg(F.min("m").alias("m"))
-    j = refs.join(best, (F.col("reference_type") == F.col("rt")) & (F.col("target_number") == F.col("num")), "left")
-    target_id = F.concat_ws("_", "reference_type", "m.target")
+    doc = _document(refs, targets)
+    n = F.col("num")
+    num = refs.select(*doc, F.col("reference_type").alias("rt"), F.col("target_number").alias("num")).distinct()
+    dotted, hyphened = n.contains("."), n.contains("-")
+    one = lambda rank, key: F.struct(F.lit(rank).alias("rank"), F.lit(0).alias("up"), key.alias("key"))
+    few = lambda ok, *keys: F.when(ok, F.array(*keys)).otherwise(F.array().cast("array<struct<rank:int,up:int,key:string>>"))
+    parts = F.split(n, r"\.")
+    ancestors = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.struct(F.lit(3).alias("rank"), (-k).alias("up"), F.concat(F.lit("="), F.concat_ws(".", F.slice(parts, F.lit(1), k))).alias("key")))
+    keys = F.concat(
+        F.array(one(0, F.concat(F.lit("="), n)), one(2, F.concat(F.lit("0"), F.rtrim(n, F.lit(".0"))))), few(~dotted & ~hyphened, one(1, F.concat(F.lit("="), n, F.lit(".0")))),
+        F.when(dotted, ancestors).otherwise(few(F.lit(False), one(3, n))), few(hyphened, one(4, F.concat(F.lit("="), F.substring_index(n, "-", 1))), one(5, F.concat(F.lit("="), F.replace(n, F.lit("-"), F.lit(""))))),
+        F.transform(F.concat(*_alike(n)), lambda k: one(6, k)),
+    )
+    left = num.select(*doc, "rt", "num", F.inline(keys))
+    right = targets.select(*doc, F.col("ref_type").alias("rt"), "target", F.explode(_target_keys(F.col("target"))).alias("key"))
+    best = left.join(right, [*doc, "rt", "key"]).groupBy(*doc, "rt", "num").agg(F.min(F.struct("rank", "up", "target")).alias("m"))
+    best = best.withColumnsRenamed({c: f"_{c}" for c in doc})
+    on = (F.col("reference_type") == F.col("rt")) & (F.col("target_number") == F.col("num"))
+    for c in doc:
+        on = on & refs[c].eqNullSafe(F.col(f"_{c}"))
+    j = refs.join(best, on, "left")
+    conf, reason = (F.get(F.array(*[F.lit(r[i]) for r in RULES]), F.col("m.rank")) for i in (0, 1))
     return j.select(
-        *refs.columns, F.when(F.col("m").isNotNull(), target_id).alias("target_id"), F.col("m").isNotNull().alias("is_valid"),
-        F.coalesce("m.conf", F.lit(0.0)).alias("confidence"), F.coalesce("m.reason", F.lit("No match found")).alias("match_reason"),
+        *refs.columns, F.when(F.col("m").isNotNull(), F.concat_ws("_", "reference_type", "m.target")).alias("target_id"), F.col("m").isNotNull().alias("is_valid"),
+        F.coalesce(conf, F.lit(0.0)).alias("confidence"), F.coalesce(reason, F.lit("No match found")).alias("match_reason"),
     )
 
 
 def suggestions(refs: DataFrame, targets: DataFrame, most: int = 3) -> DataFrame:
-    """reference_type, target_number, suggestion, rank: up to ``most`` similar targets of the same type for each number."""
-    num = refs.select("reference_type", "target_number").distinct().withColumn("len", F.length("target_number"))
-    t = targets.select(F.col("ref_type").alias("reference_type"), F.col("target").alias("suggestion"), F.length("target").alias("len"))
-    j = num.join(t, ["reference_type", "len"]).filter(similar(F.col("target_number"), F.col("suggestion")))
-    rank = F.row_number().over(Window.partitionBy("reference_type", "target_number").orderBy("suggestion"))
-    return j.withColumn("rank", rank).filter(F.col("rank") <= most).select("reference_type", "target_number", "suggestion", "rank")
+    """reference_type, target_number, suggestion, rank: up to ``most`` similar targets of the same type and document for each number."""
+    doc = _document(refs, targets)
+    num = refs.select(*doc, "reference_type", "target_number").distinct()
+    n = num.select("*", F.explode(F.concat(*_alike(F.col("target_number")))).alias("key"))
+    t = targets.select(*doc, F.col("ref_type").alias("reference_type"), F.col("target").alias("suggestion"), F.explode(_target_keys(F.col("target"))).alias("key"))
+    j = n.join(t, [*doc, "reference_type", "key"]).filter(F.col("suggestion") != F.col("target_number")).drop("key").distinct()
+    rank = F.row_number().over(Window.partitionBy(*doc, "reference_type", "target_number").orderBy("suggestion"))
+    return j.withColumn("rank", rank).filter(F.col("rank") <= most).select(*doc, "reference_type", "target_number", "suggestion", "rank")
 
 
 def graph(refs: DataFrame) -> DataFrame:
@@ -147,9 +174,16 @@ def persist_validity(stored: DataFrame, checked: DataFrame) -> DataFrame:
 
 
 def reference_prompt(refs: DataFrame, targets: DataFrame, most: int = 20) -> DataFrame:
-    """ref_id and the question that asks a model about the reference, with the first ``most`` targets of its type."""
-    rank = F.row_number().over(Window.partitionBy("ref_type").orderBy("target"))
-    lists = targets.withColumn("rank", rank).filter(F.col("rank") <= most).groupBy("ref_type").agg(F.array_join(F.array_sort(F.collect_list("target")), ", ").alias("list"))
-    j = refs.join(lists, F.col("reference_type") == F.col("ref_type"), "left")
+    """ref_id and the question that asks a model about the reference, with the first ``most`` targets of its type and document."""
+    doc = _document(refs, targets)
+    rank = F.row_number().over(Window.partitionBy(*doc, "ref_type").orderBy("target"))
+    lists = targets.withColumn("rank", rank).filter(F.col("rank") <= most).groupBy(*doc, F.col("ref_type").alias("reference_type")).agg(F.array_join(F.array_sort(F.collect_list("target")), ", ").alias("list"))
+    j = refs.join(lists, [*doc, "reference_type"], "left")
     text = F.concat(F.lit('Validate this cross-reference: "'), "reference_text", F.lit('"\n\nAvailable valid targets:\n'), F.coalesce("list", F.lit("")), F.lit("\n"))
     return j.select("ref_id", text.alias("prompt"))
+
+
+def parse_reference_reply(reply: Column) -> Column:
+    """struct<valid, suggested_target, confidence> of a model's answer; one that is no JSON object is invalid, without suggestion."""
+    parsed = F.from_json(reply, "valid boolean, suggested_target string, confidence double")
+    return F.struct(F.coalesce(parsed["valid"], F.lit(False)).alias("valid"), parsed["suggested_target"].alias("suggested_target"), parsed["confidence"].alias("confidence"))

@@ -12,14 +12,14 @@ from quire.sources.seed import cte, frame
 
 def target_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Figure and table chunks that define targets."""
-    fig = frame(spark, d, "seed_figures").select(F.lit("figure").alias("chunk_type"), F.concat(F.lit("[Figure "), (F.col("image_index") + 1).cast("string"), F.lit("]\nFigure "), (F.col("image_index") + 1).cast("string"), F.lit("-"), (F.col("page") % 3 + 1).cast("string"), F.lit(": map")).alias("content"))
-    tab = frame(spark, d, "seed_cells").select(F.lit("table").alias("chunk_type"), F.concat(F.lit("[Table "), (F.col("row_no") % 12 + 1).cast("string"), F.lit("]\nTABLE "), (F.col("row_no") % 4 + 1).cast("string"), F.lit("-1. sizes")).alias("content"))
+    fig = frame(spark, d, "seed_figures").select("document_id", F.lit("figure").alias("chunk_type"), F.concat(F.lit("[Figure "), (F.col("image_index") + 1).cast("string"), F.lit("]\nFigure "), (F.col("image_index") + 1).cast("string"), F.lit("-"), (F.col("page") % 3 + 1).cast("string"), F.lit(": map")).alias("content"))
+    tab = frame(spark, d, "seed_cells").select("document_id", F.lit("table").alias("chunk_type"), F.concat(F.lit("[Table "), (F.col("row_no") % 12 + 1).cast("string"), F.lit("]\nTABLE "), (F.col("row_no") % 4 + 1).cast("string"), F.lit("-1. sizes")).alias("content"))
     return fig.unionByName(tab)
 
 
 def toc_targets(spark: SparkSession, d: str) -> DataFrame:
     n = F.regexp_extract(F.trim("title"), r"^(\d+(?:\.\d+)*)", 1)
-    return frame(spark, d, "seed_toc").select(F.lit("section").alias("ref_type"), n.alias("target")).filter("target <> ''").distinct()
+    return frame(spark, d, "seed_outline").select("document_id", F.lit("section").alias("ref_type"), n.alias("target")).filter("target <> ''").distinct()
 
 
 def targets(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +51,8 @@ def xref_validate(spark, d):
 
 
 def xref_suggest(spark, d):
-    return X.suggestions(X.broken(validated(spark, d)), targets(spark, d))
+    """Similar targets of every number; of broken ones there are none, since the last rule accepts a similar number."""
+    return X.suggestions(references(spark, d), targets(spark, d))
 
 
 def xref_report(spark, d):
@@ -82,31 +83,31 @@ _REFS = "\nUNION ALL ".join(f"SELECT document_id, chunk_id, page_start, {i} AS p
 _REFS_CTE = f""", raw AS ({_REFS}),
 refs AS (SELECT 'ref_' || left(md5(m.t || chunk_id || CAST(m.p AS VARCHAR)), 12) AS ref_id, document_id, chunk_id, m.t AS reference_text, reference_type, m.v AS target_number, CAST(m.p AS INT) AS position, pattern_no, page_start AS page_number FROM raw)"""
 _TARGETS_CTE = r""", targets AS (
-SELECT DISTINCT 'figure' AS ref_type, unnest([CAST(image_index + 1 AS VARCHAR), (image_index + 1) || '-' || (page % 3 + 1)]) AS target FROM seed_figures
-UNION SELECT DISTINCT 'table', unnest([CAST(row_no % 12 + 1 AS VARCHAR), (row_no % 4 + 1) || '-1']) FROM seed_cells
-UNION SELECT DISTINCT 'section', regexp_extract(trim(title), '^(\d+(?:\.\d+)*)', 1) FROM seed_toc WHERE regexp_matches(trim(title), '^\d'))"""
+SELECT DISTINCT document_id, 'figure' AS ref_type, unnest([CAST(image_index + 1 AS VARCHAR), (image_index + 1) || '-' || (page % 3 + 1)]) AS target FROM seed_figures
+UNION SELECT DISTINCT document_id, 'table', unnest([CAST(row_no % 12 + 1 AS VARCHAR), (row_no % 4 + 1) || '-1']) FROM seed_cells
+UNION SELECT DISTINCT document_id, 'section', regexp_extract(trim(title), '^(\d+(?:\.\d+)*)', 1) FROM seed_outline WHERE regexp_matches(trim(title), '^\d'))"""
 _SIM = """(length(num) = length(target) AND length(num) > 0 AND (
  len(list_filter(range(1, length(num) + 1), lambda i: substr(num, i, 1) <> substr(target, i, 1))) = 1 OR
- len(list_filter(range(1, length(num)), lambda i: substr(num, i, 1) = substr(target, i + 1, 1) AND substr(num, i + 1, 1) = substr(target, i, 1) AND left(num, i - 1) = left(target, i - 1) AND substr(num, i + 2) = substr(target, i + 2))) > 0))"""
-_VALID_CTE = f"""{_TARGETS_CTE}, nums AS (SELECT DISTINCT reference_type AS rt, target_number AS num FROM refs),
-cand AS (SELECT rt, num, target, CASE WHEN num = target THEN 0 WHEN NOT contains(num, '.') AND NOT contains(num, '-') AND target = num || '.0' THEN 1 WHEN rtrim(num, '.0') = rtrim(target, '.0') THEN 2
-  WHEN num LIKE target || '.%' THEN 3 WHEN contains(num, '-') AND string_split(num, '-')[1] = target THEN 4 WHEN contains(num, '-') AND replace(num, '-', '') = target THEN 5 WHEN {_SIM} THEN 6 END AS k FROM nums JOIN targets ON rt = ref_type),
-best AS (SELECT * FROM cand WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rt, num ORDER BY k, CASE WHEN k = 3 THEN -length(target) ELSE 0 END, target) = 1),
+ len(list_filter(range(1, length(num)), lambda i: num <> target AND substr(num, i, 1) = substr(target, i + 1, 1) AND substr(num, i + 1, 1) = substr(target, i, 1) AND left(num, i - 1) = left(target, i - 1) AND substr(num, i + 2) = substr(target, i + 2))) > 0))"""
+_VALID_CTE = f"""{_TARGETS_CTE}, nums AS (SELECT DISTINCT document_id, reference_type AS rt, target_number AS num FROM refs),
+cand AS (SELECT nums.document_id, rt, num, target, CASE WHEN num = target THEN 0 WHEN NOT contains(num, '.') AND NOT contains(num, '-') AND target = num || '.0' THEN 1 WHEN rtrim(num, '.0') = rtrim(target, '.0') THEN 2
+  WHEN num LIKE target || '.%' THEN 3 WHEN contains(num, '-') AND string_split(num, '-')[1] = target THEN 4 WHEN contains(num, '-') AND replace(num, '-', '') = target THEN 5 WHEN {_SIM} THEN 6 END AS k FROM nums JOIN targets ON rt = ref_type AND nums.document_id = targets.document_id),
+best AS (SELECT * FROM cand WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id, rt, num ORDER BY k, CASE WHEN k = 3 THEN -length(target) ELSE 0 END, target) = 1),
 checked AS (SELECT refs.*, CASE WHEN k IS NOT NULL THEN reference_type || '_' || target END AS target_id, k IS NOT NULL AS is_valid, CAST(coalesce([1.0, 0.98, 0.97, 0.9, 0.85, 0.8, 0.7][k + 1], 0) AS DOUBLE) AS confidence,
-  coalesce(['exact', 'suffix', 'numeric', 'ancestor', 'hyphen', 'joined', 'similar'][k + 1], 'No match found') AS match_reason FROM refs LEFT JOIN best ON rt = reference_type AND num = target_number)"""
-_ALL = cte("seed_chunks", "seed_figures", "seed_cells", "seed_toc") + _REFS_CTE + _VALID_CTE
+  coalesce(['exact', 'suffix', 'numeric', 'ancestor', 'hyphen', 'joined', 'similar'][k + 1], 'No match found') AS match_reason FROM refs LEFT JOIN best ON rt = reference_type AND num = target_number AND best.document_id = refs.document_id)"""
+_ALL = cte("seed_chunks", "seed_figures", "seed_cells", "seed_outline") + _REFS_CTE + _VALID_CTE
 _REPORT = "count(*) AS total, count(*) FILTER (is_valid) AS valid, count(*) FILTER (NOT is_valid) AS invalid, count(*) FILTER (confidence = 1) AS exact_match, count(*) FILTER (confidence >= 0.85 AND confidence < 1) AS high_confidence, count(*) FILTER (confidence >= 0.7 AND confidence < 0.85) AS medium_confidence, count(*) FILTER (confidence > 0 AND confidence < 0.7) AS low_confidence, count(*) FILTER (confidence = 0) AS broken, count(*) FILTER (confidence > 0 AND confidence < 0.8) AS uncertain"
-_TEXT_TARGETS = "\nUNION ".join(f"SELECT 'section' AS ref_type, unnest(regexp_extract_all(content, '{p}', 1)) AS target FROM seed_chunks" for p in X.TARGETS["section"])
+_TEXT_TARGETS = "\nUNION ".join(f"SELECT document_id, 'section' AS ref_type, unnest(regexp_extract_all(content, '{p}', 1)) AS target FROM seed_chunks" for p in X.TARGETS["section"])
 
 ORACLES = {
     "xref_extract": cte("seed_chunks") + _REFS_CTE + " SELECT * FROM refs",
-    "xref_targets": cte("seed_figures", "seed_cells", "seed_toc") + _TARGETS_CTE + " SELECT * FROM targets",
+    "xref_targets": cte("seed_chunks", "seed_figures", "seed_cells", "seed_outline") + _TARGETS_CTE + " SELECT * FROM targets",
     "xref_text_targets": cte("seed_chunks") + f" SELECT DISTINCT * FROM ({_TEXT_TARGETS}) x",
     "xref_validate": _ALL + " SELECT ref_id, chunk_id, reference_type, target_number, pattern_no, target_id, is_valid, confidence, match_reason FROM checked",
-    "xref_suggest": _ALL + f", s AS (SELECT DISTINCT reference_type, target_number, target_number AS num, target FROM checked JOIN targets ON reference_type = ref_type WHERE NOT is_valid), r AS (SELECT reference_type, target_number, target AS suggestion, CAST(row_number() OVER (PARTITION BY reference_type, target_number ORDER BY target) AS INT) AS rank FROM s WHERE {_SIM}) SELECT * FROM r WHERE rank <= 3",
+    "xref_suggest": _ALL + f", s AS (SELECT DISTINCT checked.document_id, reference_type, target_number, target_number AS num, target FROM checked JOIN targets ON reference_type = ref_type AND checked.document_id = targets.document_id), r AS (SELECT document_id, reference_type, target_number, target AS suggestion, CAST(row_number() OVER (PARTITION BY document_id, reference_type, target_number ORDER BY target) AS INT) AS rank FROM s WHERE {_SIM}) SELECT * FROM r WHERE rank <= 3",
     "xref_report": _ALL + f" SELECT reference_type, {_REPORT} FROM checked GROUP BY reference_type UNION ALL SELECT 'total', {_REPORT} FROM checked",
     "xref_graph": _ALL + " SELECT document_id, chunk_id, count(*) AS n_refs, string_agg(reference_type || ' ' || target_number || CASE WHEN is_valid THEN '+' ELSE '-' END, ';' ORDER BY pattern_no, position) AS refs FROM checked GROUP BY ALL",
     "xref_broken": _ALL + " SELECT ref_id, chunk_id, reference_text, pattern_no FROM checked WHERE NOT is_valid",
     "xref_persist": _ALL + ", one AS (SELECT DISTINCT ref_id, is_valid, target_id FROM checked) SELECT refs.ref_id, refs.chunk_id, coalesce(one.target_id, 'old') AS target_id, one.is_valid FROM refs JOIN one USING (ref_id)",
-    "xref_prompt": cte("seed_chunks", "seed_figures", "seed_cells", "seed_toc") + _REFS_CTE + _TARGETS_CTE + ", k AS (SELECT * FROM targets QUALIFY row_number() OVER (PARTITION BY ref_type ORDER BY target) <= 20), l AS (SELECT ref_type, string_agg(target, ', ' ORDER BY target) AS list FROM k GROUP BY ref_type) SELECT ref_id, 'Validate this cross-reference: \"' || reference_text || '\"' || chr(10) || chr(10) || 'Available valid targets:' || chr(10) || coalesce(list, '') || chr(10) AS prompt FROM refs LEFT JOIN l ON reference_type = ref_type",
+    "xref_prompt": cte("seed_chunks", "seed_figures", "seed_cells", "seed_outline") + _REFS_CTE + _TARGETS_CTE + ", k AS (SELECT * FROM targets QUALIFY row_number() OVER (PARTITION BY document_id, ref_type ORDER BY target) <= 20), l AS (SELECT document_id, ref_type, string_agg(target, ', ' ORDER BY target) AS list FROM k GROUP BY ALL) SELECT ref_id, 'Validate this cross-reference: \"' || reference_text || '\"' || chr(10) || chr(10) || 'Available valid targets:' || chr(10) || coalesce(list, '') || chr(10) AS prompt FROM refs LEFT JOIN l ON reference_type = ref_type AND refs.document_id = l.document_id",
 }
