@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.config import DEFAULT, EngineConfig
+from quire.operators.state import shared_key
 
 #: Fixed value: the review prompt around the text.
 PROMPT = (
@@ -26,35 +27,51 @@ def triage(pending: DataFrame, reviews: DataFrame, config: EngineConfig = DEFAUL
 
     reviews: the latest review of each chunk (reviewed_content, confidence); without one the content counts at 0.5, normal.
     """
-    r = reviews.select("chunk_id", F.col("reviewed_content").alias("_text"), F.col("confidence").alias("_conf"))
-    j = pending.join(r, "chunk_id", "left")
+    key = shared_key(pending, reviews)
+    r = reviews.select(*key, F.col("reviewed_content").alias("_text"), F.col("confidence").alias("_conf"))
+    j = pending.join(r, key, "left")
     conf = F.col("_conf")
     lane = F.when(conf > config.auto_above, "auto").when(conf < config.high_below, "high").otherwise("normal")
     return j.withColumns({"rule_suggestion": F.coalesce("_text", "content"), "rule_confidence": F.coalesce(conf, F.lit(0.5)), "lane": lane}).drop("_text", "_conf")
 
 
 def call_in_batches(queue: DataFrame, client: Callable[[], Callable[[list[dict[str, Any]]], list[dict[str, Any]]]], config: EngineConfig = DEFAULT) -> DataFrame:
-    """chunk_id, suggestion, confidence, source, reasoning of queue rows (chunk_id, content, lane, rule_suggestion, rule_confidence).
+    """Key, suggestion, confidence, source, reasoning of queue rows (document_id, chunk_id, content, lane, rule_suggestion, rule_confidence).
 
-    ``client()`` is made once in a task and takes batches of at most ``batch_size``; where it fails, the batch keeps the rules'
-    results. Calls in different partitions run side by side, so the partition count bounds the load; a lost task repeats its
-    calls, so they should be idempotent. Answers beyond the shorter of batch and reply are dropped.
+    Rows go out in the batches of ``batch_numbers``; a queue without documents is one of a single document. ``client()`` is
+    made once in a task; where it fails, the batch keeps the rules' results. Calls in different partitions run side by side, so
+    the partition count bounds the load; a lost task repeats its calls, so they should be idempotent. Answers beyond the
+    shorter of batch and reply are dropped.
     """
+    key = shared_key(queue)
+    rows = batch_numbers(queue, config).select(*key, "content", "lane", "rule_suggestion", "rule_confidence", "batch")
+
+    def answers(call: Callable, batch: list[dict[str, Any]]) -> list[tuple]:
+        own = lambda x: tuple(x[c] for c in key)
+        try:
+            return [(*own(x), r.get("suggestion", x["rule_suggestion"]), r.get("confidence", 0.7), "api", r.get("reasoning")) for x, r in zip(batch, call(batch))]
+        except Exception as e:  # an unavailable model must not fail the job
+            return [(*own(x), x["rule_suggestion"], x["rule_confidence"], "rule_fallback", f"API error: {e}") for x in batch]
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = client()
+        call, batch, last = client(), [], None
+        names = [*key, "suggestion", "confidence", "source", "reasoning"]
         for frame in frames:
             out = []
-            for i in range(0, len(frame), config.batch_size):
-                batch = frame.iloc[i : i + config.batch_size].to_dict("records")
-                try:
-                    for item, r in zip(batch, call(batch)):
-                        out.append((item["chunk_id"], r.get("suggestion", item["rule_suggestion"]), r.get("confidence", 0.7), "api", r.get("reasoning")))
-                except Exception as e:  # an unavailable model must not fail the job
-                    out += [(x["chunk_id"], x["rule_suggestion"], x["rule_confidence"], "rule_fallback", f"API error: {e}") for x in batch]
-            yield pd.DataFrame(out, columns=["chunk_id", "suggestion", "confidence", "source", "reasoning"])
-
-    return queue.select("chunk_id", "content", "lane", "rule_suggestion", "rule_confidence").mapInPandas(each, "chunk_id string, suggestion string, confidence double, source string, reasoning string")
+            for x in frame.to_dict("records"):
+                at = (x.get("document_id"), x.pop("batch"))
+                if batch and at != last:
+                    out += answers(call, batch)
+                    batch = []
+                last = at
+                batch.append(x)
+            yield pd.DataFrame(out, columns=names)
+        if batch:
+            yield pd.DataFrame(answers(call, batch), columns=names)
+
+    # The rows of a batch follow one another: numbering sorts each document in one partition.
+    schema = ", ".join([*(f"{n} {t}" for n, t in rows.dtypes if n in key), "suggestion string, confidence double, source string, reasoning string"])
+    return rows.mapInPandas(each, schema)
 
 
 def merge(api: DataFrame, queue: DataFrame) -> DataFrame:
@@ -62,8 +79,9 @@ def merge(api: DataFrame, queue: DataFrame) -> DataFrame:
 
     Agreement raises confidence; else a side above 0.9 wins, the model first; both under 0.8 go to a human; the rest averages.
     """
-    q = queue.select("chunk_id", F.col("rule_suggestion").alias("_rule"), F.col("rule_confidence").alias("_rc"), F.lit(True).alias("_in"))
-    j = api.join(q, "chunk_id", "left")
+    key = shared_key(api, queue)
+    q = queue.select(*key, F.col("rule_suggestion").alias("_rule"), F.col("rule_confidence").alias("_rc"), F.lit(True).alias("_in"))
+    j = api.join(q, key, "left")
     a, r = F.col("confidence"), F.col("_rc")
     agree = F.col("suggestion").eqNullSafe(F.col("_rule"))
     way = F.when(F.col("_in").isNull(), F.col("source")).when(agree, "hybrid_agreement").when(a > 0.9, "api_high_confidence").when(r > 0.9, "rule_high_confidence").when((a < 0.8) & (r < 0.8), "needs_human").otherwise("hybrid_moderate")
@@ -72,7 +90,7 @@ def merge(api: DataFrame, queue: DataFrame) -> DataFrame:
     text = pick(agree=F.col("suggestion"), rule=F.col("_rule"), human=F.lit(None).cast("string"), mean=F.col("suggestion"))
     conf = pick(agree=F.least(F.lit(0.98), (a + r) / 2 * 1.1), rule=r, human=F.lit(0.5), mean=(a + r) / 2)
     own = F.col("_way").isin("hybrid_agreement", "rule_high_confidence", "needs_human", "hybrid_moderate")
-    return j.select("chunk_id", F.when(own, text).otherwise(F.col("suggestion")).alias("suggestion"), F.when(own, conf).otherwise(a).alias("confidence"), F.col("_way").alias("source"))
+    return j.select(*shared_key(api), F.when(own, text).otherwise(F.col("suggestion")).alias("suggestion"), F.when(own, conf).otherwise(a).alias("confidence"), F.col("_way").alias("source"))
 
 
 def needs_human(merged: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -81,7 +99,8 @@ def needs_human(merged: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
 
 def human_queue(chunks: DataFrame, latest: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """Chunks whose latest review (confidence, reviewed_content, n_changes) is uncertain, most urgent first, with previews."""
-    j = chunks.join(latest.select("chunk_id", "confidence", "reviewed_content", "n_changes"), "chunk_id").filter(F.col("confidence") < config.human_below)
+    key = shared_key(chunks, latest)
+    j = chunks.join(latest.select(*key, "confidence", "reviewed_content", "n_changes"), key).filter(F.col("confidence") < config.human_below)
     urgent = F.when(F.col("confidence") < 0.6, "high").when(F.col("n_changes") > 10, "medium").when(F.col("page_start") < 50, "medium").otherwise("low")
     out = j.select(
         "document_id", "chunk_id", F.col("section_hierarchy").alias("section"), F.col("page_start").alias("page"), "confidence", F.substring("content", 1, 200).alias("original"),
@@ -95,13 +114,32 @@ def review_prompt(text: Column, context: Column) -> Column:
     return F.concat(F.lit(PROMPT[0]), text, F.lit("\n"), extra, F.lit(PROMPT[1]))
 
 
+#: A reply's changes: objects, or plain strings, which count as corrections.
+_CHANGES = "array<string>"
+
+
 def parse_reply(reply: Column) -> Column:
-    """struct<content, confidence, reasoning>: from JSON with defaults, or the reply itself at 0.7 where it is none."""
-    parsed = F.from_json(reply, "corrected_text string, confidence double, reasoning string")
+    """struct<content, confidence, reasoning, changes>: from JSON with defaults, or the reply itself at 0.7 where it is none.
+
+    changes are in the shape of the language rules' changes, of type llm_suggestion, at the reply's confidence and position 0.
+    """
+    parsed = F.from_json(reply, f"corrected_text string, confidence double, reasoning string, changes {_CHANGES}")
     is_json = F.try_parse_json(reply).isNotNull()
+    confidence = F.when(is_json, F.coalesce(parsed["confidence"], F.lit(0.8))).otherwise(0.7)
+
+    def change(c: Column) -> Column:
+        field = lambda name: F.get_json_object(c, f"$.{name}")
+        is_object = c.startswith("{")
+        return F.struct(
+            F.lit("llm_suggestion").alias("type"), F.when(is_object, F.coalesce(field("original"), F.lit(""))).otherwise("").alias("original"),
+            F.when(is_object, F.coalesce(field("corrected"), F.lit(""))).otherwise(c).alias("corrected"), F.lit(0).alias("position"), confidence.alias("confidence"),
+            F.when(is_object, F.coalesce(field("reason"), F.lit("LLM suggestion"))).otherwise("LLM suggestion").alias("reason"),
+        )
+
+    listed = F.transform(F.filter(F.coalesce(parsed["changes"], F.array().cast(_CHANGES)), lambda c: c.isNotNull()), change)
     return F.struct(
         F.when(is_json, F.coalesce(parsed["corrected_text"], reply)).otherwise(reply).alias("content"),
-        F.when(is_json, F.coalesce(parsed["confidence"], F.lit(0.8))).otherwise(0.7).alias("confidence"), F.when(is_json, parsed["reasoning"]).alias("reasoning"),
+        confidence.alias("confidence"), F.when(is_json, parsed["reasoning"]).alias("reasoning"), listed.alias("changes"),
     )
 
 
@@ -110,8 +148,9 @@ def gate(reviewed: DataFrame, replies: DataFrame, config: EngineConfig = DEFAULT
 
     Asked where the rules' confidence is under ``llm_threshold``; accepted above it by more than ``llm_min_gain``.
     """
-    r = replies.select("chunk_id", F.col("content").alias("_text"), F.col("confidence").alias("_conf"))
-    j = reviewed.join(r, "chunk_id", "left")
+    key = shared_key(reviewed, replies)
+    r = replies.select(*key, F.col("content").alias("_text"), F.col("confidence").alias("_conf"))
+    j = reviewed.join(r, key, "left")
     asked = F.col("rule_confidence") < config.llm_threshold
     better = asked & F.coalesce(F.col("_conf") > F.col("rule_confidence") + config.llm_min_gain, F.lit(False))
     out = j.withColumns({"asked": asked, "accepted": better, "final_text": F.when(better, F.col("_text")).otherwise(F.col("rule_text")), "confidence": F.when(better, F.col("_conf")).otherwise(F.col("rule_confidence"))})
@@ -139,7 +178,8 @@ def retrying(call: Callable, attempts: int = 3, pause: float = 2.0, most: float
     return run
 
 
-def batch_numbers(queue: DataFrame, size: int = 10) -> DataFrame:
-    """queue with the batch that each row falls into, in chunk order within its document."""
-    n = F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_id"))
-    return queue.withColumn("batch", F.floor((n - 1) / size))
+def batch_numbers(queue: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """queue with the batch of ``batch_size`` that each row falls into, in chunk order within its document."""
+    document = [c for c in shared_key(queue) if c == "document_id"]
+    n = F.row_number().over(Window.partitionBy(*document).orderBy("chunk_id"))
+    return queue.withColumn("batch", F.floor((n - 1) / config.batch_size))

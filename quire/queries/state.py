@@ -11,12 +11,12 @@ from quire.sources.seed import cte, frame
 
 
 def _embeddings(spark, d):
-    return frame(spark, d, "embeddings").select(F.col("vec_id").alias("embedding_id"), F.concat(F.lit("chunk_"), (F.col("vec_id") % 300).cast("string")).alias("chunk_id"), (F.col("vec_id") % 7).alias("created_at"))
+    return frame(spark, d, "embeddings").select(F.col("vec_id").alias("embedding_id"), F.concat(F.lit("doc"), F.floor(F.col("vec_id") * 3 % 300 / 100).cast("string")).alias("document_id"), F.concat(F.lit("chunk_"), (F.col("vec_id") * 3 % 300).cast("string")).alias("chunk_id"), (F.col("vec_id") % 7).alias("created_at"))
 
 
 def review_upsert(spark, d):
-    r = frame(spark, d, "seed_reviews").select("chunk_id", F.col("event_id"), "status", "updated_at")
-    out = S.upsert(r.filter("event_id % 2 = 0"), r.filter("event_id % 2 = 1"), "chunk_id", F.desc("updated_at"), F.desc("event_id"))
+    r = frame(spark, d, "seed_reviews").select(*S.KEY, F.col("event_id"), "status", "updated_at")
+    out = S.upsert(r.filter("event_id % 2 = 0"), r.filter("event_id % 2 = 1"), list(S.KEY), F.desc("updated_at"), F.desc("event_id"))
     return out.select("chunk_id", "event_id", "status")
 
 
@@ -29,8 +29,7 @@ def review_pending(spark, d):
 
 
 def document_crossrefs(spark, d):
-    refs = XQ.references(spark, d).drop("document_id")
-    return S.document_references(refs, frame(spark, d, "seed_chunks")).groupBy("document_id", "reference_type").agg(F.count("*").alias("n"))
+    return S.document_references(XQ.references(spark, d), frame(spark, d, "seed_chunks")).groupBy("document_id", "reference_type").agg(F.count("*").alias("n"))
 
 
 def document_records(spark, d):
@@ -59,7 +58,8 @@ def chunks_without_embedding(spark, d):
 
 
 def chunks_of_document(spark, d):
-    return frame(spark, d, "seed_chunks").filter("document_id = 'src3'").select("document_id", "chunk_id", "page_start").orderBy("page_start", "chunk_id")
+    c = frame(spark, d, "seed_chunks")
+    return S.document_chunks(c, c)
 
 
 def chunk_insert(spark, d):
@@ -68,20 +68,20 @@ def chunk_insert(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (review_upsert, review_latest, review_pending, document_crossrefs, document_records, review_progress, embedding_latest, has_embeddings, embedding_status, chunks_without_embedding, chunks_of_document, chunk_insert)}
-_EMB = ", emb AS (SELECT vec_id AS embedding_id, 'chunk_' || (vec_id % 300) AS chunk_id, vec_id % 7 AS created_at FROM embeddings)"
-_HAS = "SELECT document_id, max(CASE WHEN e.chunk_id IS NOT NULL THEN 1 ELSE 0 END) = 1 AS has_embeddings FROM seed_chunks c LEFT JOIN (SELECT DISTINCT chunk_id FROM emb WHERE embedding_id % 20 < 15) e USING (chunk_id) GROUP BY document_id"
+_EMB = ", emb AS (SELECT vec_id AS embedding_id, 'doc' || CAST(floor(vec_id * 3 % 300 / 100) AS BIGINT) AS document_id, 'chunk_' || (vec_id * 3 % 300) AS chunk_id, vec_id % 7 AS created_at FROM embeddings)"
+_HAS = "SELECT document_id, max(CASE WHEN e.chunk_id IS NOT NULL THEN 1 ELSE 0 END) = 1 AS has_embeddings FROM seed_chunks c LEFT JOIN (SELECT DISTINCT document_id, chunk_id FROM emb WHERE embedding_id % 20 < 15) e USING (document_id, chunk_id) GROUP BY document_id"
 _REC = "SELECT document_id, CAST(max(page_start) AS BIGINT) AS total_pages, count(*) AS total_chunks FROM seed_chunks GROUP BY document_id"
 ORACLES = {
-    "review_upsert": cte("seed_reviews") + " SELECT chunk_id, event_id, status FROM seed_reviews QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY event_id % 2 DESC, updated_at DESC, event_id DESC) = 1",
-    "review_latest": cte("seed_reviews") + " SELECT chunk_id, review_id, status, confidence FROM seed_reviews QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY updated_at DESC, review_id DESC) = 1",
-    "review_pending": cte("seed_chunks", "seed_reviews") + " SELECT document_id, c.chunk_id, page_start FROM seed_chunks c LEFT JOIN seed_reviews r ON c.chunk_id = r.chunk_id WHERE r.status IS NULL OR r.status = 'pending'",
+    "review_upsert": cte("seed_reviews") + " SELECT chunk_id, event_id, status FROM seed_reviews QUALIFY row_number() OVER (PARTITION BY document_id, chunk_id ORDER BY event_id % 2 DESC, updated_at DESC, event_id DESC) = 1",
+    "review_latest": cte("seed_reviews") + " SELECT chunk_id, review_id, status, confidence FROM seed_reviews QUALIFY row_number() OVER (PARTITION BY document_id, chunk_id ORDER BY updated_at DESC, review_id DESC) = 1",
+    "review_pending": cte("seed_chunks", "seed_reviews") + " SELECT document_id, c.chunk_id, page_start FROM seed_chunks c LEFT JOIN seed_reviews r USING (document_id, chunk_id) WHERE r.status IS NULL OR r.status = 'pending'",
     "document_crossrefs": XQ._ALL.split(", targets AS")[0] + " SELECT document_id, reference_type, count(*) AS n FROM refs GROUP BY ALL",
     "document_records": cte("seed_chunks") + " " + _REC,
-    "review_progress": cte("seed_chunks", "seed_reviews") + ", p AS (SELECT document_id, count(DISTINCT c.chunk_id) AS total, count(DISTINCT c.chunk_id) FILTER (status = 'completed') AS completed, count(DISTINCT c.chunk_id) FILTER (status = 'in_progress') AS in_progress, count(DISTINCT c.chunk_id) FILTER (status = 'needs_review') AS needs_review FROM seed_chunks c LEFT JOIN seed_reviews r ON c.chunk_id = r.chunk_id GROUP BY document_id) SELECT *, total - completed - in_progress - needs_review AS pending FROM p",
-    "embedding_latest": cte("seed_chunks") + _EMB + " SELECT * FROM emb QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY created_at DESC, embedding_id DESC) = 1",
+    "review_progress": cte("seed_chunks", "seed_reviews") + ", p AS (SELECT document_id, count(DISTINCT c.chunk_id) AS total, count(DISTINCT c.chunk_id) FILTER (status = 'completed') AS completed, count(DISTINCT c.chunk_id) FILTER (status = 'in_progress') AS in_progress, count(DISTINCT c.chunk_id) FILTER (status = 'needs_review') AS needs_review FROM seed_chunks c LEFT JOIN seed_reviews r USING (document_id, chunk_id) GROUP BY document_id) SELECT *, total - completed - in_progress - needs_review AS pending FROM p",
+    "embedding_latest": cte("seed_chunks") + _EMB + " SELECT * FROM emb QUALIFY row_number() OVER (PARTITION BY document_id, chunk_id ORDER BY created_at DESC, embedding_id DESC) = 1",
     "has_embeddings": cte("seed_chunks") + _EMB + " " + _HAS,
     "embedding_status": cte("seed_chunks") + _EMB + f", a AS ({_REC}), b AS ({_HAS}) SELECT a.*, has_embeddings, CASE WHEN has_embeddings THEN 'all-MiniLM-L6-v2' END AS embedding_model FROM a LEFT JOIN b USING (document_id)",
-    "chunks_without_embedding": cte("seed_chunks") + _EMB + " SELECT document_id, chunk_id FROM seed_chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM emb)",
-    "chunks_of_document": cte("seed_chunks") + " SELECT document_id, chunk_id, page_start FROM seed_chunks WHERE document_id = 'src3'",
+    "chunks_without_embedding": cte("seed_chunks") + _EMB + " SELECT document_id, chunk_id FROM seed_chunks ANTI JOIN emb USING (document_id, chunk_id)",
+    "chunks_of_document": cte("seed_chunks") + " SELECT document_id, chunk_id, page_start, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_start, chunk_id) AS INT) AS place FROM seed_chunks",
     "chunk_insert": cte("seed_chunks") + " SELECT chunk_id, ord FROM seed_chunks",
 }

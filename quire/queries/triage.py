@@ -25,7 +25,7 @@ def triage(spark, d):
 def _api(spark, d):
     q = _queue(spark, d)
     n = F.col("ord")
-    return q.select("chunk_id", F.when(n % 3 == 0, F.col("rule_suggestion")).when(n % 3 == 1, F.lit("other")).otherwise("third").alias("suggestion"), ((60 + n % 41).cast("double") / 100).alias("confidence"), F.when(n % 9 == 0, "rule_fallback").otherwise("api").alias("source"))
+    return q.select(*S.KEY, F.when(n % 3 == 0, F.col("rule_suggestion")).when(n % 3 == 1, F.lit("other")).otherwise("third").alias("suggestion"), ((60 + n % 41).cast("double") / 100).alias("confidence"), F.when(n % 9 == 0, "rule_fallback").otherwise("api").alias("source"))
 
 
 def merge_suggestions(spark, d):
@@ -56,13 +56,13 @@ def llm_prompt(spark, d):
 
 
 def llm_parse(spark, d):
-    return frame(spark, d, "seed_llm").select("chunk_id", T.parse_reply(F.col("reply")).alias("p")).select("chunk_id", "p.*")
+    return frame(spark, d, "seed_llm").select("chunk_id", T.parse_reply(F.col("reply")).alias("p")).select("chunk_id", "p.content", "p.confidence", "p.reasoning", F.array_join(F.transform("p.changes", lambda c: F.concat_ws("|", c["original"], c["corrected"], c["reason"])), ";").alias("changes"))
 
 
 def llm_gate(spark, d):
     s = frame(spark, d, "seed_llm")
-    replies = s.filter("doc_id % 5 <> 0").select("chunk_id", T.parse_reply(F.col("reply")).alias("p")).select("chunk_id", "p.*")
-    return T.gate(s.select("chunk_id", "rule_text", "rule_confidence"), replies)
+    replies = s.filter("doc_id % 5 <> 0").select(*S.KEY, T.parse_reply(F.col("reply")).alias("p")).select(*S.KEY, "p.*")
+    return T.gate(s.select(*S.KEY, "rule_text", "rule_confidence"), replies).drop("document_id")
 
 
 def _classified(spark, d):
@@ -93,8 +93,8 @@ def severity_prioritise(spark, d):
 
 QUERIES = {f.__name__: f for f in (triage, merge_suggestions, needs_human, human_queue, api_batches, api_echo, llm_prompt, llm_parse, llm_gate, severity_classify, severity_filter, severity_statistics, severity_summary, severity_prioritise)}
 
-_Q = cte("seed_chunks", "seed_reviews") + """, lr AS (SELECT * FROM seed_reviews QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY updated_at DESC, review_id DESC) = 1),
-q AS (SELECT c.document_id, c.chunk_id, c.ord, c.content, coalesce(lr.reviewed_content, c.content) AS rule, coalesce(lr.confidence, 0.5) AS rc, CASE WHEN lr.confidence > 0.95 THEN 'auto' WHEN lr.confidence < 0.7 THEN 'high' ELSE 'normal' END AS lane FROM seed_chunks c LEFT JOIN lr USING (chunk_id)),
+_Q = cte("seed_chunks", "seed_reviews") + """, lr AS (SELECT * FROM seed_reviews QUALIFY row_number() OVER (PARTITION BY document_id, chunk_id ORDER BY updated_at DESC, review_id DESC) = 1),
+q AS (SELECT c.document_id, c.chunk_id, c.ord, c.content, coalesce(lr.reviewed_content, c.content) AS rule, coalesce(lr.confidence, 0.5) AS rc, CASE WHEN lr.confidence > 0.95 THEN 'auto' WHEN lr.confidence < 0.7 THEN 'high' ELSE 'normal' END AS lane FROM seed_chunks c LEFT JOIN lr USING (document_id, chunk_id)),
 api AS (SELECT chunk_id, ord, CASE ord % 3 WHEN 0 THEN rule WHEN 1 THEN 'other' ELSE 'third' END AS s, CAST(60 + ord % 41 AS DOUBLE) / 100 AS a, CASE WHEN ord % 9 = 0 THEN 'rule_fallback' ELSE 'api' END AS src, rule, rc FROM q),
 mg AS (SELECT *, CASE WHEN ord % 11 = 0 THEN src WHEN s = rule THEN 'hybrid_agreement' WHEN a > 0.9 THEN 'api_high_confidence' WHEN rc > 0.9 THEN 'rule_high_confidence' WHEN a < 0.8 AND rc < 0.8 THEN 'needs_human' ELSE 'hybrid_moderate' END AS way FROM api),
 me AS (SELECT chunk_id, CASE way WHEN 'rule_high_confidence' THEN rule WHEN 'needs_human' THEN NULL ELSE s END AS s, CASE way WHEN 'hybrid_agreement' THEN least(0.98, (a + rc) / 2 * CAST(1.1 AS DOUBLE)) WHEN 'rule_high_confidence' THEN rc WHEN 'needs_human' THEN 0.5 WHEN 'hybrid_moderate' THEN (a + rc) / 2 ELSE a END AS c, way FROM mg)"""
@@ -124,11 +124,11 @@ ORACLES = {
     "triage": _Q + " SELECT chunk_id, md5(rule) AS suggestion_md5, rc AS rule_confidence, lane FROM q",
     "merge_suggestions": _Q + " SELECT chunk_id, md5(s) AS suggestion_md5, round(c, 6) AS confidence, way AS source FROM me",
     "needs_human": _Q + " SELECT count(*) FILTER (c < 0.9) AS needs_human, count(*) AS total FROM me",
-    "human_queue": _Q + " SELECT document_id, c.chunk_id, section_hierarchy AS section, page_start AS page, confidence, left(content, 200) AS original, left(nullif(reviewed_content, ''), 200) AS suggestion, n_changes AS changes_count, CASE WHEN confidence < 0.6 THEN 'high' WHEN n_changes > 10 THEN 'medium' WHEN page_start < 50 THEN 'medium' ELSE 'low' END AS priority FROM seed_chunks c JOIN lr ON c.chunk_id = lr.chunk_id WHERE confidence < 0.9",
+    "human_queue": _Q + " SELECT document_id, c.chunk_id, section_hierarchy AS section, page_start AS page, confidence, left(content, 200) AS original, left(nullif(reviewed_content, ''), 200) AS suggestion, n_changes AS changes_count, CASE WHEN confidence < 0.6 THEN 'high' WHEN n_changes > 10 THEN 'medium' WHEN page_start < 50 THEN 'medium' ELSE 'low' END AS priority FROM seed_chunks c JOIN lr USING (document_id, chunk_id) WHERE confidence < 0.9",
     "api_batches": _Q + ", n AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY chunk_id) AS n FROM q) SELECT document_id, CAST(floor((n - 1) / 10) AS BIGINT) AS batch, count(*) AS n FROM n GROUP BY ALL",
     "api_echo": _Q + " SELECT chunk_id, md5(content) AS suggestion_md5, CAST(0.85 AS DOUBLE) AS confidence, 'api' AS source FROM q",
     "llm_prompt": cte("seed_chunks") + f" SELECT chunk_id, md5({_P1} || content || {_NL} || CASE WHEN ord % 2 = 0 THEN {_NL} || 'Context:' || {_NL} || 'datasheet' || {_NL} ELSE '' END || {_P2}) AS prompt_md5 FROM seed_chunks",
-    "llm_parse": cte("seed_llm") + _PARSE + " SELECT chunk_id, content, confidence, reasoning FROM pp",
+    "llm_parse": cte("seed_llm") + _PARSE + " SELECT chunk_id, content, confidence, reasoning, CASE WHEN doc_id % 4 = 0 THEN 'a|b ' || doc_id || '|why;|plain|LLM suggestion' ELSE '' END AS changes FROM pp",
     "llm_gate": cte("seed_llm") + _PARSE + ", g AS (SELECT *, rule_confidence < 0.95 AND doc_id % 5 <> 0 AND confidence > rule_confidence + CAST(0.05 AS DOUBLE) AS ok FROM pp) SELECT chunk_id, rule_text, rule_confidence, rule_confidence < 0.95 AS asked, ok AS accepted, CASE WHEN ok THEN content ELSE rule_text END AS final_text, CASE WHEN ok THEN confidence ELSE rule_confidence END AS confidence FROM g",
     "severity_classify": _SEV + f" SELECT ord, rank, {_NAME} AS severity_name FROM cl",
     "severity_filter": _SEV + f" SELECT ord, {_NAME} AS severity_name FROM cl WHERE rank <= 2",

@@ -44,7 +44,7 @@ SEEDS: dict[str, str] = {
     "seed_cells": "SELECT p_brand, 'doc' || CAST(CAST(substr(p_brand, 7) AS INT) % 10 AS STRING) AS document_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS row_no, p_partkey, p_name, p_type, p_size FROM part",
     "seed_reviews": f"SELECT 'rev_' || {_S('event_id')} AS review_id, event_id, {_DOC('user_id')} AS document_id, 'chunk_' || {_S('user_id')} AS chunk_id, CASE WHEN event_id % 4 = 0 THEN 'pending' WHEN event_id % 4 = 1 THEN 'completed' WHEN event_id % 4 = 2 THEN 'in_progress' ELSE 'needs_review' END AS status, CAST(50 + event_id % 51 AS DOUBLE) / 100 AS confidence, CAST(event_id % 14 AS INT) AS n_changes, 'reviewed text ' || {_S('event_id % 97')} AS reviewed_content, ts AS updated_at FROM events",
     "seed_changes": f"SELECT event_id AS ord, {_DOC('user_id')} AS document_id, 'chunk_' || {_S('user_id')} AS chunk_id, CASE WHEN event_id % 7 = 0 THEN 'crossref' WHEN event_id % 7 = 1 THEN 'grammar' WHEN event_id % 7 = 2 THEN 'spelling' WHEN event_id % 7 = 3 THEN 'style' WHEN event_id % 7 = 4 THEN 'llm_suggestion' WHEN event_id % 7 = 5 THEN 'table_issue' ELSE 'figure_issue' END AS type, CASE WHEN event_id % 11 = 0 THEN 'Double space removed' WHEN event_id % 11 = 1 THEN 'Inconsistent terminology' WHEN event_id % 11 = 2 THEN 'Unsupported claim' WHEN event_id % 11 = 3 THEN 'Missing section' WHEN event_id % 11 = 4 THEN 'Formatting of list' WHEN event_id % 11 = 5 THEN 'Odd spacing' WHEN event_id % 11 = 6 THEN 'Broken reference' WHEN event_id % 11 = 7 THEN 'Missing space after punctuation' WHEN event_id % 11 = 8 THEN 'Formatting space' ELSE CAST(NULL AS STRING) END AS reason, CASE WHEN event_id % 5 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(60 + event_id % 40 AS DOUBLE) / 100 END AS confidence, CASE WHEN event_id % 3 = 0 THEN false WHEN event_id % 3 = 1 THEN true END AS valid, CASE WHEN event_id % 6 = 0 THEN '' ELSE 'old ' || {_S('event_id % 23')} END AS original, CASE WHEN event_id % 9 = 0 THEN 'old ' || {_S('event_id % 23')} ELSE 'new ' || {_S('event_id % 23')} END AS corrected, CASE WHEN event_id % 3 = 0 THEN 'high' WHEN event_id % 3 = 1 THEN 'medium' ELSE 'low' END AS severity, ts FROM events",
-    "seed_llm": f"SELECT doc_id, {_DOC('doc_id')} AS document_id, 'chunk_' || {_S('doc_id')} AS chunk_id, CASE WHEN doc_id % 4 = 0 THEN '{{\"corrected_text\": \"fixed ' || {_S('doc_id')} || '\", \"confidence\": 0.9' || {_S('doc_id % 10')} || ', \"reasoning\": \"r\"}}' WHEN doc_id % 4 = 1 THEN '{{\"corrected_text\": \"only ' || {_S('doc_id')} || '\"}}' WHEN doc_id % 4 = 2 THEN 'plain reply ' || {_S('doc_id')} ELSE '{{\"confidence\": 0.5}}' END AS reply, CAST(60 + doc_id % 41 AS DOUBLE) / 100 AS rule_confidence, 'rule text ' || {_S('doc_id % 50')} AS rule_text FROM documents WHERE doc_id IS NOT NULL",
+    "seed_llm": f"SELECT doc_id, {_DOC('doc_id')} AS document_id, 'chunk_' || {_S('doc_id')} AS chunk_id, CASE WHEN doc_id % 4 = 0 THEN '{{\"corrected_text\": \"fixed ' || {_S('doc_id')} || '\", \"confidence\": 0.9' || {_S('doc_id % 10')} || ', \"reasoning\": \"r\", \"changes\": [{{{{\"original\": \"a\", \"corrected\": \"b ' || {_S('doc_id')} || '\", \"reason\": \"why\"}}}}, \"plain\"]}}' WHEN doc_id % 4 = 1 THEN '{{\"corrected_text\": \"only ' || {_S('doc_id')} || '\"}}' WHEN doc_id % 4 = 2 THEN 'plain reply ' || {_S('doc_id')} ELSE '{{\"confidence\": 0.5}}' END AS reply, CAST(60 + doc_id % 41 AS DOUBLE) / 100 AS rule_confidence, 'rule text ' || {_S('doc_id % 50')} AS rule_text FROM documents WHERE doc_id IS NOT NULL",
     "seed_sse": f"SELECT doc_id, 'data: {{\"choices\":[{{\"delta\":{{\"content\":\"part ' || {_S('doc_id')} || '\"}}}}]}}' || {_NL} || CASE WHEN doc_id % 3 = 0 THEN 'data: {{broken' WHEN doc_id % 3 = 1 THEN ': comment' ELSE '' END || {_NL} || 'data: {{\"choices\":[{{\"delta\":{{\"content\":\" and more\"}}}}]}}' || {_NL} || CASE WHEN doc_id % 2 = 0 THEN 'data: [DONE]' || {_NL} ELSE '' END || 'data: {{\"choices\":[{{\"delta\":{{\"content\":\" tail\"}}}}]}}' AS body FROM documents WHERE doc_id IS NOT NULL",
 }
 SEEDS = {k: v.replace("{{", "{").replace("}}", "}") for k, v in SEEDS.items()}
