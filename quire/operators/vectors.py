@@ -47,18 +47,18 @@ def model_info(rows: DataFrame, use: Column) -> DataFrame:
 def search(index: DataFrame, queries: DataFrame, k: int = 5, same: str | None = None, skip_self: bool = False, broadcast_rows: int = BROADCAST_QUERIES) -> DataFrame:
     """query_id, vec_id, similarity (1 - squared distance), rank: the ``k`` nearest vectors of every query, exactly.
 
-    index: vec_id, e; queries: query_id, q. ``same`` names a column that both sides must share. Without it every vector is
-    compared with every query: a bounded set of queries goes to all tasks; more are searched in blocks of that many.
+    index: vec_id, e; queries: query_id, q. ``same`` names a column that both sides must share, else every vector is compared
+    with every query. A bounded set of queries goes to all tasks, so the index stays where it is and no label gathers in one
+    task; more are searched in blocks of that many.
     """
     index, queries = (df.filter(F.col(c).isNotNull()) for df, c in ((index, "e"), (queries, "q")))
     parts = [queries]
-    if same is None and (n := queries.count()) > broadcast_rows:
+    if (n := queries.count()) > broadcast_rows:
         block = F.pmod(F.xxhash64("query_id"), F.lit(-(-n // (broadcast_rows // 2))))
         parts = [queries.filter(block == b) for b in range(-(-n // (broadcast_rows // 2)))]
     found = None
     for part in parts:
-        side = part if same else F.broadcast(part)
-        pairs = index.join(side, same) if same else index.join(side)
+        pairs = index.join(F.broadcast(part), same) if same else index.join(F.broadcast(part))
         if skip_self:
             pairs = pairs.filter(F.col("vec_id") != F.col("query_id"))
         near = pairs.select("query_id", "vec_id", (F.lit(1.0) - squared_distance(F.col("e"), F.col("q"))).alias("similarity"))
@@ -68,6 +68,11 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, same: str | None =
     return found
 
 
+def add_chunks(collection: DataFrame, chunks: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 32) -> DataFrame:
+    """The collection (chunk_id, embedding) with the chunks (chunk_id, content) that it lacks, encoded; those that it has are not encoded again."""
+    return collection.unionByName(encode(chunks.join(collection.select("chunk_id"), "chunk_id", "left_anti"), encoder, batch))
+
+
 def collection_stats(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("document_id").agg(F.count("*").alias("n_vectors"))
 
@@ -93,6 +98,15 @@ def patterns(changes: DataFrame) -> DataFrame:
     )
 
 
+def review_changes(reviews: DataFrame) -> DataFrame:
+    """original, corrected, type, confidence, ts and ord of every change in reviews (changes, confidence, updated_at, ord), for ``patterns``.
+
+    A pattern has the confidence of the review that it comes from.
+    """
+    each = reviews.select("confidence", F.col("updated_at").alias("ts"), F.col("ord").alias("of"), F.posexplode_outer("changes").alias("n", "c")).filter("n IS NOT NULL")
+    return each.select("c.original", "c.corrected", "c.type", "confidence", "ts", F.struct("of", "n").alias("ord"))
+
+
 def suggest(similar: DataFrame, library: DataFrame, threshold: float = DEFAULT.suggest_threshold) -> DataFrame:
     """query_id, suggestion, confidence, issue_type: the best pattern of each query (search result joined on vec_id), if similar enough."""
     best = similar.filter("rank = 1").filter(F.col("similarity") >= threshold)

@@ -96,6 +96,7 @@ _REST = (
     f" UNION ALL SELECT chunk_id, 1, 'grammar', unnest({rows('t', '[.!?,;:][A-Z]')}), 0.9, 'Missing space after punctuation' FROM g1"
     f" UNION ALL SELECT chunk_id, 2, 'style', unnest({rows('t', chr(92) + 'd+[ ' + chr(92) + 't]+-[ ' + chr(92) + 't]+' + chr(92) + 'd+')}), 0.85, 'Standardized number range formatting' FROM g2)"
 )
+_CORRECTED = "CASE k WHEN 0 THEN ' ' WHEN 1 THEN left(m.t, 1) || ' ' || right(m.t, 1) ELSE regexp_replace(m.t, '[ \\t]', '', 'g') END"
 _BASE = cte("seed_chunks") + _STEPS
 _FULL = _BASE + _SC + _REST
 _COUNTED = ", v AS (SELECT chunk_id, 0.95 AS c FROM sc UNION ALL SELECT chunk_id, CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.92 ELSE 0.85 END FROM oc), n AS (SELECT chunk_id, count(*) AS n, avg(CAST(c AS DOUBLE)) AS a FROM v GROUP BY chunk_id)"
@@ -111,7 +112,7 @@ ORACLES = {
     "grammar_punctuation": _single(r"regexp_replace(content, '([.!?,;:])([A-Z])', '\1 \2', 'g')", "[.!?,;:][A-Z]"),
     "style_ranges": _single(r"regexp_replace(content, '(\d+)[ \t]+-[ \t]+(\d+)', '\1-\2', 'g')", r"\d+[ \t]+-[ \t]+\d+"),
     "spell_changes": _BASE + _SC + " SELECT chunk_id, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY k, p DESC) - 1 AS INT) AS ordinal, original, corrected, CAST(p AS INT) AS position, 'Common typo: ''' || original || ''' → ''' || corrected || '''' AS reason FROM sc",
-    "language_changes": _FULL + " SELECT chunk_id, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY k, m.p DESC) - 1 AS INT) AS ordinal, type, m.t AS original, CASE k WHEN 0 THEN ' ' WHEN 1 THEN left(m.t, 1) || ' ' || right(m.t, 1) ELSE regexp_replace(m.t, '[ \\t]', '', 'g') END AS corrected, CAST(m.p AS INT) AS position, CAST(confidence AS DOUBLE) AS confidence, reason FROM oc",
+    "language_changes": _FULL + " SELECT chunk_id, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY k, m.p DESC) - 1 AS INT) AS ordinal, type, m.t AS original, " + _CORRECTED + " AS corrected, CAST(m.p AS INT) AS position, CAST(confidence AS DOUBLE) AS confidence, reason FROM oc",
     "language_confidence": _FULL + _COUNTED + " SELECT chunk_id, coalesce(n, 0) AS n_changes, CASE WHEN n IS NULL THEN 1.0 ELSE round(round(CASE WHEN n > 20 THEN a * 0.85 WHEN n > 10 THEN a * 0.92 ELSE a END, 9), 2) END AS confidence, md5(t) AS text_md5 FROM g3 LEFT JOIN n USING (chunk_id)",
     "change_counts": _FULL + " SELECT type, count(*) AS n FROM (SELECT 'spelling' AS type FROM sc UNION ALL SELECT type FROM oc) x GROUP BY type",
     "change_defaults": cte("seed_changes") + " SELECT ord, coalesce(nullif(type, 'figure_issue'), 'unknown') AS type, coalesce(original, '') AS original, coalesce(corrected, '') AS corrected, coalesce(confidence, 0.8) AS confidence, coalesce(reason, '') AS reason, 0 AS position FROM seed_changes",

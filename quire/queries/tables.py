@@ -11,7 +11,7 @@ from quire.sources.seed import cte, frame
 
 
 def _tables(spark, d):
-    c = E.table_chunks(S.tables(spark, d)).select("document_id", "content", "rows")
+    c = E.table_chunks(S.all_tables(spark, d)).select(F.concat_ws("/", "document_id", "table_index").alias("document_id"), "content", "rows")
     n = F.length("content") % 5
     bent = F.when(n == 0, F.regexp_replace("content", r"\| ---", "| xxx")).when(n == 1, F.regexp_replace("content", "Table", "Tab")).when(n == 2, F.lit("no pipes at all")).when(n == 3, F.substring_index("content", "\n", 4)).otherwise(F.col("content"))
     return c.select("document_id", bent.alias("content"), "rows").withColumn("issues", T.table_issues(F.col("content"), F.col("rows")))
@@ -49,13 +49,13 @@ def figure_summary(spark, d):
 
 
 def table_markdown(spark, d):
-    return S.tables(spark, d).select("document_id", E.table_markdown(F.col("cells")).alias("markdown"))
+    return S.all_tables(spark, d).select("document_id", E.table_markdown(F.col("cells")).alias("markdown"))
 
 
 QUERIES = {f.__name__: f for f in (table_issues, figure_issues, table_summary, figure_summary, table_markdown)}
 
 _TBL = cte("seed_cells") + S._TABLES + rf""", c AS (SELECT *, {S._TCAP} AS caption, {S._MD} AS md FROM tp WHERE NOT empty),
-f AS (SELECT document_id, len(cells) AS nrows, '[Table ' || (table_index + 1) || ']' || chr(10) || CASE WHEN caption IS NOT NULL THEN 'Caption: ' || caption || chr(10) || chr(10) ELSE '' END || md AS content FROM c),
+f AS (SELECT document_id || '/' || table_index AS document_id, len(cells) AS nrows, '[Table ' || (table_index + 1) || ']' || chr(10) || CASE WHEN caption IS NOT NULL THEN 'Caption: ' || caption || chr(10) || chr(10) ELSE '' END || md AS content FROM c),
 b AS (SELECT document_id, nrows, CASE length(content) % 5 WHEN 0 THEN regexp_replace(content, '\| ---', '| xxx', 'g') WHEN 1 THEN regexp_replace(content, 'Table', 'Tab', 'g') WHEN 2 THEN 'no pipes at all' WHEN 3 THEN array_to_string(string_split(content, chr(10))[1:4], chr(10)) ELSE content END AS content FROM f),
 l AS (SELECT document_id, nrows, content, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: starts_with(x, '|')) AS ls FROM b),
 e AS (SELECT document_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS i, len(ls) AS n, ls[1] AS first FROM l),

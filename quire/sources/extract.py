@@ -134,9 +134,19 @@ def table_chunks(tables: DataFrame) -> DataFrame:
     )
 
 
-def document_metadata(pages: DataFrame) -> DataFrame:
-    """document_id, total_pages, filename of every document."""
-    return pages.groupBy("document_id").agg(F.max("page").cast("long").alias("total_pages"), F.concat(F.first("document_id"), F.lit(".pdf")).alias("filename"))
+#: What a file says of itself.
+INFO = ("title", "author", "subject", "creator")
+
+
+def document_metadata(pages: DataFrame, info: DataFrame | None = None) -> DataFrame:
+    """document_id, total_pages, filename, title, author, subject, creator of every document.
+
+    info: one row a document with any of the last four, as a parser finds them; what it lacks is ''.
+    """
+    m = pages.groupBy("document_id").agg(F.max("page").cast("long").alias("total_pages")).withColumn("filename", F.concat("document_id", F.lit(".pdf")))
+    if info is not None:
+        m = m.join(info.select("document_id", *[c for c in INFO if c in info.columns]), "document_id", "left")
+    return m.withColumns({c: F.coalesce(F.col(c), F.lit("")) if c in m.columns else F.lit("") for c in INFO})
 
 
 def stream_reply(body: Column) -> Column:
