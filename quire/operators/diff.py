@@ -146,3 +146,26 @@ def align_greedy(v1: DataFrame, v2: DataFrame, threshold: float = DEFAULT.align_
         return out
 
     return v1.groupBy("document_id").cogroup(v2.groupBy("document_id")).applyInPandas(match, "document_id string, id1 long, id2 long, similarity double")
+
+
+def align_vectors(v1: DataFrame, v2: DataFrame, threshold: float = DEFAULT.align_threshold) -> DataFrame:
+    """The columns of ``align_sections`` by meaning: text chunks (ord, e besides) are matched greedily; equal contents are left out."""
+    one, two = (v.filter("chunk_type = 'text'") for v in (v1, v2))
+    pairs = align_greedy(one.select("document_id", F.col("ord").alias("id1"), F.col("e").alias("e1")), two.select("document_id", F.col("ord").alias("id2"), F.col("e").alias("e2")), threshold)
+    side = lambda df, n: df.select("document_id", F.col("ord").alias(f"id{n}"), F.col("section_hierarchy").alias(f"section{n}"), F.col("page_start").alias(f"page_v{n}"), F.col("content").alias(f"content_v{n}"))
+    j = pairs.join(side(one, 1), ["document_id", "id1"], "left").join(side(two, 2), ["document_id", "id2"], "left")
+    kind = F.when(F.col("id1").isNull(), "added").when(F.col("id2").isNull(), "removed").when(F.col("content_v1") != F.col("content_v2"), "modified")
+    out = j.select("document_id", F.coalesce("section1", "section2").alias("section"), "page_v1", "content_v1", "page_v2", "content_v2", kind.alias("change_type"))
+    return out.filter("change_type IS NOT NULL")
+
+
+def compare(v1: DataFrame, v2: DataFrame, title: Column, semantic: bool = True, with_words: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Changes, counts by document and changelog of two versions (document_id, section_hierarchy, chunk_type, ord, page_start, content).
+
+    Aligned by meaning where both have vectors (column e) and ``semantic`` is asked for, else by section.
+    """
+    by_meaning = semantic and "e" in v1.columns and "e" in v2.columns
+    changed = changes(align_vectors(v1, v2) if by_meaning else align_sections(v1, v2), with_words)
+    level = lambda x: F.count_if(F.col("significance") == x).alias(f"{x}_priority")
+    counts = changed.groupBy("document_id").agg(F.count("*").alias("total_changes"), level("high"), level("medium"), level("low"))
+    return changed, counts, changelog(changed, title)

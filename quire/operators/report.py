@@ -59,6 +59,78 @@ def reference_report(refs: DataFrame) -> DataFrame:
     return g.join(by, "document_id").select("document_id", F.concat(head, table, tail).alias("report"))
 
 
+def header(metadata: DataFrame) -> DataFrame:
+    """document_id and header; metadata: document_id, title, filename, total_pages, and review_date, which the caller sets."""
+    known = lambda c, otherwise: F.coalesce(_str(c), F.lit(otherwise))
+    return metadata.select("document_id", F.concat(
+        F.lit("# "), known("title", "Untitled Document"), F.lit("\n\n**Source:** "), known("filename", "unknown.pdf"), F.lit("\n**Review Date:** "), known("review_date", ""),
+        F.lit("\n**Total Pages:** "), known("total_pages", "N/A"), F.lit("\n\n---\n\n"),
+    ).alias("header"))
+
+
+def document(chunks: DataFrame, metadata: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """document_id and text: header, contents (where a section enters them), chunks, and the report on references where there are some."""
+    d = assemble(chunks).join(header(metadata), "document_id", "left").join(contents_text(contents(chunks)), "document_id", "left")
+    toc = F.when(F.col("toc").isNotNull(), F.concat("toc", F.lit("\n---\n"))).otherwise("")
+    text = F.concat(F.coalesce("header", F.lit("")), toc, "body")
+    if refs is not None:
+        d = d.join(reference_report(refs), "document_id", "left")
+        text = F.concat(text, F.when(F.col("report").isNotNull(), F.concat(F.lit("\n---\n"), "report")).otherwise(""))
+    return d.select("document_id", text.alias("text"))
+
+
+def latest_changes(latest: DataFrame) -> DataFrame:
+    """document_id, ord, type, original, corrected, reason, severity, description of every change in the latest reviews (changes).
+
+    Table and figure issues are one type, table_issues; other types than these, spelling, grammar and style are left out.
+    """
+    of = lambda c: F.col(f"c.{c}") if c in latest.schema["changes"].dataType.elementType.names else F.lit(None).cast("string")
+    each = latest.select("document_id", "chunk_id", F.posexplode_outer("changes").alias("n", "c")).filter("n IS NOT NULL")
+    kind = F.when(of("type").isin("table_issue", "figure_issue"), "table_issues").when(of("type").isin("spelling", "grammar", "style"), of("type"))
+    return each.select("document_id", F.struct("chunk_id", "n").alias("ord"), kind.alias("type"), *[of(c).alias(c) for c in ("original", "corrected", "reason", "severity", "description")]).filter("type IS NOT NULL")
+
+
+def change_sections(changes: DataFrame) -> DataFrame:
+    """document_id and the sections of the change summary, as far as there are changes: spelling, grammar, style, tables and figures.
+
+    changes: as from ``latest_changes``. Examples are the first distinct pairs by ord; each section sees only those it shows.
+    """
+    low = F.lower(F.coalesce("reason", F.lit("")))
+    part = F.when(F.col("type") != "grammar", F.col("type")).when(low.contains("space"), "space").when(low.contains("punctuation"), "punctuation").otherwise("other")
+    tagged = changes.withColumn("part", F.when((F.col("type") == "table_issues"), F.concat_ws(" ", F.lit("table"), "severity")).otherwise(part))
+    both = (F.col("type") == "grammar") & low.contains("space") & low.contains("punctuation")  # such a change is in both lists
+    tagged = tagged.withColumn("part", F.explode(F.when(both, F.array(F.lit("space"), F.lit("punctuation"))).otherwise(F.array("part"))))
+    most = F.when(F.col("part").isin("spelling", "style"), 5).when(F.col("part").isin("space", "punctuation", "table high"), 3).otherwise(0)
+    pair = ["original", "corrected"]
+    shown = F.when(F.col("type") == "table_issues", F.col("ord.chunk_id")).otherwise("")  # every issue is an example of its own
+    first = tagged.groupBy("document_id", "type", "part", *pair, shown.alias("own"), F.when(F.col("type") == "table_issues", F.col("ord.n")).alias("own_n")).agg(
+        F.min(F.struct("ord", "reason", "description")).alias("f"), F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("document_id", "part").orderBy("f.ord"))
+    text = (
+        F.when(F.col("part") == "space", F.concat(F.lit("- '"), "original", F.lit("' (extra spaces)\n+ '"), "corrected", F.lit("' (single space)")))
+        .when(F.col("part") == "style", F.concat(F.lit("- "), "original", F.lit("\n+ "), "corrected", F.lit("\n  # "), F.coalesce("f.reason", F.lit("Style improvement"))))
+        .when(F.col("type") == "table_issues", F.concat(F.lit("  - "), F.coalesce("f.description", F.lit("Unknown issue")))).otherwise(F.concat(F.lit("- "), "original", F.lit("\n+ "), "corrected"))
+    )
+    ranked = first.withColumns({"_p": place, "_t": text}).withColumn("_t", F.when(F.col("_p") <= most, F.col("_t")))
+    one = lambda p, what: F.max(F.when(F.col("part") == p, F.col(what)))
+    parts = ["spelling", "space", "punctuation", "other", "style", "table high", "table medium", "table low"]
+    by_part = ranked.groupBy("document_id", "type", "part").agg(F.sum("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_p", "_t")))), lambda x: x["_t"]), "\n").alias("x"))
+    g = by_part.groupBy("document_id").agg(*[one(p, w).alias(f"{w}_{p.split()[-1]}") for p in parts for w in ("n", "x")])
+    whole = changes.groupBy("document_id").agg(*[F.count_if(F.col("type") == t).alias(f"all_{t}") for t in ("spelling", "grammar", "style", "table_issues")])
+    diff = lambda c: F.concat(F.lit("```diff\n"), F.col(c), F.lit("\n```\n"))
+    line = lambda name, c: F.when(F.col(c) > 0, F.concat(F.lit(f"**{name}:** "), _str(c), F.lit("\n"))).otherwise("")
+    end = F.lit("\n---\n\n")
+    section = lambda t, title, what, *body: F.when(F.col(f"all_{t}") > 0, F.concat(F.lit(f"## {title}\n\n**Total{what[0]}:** "), _str(f"all_{t}"), F.lit(f"{what[1]}\n\n"), *body, end)).otherwise("")
+    listed = lambda c, *more: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit("".join(more)), diff(c))).otherwise("")
+    issues = F.when(F.coalesce("x_high", F.lit("")) != "", F.concat("x_high", F.lit("\n"))).otherwise("")
+    return whole.join(g, "document_id", "left").select("document_id", F.concat(
+        section("spelling", "Spelling Corrections", ("", " corrections"), listed("x_spelling", "**Examples:**\n")),
+        section("grammar", "Grammar & Formatting Fixes", ("", " fixes"), line("Whitespace Corrections", "n_space"), listed("x_space"), line("Punctuation Spacing", "n_punctuation"), listed("x_punctuation"), line("Other Grammar Fixes", "n_other")),
+        section("style", "Style Improvements", ("", " improvements"), listed("x_style", "**Examples:**\n")),
+        section("table_issues", "Tables & Figures Issues", (" Issues", ""), line("High Severity", "n_high"), issues, line("Medium Severity", "n_medium"), line("Low Severity", "n_low")),
+    ).alias("sections"))
+
+
 def unique_examples(changes: DataFrame, most: int = 5) -> DataFrame:
     """type, place, original, corrected: the first ``most`` distinct pairs of each type in order of ord."""
     first = changes.groupBy("type", "original", "corrected").agg(F.min("ord").alias("ord"))

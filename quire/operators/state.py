@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.config import DEFAULT
+
 
 #: A chunk is known by its document and its own id.
 KEY = ("document_id", "chunk_id")
@@ -84,7 +86,7 @@ def has_embeddings(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     return chunks.join(have, key, "left").groupBy("document_id").agg(F.coalesce(F.bool_or("_has"), F.lit(False)).alias("has_embeddings"))
 
 
-def embedding_status(records: DataFrame, chunks: DataFrame, embeddings: DataFrame, model: str) -> DataFrame:
+def embedding_status(records: DataFrame, chunks: DataFrame, embeddings: DataFrame, model: str = DEFAULT.embedding_model) -> DataFrame:
     """Document records with has_embeddings and embedding_model brought up to date."""
     return records.join(has_embeddings(chunks, embeddings), "document_id", "left").withColumn("embedding_model", F.when(F.col("has_embeddings"), F.lit(model)))
 

@@ -46,7 +46,19 @@ def diff_greedy(spark, d):
     return D.align_greedy(v.select(doc, F.col("vec_id").alias("id1"), F.col("a").alias("e1")), v.select(doc, F.col("vec_id").alias("id2"), F.col("e").alias("e2")))
 
 
-QUERIES = {f.__name__: f for f in (diff_align, diff_numbers, diff_changes, diff_categories, diff_changelog, diff_words, diff_greedy)}
+def diff_compare(spark, d):
+    """Counts of the comparison by section; its significances need no words where a keyword and numbers differ."""
+    counts = D.compare(frame(spark, d, "seed_v1"), frame(spark, d, "seed_v2"), F.lit("v1.pdf → v2.pdf"), with_words=False)[1]
+    return counts
+
+
+def diff_compare_vectors(spark, d):
+    """Rows only: the comparison by meaning, with the stand-in encoder's vectors."""
+    sides = [frame(spark, d, n).withColumn("e", F.array((F.length("content") % 97).cast("double"), (F.length("section_hierarchy") + F.col("ord") % 7).cast("double"))) for n in ("seed_v1", "seed_v2")]
+    return D.compare(*sides, F.lit("v1.pdf → v2.pdf"))[1]
+
+
+QUERIES = {f.__name__: f for f in (diff_compare, diff_compare_vectors, diff_align, diff_numbers, diff_changes, diff_categories, diff_changelog, diff_words, diff_greedy)}
 _A = cte("seed_v1", "seed_v2") + """, a1 AS (SELECT * FROM seed_v1 QUALIFY row_number() OVER (PARTITION BY document_id, section_hierarchy ORDER BY ord DESC) = 1), a2 AS (SELECT * FROM seed_v2 QUALIFY row_number() OVER (PARTITION BY document_id, section_hierarchy ORDER BY ord DESC) = 1),
 al AS (SELECT coalesce(a1.document_id, a2.document_id) AS document_id, coalesce(a1.section_hierarchy, a2.section_hierarchy) AS section, a1.page_start AS page_v1, a2.page_start AS page_v2, a1.content AS content_v1, a2.content AS content_v2, CASE WHEN a1.content IS NULL THEN 'added' WHEN a2.content IS NULL THEN 'removed' WHEN a1.content <> a2.content THEN 'modified' END AS change_type FROM a1 FULL JOIN a2 ON a1.document_id = a2.document_id AND a1.section_hierarchy = a2.section_hierarchy),
 al2 AS (SELECT * FROM al WHERE change_type IS NOT NULL)"""
@@ -59,6 +71,7 @@ ORACLES = {
     "diff_align": _A + " SELECT document_id, section, change_type, page_v1, page_v2, md5(content_v1) AS md5_v1, md5(content_v2) AS md5_v2 FROM al2",
     "diff_numbers": _A + f" SELECT document_id, section, {_NUM('content_v1', 'content_v2')} AS differ, {_NUM(chr(39) + 'max ' + chr(39) + ' || content_v1', 'content_v2')} AS important FROM al2 WHERE change_type = 'modified'",
     "diff_changes": _CH + " SELECT * FROM ch",
+    "diff_compare": _CH + " SELECT document_id, count(*) AS total_changes, count(*) FILTER (significance = 'high') AS high_priority, count(*) FILTER (significance = 'medium') AS medium_priority, count(*) FILTER (significance = 'low') AS low_priority FROM ch GROUP BY document_id",
     "diff_categories": _CH + " SELECT document_id, significance, count(*) AS n FROM ch GROUP BY ALL",
     "diff_changelog": _CH + f", g AS (SELECT document_id, count(*) AS n, count(*) FILTER (significance = 'high') AS h, count(*) FILTER (significance = 'medium') AS m, count(*) FILTER (significance = 'low') AS l, string_agg({_FULL}, {_NL} ORDER BY section) FILTER (significance = 'high') AS hs, string_agg('- **' || section || '**: ' || coalesce(details, '') || {_NL}, {_NL} ORDER BY section) FILTER (significance = 'medium') AS ms FROM ch GROUP BY document_id) SELECT document_id, '# Document Changelog' || {_NL} || {_NL} || '**Comparison:** v1.pdf → v2.pdf' || {_NL} || '---' || {_NL} || {_NL} || '## Summary' || {_NL} || {_NL} || '- **Total Changes:** ' || n || {_NL} || '- **High Priority:** ' || h || ' ⚠️' || {_NL} || '- **Medium Priority:** ' || m || {_NL} || '- **Low Priority:** ' || l || {_NL} || {_NL} || '---' || {_NL} || CASE WHEN h > 0 THEN {_NL} || '## ⚠️ High Priority Changes' || {_NL} || {_NL} || hs ELSE '' END || CASE WHEN m > 0 THEN {_NL} || '## Medium Priority Changes' || {_NL} || {_NL} || ms ELSE '' END || CASE WHEN l > 0 THEN {_NL} || {_NL} || '## Low Priority Changes' || {_NL} || {_NL} || '*' || l || ' minor changes (rewording, formatting)*' || {_NL} ELSE '' END AS changelog FROM g",
 }

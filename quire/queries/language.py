@@ -114,6 +114,8 @@ ORACLES = {
     "spell_changes": _BASE + _SC + " SELECT chunk_id, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY k, p DESC) - 1 AS INT) AS ordinal, original, corrected, CAST(p AS INT) AS position, 'Common typo: ''' || original || ''' → ''' || corrected || '''' AS reason FROM sc",
     "language_changes": _FULL + " SELECT chunk_id, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY k, m.p DESC) - 1 AS INT) AS ordinal, type, m.t AS original, " + _CORRECTED + " AS corrected, CAST(m.p AS INT) AS position, CAST(confidence AS DOUBLE) AS confidence, reason FROM oc",
     "language_confidence": _FULL + _COUNTED + " SELECT chunk_id, coalesce(n, 0) AS n_changes, CASE WHEN n IS NULL THEN 1.0 ELSE round(round(CASE WHEN n > 20 THEN a * 0.85 WHEN n > 10 THEN a * 0.92 ELSE a END, 9), 2) END AS confidence, md5(t) AS text_md5 FROM g3 LEFT JOIN n USING (chunk_id)",
+    "inline_markup": _FULL + f", ch AS (SELECT chunk_id, 0 AS a, k, m_p AS p, original AS o, corrected AS n FROM (SELECT *, p AS m_p FROM sc) y UNION ALL SELECT chunk_id, 1, k, m.p, m.t, {_CORRECTED} FROM oc), li AS (SELECT chunk_id, list({{'t': '', 'o': o, 'n': n, 'p': CAST(p AS BIGINT)}} ORDER BY p DESC, a, k) AS l FROM ch GROUP BY chunk_id HAVING count(*) < 10), ct AS (SELECT chunk_id, count(*) AS n FROM ch GROUP BY chunk_id)"
+    " SELECT chunk_id, CASE WHEN content = t THEN t ELSE list_reduce(l, lambda x, c: {'t': CASE WHEN contains(substr(x.t, greatest(c.p - 10, 0) + 1), c.o) THEN left(x.t, greatest(c.p - 10, 0) + strpos(substr(x.t, greatest(c.p - 10, 0) + 1), c.o) - 1) || '~~' || c.o || '~~ <span style=\"color:red\">' || c.n || '</span>' || substr(x.t, greatest(c.p - 10, 0) + strpos(substr(x.t, greatest(c.p - 10, 0) + 1), c.o) + length(c.o)) ELSE x.t END, 'o': '', 'n': '', 'p': CAST(0 AS BIGINT)}, {'t': content, 'o': '', 'n': '', 'p': CAST(0 AS BIGINT)}).t END AS markup FROM seed_chunks JOIN g3 USING (chunk_id) LEFT JOIN li USING (chunk_id) LEFT JOIN ct USING (chunk_id) WHERE coalesce(ct.n, 0) < 10",
     "change_counts": _FULL + " SELECT type, count(*) AS n FROM (SELECT 'spelling' AS type FROM sc UNION ALL SELECT type FROM oc) x GROUP BY type",
     "change_defaults": cte("seed_changes") + " SELECT ord, coalesce(nullif(type, 'figure_issue'), 'unknown') AS type, coalesce(original, '') AS original, coalesce(corrected, '') AS corrected, coalesce(confidence, 0.8) AS confidence, coalesce(reason, '') AS reason, 0 AS position FROM seed_changes",
 }

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.config import DEFAULT
 from quire.operators import state as S
 from quire.queries import crossref as XQ
 from quire.sources.seed import cte, frame
@@ -50,7 +49,7 @@ def has_embeddings(spark, d):
 
 def embedding_status(spark, d):
     c = frame(spark, d, "seed_chunks")
-    return S.embedding_status(S.document_records(c), c, _embeddings(spark, d).filter("embedding_id % 20 < 15"), DEFAULT.embedding_model)
+    return S.embedding_status(S.document_records(c), c, _embeddings(spark, d).filter("embedding_id % 20 < 15"))
 
 
 def chunks_without_embedding(spark, d):
