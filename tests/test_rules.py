@@ -208,3 +208,167 @@ def test_stream_reviews_and_windows(spark, tmp_path):
     q.awaitTermination(60)
     got = {r.chunk_id: r.reviewed_content for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"c1": "the x", "c2": "fine"}
+
+
+def test_targets_count_in_their_own_document(spark):
+    refs = spark.createDataFrame([("a", "r1", "table", "12"), ("b", "r2", "table", "12"), ("b", "r3", "table", "3")], "document_id string, ref_id string, reference_type string, target_number string")
+    known = spark.createDataFrame([("a", "table", "3"), ("b", "table", "12")], "document_id string, ref_type string, target string")
+    got = {r.ref_id: (r.is_valid, r.target_id) for r in crossref.validate(refs, known).collect()}
+    assert got == {"r1": (False, None), "r2": (True, "table_12"), "r3": (False, None)}
+    own = crossref.suggestions(refs, known.unionByName(spark.createDataFrame([("a", "table", "13"), ("a", "table", "21")], known.schema))).collect()
+    assert sorted((r.document_id, r.target_number, r.suggestion) for r in own) == [("a", "12", "13"), ("a", "12", "21")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_similar_numbers_by_keys(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    numbers = ["".join(rng.choices("0123.-", k=rng.randint(1, 4))) for _ in range(60)]
+    refs = spark.createDataFrame([(f"r{i}", "table", x) for i, x in enumerate(numbers)], "ref_id string, reference_type string, target_number string")
+    known = spark.createDataFrame([("table", x) for x in sorted(set(numbers[:30]))], "ref_type string, target string")
+
+    def alike(a, b):
+        at = [i for i in range(len(a)) if a[i] != b[i]] if len(a) == len(b) else []
+        return len(at) == 1 or len(at) == 2 and at[1] == at[0] + 1 and a[at[0]] == b[at[1]] and a[at[1]] == b[at[0]]
+
+    got = {(r.target_number, r.suggestion) for r in crossref.suggestions(refs, known, 1000).collect()}
+    assert got == {(a, b) for a in numbers for b in numbers[:30] if alike(a, b)}
+
+
+def test_equal_chunk_ids_of_two_documents(spark):
+    chunks = spark.createDataFrame([("a", "c", "one", 1), ("b", "c", "two", 1)], "document_id string, chunk_id string, content string, page_start int")
+    reviews = spark.createDataFrame([("a", "c", "r1", "completed", "fixed", 0.99, 1, 0), ("a", "c", "r0", "pending", "old", 0.1, 0, 0)], "document_id string, chunk_id string, review_id string, status string, reviewed_content string, confidence double, updated_at int, n_changes int")
+    latest = state.latest_reviews(reviews)
+    assert [(r.document_id, r.review_id) for r in latest.collect()] == [("a", "r1")]
+    queue = triage.triage(chunks, latest)
+    assert {(r.document_id, r.rule_suggestion, r.lane) for r in queue.collect()} == {("a", "fixed", "auto"), ("b", "two", "normal")}
+    assert {r.document_id for r in state.pending(chunks, latest).collect()} == {"b"}
+    merged = triage.merge(triage.call_in_batches(queue, triage.echo_client), queue)
+    assert {(r.document_id, r.source) for r in merged.collect()} == {("a", "rule_high_confidence"), ("b", "hybrid_agreement")}
+    assert state.without_embedding(chunks, chunks.filter("document_id = 'a'").select("document_id", "chunk_id")).count() == 1
+    assert triage.human_queue(chunks.withColumn("section_hierarchy", F.lit("s")), latest).count() == 0
+
+
+def test_batches_follow_documents(spark):
+    queue = spark.createDataFrame([(f"d{i % 3}", f"c{i:03d}", "t", "high", "r", 0.5) for i in range(50)], "document_id string, chunk_id string, content string, lane string, rule_suggestion string, rule_confidence double")
+
+    def sizes():
+        return lambda batch: [{"suggestion": ",".join(x["chunk_id"] for x in batch)} for _ in batch]
+
+    got = {r.suggestion for r in triage.call_in_batches(queue.repartition(5), sizes, EngineConfig(batch_size=7)).collect()}
+    want = {d: [f"c{i:03d}" for i in range(50) if i % 3 == d] for d in range(3)}
+    assert got == {",".join(x[i : i + 7]) for x in want.values() for i in range(0, len(x), 7)}
+
+
+def test_marker_in_text(spark):
+    from quire.functions.text import match_starts
+
+    assert one(spark, match_starts(F.col("t"), "ab"), t="\x01ab\x01\x01ab") == [1, 5]
+
+
+def test_gate_and_markup_in_the_plan(spark):
+    from quire.plans import review as plan
+
+    schema = "document_id string, chunk_id string, page_start int, section_hierarchy string, chunk_type string, content string, rows int, caption string, image_size bigint, image_index int"
+    rows = [("d", "t", 1, "1.1 Intro", "text", "see.The teh page, Figure 7", None, None, None, None), ("d", "f", 2, "Figure 7", "figure", "[Figure 7]\nCaption: x", None, "x", 20000, 6), ("e", "t", 1, "", "text", "fine Figure 7", None, None, None, None), ("d", "o", 3, "", "other", "teh", None, None, None, None)]
+    chunks = spark.createDataFrame(rows, schema)
+    none = spark.createDataFrame([], "document_id string, ref_type string, target string")
+    replies = spark.createDataFrame([("d", "t", "better", 0.999), ("e", "t", "worse", 0.999)], "document_id string, chunk_id string, content string, confidence double")
+    result = plan.review(chunks, none, EngineConfig(llm_min_gain=0.01), replies)
+    got = {(r.document_id, r.chunk_id): r for r in result.reviewed.collect()}
+    assert got["d", "t"].accepted and got["d", "t"].reviewed_content == "better" and got["d", "t"].confidence == 0.999
+    assert not got["e", "t"].asked and got["e", "t"].reviewed_content == "fine Figure 7" and got["d", "o"].reviewed_content == "teh" and got["d", "o"].confidence == 1.0
+    assert {(r.document_id, r.is_valid) for r in result.references.collect()} == {("d", True), ("e", False)}
+    meta = spark.createDataFrame([("d", "Guide", "d.pdf", 3, "today")], "document_id string, title string, filename string, total_pages int, review_date string")
+    text = {r.document_id: r.text for r in plan.documents_of(plan.review(chunks, none), meta).collect()}
+    assert text["d"].startswith("# Guide\n\n**Source:** d.pdf\n**Review Date:** today\n**Total Pages:** 3\n\n---\n\n## Table of Contents\n\n- [1.1 Intro](#11-intro)\n")
+    assert '~~teh~~ <span style="color:red">the</span>' in text["d"] and "# Cross-Reference Validation Report" in text["d"] and text["e"].startswith("<!-- Page 1 -->\nfine Figure 7")
+
+
+def test_save_replaces_only_its_documents(spark, tmp_path):
+    from quire.plans import review as plan
+
+    schema = "document_id string, chunk_id string, page_start int, section_hierarchy string, chunk_type string, content string, rows int, caption string, image_size bigint, image_index int"
+    none = spark.createDataFrame([], "document_id string, ref_type string, target string")
+    made = lambda d, text: plan.review(spark.createDataFrame([(d, "c", 1, "s", "text", text, None, None, None, None)], schema), none)
+    for d, text in (("a", "one"), ("b", "two"), ("b", "three"), ("b", "three")):
+        plan.save(made(d, text), str(tmp_path / "out"))
+    got = {(r.document_id, r.content) for r in spark.read.parquet(str(tmp_path / "out" / "chunks")).collect()}
+    assert got == {("a", "one"), ("b", "three")} and spark.read.parquet(str(tmp_path / "out" / "reviews")).count() == 2
+
+
+def test_replies_with_changes(spark):
+    got = one(spark, triage.parse_reply(F.col("t")), t='{"corrected_text": "a", "confidence": 0.9, "changes": [{"original": "x", "corrected": "y"}, "plain", null]}')
+    assert [(c.type, c.original, c.corrected, c.confidence, c.reason) for c in got.changes] == [("llm_suggestion", "x", "y", 0.9, "LLM suggestion"), ("llm_suggestion", "", "plain", 0.9, "LLM suggestion")]
+    answers = [one(spark, crossref.parse_reference_reply(F.col("t")), t=t) for t in ('{"valid": true, "suggested_target": "3", "confidence": 0.9}', "no json")]
+    assert [(a.valid, a.suggested_target, a.confidence) for a in answers] == [(True, "3", 0.9), (False, None, None)]
+
+
+def test_change_sections(spark):
+    change = "array<struct<type:string,original:string,corrected:string,reason:string,severity:string,description:string>>"
+    rows = [("d", "c1", [("spelling", "teh", "the", "r", None, None), ("spelling", "teh", "the", "r", None, None), ("grammar", "  ", " ", "Multiple spaces", None, None), ("grammar", ".A", ". A", "Missing space after punctuation", None, None), ("style", "1 - 2", "1-2", None, None, None)]), ("d", "c2", [("table_issue", None, None, None, "high", "Bad row"), ("figure_issue", None, None, None, "low", "Small"), ("other", "a", "b", "", None, None)])]
+    got = report.change_sections(report.latest_changes(spark.createDataFrame(rows, f"document_id string, chunk_id string, changes {change}"))).first().sections
+    assert got == (
+        "## Spelling Corrections\n\n**Total:** 2 corrections\n\n**Examples:**\n```diff\n- teh\n+ the\n```\n\n---\n\n"
+        "## Grammar & Formatting Fixes\n\n**Total:** 2 fixes\n\n**Whitespace Corrections:** 2\n```diff\n- '  ' (extra spaces)\n+ ' ' (single space)\n- '.A' (extra spaces)\n+ '. A' (single space)\n```\n"
+        "**Punctuation Spacing:** 1\n```diff\n- .A\n+ . A\n```\n\n---\n\n"
+        "## Style Improvements\n\n**Total:** 1 improvements\n\n**Examples:**\n```diff\n- 1 - 2\n+ 1-2\n  # Style improvement\n```\n\n---\n\n"
+        "## Tables & Figures Issues\n\n**Total Issues:** 2\n\n**High Severity:** 1\n  - Bad row\n**Low Severity:** 1\n\n---\n\n"
+    )
+
+
+def test_written_files(spark, tmp_path):
+    df = spark.createDataFrame([("a", "one\ntwo"), ("b", "three")], "document_id string, text string")
+    report.write_text(df, "text", str(tmp_path / "t"))
+    report.write_json(df, str(tmp_path / "j"))
+    assert {(r.document_id, r.value) for r in spark.read.text(str(tmp_path / "t")).collect()} == {("a", "one"), ("a", "two"), ("b", "three")}
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+    assert [i.type for i in one(spark, tables.issue_changes("table_issue", tables.table_issues(F.col("t"), F.lit(0))), t="none")] == ["table_issue"]
+
+
+def test_greedy_alignment_against_brute_force(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    side = lambda n: [(f"d{i % 3}", i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(n)]
+    one_, two = side(40), side(35)
+    want = set()
+    for d in ("d0", "d1", "d2"):
+        left, right = ([(i, np.array(e) / np.linalg.norm(e)) for x, i, e in s if x == d] for s in (one_, two))
+        free = dict(right)
+        for i, e in left:
+            best = max(free, key=lambda j: (round(float(e @ free[j]), 12), -j), default=None)
+            if best is not None and e @ free[best] >= 0.7:
+                want.add((d, i, best))
+                del free[best]
+            else:
+                want.add((d, i, None))
+        want |= {(d, None, j) for j in free}
+    v1 = spark.createDataFrame(one_, "document_id string, id1 long, e1 array<double>")
+    v2 = spark.createDataFrame(two, "document_id string, id2 long, e2 array<double>")
+    assert {(r.document_id, r.id1, r.id2) for r in diff.align_greedy(v1, v2).collect()} == want
+
+
+def test_comparison_by_meaning(spark):
+    schema = "document_id string, section_hierarchy string, chunk_type string, ord long, page_start int, content string, e array<double>"
+    v1 = spark.createDataFrame([("d", "A", "text", 1, 1, "alpha", [1.0, 0.0]), ("d", "B", "text", 2, 1, "beta", [0.0, 1.0])], schema)
+    v2 = spark.createDataFrame([("d", "X", "text", 1, 2, "alphas", [1.0, 0.1]), ("d", "Y", "text", 2, 2, "new", [-1.0, 0.0])], schema)
+    changed, counts, log = diff.compare(v1, v2, F.lit("one → two"))
+    assert {(r.section, r.change_type) for r in changed.collect()} == {("A", "modified"), ("B", "removed"), ("Y", "added")}
+    assert {(r.section, r.change_type) for r in diff.compare(v1, v2, F.lit("t"), semantic=False)[0].collect()} == {("A", "removed"), ("B", "removed"), ("X", "added"), ("Y", "added")}
+    assert counts.first().total_changes == 3 and "# Document Changelog" in log.first().changelog
+
+
+def test_word_markup_against_the_differ(spark):
+    from difflib import SequenceMatcher
+
+    texts = [("one two three four", "one 2 three"), ("", "new words"), ("gone now", ""), ("same text", "same text")]
+    got = [r.m for r in spark.createDataFrame(texts, "a string, b string").select(language.word_markup("a", "b").alias("m")).collect()]
+    for (a, b), text in zip(texts, got):
+        x, y, out = a.split(), b.split(), []
+        for tag, i, j, k, m in SequenceMatcher(None, x, y).get_opcodes():
+            out += x[i:j] if tag == "equal" else [f"~~{' '.join(x[i:j])}~~"] * (j > i) + [f'<span style="color:red">{" ".join(y[k:m])}</span>'] * (m > k)
+        assert text == " ".join(out)
