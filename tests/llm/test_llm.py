@@ -1,6 +1,7 @@
 """The training-text operators against brute force, and on nulls, ties, repeats, empty tables and odd columns."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -124,6 +125,23 @@ def test_bpe_splits_by_the_given_pattern():
     assert bpe._splitter(r"\p{L}|[^\p{L}]")("ab 1") == ["a", "b", " ", "1"]
 
 
+def test_bpe_long_words_and_repeated_rows(spark):
+    long = "averylongseparator" * 30
+    texts = [f"{long} own{i} {long} rare{i % 7} {long}" for i in range(40)]
+    df = frame(spark, texts)
+    path, pattern = tokenizer()
+    got = bpe.encode(df.unionByName(df.filter("doc_id < 5")), path, pattern, head_docs=10, head_words=3, head_bytes=200).collect()
+    want = reference_ids(texts)
+    assert len(got) == 45 and all(np.frombuffer(r.ids, "<u4").tolist() == want[r.doc_id] for r in got)
+
+
+def test_bpe_decode_awkward(spark):
+    path, _ = tokenizer()
+    df = spark.createDataFrame([(1, None, "x"), (2, bytearray(b""), "y")], "doc_id long, ids binary, decoded string")
+    got = {r.doc_id: r.decoded for r in bpe.decode(df, path).collect()}
+    assert got[1] is None and bytes(got[2]) == b"" and bpe.decode(df.limit(0), path).count() == 0
+
+
 # Quality rules
 
 
@@ -156,6 +174,56 @@ def test_quality_rules_awkward(awkward, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def brute_limits(values, unit):
+    """Low and high of one group by the rule on bucketed values."""
+    step = lambda x: -1 if x < quality_rules.ZERO else int(np.floor(np.log(x / quality_rules.ZERO) / float(np.log1p(quality_rules.WIDTH))))
+    value = lambda b: 0.0 if b < 0 else (1 + quality_rules.WIDTH) ** b * quality_rules.ZERO
+    n = Counter(map(step, values))
+    at, total, upto = sorted(n), len(values), 0
+    cum = [upto := upto + n[b] for b in at]
+    v = [value(b) for b in at]
+    median = next(x for x, c in zip(v, cum) if 2 * c >= total)
+    enough = lambda k: max(quality_rules.LEAST_TAIL, quality_rules.TAIL * total) <= k <= quality_rules.MOST_TAIL * total
+    wide = lambda gap, reach: gap > quality_rules.GAP * reach and gap > quality_rules.UNITS * unit
+    gaps = list(zip(v, v[1:], cum))
+    high = [(a + b) / 2 for a, b, c in gaps if a >= median and enough(total - c) and wide(b - a, a - median)]
+    low = [(a + b) / 2 for a, b, c in gaps if b <= median and enough(c) and wide(b - a, median - b)]
+    return max(low, default=None), min(high, default=None)
+
+
+def test_quality_thresholds(spark):
+    m = quality_rules.metrics(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).cache()
+    rows = [r for r in m.collect() if not r.base_failed]
+    got = {(r.level, r.lang, r.source): r for r in quality_rules.limits(quality_rules.sketches(m)).collect()}
+    found = 0
+    for level, key in ((0, lambda r: (0, r.lang, r.source)), (1, lambda r: (1, r.lang, None)), (3, lambda r: (3, None, None))):
+        groups = {}
+        for r in rows:
+            groups.setdefault(key(r), []).append(r)
+        assert set(groups) == {k for k in got if k[0] == level}
+        for k, group in groups.items():
+            assert got[k].n == len(group)
+            for ratio, of in quality_rules.RATIOS.items():
+                middle = brute_quantile([r[of] for r in group])
+                low, high = brute_limits([r[ratio] for r in group], 1 / max(middle, 1))
+                for side, want in (("low", low), ("high", high)):
+                    have = got[k][f"{side}_{ratio}"]
+                    assert (have is None) == (want is None) and (want is None or abs(have - want) < 1e-9)
+                    found += want is not None
+    assert found > 5  # the method sets thresholds on its own
+    kept = {r.doc_id: r for r in quality_rules.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    judged = [i for i in labels if not kept[i].base_failed]
+    assert np.mean([kept[i].kept for i in judged if labels[i] == 1]) >= 0.99 and np.mean([kept[i].kept for i in judged if labels[i] == 0]) <= 0.1
+
+
+def brute_quantile(values):
+    """The median as the sketch gives it: the lower edge of the bucket in which it lies."""
+    b = sorted(-1 if x < quality_rules.ZERO else int(np.floor(np.log(x / quality_rules.ZERO) / float(np.log1p(quality_rules.WIDTH)))) for x in values)
+    b = b[(len(b) + 1) // 2 - 1]
+    return 0.0 if b < 0 else (1 + quality_rules.WIDTH) ** b * quality_rules.ZERO
+
+
 # WARC
 
 
@@ -178,6 +246,40 @@ def test_revisits(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_revisits_awkward(spark):
+    schema = "record_id long, kind string, url string, ts long, etag string, last_modified string, headers map<string,string>, payload string, _status string, _id int, canonical string, row int, key int, found int"
+    more = ("s", 1, "c", 1, 1, 1)
+    long = "x" * 500_000
+    rows = [
+        (None, "response", "http://a.com/x", 10, "e1", None, {"server": "s"}, long, *more), (None, "revisit", "http://a.com/x", 20, "e1", None, {}, None, *more),
+        (5, "revisit", "http://a.com/x", 30, "e1", None, None, None, *more), (5, "revisit", "http://a.com/x", 30, "e1", None, None, None, *more), (5, "revisit", "http://b.com/x", 30, "e1", None, {}, "own", *more),
+        (7, "response", "http://c.com/", 40, "e", None, {}, "two", *more), (7, "response", "http://c.com/", 40, "e", None, {}, "two", *more), (8, "revisit", "http://c.com", 41, "e", None, {}, None, *more),
+        (None, None, None, None, None, None, None, None, *more), (9, "revisit", "http://a.com/x", None, "e1", None, {}, None, *more),
+    ]
+    got = warc.resolve_revisits(spark.createDataFrame(rows, schema))
+    assert set(got.columns) == {x.split(" ")[0] for x in schema.split(", ")} | {"status", "refers_to"}
+    seen = Counter((r.record_id, r.kind, r.status, r.refers_to, len(r.payload or ""), r.canonical, r._status) for r in got.collect())
+    assert seen == Counter({
+        (None, "response", "full", None, 500_000, "a.com/x", "s"): 1, (None, "revisit", "resolved", None, 500_000, "a.com/x", "s"): 1, (5, "revisit", "resolved", None, 500_000, "a.com/x", "s"): 2,
+        (5, "revisit", "missing", None, 3, "b.com/x", "s"): 1, (7, "response", "full", None, 3, "c.com", "s"): 2, (8, "revisit", "resolved", 7, 3, "c.com", "s"): 1,
+        (None, None, "other", None, 0, None, "s"): 1, (9, "revisit", "missing", None, 0, "a.com/x", "s"): 1,
+    })
+
+
+def test_revisits_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["response", "revisit", "revisit"]), f"http://a.com/{rng.randint(0, 3)}", rng.randint(0, 40) * 700, rng.choice(["e1", "e2", None]), rng.choice(["d1", "d2", None]), {"n": str(i)}, f"p{i}") for i in range(300)]
+    schema = "record_id long, kind string, url string, ts long, etag string, last_modified string, headers map<string,string>, payload string"
+    got = {r.record_id: r for r in warc.resolve_revisits(spark.createDataFrame(rows, schema)).collect()}
+    for i, kind, url, ts, tag, date, _, own in rows:
+        if kind == "response":
+            continue
+        last = max((r for r in rows if r[1] == "response" and r[2] == url and (r[3], r[0]) < (ts, i)), key=lambda r: (r[3], r[0]), default=None)
+        both = [] if last is None else [a == b for a, b in ((tag, last[4]), (date, last[5])) if a and b]
+        want = "missing" if last is None else "resolved" if both and all(both) else "mismatch"
+        assert (got[i].status, got[i].refers_to, got[i].payload) == (want, last[0] if want == "resolved" else None, last[7] if want == "resolved" else own)
+
+
 # Quality classifier
 
 
@@ -190,6 +292,31 @@ def test_weak_labels(spark, docs, awkward, empty):
     assert weak_labels.classify(awkward).count() == 8 and weak_labels.classify(empty).count() == 0
 
 
+def test_em_recovers_the_labellers():
+    rng = np.random.default_rng(11)
+    k, n = len(weak_labels.LABELLERS), 20_000
+    alarm = np.stack([rng.uniform(0.005, 0.06, k), rng.uniform(0.2, 0.7, k)], axis=1)
+    bad = rng.random(n) < 0.2
+    votes = np.where(rng.random((n, k)) < alarm[:, 1] * bad[:, None] + alarm[:, 0] * ~bad[:, None], weak_labels.BAD, weak_labels.GOOD)
+    votes[rng.random((n, k)) < 0.25] = weak_labels.NONE
+    codes = (votes * 3 ** np.arange(k)).sum(axis=1)
+    prior, found, posterior = weak_labels.estimate(Counter(codes.tolist()))
+    assert abs(prior - 0.8) < 0.02 and np.abs(found - alarm).max() < 0.05
+    assert np.mean([(posterior[c] < 0.5) == b for c, b in zip(codes.tolist(), bad)]) > 0.95
+
+
+def test_em_of_real_labellers(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = [(weak_labels.vote((r.text or "").encode()), labels.get(r.doc_id)) for r in docs.select("doc_id", "text").collect()]
+    _, alarm, _ = weak_labels.estimate(Counter(c for c, _ in rows))
+    votes = np.array([[c // 3**i % 3 for i in range(len(weak_labels.LABELLERS))] for c, _ in rows])
+    for k, quality in enumerate((1, 0)):
+        own = votes[[q == quality for _, q in rows]]
+        true = (own == weak_labels.BAD).sum(axis=0) / np.maximum((own != weak_labels.NONE).sum(axis=0), 1)
+        assert np.abs(alarm[:, k] - true).max() < (0.03 if quality else 0.2)
+
+
 # SimHash
 
 
@@ -224,6 +351,30 @@ def test_links_connect_what_is_near(spark, monkeypatch):
     assert all(got.get(v, v) == find(parent, v) for v in signed)
 
 
+@pytest.mark.parametrize("radius", [2, 6])
+def test_components_end_to_end(spark, radius):
+    rng = random.Random(radius)
+    base = [[rng.choice("abcdefghijklmnop") * rng.randint(1, 4) for _ in range(120)] for _ in range(12)]
+    texts = []
+    for words in base:
+        for _ in range(5):
+            own = list(words)
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(len(own))] = "edit"
+            texts.append(" ".join(own))
+    texts += [None, "", "alone"]
+    got = {r.doc_id: r for r in simhash.near_duplicates(frame(spark, texts), radius=radius).collect()}
+    fps = [simhash.fingerprint((t or "").encode()) for t in texts]
+    parent = {i: i for i in range(len(texts))}
+    for i in parent:
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                x, y = find(parent, i), find(parent, j)
+                parent[max(x, y)] = min(x, y)
+    assert {i: r.component_id for i, r in got.items()} == {i: find(parent, i) for i in parent}
+    assert len(set(r.component_id for r in got.values())) < len(texts) - 10
+
+
 def test_fingerprint(spark, docs, awkward, empty):
     def slow(t):
         w = (t or "").encode().lower().split()
@@ -296,6 +447,13 @@ def test_toxicity(spark, awkward, empty):
     assert toxicity.toxicity(awkward, lab.limit(0)).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = toxicity.toxicity(docs, labels.unionByName(labels.limit(500))).filter("held_out").join(labels, "doc_id").collect()
+    toxic, other = ([r.predicted for r in held if r.toxic == t] for t in (1, 0))
+    assert len(toxic) > 80 and np.mean(toxic) >= 0.9 and np.mean(other) <= 0.01
+
+
 # Decontamination
 
 
@@ -361,6 +519,72 @@ def test_main_text_of_copies(spark):
     assert got == {1: "Slogan Body one Body two", 2: "Body one Body two", 3: "Other"}
 
 
+def page_frame(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_article_ends(spark):
+    page = "<body><article><p>Share this</p><p>{0}</p><p>Same words</p><p>end {0}</p><p>Subscribe</p></article></body>"
+    pages = page_frame(spark, [(i, f"http://a.com/p/{i}", page.format(f"text {i}")) for i in range(4)])
+    plain, cut = ({r.page_id: r.text for r in html_main.main_text(pages, ends).collect()} for ends in (False, True))
+    assert plain[1] == "Share this text 1 Same words end text 1 Subscribe" and cut[1] == "text 1 Same words end text 1"
+    assert cut[0] == plain[0]  # one neighbour only
+    alone = html_main.main_text(pages.filter("page_id = 1"), True).collect()
+    assert [r.text for r in alone] == [plain[1]]
+
+
+def lcs(x, y):
+    t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for a in range(len(x)):
+        for b in range(len(y)):
+            t[a + 1][b + 1] = t[a][b] + 1 if x[a] == y[b] else max(t[a][b + 1], t[a + 1][b])
+    return t[-1][-1]
+
+
+def test_main_text_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(html_main, "BLOCK_PAGES", 7)
+    rng = random.Random(12)
+    pages = []
+    for i in range(60):
+        own = [f"page{i}line{j}" if rng.random() < 0.6 else f"slogan{rng.randint(0, 3)}" for j in range(rng.randint(1, 12))]
+        if i and rng.random() < 0.15:
+            own = pages[-1][3]
+        pages.append((i, f"http://h{i % 2}.com/d{rng.randint(0, 3)}/{rng.randint(0, 99)}", "<body><nav>Menu</nav>" + "".join(f"<p>{x}</p>" for x in own) + "</body>", own))
+    got = {r.page_id: r.text.split() for r in html_main.main_text(page_frame(spark, [p[:3] for p in pages])).collect()}
+    host, path = lambda u: u.split("/")[2], lambda u: u.split(".com")[1]
+    order = sorted(pages, key=lambda p: (host(p[1]), path(p[1]), p[0]))
+    differs = 0
+    for k, (i, url, _, own) in enumerate(order):
+        if any(p[3] == own and p[0] != i for p in pages):
+            continue  # copies at a block's end may lack a neighbour
+        beside = [next((p for p in side if host(p[1]) == host(url)), None) for side in (order[:k][::-1], order[k + 1 :])]
+        beside = sorted((p for p in beside if p), key=lambda p: -len(os.path.commonprefix([path(p[1]), path(url)])))
+        proper = [p[3] for p in beside if lcs(own, p[3]) < html_main.COPY * len(own)]
+        kept, it = got[i], iter(own)
+        assert all(x in it for x in kept)
+        gone = Counter(own) - Counter(kept)
+        assert len(own) - len(kept) == (lcs(own, proper[0]) if proper else 0) and (not gone or gone <= Counter(proper[0]))
+        differs += len(kept) < len(own)
+    assert differs > 10
+
+
+def test_main_text_awkward(spark):
+    df = page_frame(spark, [(None, None, None), (1, "", "<p>a</p>"), (1, "", "<p>a</p>"), (2, "http://a.com/" + "x" * 5000, "<p>" + "word " * 200_000 + "</p>"), (3, "http://a.com/t", "<p>tie</p>"), (4, "http://a.com/t", "<p>tie</p>")])
+    got = html_main.main_text(df.withColumns({c: F.lit(1) for c in ("block", "path", "z", "ids", "key", "ends", "before")})).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, 1), (1, 1), (2, 999_999), (3, 3), (4, 3)]
+    assert html_main.main_text(df.limit(0)).count() == 0
+
+
+def test_alignment_in_halves(monkeypatch):
+    rng = random.Random(3)
+    cases = [([rng.randint(0, 4) for _ in range(rng.randint(0, 12))], [rng.randint(0, 4) for _ in range(rng.randint(0, 12))]) for _ in range(400)]
+    whole = [len(html_main.shared(a, b)) for a, b in cases]
+    monkeypatch.setattr(html_main, "CELLS", 10)
+    for (a, b), n in zip(cases, whole):
+        found, it = sorted(html_main.shared(a, b)), iter(b)
+        assert len(found) == n and all(a[i] in it for i in found)
+
+
 # The pipeline
 
 
@@ -386,3 +610,15 @@ def test_pipeline(spark):
     got = corpus_pipeline.run(spark, DATA).collect()
     assert {r.doc_id: r.decoded_sha256 for r in got} == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontaminate", "byte_bpe"]
+
+
+def test_pipeline_stages_awkward(spark, awkward, empty):
+    import corpus_pipeline
+
+    clash = awkward.drop("n_lines", "fingerprint", "score").withColumns({c: F.lit(7) for c in ("lang_pred", "rejected", "_h", "_key", "n_hit", "root")})
+    for name, apply in corpus_pipeline.STAGES:
+        for df in (clash, empty):
+            out = apply(spark, df, DATA)
+            rows = out.collect()
+            assert name == "byte_bpe" or out.columns == df.columns
+            assert len(rows) <= df.count() and (len(rows) > 0) == (df is clash)
