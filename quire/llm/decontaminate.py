@@ -24,8 +24,12 @@ def words(text: Column) -> Column:
 
 def _small(df: DataFrame, key: str) -> DataFrame:
     """Hint a broadcast only for a vocabulary whose size has been checked."""
+    return F.broadcast(df) if _is_small(df, key) else df
+
+
+def _is_small(df: DataFrame, key: str) -> bool:
     n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(key) + 32), F.lit(0))).first()
-    return F.broadcast(df) if n <= BROADCAST_WORDS and size <= BROADCAST_BYTES else df
+    return n <= BROADCAST_WORDS and size <= BROADCAST_BYTES
 
 
 def item_windows(items: DataFrame, window: int = 10) -> DataFrame:
@@ -41,8 +45,9 @@ def prefix_tokens(grams: DataFrame, docs: DataFrame) -> DataFrame:
     each = grams.select("gram", "item_ids", F.posexplode("gram").alias("off", "token"))
     vocabulary = each.select("token").distinct()
     # Rarity only orders the words, so the cheaper full lower-casing is good enough for counting.
-    seen = docs.select(F.explode(words(F.lower("text"))).alias("token")).join(_small(vocabulary, "token"), "token").groupBy("token").agg(F.count("*").alias("n"))
-    rarity = each.join(seen, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    hinted = F.broadcast if _is_small(vocabulary, "token") else lambda df: df
+    seen = docs.select(F.explode(words(F.lower("text"))).alias("token")).join(hinted(vocabulary), "token").groupBy("token").agg(F.count("*").alias("n"))
+    rarity = each.join(hinted(seen), "token", "left")  # no more rows than the vocabulary.withColumn("n", F.coalesce("n", F.lit(0)))
     first = rarity.groupBy("gram", "item_ids").agg(F.min(F.struct("n", "token", "off")).alias("p"))
     return first.groupBy(F.col("p.token").alias("token")).agg(F.collect_list(F.struct(F.col("p.off").alias("off"), "gram", "item_ids")).alias("wins"))
 
