@@ -56,6 +56,17 @@ def in_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(sliced, schema)
 
 
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns ``own``, and all others as one struct ``_rest``, so that none of them can clash with a helper's columns."""
+    rest = [c for c in docs.columns if c not in own]
+    return docs.select(*own, (F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(True)).alias("_rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """``columns`` in their order, from ``df`` itself or from its ``_rest``, and ``more`` behind."""
+    return df.select(*[F.col(c) if c in df.columns else F.col("_rest").getField(c).alias(c) for c in columns], *more)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; other letters keep their case."""
     return F.translate(text, UPPER, LOWER)

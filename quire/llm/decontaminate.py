@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import lower_ascii, stage
+from quire.llm.common import lower_ascii, packed, stage, unpacked
 
 #: Fixed value: a word is a run of ASCII letters, digits and any non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -107,8 +107,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, min_h
     Rows are matched by doc_id and text, so repeated rows share the verdict.
     """
     hit = marked(docs, items, window).filter(F.col("n_hit") >= min_hit).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    return keyed.join(hit, keyed["doc_id"].eqNullSafe(hit["_id"]) & (keyed["_key"] == hit["_h"]), "left_anti").drop("_key")
+    keyed = packed(docs, "doc_id", "text").withColumn("_key", F.xxhash64("text"))
+    return unpacked(keyed.join(hit, keyed["doc_id"].eqNullSafe(hit["_id"]) & (keyed["_key"] == hit["_h"]), "left_anti"), docs.columns)
 
 
 ORACLE = r"""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import held_out, in_batches
+from quire.llm.common import held_out, in_batches, packed, unpacked
 
 FEATURES = 1 << 12
 #: Bound on the sample for the centroids: about so many documents of each language, however many there are.
@@ -224,6 +224,5 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that are rejected; all columns stay as they are."""
     learn = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 != 1, F.lit(False))
-    columns = docs.columns
-    found = predict(docs, fit(docs.filter(learn)), columns)
-    return found.filter("NOT rejected").select(*columns)
+    found = predict(packed(docs, "text"), fit(docs.filter(learn)), ["_rest", "text"])
+    return unpacked(found.filter("NOT rejected").select("_rest", "text"), docs.columns)

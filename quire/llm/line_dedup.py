@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import stage
+from quire.llm.common import packed, stage, unpacked
 
 #: A unit is a line with text and the blank lines that follow it.
 BREAK = r"\n(?=[^\n]*\S)"
@@ -115,14 +115,15 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     runs = later_runs(docs.select("doc_id", "text"), min_words)
     gone = runs.groupBy(*DOC).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("n") - 1))))).alias("_gone"))
     gone = gone.withColumnsRenamed({"doc_id": "_doc_id", "h": "_h"})
-    keyed = docs.drop("n_lines", "n_dropped").withColumn("_key", F.xxhash64("text"))
+    docs = docs.drop("n_lines", "n_dropped")
+    keyed = packed(docs, "doc_id", "text").withColumn("_key", F.xxhash64("text"))
     out = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_doc_id"]) & (keyed["_key"] == gone["_h"]), "left")
     units = F.split("text", BREAK)
     kept = F.array_except(F.sequence(F.lit(0), F.size(units) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_units"), i)), "\n"))
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_units") - (F.trim(F.regexp_replace(F.get("_units", F.lit(0)), r"\s+", "")) == "").cast("int"))
     out = out.withColumn("_units", units).withColumn("n_lines", lines.cast("long")).withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    return out.withColumn("text", text).drop("_key", "_doc_id", "_h", "_gone", "_units")
+    return unpacked(out.withColumn("text", text), docs.columns, "n_lines", "n_dropped")
 
 
 #: The same rule without ranks: every minimal run as joined text, grouped.

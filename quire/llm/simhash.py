@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import in_batches, stage
+from quire.llm.common import in_batches, packed, stage, unpacked
 
 #: Larger blocks are keyed again by parts of the bits that are left, once, and up to radius 2 twice.
 MAX_BLOCK = 4096
@@ -244,6 +244,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 def keep_representatives(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """One document of each component, with all columns: the smallest doc_id's (null ids last, then by the text's hash)."""
     first = _grouped(docs, shingle, radius)[1].select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h")).distinct()
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_id"]) & (keyed["_h"] == first["_h"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_h"]).drop("_h")
+    keyed = packed(docs, "doc_id", "text").withColumn("_key", F.xxhash64("text"))
+    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_id"]) & (keyed["_key"] == first["_h"]), "left_semi")
+    return unpacked(kept.dropDuplicates(["doc_id", "_key"]), docs.columns)
