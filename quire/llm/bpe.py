@@ -17,6 +17,7 @@ import base64
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -99,8 +100,8 @@ class _Head:
 
     def pack(self, words: list[str]) -> bytes:
         """The words' numbers by lower, middle and upper bytes, which compress better apart."""
-        get, hole = self.numbers.get, self.hole
-        return np.array([get(w, hole) for w in words], "<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+        numbers = np.fromiter(map(self.numbers.get, words, repeat(self.hole)), "<u4", len(words))
+        return numbers.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
 
     def fill(self, packed: bytes, own: list[bytes] | None) -> np.ndarray:
         """The ids of a document: those of its head words, and in each hole those of the word that belongs there."""
