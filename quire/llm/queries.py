@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, html_main, language_id, line_dedup, quality_rules, simhash, toxicity, warc, weak_labels
+from quire.llm import bpe, decontaminate, html_main, importance, language_id, line_dedup, quality_rules, simhash, toxicity, warc, weak_labels, whitening
 from quire.llm.common import read
 
 
@@ -62,6 +62,15 @@ def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_text(read(spark, sf_dir, "pages"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(read(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -73,10 +82,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_html_main": op10_html_main,
+    "op11_importance": op11_importance,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op4_warc_revisit": warc.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op11_importance": importance.ORACLE,
 }
