@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, html_main, importance, language_id, line_dedup, quality_rules, simhash, toxicity, warc, weak_labels, whitening
+from quire.llm import bpe, decontaminate, html_main, importance, language_id, line_dedup, maxent, quality_rules, simhash, toxicity, warc, weak_labels, whitening
 from quire.llm.common import read
 
 
@@ -71,6 +71,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.by_component(whitening.whiten(read(spark, sf_dir, "embeddings")))
 
 
+def op13_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.language_model(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_main": op10_html_main,
     "op11_importance": op11_importance,
     "op12_whitening": op12_whitening,
+    "op13_maxent": op13_maxent,
 }
 
 ORACLES: dict[str, str] = {
