@@ -29,7 +29,7 @@ from quire.llm.common import held_out, in_batches, stage
 #: Words that all tasks hold, at most, and the bytes that each may have; words with a number of their own as features.
 HEAD, HEAD_BYTES, NUMBERED = 200_000, 64, 16_384
 #: Most frequent words with a class of their own, each of which also has a class of companions; one more class is for the rest.
-MARKS = 31
+MARKS = 24
 CLASSES = 2 * MARKS + 2
 #: A word's company is what stands up to so many places from it.
 NEAR = 4
@@ -40,6 +40,7 @@ BUCKETS = 1 << BITS
 ROUNDS, STEP, RATE = 3, 8192, 0.7
 #: Distinct words that a task counts before it sends them on.
 KEPT_WORDS = 400_000
+SHORT = 6  # occurrences of a feature in a step that are added place by place
 DEPTH = 3  # of the tree in which tasks merge their weights
 #: Odd multipliers whose products' high bits are well mixed.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -99,6 +100,7 @@ class Places:
 
 
 def places(model: Model, texts: list[bytes | None], features: bool = True) -> Places:
+    """Words and their numbers; with ``features`` also the classes of words without a number, and the features."""
     flat, length = [], np.empty(len(texts), np.int64)
     for i, t in enumerate(texts):
         own = tokens(t)
@@ -107,7 +109,7 @@ def places(model: Model, texts: list[bytes | None], features: bool = True) -> Pl
         flat.append(None)
     ids = np.fromiter(map(model.number.get, flat, repeat(-1)), np.int64, len(flat))
     group = model.group[np.maximum(ids, 0)]
-    for i in np.flatnonzero(ids < 0).tolist():
+    for i in np.flatnonzero(ids < 0).tolist() if features else ():
         group[i] = model.by_letters(flat[i])
     return Places(flat, ids, group, hashed(ids, group, length) if features else np.empty((0, 0)), length)
 
@@ -133,12 +135,13 @@ def hashed(ids: np.ndarray, group: np.ndarray, length: np.ndarray) -> np.ndarray
 
 def chances(w: np.ndarray, features: np.ndarray) -> np.ndarray:
     """The probability of every class at each place."""
-    z = w[features[:, 0]] + w[-1]
+    z = w.take(features[:, 0], axis=0)
+    z += w[-1]
     for k in range(1, features.shape[1]):
-        z += w[features[:, k]]
+        z += w.take(features[:, k], axis=0)
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
@@ -248,19 +251,33 @@ def weighed(model: Model, counted: DataFrame, texts: int) -> Model:
     return replace(model, total=int(t[:, 0].sum()), types=int(t[:, 1].sum()), discount=d, inside=inside, unknown=np.log10(np.maximum(unknown, 1e-300)), norm=np.log10(norm), weights=w)
 
 
+def summed(p: np.ndarray, rows: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The sums of ``p[rows]`` over stretches of ``length`` from ``first`` on; most are short, so these go place by place."""
+    out = p.take(rows[first], axis=0)
+    for k in range(1, SHORT):
+        at = np.flatnonzero(length > k)
+        out[at] += p.take(rows[first[at] + k], axis=0)
+    for i in np.flatnonzero(length > SHORT).tolist():
+        rest = rows[first[i] + SHORT : first[i] + length[i]]
+        out[i] += np.ones(len(rest), p.dtype) @ p.take(rest, axis=0)
+    return out
+
+
 def descend(w: np.ndarray, squares: np.ndarray, uses: np.ndarray, features: np.ndarray, group: np.ndarray) -> None:
     """One gradient step on ``w``, scaled for each feature by the gradients that it has had; ``uses`` counts features."""
     p = chances(w, features)
     p[np.arange(len(p)), group] -= 1
-    flat = features.ravel()
+    flat = features.ravel().astype(np.uint16)  # sorts faster
     order = np.argsort(flat, kind="stable")
     flat = flat[order]
     first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-    rows = np.append(flat[first], len(w) - 1)
-    g = np.concatenate([np.add.reduceat(p[order // features.shape[1]], first, axis=0), p.sum(axis=0, keepdims=True)])
-    squares[rows] += (g * g).sum(axis=1)
-    uses[rows] += np.append(np.diff(np.append(first, len(flat))), len(p))
-    w[rows] -= RATE * g / np.sqrt(squares[rows] + 1e-6)[:, None]
+    length = np.diff(np.append(first, len(flat)))
+    rows = np.append(flat[first].astype(np.int64), len(w) - 1)
+    g = np.concatenate([summed(p, order // features.shape[1], first, length), p.sum(axis=0, keepdims=True)])
+    squares[rows] += np.einsum("ij,ij->i", g, g)
+    uses[rows] += np.append(length, len(p))
+    g *= (RATE / np.sqrt(squares[rows] + 1e-6))[:, None]
+    w[rows] -= g
 
 
 #: What tasks send: for each feature how often it occurred, its weights in half precision, and its squared gradients.
@@ -330,27 +347,32 @@ def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
         flat_share = np.log10(m.count + 0.5)
         for b in batches:
             p = places(m, b.column(1).to_pylist())
-            here = np.concatenate([chances(m.weights, p.features[lo : lo + STEP])[range(len(p.ids[lo : lo + STEP])), p.group[lo : lo + STEP]] for lo in range(0, len(p.ids), STEP)] or [np.zeros(0)])
+            here = np.zeros(len(p.ids))
+            for lo in range(0, len(here), STEP):
+                at = slice(lo, lo + STEP)
+                here[at] = np.take_along_axis(chances(m.weights, p.features[at]), p.group[at, None], axis=1)[:, 0]
             known = p.ids >= 0
             inside = np.where(known, m.inside[np.maximum(p.ids, 0)], -m.norm[p.group])
             share = np.where(known, flat_share[np.maximum(p.ids, 0)], 0) - base
             ends = np.cumsum(p.length)
             starts = ends - p.length
             add = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]  # noqa: B023, E731
-            tail = [[{"word": w, "g": int(g), "k": k} for (w, g), k in Counter((p.words[lo + i], int(p.group[lo + i])) for i in np.flatnonzero(~known[lo:hi]).tolist()).items()] for lo, hi in zip(starts.tolist(), ends.tolist())]
+            missing = np.flatnonzero(~known)
+            tail = pa.StructArray.from_arrays([pa.array([p.words[i] for i in missing.tolist()], pa.binary()), pa.array(p.group[missing], pa.int32())], ["word", "g"])
+            tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(missing, np.append(0, ends)), pa.int32()), tail)
             rows = [b.column(0), pa.array(p.length), pa.array(add((m.count[np.maximum(p.ids, 0)] > 0) & known).astype(np.int64)), pa.array(add(share)), pa.array(add(np.log10(np.maximum(here, 1e-30)).astype(np.float64) + inside))]
-            yield pa.RecordBatch.from_arrays([*rows, pa.array(tail, pa.list_(pa.struct({"word": pa.binary(), "g": pa.int32(), "k": pa.int32()})))], ["doc_id", "n_tokens", "n_known", "base", "score", "tail"])
+            yield pa.RecordBatch.from_arrays([*rows, tails], ["doc_id", "n_tokens", "n_known", "base", "score", "tail"])
 
     taken = docs.select("doc_id", F.col("text").cast("binary").alias("t"))
     # Numbered once and written, so that a row keeps its number.
-    rows = stage(in_batches(taken, each, f"doc_id {taken.dtypes[0][1]}, n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, g: int, k: int>>").withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    rows = stage(in_batches(taken, each, f"doc_id {taken.dtypes[0][1]}, n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, g: int>>").withColumn("row", F.monotonically_increasing_id()), "lm-rows")
     unknown = F.lit(model.unknown.tolist())
-    each_word = rows.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.g", "t.k").join(rare, "word", "left")
+    each_word = rows.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.g").join(rare, "word", "left")
     n = F.coalesce("n", F.lit(0))
     found = each_word.groupBy("row").agg(
-        F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("k") * F.log10(n + 0.5)).alias("more_base"),
-        F.sum(F.col("k") * F.when(n > 0, F.log10(F.greatest(n - model.discount, F.lit(0.1)))).otherwise(F.element_at(unknown, F.col("g") + 1))).alias("more_score"),
+        F.count_if(n > 0).alias("more_known"),
+        F.sum(F.log10(n + 0.5)).alias("more_base"),
+        F.sum(F.when(n > 0, F.log10(F.greatest(n - model.discount, F.lit(0.1)))).otherwise(F.element_at(unknown, F.col("g") + 1))).alias("more_score"),
     )
     plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
     out = rows.drop("tail").join(found, "row", "left")
