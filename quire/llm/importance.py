@@ -22,7 +22,7 @@ from quire.llm.common import LOWER, UPPER, stage
 BREAKS = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 BUCKETS = 10_000
 #: Scores are ranked within spans of so many values, and the spans among each other.
-SPAN = 4096
+SPAN = 512
 #: Tables of more distinct scores are joined by shuffle instead of broadcast (24 bytes each).
 BROADCAST_SCORES = 500_000
 
