@@ -7,15 +7,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quire.config import DEFAULT
-from quire.functions.text import cosine, squared_distance
+from quire.functions.text import cosine
+from quire.operators import metric
 
 #: Encoder names and dimensions by purpose.
 MODELS = {"default": ("all-MiniLM-L6-v2", 384), "quality": ("all-mpnet-base-v2", 768), "multilingual": ("paraphrase-multilingual-mpnet-base-v2", 768)}
-#: Query tables of more rows than this are searched by shuffle instead of broadcast (12 MB at 384 dimensions).
-BROADCAST_QUERIES = 4096
 
 
 def encode(chunks: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 32) -> DataFrame:
@@ -44,28 +42,16 @@ def model_info(rows: DataFrame, use: Column) -> DataFrame:
     return rows.withColumns({"model": name[key], "dimension": dim[key]})
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, same: str | None = None, skip_self: bool = False, broadcast_rows: int = BROADCAST_QUERIES) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 5, same: str | None = None, skip_self: bool = False) -> DataFrame:
     """query_id, vec_id, similarity (1 - squared distance), rank: the ``k`` nearest vectors of every query, exactly.
 
-    index: vec_id, e; queries: query_id, q. ``same`` names a column that both sides must share, else every vector is compared
-    with every query. A bounded set of queries goes to all tasks, so the index stays where it is and no label gathers in one
-    task; more are searched in blocks of that many.
+    index: vec_id, e; queries: query_id, q. ``same`` names a column that both sides must share. Vectors are searched through a
+    metric index (see ``metric``): cells that cannot hold a nearer vector are left out, and no plan grows with the queries.
     """
-    index, queries = (df.filter(F.col(c).isNotNull()) for df, c in ((index, "e"), (queries, "q")))
-    parts = [queries]
-    if (n := queries.count()) > broadcast_rows:
-        block = F.pmod(F.xxhash64("query_id"), F.lit(-(-n // (broadcast_rows // 2))))
-        parts = [queries.filter(block == b) for b in range(-(-n // (broadcast_rows // 2)))]
-    found = None
-    for part in parts:
-        pairs = index.join(F.broadcast(part), same) if same else index.join(F.broadcast(part))
-        if skip_self:
-            pairs = pairs.filter(F.col("vec_id") != F.col("query_id"))
-        near = pairs.select("query_id", "vec_id", (F.lit(1.0) - squared_distance(F.col("e"), F.col("q"))).alias("similarity"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-        top = near.withColumn("rank", rank).filter(F.col("rank") <= k)
-        found = top if found is None else found.unionByName(top)
-    return found
+    built = metric.build(index, same)
+    kind = lambda df, c: df.select(c).dtypes[0][1]
+    found = metric.search(built, queries, k, same, skip_self) if built else metric.empty(index.sparkSession, kind(queries, "query_id"), kind(index, "vec_id"))
+    return found.select("query_id", "vec_id", (F.lit(1.0) - F.col("square")).alias("similarity"), "rank")
 
 
 def add_chunks(collection: DataFrame, chunks: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 32) -> DataFrame:

@@ -162,16 +162,6 @@ def test_contents_and_savings(spark):
     assert s.manual_minutes == 4070 and round(s.efficiency_pct) == 100
 
 
-def test_search_in_blocks_equals_search(spark):
-    import random
-
-    random.seed(3)
-    v = spark.createDataFrame([(i, [random.random() for _ in range(4)]) for i in range(40)], "vec_id long, e array<double>")
-    q = v.select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    whole = sorted(vectors.search(v, q, 3, skip_self=True).collect())
-    assert whole == sorted(vectors.search(v, q, 3, skip_self=True, broadcast_rows=10).collect()) and len(whole) == 120
-
-
 def test_duplicate_insert_fails(spark):
     t = spark.createDataFrame([("a",)], "chunk_id string")
     with pytest.raises(Exception, match="duplicate chunk_id"):
