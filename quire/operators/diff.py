@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
 from pyspark.sql.window import Window
 
 from quire.config import DEFAULT
+from quire.functions.staging import staged
+from quire.functions.text import cosine
+from quire.operators import differ
 
 #: Words that make a numeric change important; the mixed-case ones never occur in lower-cased text.
 KEYWORDS = ["voltage", "current", "frequency", "temperature", "max", "min", "MHz", "GHz", "mA", "µA", "typical", "maximum", "minimum"]
@@ -46,49 +45,25 @@ def important(a: Column, b: Column) -> Column:
     return any_word & numbers_differ(a, b)
 
 
-@F.pandas_udf(DoubleType())
-def similarity_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The standard library's character similarity of two texts."""
-    from difflib import SequenceMatcher
-
-    for a, b in batches:
-        yield pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
-@F.pandas_udf(StringType())
-def word_changes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The first five word-level edits from one text to the other."""
-    from difflib import SequenceMatcher
-
-    def one(a: str | None, b: str | None) -> str | None:
-        if a is None or b is None:
-            return None
-        x, y, out = a.split(), b.split(), []
-        for tag, i, j, k, m in SequenceMatcher(None, x, y).get_opcodes():
-            old, new = " ".join(x[i:j]), " ".join(y[k:m])
-            if tag != "equal":
-                out.append({"replace": f"'{old}' → '{new}'", "delete": f"Removed: '{old}'", "insert": f"Added: '{new}'"}[tag])
-        return "; ".join(out[:5])
-
-    for a, b in batches:
-        yield pd.Series([one(x, y) for x, y in zip(a, b)])
-
-
-def changes(aligned: DataFrame, with_words: bool = True) -> DataFrame:
+def changes(aligned: DataFrame, threshold: float = 0.5) -> DataFrame:
     """document_id, section, change_type, pages (0 where absent), 200-character previews, significance, details.
 
-    Added is medium, removed high; a modification is high by ``important``, else medium below half similarity, else low.
-    Without ``with_words`` no Python runs: details of modifications are null and what is not high is low.
+    Added is medium, removed high; a modification is high by ``important``, else medium where the differ finds the texts less
+    alike than ``threshold``, else low. Its details are the first five word-level edits. Equal pairs of texts are compared
+    once; comparing runs jobs (see ``differ``).
     """
+    held = staged(aligned, "aligned").withColumn("key", differ.pair_key(F.col("content_v1"), F.col("content_v2")))
     a, b, kind = F.col("content_v1"), F.col("content_v2"), F.col("change_type")
-    modified = kind == "modified"
-    level = F.when(important(a, b), "high").when(similarity_ratio(F.when(modified, a), F.when(modified, b)) < 0.5, "medium").otherwise("low") if with_words else F.when(important(a, b), "high").otherwise("low")
-    words = word_changes(F.when(modified, a), F.when(modified, b)) if with_words else F.lit(None).cast("string")
-    return aligned.select(
+    modified = held.filter(kind == "modified")
+    below = differ.less_alike(differ.distinct_pairs(modified.filter(~important(a, b)), "content_v1", "content_v2", differ.characters), threshold)
+    words = differ.word_changes(differ.distinct_pairs(modified, "content_v1", "content_v2", differ.words))
+    judged = held.join(below, "key", "left").join(words.withColumnRenamed("details", "_words"), "key", "left")
+    level = F.when(important(a, b), "high").when(F.col("below"), "medium").otherwise("low")
+    return judged.select(
         "document_id", "section", "change_type", F.coalesce("page_v1", F.lit(0)).alias("page_v1"), F.coalesce("page_v2", F.lit(0)).alias("page_v2"),
         F.coalesce(F.substring(a, 1, 200), F.lit("")).alias("content_v1"), F.coalesce(F.substring(b, 1, 200), F.lit("")).alias("content_v2"),
         F.when(kind == "added", "medium").when(kind == "removed", "high").otherwise(level).alias("significance"),
-        F.when(kind == "added", F.concat(F.lit("New section added: "), "section")).when(kind == "removed", F.concat(F.lit("Section removed: "), "section")).otherwise(words).alias("details"),
+        F.when(kind == "added", F.concat(F.lit("New section added: "), "section")).when(kind == "removed", F.concat(F.lit("Section removed: "), "section")).otherwise(F.col("_words")).alias("details"),
     )
 
 
@@ -117,35 +92,30 @@ def changelog(changed: DataFrame, title: Column) -> DataFrame:
 
 
 def align_greedy(v1: DataFrame, v2: DataFrame, threshold: float = DEFAULT.align_threshold) -> DataFrame:
-    """document_id, id1, id2, similarity: one-to-one matches in v1's order, each taking the best free v2 vector.
+    """document_id, id1, id2, similarity: one-to-one matches in v1's order, each taking the best free v2 vector (ties: smallest id2).
 
     v1: document_id, id1, e1; v2: document_id, id2, e2. Unmatched v1 rows have null id2 (removed), unmatched v2 rows null id1
-    (added); a document that one side lacks has no rows. The order matters, so a document's two versions meet in one task;
-    its size is that of one document's sections, and work grows with their product.
-    """
+    (added); a document that one side lacks has no rows. A zero vector is similar to none.
 
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        out = pd.DataFrame({"document_id": [], "id1": [], "id2": [], "similarity": []})
-        if left.empty or right.empty:
-            return out
-        left, right = left.sort_values("id1"), right.sort_values("id2")
-        unit = lambda x: (m := np.stack(x.to_numpy()).astype(float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        sim, free, rows = unit(left["e1"]) @ unit(right["e2"]).T, np.ones(len(right), bool), []
-        ids = right["id2"].tolist()
-        for i, key in enumerate(left["id1"].tolist()):
-            row = np.where(free, sim[i], -2.0)
-            j = int(row.argmax())
-            hit = bool(row[j] >= threshold)
-            free[j] &= not hit
-            rows.append((key, ids[j] if hit else None, float(row[j]) if hit else None))
-        rows += [(None, x, None) for x, f in zip(ids, free) if f]
-        out = pd.DataFrame(rows, columns=["id1", "id2", "similarity"]).astype({"id1": "Int64", "id2": "Int64"})
-        out.insert(0, "document_id", left["document_id"].iloc[0])
-        return out
-
-    return v1.groupBy("document_id").cogroup(v2.groupBy("document_id")).applyInPandas(match, "document_id string, id1 long, id2 long, similarity double")
+    The order is kept without one row waiting for another: in rounds every v1 row proposes to the best v2 row that no earlier
+    one holds, and every v2 row keeps the earliest proposer. What is held only ever passes to earlier rows, and where nothing
+    changes any more, the matches are those of going through v1 in order. Only similar pairs take part.
+    """
+    both = v1.select("document_id").distinct().join(v2.select("document_id").distinct(), "document_id", "left_semi")
+    left, right = (v.join(both, "document_id", "left_semi") for v in (v1, v2))
+    alike = left.join(right, "document_id").select("document_id", "id1", "id2", F.coalesce(cosine(F.col("e1"), F.col("e2")), F.lit(0.0)).alias("similarity"))
+    pairs = staged(alike.filter(F.col("similarity") >= threshold), "alike")
+    held = pairs.select("document_id", "id2", F.col("id1").alias("holder")).limit(0)
+    while True:
+        free = pairs.join(held, ["document_id", "id2"], "left").filter(F.col("holder").isNull() | (F.col("holder") >= F.col("id1")))
+        proposed = free.groupBy("document_id", "id1").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "id2")).alias("p")).select("document_id", "p.id2", "id1")
+        now = staged(proposed.groupBy("document_id", "id2").agg(F.min("id1").alias("holder")), "held")
+        if now.join(held, ["document_id", "id2", "holder"], "left_anti").isEmpty():
+            break
+        held = now
+    matched = pairs.join(held, ["document_id", "id2"]).filter(F.col("holder") == F.col("id1")).select("document_id", "id1", "id2", "similarity")
+    alone = lambda side, own, other: side.select("document_id", own).join(matched, ["document_id", own], "left_anti").select("document_id", own, F.lit(None).cast("long").alias(other), F.lit(None).cast("double").alias("similarity"))
+    return matched.unionByName(alone(left, "id1", "id2")).unionByName(alone(right, "id2", "id1"))
 
 
 def align_vectors(v1: DataFrame, v2: DataFrame, threshold: float = DEFAULT.align_threshold) -> DataFrame:
@@ -159,13 +129,13 @@ def align_vectors(v1: DataFrame, v2: DataFrame, threshold: float = DEFAULT.align
     return out.filter("change_type IS NOT NULL")
 
 
-def compare(v1: DataFrame, v2: DataFrame, title: Column, semantic: bool = True, with_words: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def compare(v1: DataFrame, v2: DataFrame, title: Column, semantic: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Changes, counts by document and changelog of two versions (document_id, section_hierarchy, chunk_type, ord, page_start, content).
 
     Aligned by meaning where both have vectors (column e) and ``semantic`` is asked for, else by section.
     """
     by_meaning = semantic and "e" in v1.columns and "e" in v2.columns
-    changed = changes(align_vectors(v1, v2) if by_meaning else align_sections(v1, v2), with_words)
+    changed = changes(align_vectors(v1, v2) if by_meaning else align_sections(v1, v2))
     level = lambda x: F.count_if(F.col("significance") == x).alias(f"{x}_priority")
     counts = changed.groupBy("document_id").agg(F.count("*").alias("total_changes"), level("high"), level("medium"), level("low"))
     return changed, counts, changelog(changed, title)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from quire.config import DEFAULT, EngineConfig
+from quire.functions.staging import staged
 from quire.functions.text import keep_case, matches
+from quire.operators import differ
 from quire.schemas import CHANGE
 
 #: Typos and corrections, in the order in which they are looked for.
@@ -135,30 +133,12 @@ def inline_markup(content: Column, reviewed: Column, changes: Column) -> Column:
     return F.when(content == reviewed, reviewed).otherwise(F.aggregate(order, content, put))
 
 
-@F.pandas_udf(StringType())
-def word_markup(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Word-level markup of two texts (their words joined by single spaces), for ten changes and more."""
-    from difflib import SequenceMatcher
-
-    def one(a: str | None, b: str | None) -> str:
-        x, y = (a or "").split(), (b or "").split()
-        out = []
-        for tag, i, j, k, m in SequenceMatcher(None, x, y).get_opcodes():
-            old, new = " ".join(x[i:j]), " ".join(y[k:m])
-            if tag == "equal":
-                out += x[i:j]
-            else:
-                out.append(" ".join([f"~~{old}~~"] * (j > i) + [f'<span style="color:red">{new}</span>'] * (m > k)))
-        return " ".join(out)
-
-    for a, b in batches:
-        yield pd.Series([one(x, y) for x, y in zip(a, b)])
-
-
 def markup(reviewed: DataFrame) -> DataFrame:
-    """reviewed with a column markup: inline for under ten changes, else word by word."""
-    few = F.size("changes") < 10
+    """reviewed with a column markup: inline for under ten changes, else word by word (see ``differ``), for which this runs jobs."""
+    held = staged(reviewed, "reviewed").withColumn("_pair", differ.pair_key(F.col("content"), F.col("reviewed_content")))
+    same, few = F.coalesce(F.col("content") == F.col("reviewed_content"), F.lit(False)), F.coalesce(F.size("changes") < 10, F.lit(False))
+    pairs = differ.distinct_pairs(held.filter(~same & ~few), "content", "reviewed_content", differ.words)
+    marked = differ.word_markup(pairs).withColumnsRenamed({"key": "_pair", "markup": "_words"})
     plain = inline_markup(F.col("content"), F.col("reviewed_content"), F.col("changes"))
-    many = word_markup(F.when(~few, F.col("content")), F.when(~few, F.col("reviewed_content")))
-    same = F.col("content") == F.col("reviewed_content")
-    return reviewed.withColumn("markup", F.when(same, F.col("reviewed_content")).when(few, plain).otherwise(many))
+    out = F.when(same, F.col("reviewed_content")).when(few, plain).otherwise(F.col("_words"))
+    return held.join(marked, "_pair", "left").withColumn("markup", out).drop("_pair", "_words")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import language as L
-from quire.queries.sql import rows
+from quire.queries.sql import WORDS, differs, rows
 from quire.sources.seed import cte, frame
 
 
@@ -70,7 +70,6 @@ def inline_markup(spark, d):
 
 
 def word_markup(spark, d):
-    """Rows only: the word differ is the standard library's."""
     return L.markup(_reviewed(spark, d)).select("chunk_id", "markup")
 
 
@@ -119,4 +118,12 @@ ORACLES = {
     "change_counts": _FULL + " SELECT type, count(*) AS n FROM (SELECT 'spelling' AS type FROM sc UNION ALL SELECT type FROM oc) x GROUP BY type",
     "change_defaults": cte("seed_changes") + " SELECT ord, coalesce(nullif(type, 'figure_issue'), 'unknown') AS type, coalesce(original, '') AS original, coalesce(corrected, '') AS corrected, coalesce(confidence, 0.8) AS confidence, coalesce(reason, '') AS reason, 0 AS position FROM seed_changes",
 }
+_PIECE = "array_to_string(list_filter([CASE WHEN x.ie > x.i THEN '~~' || array_to_string(a[x.i + 1:x.ie], ' ') || '~~' END, CASE WHEN x.je > x.j THEN '<span style=\"color:red\">' || array_to_string(b[x.j + 1:x.je], ' ') || '</span>' END, CASE WHEN x.n > 0 THEN array_to_string(a[x.ie + 1:x.ie + x.n], ' ') END], lambda t: t IS NOT NULL), ' ')"
+_INLINE = ORACLES["inline_markup"]
+_AT = _INLINE.rindex(" SELECT chunk_id, CASE WHEN content = t")
+ORACLES["word_markup"] = (
+    _INLINE[:_AT].replace("WITH ", "WITH RECURSIVE ", 1) + f", src AS MATERIALIZED (SELECT chunk_id AS key, {WORDS('content')} AS a, {WORDS('t')} AS b FROM seed_chunks JOIN g3 USING (chunk_id) JOIN ct USING (chunk_id) WHERE ct.n >= 10 AND content <> t), {differs('src', 'w_')}"
+    + _INLINE[_AT:] + f" UNION ALL SELECT key, array_to_string(list_filter(list_transform(g, lambda x: {_PIECE}), lambda t: t <> ''), ' ') FROM w_gaps"
+    " UNION ALL SELECT chunk_id, t FROM seed_chunks JOIN g3 USING (chunk_id) JOIN ct USING (chunk_id) WHERE ct.n >= 10 AND content = t"
+)
 QUERIES["inline_markup"] = inline_markup
