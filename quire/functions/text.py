@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 #: A character that marks match starts; where a text has it, it counts as OTHER, so that positions stay right.
 MARK, OTHER = "\x01", "\x02"
+#: Numbers that are added up in one go for running sums.
+BLOCK = 32
 
 
 def strip(text: Column) -> Column:
     """Drop white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(text, r"^\s++", ""), r"(?<!\s)\s++$", "")
 
 
 def bind(value: Column, body) -> Column:
@@ -22,13 +24,23 @@ def bind(value: Column, body) -> Column:
 def match_starts(text: Column, pattern: str) -> Column:
     """0-based start of every match of ``pattern``, in order."""
     pieces = F.split(F.regexp_replace(F.translate(text, MARK, OTHER), f"({pattern})", MARK + "$1"), MARK)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    # Up to a piece's end the text is as long as the pieces before it, added up in steps of BLOCK pieces so that no sum starts anew.
+    lengths = F.transform(pieces, F.length)
+    return bind(lengths, running_sums)
 
-    def step(a: Column, p: Column) -> Column:
-        at = a["at"] + F.length(p)
-        return F.struct(at.alias("at"), F.concat(a["out"], F.array(at)).alias("out"))
 
-    return bind(F.aggregate(pieces, zero, step, lambda a: a["out"]), lambda ends: F.slice(ends, F.lit(1), F.size(ends) - 1))
+def running_sums(n: Column) -> Column:
+    """The sums of the first 1, 2, 3... numbers but the last, in blocks of BLOCK numbers."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / BLOCK).cast("int")), lambda b: F.slice(n, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def within(before: Column, block: Column) -> Column:
+        return F.transform(block, lambda x, i: before + total(F.slice(block, F.lit(1), i + 1)))
+
+    def each(found: Column) -> Column:
+        return bind(F.transform(found, total), lambda sums: F.flatten(F.transform(found, lambda block, i: bind(total(F.slice(sums, F.lit(1), i)), lambda before: within(before, block)))))
+
+    return bind(bind(blocks, each), lambda ends: F.slice(ends, F.lit(1), F.size(ends) - 1))
 
 
 def matches(text: Column, pattern: str, group: int = 1) -> Column:

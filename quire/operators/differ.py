@@ -72,59 +72,67 @@ def _stretch(most: Column, equal) -> Column:
     return F.when(most > 0, F.coalesce(F.get(unequal, F.lit(0)) - 1, most)).otherwise(0)
 
 
-def _best(live: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The block of every box: its longest run, which starts at ``seed``, grown over equal elements at both ends."""
+def _best(live: DataFrame, long: DataFrame | None) -> DataFrame:
+    """The block of every box: its longest run, which starts at ``seed``, grown over equal elements at both ends.
+
+    ``lead`` is how far the box's first elements are equal, up to the block. Shorter pairs than those of ``long`` have no
+    popular elements, so their runs end where elements differ and nothing else is equal there.
+    """
     first = live.groupBy(*BOX, "ahi", "bhi").agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("s").alias("i"), (F.col("s") + F.col("d")).alias("j"))).alias("r"))
-    j = first.join(pairs.select("key", "a", "b"), "key").select(*BOX, "ahi", "bhi", "a", "b", F.col("r.i").alias("i"), F.col("r.j").alias("j"), (-F.col("r.m")).alias("k"))
+    found = first.select(*BOX, "ahi", "bhi", F.col("r.i").alias("seed"), F.col("r.j").alias("at"), (-F.col("r.m")).alias("n"))
+    if long is None:
+        return found.select(*BOX, "ahi", "bhi", "seed", F.col("seed").alias("i"), F.col("at").alias("j"), F.col("n").alias("k"), F.lit(0).alias("lead"))
     same = lambda x, y: F.get("a", x) == F.get("b", y)
-    back = _stretch(F.least(F.col("i") - F.col("alo"), F.col("j") - F.col("blo")), lambda x: same(F.col("i") - x, F.col("j") - x))
-    on = _stretch(F.least(F.col("ahi") - F.col("i") - F.col("k"), F.col("bhi") - F.col("j") - F.col("k")), lambda x: same(F.col("i") + F.col("k") + x - 1, F.col("j") + F.col("k") + x - 1))
-    long = F.size("b") >= LONG  # shorter ones have no popular elements, so their runs end where elements differ
-    grown = j.withColumns({"back": F.when(long, back).otherwise(0), "on": F.when(long, on).otherwise(0)})
-    return grown.select(*BOX, "ahi", "bhi", F.col("i").alias("seed"), (F.col("i") - F.col("back")).alias("i"), (F.col("j") - F.col("back")).alias("j"), (F.col("k") + F.col("back") + F.col("on")).alias("k"))
-
-
-def _starts(boxes: DataFrame, live: DataFrame, pairs: DataFrame) -> DataFrame:
-    """key, i, j and k of boxes without a run: they match as far as their first elements, which are popular, are equal."""
-    bare = boxes.filter("alo < ahi AND blo < bhi").join(live.select(*BOX).distinct(), BOX, "left_anti").join(pairs.select("key", "a", "b"), "key")
-    k = _stretch(F.least(F.col("ahi") - F.col("alo"), F.col("bhi") - F.col("blo")), lambda x: F.get("a", F.col("alo") + x - 1) == F.get("b", F.col("blo") + x - 1))
-    return bare.select("key", F.col("alo").alias("i"), F.col("blo").alias("j"), k.alias("k")).filter("k > 0")
+    i, j = F.col("seed"), F.col("at")
+    back = _stretch(F.least(i - F.col("alo"), j - F.col("blo")), lambda x: same(i - x, j - x))
+    on = _stretch(F.least(F.col("ahi") - i - F.col("n"), F.col("bhi") - j - F.col("n")), lambda x: same(i + F.col("n") + x - 1, j + F.col("n") + x - 1))
+    grown = found.join(long.select("key", "a", "b"), "key", "left").withColumns({"back": F.when(F.col("a").isNotNull(), back).otherwise(0), "on": F.when(F.col("a").isNotNull(), on).otherwise(0)})
+    lead = _stretch(F.least(i - F.col("back") - F.col("alo"), j - F.col("back") - F.col("blo")), lambda x: same(F.col("alo") + x - 1, F.col("blo") + x - 1))
+    return grown.select(*BOX, "ahi", "bhi", "seed", (i - F.col("back")).alias("i"), (j - F.col("back")).alias("j"), (F.col("n") + F.col("back") + F.col("on")).alias("k"), F.when(F.col("a").isNotNull(), lead).otherwise(0).alias("lead"))
 
 
 def _rounds(pairs: DataFrame):
-    """After each round the blocks that it found, and the runs that live in the boxes of the next; until none does.
+    """After each round its table, and the runs that live in the boxes of the next; until none does.
 
-    The receiver may send back fewer runs to go on with.
+    A round's table has kind: a block (from s in a and s + d in b, n elements) or a run of the next round. The first one may
+    have key, i, j and k instead: what texts without any run have.
+
+    The receiver may send back fewer runs to go on with. A box without a run still matches as far as its first elements are
+    equal, which are popular then; behind a grown block they never are.
     """
     long = pairs.filter(F.size("b") >= LONG)
-    some_long = not long.isEmpty()
+    long = None if long.isEmpty() else long
     whole = runs(pairs).join(pairs.select("key", F.size("a").alias("ahi"), F.size("b").alias("bhi")), "key")
     live = staged(whole.select("key", F.lit(0).alias("alo"), "ahi", F.lit(0).alias("blo"), "bhi", "d", "s", "n"), "runs")
-    if some_long:
-        ends = long.select("key", F.lit(0).alias("alo"), F.size("a").alias("ahi"), F.lit(0).alias("blo"), F.size("b").alias("bhi"))
-        live = (yield staged(_starts(ends, live, long), "blocks"), live) or live
+    if long is not None:
+        k = _stretch(F.least(F.size("a"), F.size("b")), lambda x: F.get("a", x - 1) == F.get("b", x - 1))
+        bare = long.join(live.select("key").distinct(), "key", "left_anti").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), k.alias("k")).filter("k > 0")
+        live = (yield bare, live) or live
     i, j, k = F.col("i"), F.col("j"), F.col("k")
     while not live.isEmpty():
-        cut = live.join(_best(live, pairs), [*BOX, "ahi", "bhi"])
+        cut = live.join(_best(live, long), [*BOX, "ahi", "bhi"]).withColumns({"before": _clipped("run", F.col("alo"), i, F.col("blo"), j), "behind": _clipped("run", i + k, F.col("ahi"), j + k, F.col("bhi"))})
+        block = lambda i, j, n: F.struct(F.lit("block").alias("kind"), "alo", "ahi", "blo", "bhi", (j - i).alias("d"), i.alias("s"), n.alias("n"))
         seed = (F.col("d") == j - i) & (F.col("s") == F.col("seed"))
-        block = F.struct(F.lit("block").alias("kind"), "alo", "ahi", "blo", "bhi", (j - i).alias("d"), i.alias("s"), k.alias("n"))
-        parts = F.array(_clipped("run", F.col("alo"), i, F.col("blo"), j), _clipped("run", i + k, F.col("ahi"), j + k, F.col("bhi")), F.when(seed, block))
-        done = staged(cut.select("key", F.explode(F.filter(parts, lambda h: h["n"] > 0)).alias("h")).select("key", "h.*"), "round")
+        parts = ["before", "behind", F.when(seed, block(i, j, k))]
+        if long is not None:
+            cut = cut.withColumn("bare", F.max("before.n").over(Window.partitionBy(*BOX)) <= 0)
+            parts.append(F.when(seed & F.col("bare"), block(F.col("alo"), F.col("blo"), F.col("lead"))))
+        done = staged(cut.select("key", F.explode(F.filter(F.array(*parts), lambda h: h["n"] > 0)).alias("h")).select("key", "h.*"), "round")
         live = done.filter("kind = 'run'").drop("kind")
-        best = done.filter("kind = 'block'")
-        found = best.select("key", F.col("s").alias("i"), (F.col("s") + F.col("d")).alias("j"), F.col("n").alias("k"))
-        if some_long:
-            before = best.select("key", "alo", F.col("s").alias("ahi"), "blo", (F.col("s") + F.col("d")).alias("bhi"))
-            behind = best.select("key", (F.col("s") + F.col("n")).alias("alo"), "ahi", (F.col("s") + F.col("d") + F.col("n")).alias("blo"), "bhi")
-            found = staged(found.unionByName(_starts(before.unionByName(behind).join(long.select("key"), "key", "left_semi"), live, long)), "blocks")
-        live = (yield found, live) or live
+        live = (yield done, live) or live
 
 
 def blocks(pairs: DataFrame) -> DataFrame:
     """key, i, j and k: ``k`` elements from ``i`` in a equal those from ``j`` in b. pairs: key (distinct), a and b (arrays of strings)."""
     found = [b for b, _ in _rounds(pairs)]
-    none = pairs.sparkSession.createDataFrame([], f"key {pairs.select('key').dtypes[0][1]}, i int, j int, k int")
-    return reduce(DataFrame.unionByName, found, none)
+    spark, schema = pairs.sparkSession, f"key {pairs.select('key').dtypes[0][1]}, i int, j int, k int"
+    if not found:
+        return spark.createDataFrame([], schema)
+    first, *rounds = found if "kind" not in found[0].columns else (None, *found)
+    # One scan of all rounds' files instead of one for each.
+    files = [f for r in rounds for f in r.inputFiles()]
+    more = spark.read.schema(rounds[0].schema).parquet(*files).filter("kind = 'block'").select("key", F.col("s").alias("i"), (F.col("s") + F.col("d")).alias("j"), F.col("n").alias("k")) if files else None
+    return reduce(DataFrame.unionByName, [x for x in (first, more) if x is not None])
 
 
 def gaps(pairs: DataFrame) -> DataFrame:
@@ -165,6 +173,12 @@ def word_markup(pairs: DataFrame) -> DataFrame:
     return gaps(pairs).select("key", F.array_join(F.flatten(F.transform("gaps", piece)), " ").alias("markup"))
 
 
+def _matched(totals: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """key, total and matched: the elements in all blocks found so far."""
+    sums = reduce(DataFrame.unionByName, [f.select("key", F.col("k").cast("long").alias("k")) for f in found]).groupBy("key").agg(F.sum("k").alias("matched")) if found else totals.select("key", F.lit(0).cast("long").alias("matched"))
+    return totals.join(sums, "key", "left").select("key", "total", F.coalesce("matched", F.lit(0)).alias("matched"))
+
+
 def less_alike(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """key and below: whether the differ's ratio, twice the matching elements over all elements, is under ``threshold``.
 
@@ -181,20 +195,23 @@ def less_alike(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     shared = staged(open_pairs.join(common, "key", "left").withColumn("verdict", under(F.coalesce("common", F.lit(0)))).drop("common"), "alike")
     decided.append(shared.filter("verdict").select("key", F.lit(True).alias("below")))
     left = shared.filter("NOT verdict").select("key", "a", "b", "total")
-    matched = left.select("key", "total", F.lit(0).cast("long").alias("matched"))
+    totals, found_all, n = left.select("key", "total"), [], 0
     rounds = _rounds(left.select("key", "a", "b"))
     step = next(rounds, None)
     while step is not None:
-        found, live = step
-        matched = matched.join(found.groupBy("key").agg(F.sum("k").alias("more")), "key", "left").select("key", "total", (F.col("matched") + F.coalesce("more", F.lit(0))).alias("matched"))
-        could = live.select("key", "alo", "blo", F.least(F.col("ahi") - F.col("alo"), F.col("bhi") - F.col("blo")).alias("m")).distinct().groupBy("key").agg(F.sum("m").alias("could"))
-        judged = matched.join(could, "key", "left").withColumn("below", F.when(~under(F.col("matched")), False).when(under(F.col("matched") + F.coalesce("could", F.lit(0))), True))
-        judged = staged(judged, "alike")
-        decided.append(judged.filter("below IS NOT NULL").select("key", "below"))
-        matched = judged.filter("below IS NULL").select("key", "total", "matched")
+        (found, live), n, fewer = step, n + 1, None
+        found_all.append(found.filter("kind = 'block'").select("key", F.col("n").alias("k")) if "kind" in found.columns else found)
+        if n & (n - 1) == 0:  # judged after rounds 1, 2, 4, 8 and so on
+            could = live.select("key", "alo", "blo", F.least(F.col("ahi") - F.col("alo"), F.col("bhi") - F.col("blo")).alias("m")).distinct().groupBy("key").agg(F.sum("m").alias("could"))
+            judged = _matched(totals, found_all).join(could, "key", "left").withColumn("below", F.when(~under(F.col("matched")), False).when(under(F.col("matched") + F.coalesce("could", F.lit(0))), True))
+            judged = staged(judged, "alike")
+            decided.append(judged.filter("below IS NOT NULL").select("key", "below"))
+            totals, found_all = judged.filter("below IS NULL").select("key", "total"), [judged.filter("below IS NULL").select("key", F.col("matched").alias("k"))]
+            fewer = live.join(totals.select("key"), "key", "left_semi")
         try:
-            step = rounds.send(live.join(matched.select("key"), "key", "left_semi"))
+            step = rounds.send(fewer)
         except StopIteration:
             step = None
+    matched = _matched(totals, found_all)
     decided.append(matched.select("key", under(F.col("matched")).alias("below")))
     return reduce(DataFrame.unionByName, decided)

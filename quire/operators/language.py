@@ -19,7 +19,7 @@ TYPOS = {
 #: Reasons and confidences of the rules.
 SPACES = ("grammar", r"  +", "Multiple spaces replaced with single space", 1.0)
 PUNCTUATION = ("grammar", r"[.!?,;:][A-Z]", "Missing space after punctuation", 0.9)
-RANGE = ("style", r"(\d+)[ \t]+-[ \t]+(\d+)", "Standardized number range formatting", 0.85)
+RANGE = ("style", r"(?<!\d)(\d++)[ \t]++-[ \t]++(\d++)", "Standardized number range formatting", 0.85)
 TYPO_CONFIDENCE = 0.95
 #: Fixed value: what a missing-space change counts for in a chunk's confidence.
 CALIBRATED = {"Missing space after punctuation": 0.92}

@@ -350,15 +350,3 @@ def test_comparison_by_meaning(spark):
     assert {(r.section, r.change_type) for r in changed.collect()} == {("A", "modified"), ("B", "removed"), ("Y", "added")}
     assert {(r.section, r.change_type) for r in diff.compare(v1, v2, F.lit("t"), semantic=False)[0].collect()} == {("A", "removed"), ("B", "removed"), ("X", "added"), ("Y", "added")}
     assert counts.first().total_changes == 3 and "# Document Changelog" in log.first().changelog
-
-
-def test_word_markup_against_the_differ(spark):
-    from difflib import SequenceMatcher
-
-    texts = [("one two three four", "one 2 three"), ("", "new words"), ("gone now", ""), ("same text", "same text")]
-    got = [r.m for r in spark.createDataFrame(texts, "a string, b string").select(language.word_markup("a", "b").alias("m")).collect()]
-    for (a, b), text in zip(texts, got):
-        x, y, out = a.split(), b.split(), []
-        for tag, i, j, k, m in SequenceMatcher(None, x, y).get_opcodes():
-            out += x[i:j] if tag == "equal" else [f"~~{' '.join(x[i:j])}~~"] * (j > i) + [f'<span style="color:red">{" ".join(y[k:m])}</span>'] * (m > k)
-        assert text == " ".join(out)
