@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from quire.functions.staging import staged
+from quire.operators import incremental as I
 from quire.operators import state as S
 from quire.queries import crossref as XQ
 from quire.sources.seed import cte, frame
@@ -39,6 +43,31 @@ def review_progress(spark, d):
     return S.progress(frame(spark, d, "seed_chunks"), frame(spark, d, "seed_reviews"))
 
 
+def review_latest_stream(spark, d):
+    """The latest reviews, kept by a stream over the events."""
+    from quire.functions.staging import shared_dir
+    from quire.sources.seed import stream
+    from quire.streaming import state as kept
+
+    base = f"{shared_dir(spark)}/reviews-{uuid.uuid4().hex}"
+    kept.upsert_into(stream(spark, d, "seed_reviews", "events"), f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return kept.read_table(spark, f"{base}/table").select("chunk_id", "review_id", "status", "confidence")
+
+
+def progress_from_changes(spark, d):
+    """Progress after four deliveries of reviews, the last of which takes some back, without reading earlier ones again."""
+    chunks, reviews = frame(spark, d, "seed_chunks"), frame(spark, d, "seed_reviews").select("event_id", *I.SUPPORT)
+    support = reviews.select(*I.SUPPORT, F.lit(1).cast("long").alias("n")).limit(0)
+    progress = I.advanced(I.moved(support, support, chunks).limit(0), I.moved(support, support, chunks))
+    part = lambda k: reviews.filter(F.col("event_id") % 3 == k)
+    for old, new in ((part(0).limit(0), part(0)), (part(0).limit(0), part(1)), (part(0).limit(0), part(2)), (reviews.filter("event_id % 5 = 0"), part(0).limit(0))):
+        delta = staged(I.signed(old, new), "delta")
+        known = delta.join(chunks.select(*I.KEY).distinct(), [*I.KEY], "left_semi")
+        progress = staged(I.advanced(progress, I.moved(support, known)), "progress")
+        support = staged(I.folded(support, known), "support")
+    return progress
+
+
 def embedding_latest(spark, d):
     return S.latest_embeddings(_embeddings(spark, d))
 
@@ -66,7 +95,7 @@ def chunk_insert(spark, d):
     return S.insert(c.filter("ord % 2 = 0"), c.filter("ord % 2 = 1"), "chunk_id")
 
 
-QUERIES = {f.__name__: f for f in (review_upsert, review_latest, review_pending, document_crossrefs, document_records, review_progress, embedding_latest, has_embeddings, embedding_status, chunks_without_embedding, chunks_of_document, chunk_insert)}
+QUERIES = {f.__name__: f for f in (review_upsert, review_latest, review_latest_stream, review_pending, progress_from_changes, document_crossrefs, document_records, review_progress, embedding_latest, has_embeddings, embedding_status, chunks_without_embedding, chunks_of_document, chunk_insert)}
 _EMB = ", emb AS (SELECT vec_id AS embedding_id, 'doc' || CAST(floor(vec_id * 3 % 300 / 100) AS BIGINT) AS document_id, 'chunk_' || (vec_id * 3 % 300) AS chunk_id, vec_id % 7 AS created_at FROM embeddings)"
 _HAS = "SELECT document_id, max(CASE WHEN e.chunk_id IS NOT NULL THEN 1 ELSE 0 END) = 1 AS has_embeddings FROM seed_chunks c LEFT JOIN (SELECT DISTINCT document_id, chunk_id FROM emb WHERE embedding_id % 20 < 15) e USING (document_id, chunk_id) GROUP BY document_id"
 _REC = "SELECT document_id, CAST(max(page_start) AS BIGINT) AS total_pages, count(*) AS total_chunks FROM seed_chunks GROUP BY document_id"
@@ -84,3 +113,5 @@ ORACLES = {
     "chunks_of_document": cte("seed_chunks") + " SELECT document_id, chunk_id, page_start, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_start, chunk_id) AS INT) AS place FROM seed_chunks",
     "chunk_insert": cte("seed_chunks") + " SELECT chunk_id, ord FROM seed_chunks",
 }
+ORACLES["review_latest_stream"] = ORACLES["review_latest"]
+ORACLES["progress_from_changes"] = ORACLES["review_progress"].replace("LEFT JOIN seed_reviews r", "LEFT JOIN (SELECT * FROM seed_reviews WHERE event_id % 5 <> 0) r")

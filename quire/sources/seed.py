@@ -59,6 +59,12 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(re.sub(r"\bFROM (\w+)", r"FROM {\1}", sql), **tables)
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str, table: str) -> DataFrame:
+    """A projection of one driver table as a stream."""
+    rows = spark.readStream.schema(frame(spark, sf_dir, table).schema).parquet(f"{sf_dir}/{table}.parque[t]")
+    return spark.sql(re.sub(r"\bFROM (\w+)", r"FROM {\1}", SEEDS[name]), **{table: rows})
+
+
 def cte(*names: str) -> str:
     """The projections as leading common table expressions."""
     return "WITH " + ",\n".join(f"{n} AS ({SEEDS[n]})" for n in names)
