@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.config import DEFAULT, EngineConfig
+from quire.functions.topk import first_k
 
 #: Sections that never enter the table of contents (whole names), and the shortest one that does.
 NOT_IN_TOC = r"^Figure\s+\d+$|^Table\s+\d+$|^Unknown Section$|^\[Figure\s+\d+\]$|^\[Table\s+\d+\]$"
@@ -134,8 +135,7 @@ def change_sections(changes: DataFrame) -> DataFrame:
 def unique_examples(changes: DataFrame, most: int = 5) -> DataFrame:
     """type, place, original, corrected: the first ``most`` distinct pairs of each type in order of ord."""
     first = changes.groupBy("type", "original", "corrected").agg(F.min("ord").alias("ord"))
-    place = F.row_number().over(Window.partitionBy("type").orderBy("ord"))
-    return first.withColumn("place", place).filter(F.col("place") <= most).select("type", "place", "original", "corrected")
+    return first_k(first, ["type"], ["ord"], most).select("type", "place", "original", "corrected")
 
 
 def changes_by_type(changes: DataFrame, latest: DataFrame) -> DataFrame:
@@ -154,10 +154,10 @@ def grammar_split(changes: DataFrame) -> DataFrame:
 def issues_by_severity(issues: DataFrame) -> DataFrame:
     """severity and count of table and figure issues, with the descriptions (reason) of the first three high ones."""
     i = issues.filter(F.col("type").isin("table_issue", "figure_issue"))
-    place = F.row_number().over(Window.partitionBy("severity").orderBy("ord"))
-    text = F.when((F.col("severity") == "high") & (F.col("_p") <= 3), F.struct("_p", F.coalesce("reason", F.lit("Unknown issue")).alias("t")))
-    g = i.withColumn("_p", place).groupBy("severity").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(text)).alias("x"))
-    return g.select("severity", "n", F.array_join(F.transform("x", lambda e: F.concat(F.lit("  - "), e["t"])), "\n").alias("examples"))
+    text = F.struct("place", F.coalesce("reason", F.lit("Unknown issue")).alias("t"))
+    shown = first_k(i.filter("severity = 'high'"), ["severity"], ["ord"], 3).groupBy("severity").agg(F.array_sort(F.collect_list(text)).alias("x"))
+    g = i.groupBy("severity").agg(F.count("*").alias("n")).join(F.broadcast(shown), "severity", "left")  # shown is one row
+    return g.select("severity", "n", F.coalesce(F.array_join(F.transform("x", lambda e: F.concat(F.lit("  - "), e["t"])), "\n"), F.lit("")).alias("examples"))
 
 
 def reference_rates(refs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.config import DEFAULT, EngineConfig
+from quire.functions.topk import first_k
 
 #: Severities by rank, and the largest rank that each verbosity shows.
 NAMES = ["critical", "high", "medium", "low", "ignore"]
@@ -50,7 +51,6 @@ def buckets(classified: DataFrame, config: EngineConfig = DEFAULT, *keys: str) -
 def summary(classified: DataFrame, key: str, config: EngineConfig = DEFAULT) -> DataFrame:
     """key and the summary text: ten critical changes in full, the reasons of five high ones, then counts. Needs ord."""
     v, most = config.verbosity, SHOWN.get(config.verbosity, 2)
-    ranked = classified.withColumn("_n", F.row_number().over(Window.partitionBy(key, "rank").orderBy("ord")))
     reason = F.coalesce("reason", F.lit("Unknown issue"))
     part = lambda c, name: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f'\n      {name}: "'), c, F.lit('"'))).otherwise("")
     number = F.concat(F.lit("   "), F.col("_n").cast("string"), F.lit(". "), reason)
@@ -58,10 +58,11 @@ def summary(classified: DataFrame, key: str, config: EngineConfig = DEFAULT) ->
     pick = lambda rank, k, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("rank") == rank) & (F.col("_n") <= k), F.struct("_n", text.alias("t"))))), lambda x: x["t"]), "\n")
     count = lambda cond: F.count_if(cond)
     medium = F.col("rank") == 2
-    g = ranked.groupBy(key).agg(
-        *[count(F.col("rank") == i).alias(f"n{i}") for i in range(4)], count(F.col("rank") > most).alias("sup"), pick(0, 10, full).alias("t0"), pick(1, 5, number).alias("t1"), pick(2, 10, number).alias("t2"),
+    first = first_k(classified.filter("rank <= 2"), [key, "rank"], ["ord"], 10, "_n").groupBy(key).agg(pick(0, 10, full).alias("t0"), pick(1, 5, number).alias("t1"), pick(2, 10, number).alias("t2"))
+    g = classified.groupBy(key).agg(
+        *[count(F.col("rank") == i).alias(f"n{i}") for i in range(4)], count(F.col("rank") > most).alias("sup"),
         count(medium & F.coalesce(F.col("reason").contains("terminology"), F.lit(False))).alias("terms"), count(medium & F.coalesce(F.col("type").contains("style"), F.lit(False))).alias("styles"),
-    )
+    ).join(first, key, "left").fillna("", ["t0", "t1", "t2"])
     s = lambda c: F.col(c).cast("string")
     more = lambda c, k: F.when(F.col(c) > k, F.concat(F.lit("\n   ... and "), (F.col(c) - k).cast("string"), F.lit(" more"))).otherwise("")
     parts = [F.when(F.col("n0") > 0, F.concat(F.lit("🔴 Critical Issues ("), s("n0"), F.lit("):\n"), "t0", more("n0", 10), F.lit("\n\n"))).otherwise("")]

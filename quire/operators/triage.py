@@ -35,13 +35,13 @@ def triage(pending: DataFrame, reviews: DataFrame, config: EngineConfig = DEFAUL
     return j.withColumns({"rule_suggestion": F.coalesce("_text", "content"), "rule_confidence": F.coalesce(conf, F.lit(0.5)), "lane": lane}).drop("_text", "_conf")
 
 
-def call_in_batches(queue: DataFrame, client: Callable[[], Callable[[list[dict[str, Any]]], list[dict[str, Any]]]], config: EngineConfig = DEFAULT) -> DataFrame:
+def call_in_batches(queue: DataFrame, client: Callable[[], Callable[[list[dict[str, Any]]], list[dict[str, Any]]]], config: EngineConfig = DEFAULT, attempts: int = 3, pause: float = 2.0) -> DataFrame:
     """Key, suggestion, confidence, source, reasoning of queue rows (document_id, chunk_id, content, lane, rule_suggestion, rule_confidence).
 
     Rows go out in the batches of ``batch_numbers``; a queue without documents is one of a single document. ``client()`` is
-    made once in a task; where it fails, the batch keeps the rules' results. Calls in different partitions run side by side, so
-    the partition count bounds the load; a lost task repeats its calls, so they should be idempotent. Answers beyond the
-    shorter of batch and reply are dropped.
+    made once in a task; where it fails ``attempts`` times (see ``retrying``), the batch keeps the rules' results. Calls in different partitions run side by side, so
+    the partition count bounds the load; a lost task repeats its calls, so they should be idempotent (``journal`` repeats none
+    that was answered). Answers beyond the shorter of batch and reply are dropped.
     """
     key = shared_key(queue)
     rows = batch_numbers(queue, config).select(*key, "content", "lane", "rule_suggestion", "rule_confidence", "batch")
@@ -54,7 +54,7 @@ def call_in_batches(queue: DataFrame, client: Callable[[], Callable[[list[dict[s
             return [(*own(x), x["rule_suggestion"], x["rule_confidence"], "rule_fallback", f"API error: {e}") for x in batch]
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call, batch, last = client(), [], None
+        call, batch, last = retrying(client(), attempts, pause), [], None
         names = [*key, "suggestion", "confidence", "source", "reasoning"]
         for frame in frames:
             out = []

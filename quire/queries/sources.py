@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 
+from quire.functions.staging import shared_dir
 from quire.queries.sql import STRIP
 from quire.sources import extract as E
+from quire.sources.files import document_source
 from quire.sources.seed import cte, frame
 
 
@@ -75,7 +80,26 @@ def src_stream_reply(spark, d):
     return frame(spark, d, "seed_sse").select("doc_id", E.stream_reply(F.col("body")).alias("reply"))
 
 
-QUERIES = {f.__name__: f for f in (src_toc_sections, src_page_sections, src_text_chunks, src_figures, src_tables, src_table_predicates, src_table_strategies, src_metadata, src_stream_reply)}
+def _lines(path, content):
+    """A document's pages: a line of JSON for each."""
+    for line in content.decode().splitlines():
+        page = json.loads(line)
+        yield {"kind": "text", "page": page["page"], "content": page.get("html", "")}
+        yield {"kind": "structure", "page": page["page"], "content": page.get("url", "")}
+
+
+def src_files(spark, d):
+    """Documents of fifty pages, written to files and read through the data source."""
+    base = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    page = F.struct((F.col("page_id") % 50).alias("page"), "url", "html")
+    pages = frame(spark, d, "pages").select(F.floor(F.col("page_id") / 50).alias("document"), "page_id", F.to_json(page).alias("value"))
+    pages.repartition("document").sortWithinPartitions("document", "page_id").select("document", "value").write.partitionBy("document").text(base)
+    spark.dataSource.register(document_source(_lines, "page_documents"))
+    rows = spark.read.format("page_documents").option("path", base).load()
+    return rows.select(F.regexp_extract("path", "/document=([^/]+)/", 1).alias("document"), "ordinal", "kind", "page", F.md5("content").alias("content_md5"), "error")
+
+
+QUERIES = {f.__name__: f for f in (src_toc_sections, src_page_sections, src_text_chunks, src_figures, src_tables, src_table_predicates, src_table_strategies, src_metadata, src_stream_reply, src_files)}
 
 _T = STRIP("text")
 _LINES = r""", pl AS (SELECT document_id, page, ord, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS no FROM seed_pages),
@@ -101,3 +125,4 @@ ORACLES = {
     "src_metadata": cte("seed_pages") + " SELECT document_id, CAST(max(page) AS BIGINT) AS total_pages, document_id || '.pdf' AS filename, coalesce(max('Manual ' || document_id) FILTER (ord % 50 = 0), '') AS title, coalesce(max('A. Writer') FILTER (ord % 100 = 0), '') AS author, '' AS subject, '' AS creator FROM seed_pages GROUP BY document_id",
     "src_stream_reply": cte("seed_sse") + ", a AS (SELECT doc_id, list_transform(list_filter(string_split(body, chr(10)), lambda x: starts_with(x, 'data: ')), lambda x: substr(x, 7)) AS l FROM seed_sse), b AS (SELECT doc_id, CASE WHEN list_position(l, '[DONE]') > 0 THEN l[1:list_position(l, '[DONE]') - 1] ELSE l END AS l FROM a) SELECT doc_id, array_to_string(list_transform(l, lambda x: CASE WHEN json_valid(x) THEN coalesce(json_extract_string(x, '$.choices[0].delta.content'), '') ELSE '' END), '') AS reply FROM b",
 }
+ORACLES["src_files"] = "WITH p AS (SELECT CAST(page_id // 50 AS VARCHAR) AS document, CAST(page_id % 50 AS INT) AS page, url, html FROM pages), r AS (SELECT document, page, 'structure' AS kind, 0 AS k, coalesce(url, '') AS content FROM p UNION ALL SELECT document, page, 'text', 1, coalesce(html, '') FROM p) SELECT document, CAST(row_number() OVER (PARTITION BY document ORDER BY k, page) - 1 AS INT) AS ordinal, kind, page, md5(content) AS content_md5, CAST(NULL AS VARCHAR) AS error FROM r"

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from quire.config import DEFAULT
+from quire.functions.staging import shared_dir
+from quire.operators import journal
 from quire.operators import severity as V
 from quire.operators import state as S
 from quire.operators import triage as T
@@ -91,7 +94,19 @@ def severity_prioritise(spark, d):
     return V.prioritise(_classified(spark, d), replace(DEFAULT, max_review_items=20), "chunk_id").select("chunk_id", "ord", "severity_name", "place")
 
 
-QUERIES = {f.__name__: f for f in (triage, merge_suggestions, needs_human, human_queue, api_batches, api_echo, llm_prompt, llm_parse, llm_gate, severity_classify, severity_filter, severity_statistics, severity_summary, severity_prioritise)}
+def _measure():
+    return lambda prompt: str(len(prompt))
+
+
+def llm_journal(spark, d):
+    """Replies of a stand-in that counts characters, asked through a journal that has some of them already."""
+    path = f"{shared_dir(spark)}/journal-{uuid.uuid4().hex}"
+    prompts = frame(spark, d, "seed_chunks").select("chunk_id", "ord", F.col("content").alias("prompt"))
+    journal.ask(prompts.filter("ord % 3 = 0"), _measure, path, block=500)
+    return journal.ask(prompts, _measure, path, block=500).select("chunk_id", "prompt_hash", "reply")
+
+
+QUERIES = {f.__name__: f for f in (triage, merge_suggestions, needs_human, human_queue, api_batches, api_echo, llm_prompt, llm_parse, llm_gate, llm_journal, severity_classify, severity_filter, severity_statistics, severity_summary, severity_prioritise)}
 
 _Q = cte("seed_chunks", "seed_reviews") + """, lr AS (SELECT * FROM seed_reviews QUALIFY row_number() OVER (PARTITION BY document_id, chunk_id ORDER BY updated_at DESC, review_id DESC) = 1),
 q AS (SELECT c.document_id, c.chunk_id, c.ord, c.content, coalesce(lr.reviewed_content, c.content) AS rule, coalesce(lr.confidence, 0.5) AS rc, CASE WHEN lr.confidence > 0.95 THEN 'auto' WHEN lr.confidence < 0.7 THEN 'high' ELSE 'normal' END AS lane FROM seed_chunks c LEFT JOIN lr USING (document_id, chunk_id)),
@@ -136,3 +151,4 @@ ORACLES = {
     "severity_summary": _SEV + _SUMMARY,
     "severity_prioritise": _SEV + f", pl AS (SELECT chunk_id, ord, rank, {_NAME} AS severity_name, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY rank, ord) AS INT) AS place FROM cl WHERE rank <= 2) SELECT chunk_id, ord, severity_name, place FROM pl WHERE rank = 0 OR place <= 20",
 }
+ORACLES["llm_journal"] = cte("seed_chunks") + " SELECT chunk_id, sha256(content) AS prompt_hash, CAST(length(content) AS VARCHAR) AS reply FROM seed_chunks"

@@ -73,3 +73,19 @@ def test_progress_from_ten_changes(spark):
         cols = ["document_id", "total", "completed", "in_progress", "needs_review", "pending"]
         assert sorted(map(tuple, progress.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
     assert support.filter("n < 0").count() == 0
+
+
+def test_first_rows_of_groups(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quire.functions import topk
+
+    monkeypatch.setattr(topk, "PARTS", 3)
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < 0.8 else f"g{rng.randint(0, 5)}", x) for x in rng.sample(range(1000), 300)]
+    got = topk.first_k(spark.createDataFrame(rows, "g string, x int"), ["g"], ["x"], 4).collect()
+    want = {(g, x, n + 1) for g in {g for g, _ in rows} for n, x in enumerate(sorted(x for h, x in rows if h == g)[:4])}
+    assert {(r.g, r.x, r.place) for r in got} == want
+    df = topk.first_k(spark.createDataFrame(rows, "g string, x int"), ["g"], ["x"], 4)
+    assert df._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
+    assert topk.first_k(df.limit(0).select("g", F.col("x")), ["g"], ["x"], 2).count() == 0

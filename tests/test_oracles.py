@@ -9,7 +9,7 @@ import pytest
 from quire.queries import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()
 #: Queries that may be empty on the smallest tables.
 MAY_BE_EMPTY = {"xref_suggest", "pattern_suggest", "pattern_similar"}
 
