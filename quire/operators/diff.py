@@ -55,8 +55,10 @@ def changes(aligned: DataFrame, threshold: float = 0.5) -> DataFrame:
     held = staged(aligned, "aligned").withColumn("key", differ.pair_key(F.col("content_v1"), F.col("content_v2")))
     a, b, kind = F.col("content_v1"), F.col("content_v2"), F.col("change_type")
     modified = held.filter(kind == "modified")
-    below = differ.less_alike(differ.distinct_pairs(modified.filter(~important(a, b)), "content_v1", "content_v2", differ.characters), threshold)
-    words = differ.word_changes(differ.distinct_pairs(modified, "content_v1", "content_v2", differ.words))
+    letters = differ.distinct_pairs(modified.filter(~important(a, b)), "content_v1", "content_v2", differ.characters)
+    worded = differ.distinct_pairs(modified, "content_v1", "content_v2", differ.words)
+    found, below = differ.compared(worded, letters, threshold)
+    words = differ.word_changes(worded, found=found)
     judged = held.join(below, "key", "left").join(words.withColumnRenamed("details", "_words"), "key", "left")
     level = F.when(important(a, b), "high").when(F.col("below"), "medium").otherwise("low")
     return judged.select(

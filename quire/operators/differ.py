@@ -59,85 +59,130 @@ def runs(pairs: DataFrame) -> DataFrame:
     return equal.withColumn("island", island).groupBy("key", "d", "island").agg(F.min("i").alias("s"), F.count("*").cast("int").alias("n")).drop("island")
 
 
-def _clipped(kind: str, alo: Column, ahi: Column, blo: Column, bhi: Column) -> Column:
-    """What the box has of the run d, s, n; n is 0 and less for nothing."""
-    s = F.greatest(F.col("s"), alo, blo - F.col("d"))
-    n = F.least(F.col("s") + F.col("n"), ahi, bhi - F.col("d")) - s
-    return F.struct(F.lit(kind).alias("kind"), alo.alias("alo"), ahi.alias("ahi"), blo.alias("blo"), bhi.alias("bhi"), F.col("d").alias("d"), s.alias("s"), n.alias("n"))
+def _stretch(most: str, a: str, b: str) -> str:
+    """SQL: how many of the next ``most`` elements are equal before the first, x, for which ``a`` and ``b`` are not."""
+    return f"CASE WHEN a IS NULL OR {most} <= 0 THEN 0 ELSE coalesce(get(filter(sequence(1, {most}), x -> NOT get(a, {a}) <=> get(b, {b})), 0) - 1, {most}) END"
 
 
-def _stretch(most: Column, equal) -> Column:
-    """How many of the next ``most`` elements are equal before the first that is not."""
-    unequal = F.filter(F.sequence(F.lit(1), most), lambda x: ~equal(x))
-    return F.when(most > 0, F.coalesce(F.get(unequal, F.lit(0)) - 1, most)).otherwise(0)
+def _clipped(alo: str, ahi: str, blo: str, bhi: str) -> str:
+    """SQL: what a box has of the run d, s, n; n is 0 and less for nothing."""
+    s = f"greatest(s, {alo}, {blo} - d)"
+    return f"named_struct('kind', 'run', 'alo', {alo}, 'ahi', {ahi}, 'blo', {blo}, 'bhi', {bhi}, 'd', d, 's', {s}, 'n', least(s + n, {ahi}, {bhi} - d) - {s})"
 
 
-def _best(live: DataFrame, long: DataFrame | None) -> DataFrame:
-    """The block of every box: its longest run, which starts at ``seed``, grown over equal elements at both ends.
+def _block(i: str, j: str, n: str) -> str:
+    return f"named_struct('kind', 'block', 'alo', alo, 'ahi', ahi, 'blo', blo, 'bhi', bhi, 'd', {j} - {i}, 's', {i}, 'n', {n})"
 
-    ``lead`` is how far the box's first elements are equal, up to the block. Shorter pairs than those of ``long`` have no
-    popular elements, so their runs end where elements differ and nothing else is equal there.
+
+def _round(grown: bool) -> str:
+    """SQL of a round: ``{live}`` (the runs of all boxes), and with ``grown`` ``{long}`` (key, a, b of the pairs that have popular elements).
+
+    Every box's block is its longest run, which starts at ``seed``, grown over equal elements at both ends; ``lead`` is how far
+    the box's first elements are equal, up to the block. Short pairs have no popular elements, so their runs end where elements
+    differ and nothing else is equal there. One text for all rounds: building it from columns would take longer than a round.
     """
-    first = live.groupBy(*BOX, "ahi", "bhi").agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("s").alias("i"), (F.col("s") + F.col("d")).alias("j"))).alias("r"))
-    found = first.select(*BOX, "ahi", "bhi", F.col("r.i").alias("seed"), F.col("r.j").alias("at"), (-F.col("r.m")).alias("n"))
-    if long is None:
-        return found.select(*BOX, "ahi", "bhi", "seed", F.col("seed").alias("i"), F.col("at").alias("j"), F.col("n").alias("k"), F.lit(0).alias("lead"))
-    same = lambda x, y: F.get("a", x) == F.get("b", y)
-    i, j = F.col("seed"), F.col("at")
-    back = _stretch(F.least(i - F.col("alo"), j - F.col("blo")), lambda x: same(i - x, j - x))
-    on = _stretch(F.least(F.col("ahi") - i - F.col("n"), F.col("bhi") - j - F.col("n")), lambda x: same(i + F.col("n") + x - 1, j + F.col("n") + x - 1))
-    grown = found.join(long.select("key", "a", "b"), "key", "left").withColumns({"back": F.when(F.col("a").isNotNull(), back).otherwise(0), "on": F.when(F.col("a").isNotNull(), on).otherwise(0)})
-    lead = _stretch(F.least(i - F.col("back") - F.col("alo"), j - F.col("back") - F.col("blo")), lambda x: same(F.col("alo") + x - 1, F.col("blo") + x - 1))
-    return grown.select(*BOX, "ahi", "bhi", "seed", (i - F.col("back")).alias("i"), (j - F.col("back")).alias("j"), (F.col("n") + F.col("back") + F.col("on")).alias("k"), F.when(F.col("a").isNotNull(), lead).otherwise(0).alias("lead"))
+    found = "SELECT key, alo, blo, ahi, bhi, min(struct(-n AS m, s AS i, s + d AS j)) AS r FROM {live} GROUP BY key, alo, blo, ahi, bhi"
+    best = f"SELECT key, alo, blo, ahi, bhi, r.i AS seed, r.i, r.j, -r.m AS k, 0 AS lead FROM ({found})"
+    if grown:
+        back = _stretch("least(r.i - alo, r.j - blo)", "r.i - x", "r.j - x")
+        on = _stretch("least(ahi - r.i + r.m, bhi - r.j + r.m)", "r.i - r.m + x - 1", "r.j - r.m + x - 1")
+        ends = f"SELECT f.*, a, b, {back} AS back, {on} AS on FROM ({found}) f LEFT JOIN {{long}} USING (key)"
+        lead = _stretch("least(r.i - back - alo, r.j - back - blo)", "alo + x - 1", "blo + x - 1")
+        best = f"SELECT key, alo, blo, ahi, bhi, r.i AS seed, r.i - back AS i, r.j - back AS j, back + on - r.m AS k, {lead} AS lead FROM ({ends})"
+    is_seed = "d = j - i AND s = seed"
+    before, behind = _clipped("alo", "i", "blo", "j"), _clipped("i + k", "ahi", "j + k", "bhi")
+    cut = f"SELECT *, {before} AS before, {behind} AS behind FROM {{live}} JOIN ({best}) USING (key, alo, blo, ahi, bhi)"
+    parts = ["before", "behind", f"CASE WHEN {is_seed} THEN {_block('i', 'j', 'k')} END"]
+    if grown:
+        cut = f"SELECT *, max(before.n) OVER (PARTITION BY key, alo, blo) AS most_before FROM ({cut})"
+        parts.append(f"CASE WHEN {is_seed} AND most_before <= 0 THEN {_block('alo', 'blo', 'lead')} END")
+    return f"SELECT key, h.* FROM (SELECT key, explode(filter(array({', '.join(parts)}), h -> h.n > 0)) AS h FROM ({cut}))"
 
 
 def _rounds(pairs: DataFrame):
     """After each round its table, and the runs that live in the boxes of the next; until none does.
 
     A round's table has kind: a block (from s in a and s + d in b, n elements) or a run of the next round. The first one may
-    have key, i, j and k instead: what texts without any run have.
-
-    The receiver may send back fewer runs to go on with. A box without a run still matches as far as its first elements are
-    equal, which are popular then; behind a grown block they never are.
+    have key, i, j and k instead: what texts without any run have. The receiver may send back fewer runs to go on with. A box
+    without a run still matches as far as its first elements are equal, which are popular then; behind a grown block they
+    never are.
     """
-    long = pairs.filter(F.size("b") >= LONG)
-    long = None if long.isEmpty() else long
+    spark = pairs.sparkSession
+    long = pairs.filter(F.size("b") >= LONG).select("key", "a", "b")
+    grown = not long.isEmpty()
     whole = runs(pairs).join(pairs.select("key", F.size("a").alias("ahi"), F.size("b").alias("bhi")), "key")
     live = staged(whole.select("key", F.lit(0).alias("alo"), "ahi", F.lit(0).alias("blo"), "bhi", "d", "s", "n"), "runs")
-    if long is not None:
-        k = _stretch(F.least(F.size("a"), F.size("b")), lambda x: F.get("a", x - 1) == F.get("b", x - 1))
-        bare = long.join(live.select("key").distinct(), "key", "left_anti").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), k.alias("k")).filter("k > 0")
-        live = (yield bare, live) or live
-    i, j, k = F.col("i"), F.col("j"), F.col("k")
+    if grown:
+        bare = long.join(live.select("key").distinct(), "key", "left_anti")
+        starts = bare.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.expr(_stretch("least(size(a), size(b))", "x - 1", "x - 1")).alias("k")).filter("k > 0")
+        live = (yield starts, live) or live
+    text = _round(grown)
     while not live.isEmpty():
-        cut = live.join(_best(live, long), [*BOX, "ahi", "bhi"]).withColumns({"before": _clipped("run", F.col("alo"), i, F.col("blo"), j), "behind": _clipped("run", i + k, F.col("ahi"), j + k, F.col("bhi"))})
-        block = lambda i, j, n: F.struct(F.lit("block").alias("kind"), "alo", "ahi", "blo", "bhi", (j - i).alias("d"), i.alias("s"), n.alias("n"))
-        seed = (F.col("d") == j - i) & (F.col("s") == F.col("seed"))
-        parts = ["before", "behind", F.when(seed, block(i, j, k))]
-        if long is not None:
-            cut = cut.withColumn("bare", F.max("before.n").over(Window.partitionBy(*BOX)) <= 0)
-            parts.append(F.when(seed & F.col("bare"), block(F.col("alo"), F.col("blo"), F.col("lead"))))
-        done = staged(cut.select("key", F.explode(F.filter(F.array(*parts), lambda h: h["n"] > 0)).alias("h")).select("key", "h.*"), "round")
+        done = staged(spark.sql(text, live=live, **({"long": long} if grown else {})), "round")
         live = done.filter("kind = 'run'").drop("kind")
         live = (yield done, live) or live
 
 
+def _blocks_of(spark, tables: list[DataFrame]) -> DataFrame | None:
+    """key, i, j and k of all blocks in the rounds' tables; one scan of all their files instead of one for each."""
+    first = [t for t in tables if "kind" not in t.columns]
+    rounds = [t for t in tables if "kind" in t.columns]
+    if rounds:
+        read = spark.read.schema(rounds[0].schema).parquet(*[f for t in rounds for f in t.inputFiles()])
+        first.append(read.filter("kind = 'block'").selectExpr("key", "s AS i", "s + d AS j", "n AS k"))
+    return reduce(DataFrame.unionByName, first) if first else None
+
+
+def compared(words: DataFrame | None, letters: DataFrame | None = None, threshold: float = 0.5) -> tuple[DataFrame | None, DataFrame | None]:
+    """The blocks of ``words`` (see ``blocks``) and the verdicts on ``letters`` (see ``less_alike``), found in the same rounds."""
+    given = words if words is not None else letters
+    spark, kind = given.sparkSession, given.select("key").dtypes[0][1]
+    marked = lambda df, mark: df.select(F.concat(F.lit(mark), F.col("key").cast("string")).alias("key"), "a", "b")
+    plain = lambda df, mark: df.filter(F.col("key").startswith(mark)).withColumn("key", F.substring("key", 2, 1 << 30).cast(kind))
+    decided, left, taking = [], None, []
+    under = lambda n: 2.0 * n / F.col("total") < threshold
+    if words is not None:
+        taking.append(marked(words, "w"))
+    if letters is not None:
+        decided, left = _bounded(letters, under)
+        left = marked(left, "c")
+        taking.append(left)
+        left = left.select("key", (F.size("a") + F.size("b")).cast("double").alias("total"))
+    tables, known, n = [], 0, 0
+    rounds = _rounds(reduce(DataFrame.unionByName, taking))
+    step = next(rounds, None)
+    while step is not None:
+        (table, live), n, fewer = step, n + 1, None
+        tables.append(table)
+        if letters is not None and n & (n - 1) == 0:  # judged after rounds 1, 2, 4, 8 and so on
+            could = live.filter("key LIKE 'c%'").selectExpr("key", "alo", "blo", "least(ahi - alo, bhi - blo) AS m").distinct().groupBy("key").agg(F.sum("m").alias("could"))
+            verdict = F.when(~under(F.col("matched")), False).when(under(F.col("matched") + F.coalesce("could", F.lit(0))), True)
+            judged = staged(_matched(left, tables).join(could, "key", "left").select("key", "total", verdict.alias("below")), "alike")
+            decided.append(plain(judged.filter("below IS NOT NULL").select("key", "below"), "c"))
+            left = judged.filter("below IS NULL").select("key", "total")
+            fewer = live.join(judged.filter("below IS NOT NULL").select("key"), "key", "left_anti")
+        try:
+            step = rounds.send(fewer)
+        except StopIteration:
+            step = None
+    found = below = None
+    if words is not None:
+        all_blocks = _blocks_of(spark, tables)
+        found = spark.createDataFrame([], f"key {kind}, i int, j int, k int") if all_blocks is None else plain(all_blocks, "w")
+    if letters is not None:
+        decided.append(plain(_matched(left, tables).select("key", under(F.col("matched")).alias("below")), "c"))
+        below = reduce(DataFrame.unionByName, decided)
+    return found, below
+
+
 def blocks(pairs: DataFrame) -> DataFrame:
     """key, i, j and k: ``k`` elements from ``i`` in a equal those from ``j`` in b. pairs: key (distinct), a and b (arrays of strings)."""
-    found = [b for b, _ in _rounds(pairs)]
-    spark, schema = pairs.sparkSession, f"key {pairs.select('key').dtypes[0][1]}, i int, j int, k int"
-    if not found:
-        return spark.createDataFrame([], schema)
-    first, *rounds = found if "kind" not in found[0].columns else (None, *found)
-    # One scan of all rounds' files instead of one for each.
-    files = [f for r in rounds for f in r.inputFiles()]
-    more = spark.read.schema(rounds[0].schema).parquet(*files).filter("kind = 'block'").select("key", F.col("s").alias("i"), (F.col("s") + F.col("d")).alias("j"), F.col("n").alias("k")) if files else None
-    return reduce(DataFrame.unionByName, [x for x in (first, more) if x is not None])
-
-
-def gaps(pairs: DataFrame) -> DataFrame:
+    return compared(pairs)[0]
+
+
+def gaps(pairs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """pairs with gaps: in order, what differs before each block (i to ie in a, j to je in b) and the ``k`` equal elements of a behind it."""
-    listed = blocks(pairs).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "j", "k"))).alias("found"))
+    listed = (blocks(pairs) if found is None else found).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "j", "k"))).alias("found"))
     end = F.struct(F.size("a").alias("i"), F.size("b").alias("j"), F.lit(0).alias("k"))
     begin = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("k"))
     j = pairs.join(listed, "key", "left").withColumn("found", F.concat(F.array(begin), F.coalesce("found", F.array().cast("array<struct<i:int,j:int,k:int>>")), F.array(end)))
@@ -150,8 +195,8 @@ def _part(side: str, lo: Column, hi: Column) -> Column:
     return F.array_join(F.slice(side, lo + 1, F.greatest(hi - lo, F.lit(0))), " ")
 
 
-def word_changes(pairs: DataFrame, most: int = 5) -> DataFrame:
-    """key and details: the first ``most`` word-level edits from a to b, joined by semicolons."""
+def word_changes(pairs: DataFrame, most: int = 5, found: DataFrame | None = None) -> DataFrame:
+    """key and details: the first ``most`` word-level edits from a to b, joined by semicolons; ``found`` are the blocks where known."""
 
     def edit(g: Column) -> Column:
         old, new, gone, come = _part("a", g["i"], g["ie"]), _part("b", g["j"], g["je"]), g["ie"] > g["i"], g["je"] > g["j"]
@@ -159,7 +204,7 @@ def word_changes(pairs: DataFrame, most: int = 5) -> DataFrame:
         return F.when(gone & come, both).when(gone, F.concat(F.lit("Removed: '"), old, F.lit("'"))).when(come, F.concat(F.lit("Added: '"), new, F.lit("'")))
 
     edits = F.filter(F.transform("gaps", edit), lambda t: t.isNotNull())
-    return gaps(pairs).select("key", F.array_join(F.slice(edits, 1, most), "; ").alias("details"))
+    return gaps(pairs, found).select("key", F.array_join(F.slice(edits, 1, most), "; ").alias("details"))
 
 
 def word_markup(pairs: DataFrame) -> DataFrame:
@@ -173,45 +218,29 @@ def word_markup(pairs: DataFrame) -> DataFrame:
     return gaps(pairs).select("key", F.array_join(F.flatten(F.transform("gaps", piece)), " ").alias("markup"))
 
 
-def _matched(totals: DataFrame, found: list[DataFrame]) -> DataFrame:
+def _matched(totals: DataFrame, tables: list[DataFrame]) -> DataFrame:
     """key, total and matched: the elements in all blocks found so far."""
-    sums = reduce(DataFrame.unionByName, [f.select("key", F.col("k").cast("long").alias("k")) for f in found]).groupBy("key").agg(F.sum("k").alias("matched")) if found else totals.select("key", F.lit(0).cast("long").alias("matched"))
+    found = _blocks_of(totals.sparkSession, tables)
+    sums = totals.select("key", F.lit(0).cast("long").alias("matched")) if found is None else found.groupBy("key").agg(F.sum("k").alias("matched"))
     return totals.join(sums, "key", "left").select("key", "total", F.coalesce("matched", F.lit(0)).alias("matched"))
 
 
-def less_alike(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """key and below: whether the differ's ratio, twice the matching elements over all elements, is under ``threshold``.
-
-    Bounds decide what they can: the shorter side's length, then what both sides have in common in any order, then after each
-    round the blocks so far from below, and with all that the boxes left could add from above. Two empty sides have a ratio of 1.
-    """
+def _bounded(pairs: DataFrame, under) -> tuple[list[DataFrame], DataFrame]:
+    """What the shorter side's length and the elements common to both sides decide, and the pairs that they do not."""
     total = (F.size("a") + F.size("b")).cast("double")
-    under = lambda matched: 2.0 * matched / F.col("total") < threshold
     sized = pairs.withColumn("total", total).withColumn("verdict", F.when((F.col("total") == 0) | (F.col("a") == F.col("b")), False).when(under(F.least(F.size("a"), F.size("b"))), True))
-    decided = [sized.filter("verdict IS NOT NULL").select("key", F.col("verdict").alias("below"))]
     open_pairs = sized.filter("verdict IS NULL")
     count = lambda side, n: open_pairs.select("key", F.explode(side).alias("w")).groupBy("key", "w").agg(F.count("*").alias(n))
     common = count("a", "ca").join(count("b", "cb"), ["key", "w"]).groupBy("key").agg(F.sum(F.least("ca", "cb")).alias("common"))
     shared = staged(open_pairs.join(common, "key", "left").withColumn("verdict", under(F.coalesce("common", F.lit(0)))).drop("common"), "alike")
-    decided.append(shared.filter("verdict").select("key", F.lit(True).alias("below")))
-    left = shared.filter("NOT verdict").select("key", "a", "b", "total")
-    totals, found_all, n = left.select("key", "total"), [], 0
-    rounds = _rounds(left.select("key", "a", "b"))
-    step = next(rounds, None)
-    while step is not None:
-        (found, live), n, fewer = step, n + 1, None
-        found_all.append(found.filter("kind = 'block'").select("key", F.col("n").alias("k")) if "kind" in found.columns else found)
-        if n & (n - 1) == 0:  # judged after rounds 1, 2, 4, 8 and so on
-            could = live.select("key", "alo", "blo", F.least(F.col("ahi") - F.col("alo"), F.col("bhi") - F.col("blo")).alias("m")).distinct().groupBy("key").agg(F.sum("m").alias("could"))
-            judged = _matched(totals, found_all).join(could, "key", "left").withColumn("below", F.when(~under(F.col("matched")), False).when(under(F.col("matched") + F.coalesce("could", F.lit(0))), True))
-            judged = staged(judged, "alike")
-            decided.append(judged.filter("below IS NOT NULL").select("key", "below"))
-            totals, found_all = judged.filter("below IS NULL").select("key", "total"), [judged.filter("below IS NULL").select("key", F.col("matched").alias("k"))]
-            fewer = live.join(totals.select("key"), "key", "left_semi")
-        try:
-            step = rounds.send(fewer)
-        except StopIteration:
-            step = None
-    matched = _matched(totals, found_all)
-    decided.append(matched.select("key", under(F.col("matched")).alias("below")))
-    return reduce(DataFrame.unionByName, decided)
+    decided = [sized.filter("verdict IS NOT NULL").select("key", F.col("verdict").alias("below")), shared.filter("verdict").select("key", F.lit(True).alias("below"))]
+    return decided, shared.filter("NOT verdict").select("key", "a", "b")
+
+
+def less_alike(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """key and below: whether the differ's ratio, twice the matching elements over all elements, is under ``threshold``.
+
+    Bounds decide what they can: the shorter side's length, then what both sides have in common in any order, then after some
+    rounds the blocks so far from below, and with all that the boxes left could add from above. Two empty sides have a ratio of 1.
+    """
+    return compared(None, pairs, threshold)[1]
