@@ -80,6 +80,37 @@ def document(chunks: DataFrame, metadata: DataFrame, refs: DataFrame | None = No
     return d.select("document_id", text.alias("text"))
 
 
+#: Labels of the change summary's header, before and after its line.
+SUMMARY_TITLE = "# Review Changes Summary\n\n"
+SUMMARY_LABELS = {"filename": "Document", "generated": "Generated", "total_changes": "Total Changes"}
+PROCESSING_TITLE = "\n---\n\n## Processing Summary\n\n"
+PROCESSING_LABELS = {"total_pages": "Pages Processed", "completed": "Chunks Processed", "time": "Total Time", "speed": "Processing Speed", "avg_confidence": "Average Confidence"}
+
+
+def change_header(stats: DataFrame, generated: Column) -> DataFrame:
+    """document_id and the head of the change summary, from one row of figures for each document.
+
+    stats: document_id, filename, total_changes, total_pages, completed, seconds, avg_confidence; what is null counts as 0, a
+    missing file name as N/A. ``generated`` is the time that it states, as text. Without seconds the speed is 0.
+    """
+    number = lambda c: F.format_number(F.coalesce(c, F.lit(0)).cast("long"), 0)
+    plain = lambda places, x: F.format_string(f"%.{places}f", F.coalesce(x, F.lit(0.0)).cast("double"))
+    seconds = F.coalesce("seconds", F.lit(0.0))
+    values = {
+        "filename": F.coalesce("filename", F.lit("N/A")), "generated": generated, **{c: number(c) for c in ("total_changes", "total_pages", "completed")},
+        "time": F.concat(plain(1, seconds), F.lit(" seconds ("), plain(1, seconds / 60), F.lit(" minutes)")),
+        "speed": F.concat(plain(1, F.try_divide(F.col("total_pages"), seconds)), F.lit(" pages/second")), "avg_confidence": plain(2, F.col("avg_confidence")),
+    }
+    lines = lambda labels: [x for c, name in labels.items() for x in (F.lit(f"**{name}:** "), values[c], F.lit("\n"))]
+    return stats.select("document_id", F.concat(F.lit(SUMMARY_TITLE), *lines(SUMMARY_LABELS), F.lit(PROCESSING_TITLE), *lines(PROCESSING_LABELS), F.lit("\n---\n\n")).alias("header"))
+
+
+def change_summary(stats: DataFrame, changes: DataFrame, generated: Column) -> DataFrame:
+    """document_id and the whole change summary: its header (see ``change_header``) and its sections (see ``change_sections``)."""
+    j = change_header(stats, generated).join(change_sections(changes), "document_id", "left")
+    return j.select("document_id", F.concat("header", F.coalesce("sections", F.lit(""))).alias("summary"))
+
+
 def latest_changes(latest: DataFrame) -> DataFrame:
     """document_id, ord, type, original, corrected, reason, severity, description of every change in the latest reviews (changes).
 

@@ -101,6 +101,14 @@ def review_sections(spark, d):
     return R.change_sections(R.latest_changes(L.review(frame(spark, d, "seed_chunks"))))
 
 
+def change_header(spark, d):
+    """The head of each document's change summary, from its chunks and recorded changes."""
+    changes = frame(spark, d, "seed_changes").groupBy("document_id").agg(F.count("*").alias("total_changes"))
+    pages = frame(spark, d, "seed_chunks").groupBy("document_id").agg(F.max("page_start").cast("long").alias("total_pages"), F.count("*").alias("completed"))
+    figures = {"filename": F.when(F.col("total_pages") % 3 > 0, F.concat("document_id", F.lit(".pdf"))), "seconds": F.col("completed") * 17.3 + 0.13, "avg_confidence": 0.8 + F.col("completed") % 10 * 0.011}
+    return R.change_header(pages.join(changes, "document_id", "left").withColumns(figures), F.lit("2024-01-31 12:00:00"))
+
+
 def _corpus(spark, d):
     """Text, table and figure chunks with the columns of the review plan."""
     text = frame(spark, d, "seed_chunks").select("document_id", "chunk_id", "page_start", "section_hierarchy", "chunk_type", "content")
@@ -133,7 +141,7 @@ def summary_text(spark, d):
     return R.summary_text(docs.withColumns({"filename": F.concat("document_id", F.lit(".pdf")), "completed": F.col("total_chunks")}))
 
 
-QUERIES = {f.__name__: f for f in (doc_assemble, doc_contents, doc_contents_text, crossref_report_text, crossref_rates, changes_by_type, unique_examples, grammar_split, issues_by_severity, savings, review_documents, review_broken_sections, summary_text, doc_output, review_output, review_gated, review_changes, review_sections)}
+QUERIES = {f.__name__: f for f in (doc_assemble, doc_contents, doc_contents_text, crossref_report_text, crossref_rates, changes_by_type, unique_examples, grammar_split, issues_by_severity, savings, review_documents, review_broken_sections, summary_text, doc_output, review_output, review_gated, review_changes, review_sections, change_header)}
 
 _CK = ", ck AS (SELECT document_id, chunk_id, page_start, content, CASE ord % 6 WHEN 0 THEN '' WHEN 1 THEN 'Figure ' || (ord % 3) WHEN 2 THEN 'ab' ELSE section_hierarchy END AS section, CASE ord % 4 WHEN 0 THEN '' WHEN 1 THEN 'reviewed ' || chunk_id END AS reviewed FROM seed_chunks)"
 _C = cte("seed_chunks") + _CK
@@ -194,3 +202,5 @@ ORACLES |= {
     "review_gated": cte("seed_chunks", "seed_llm") + LQ._STEPS + LQ._SC + LQ._REST + LQ._COUNTED + ", cf AS (SELECT chunk_id, CASE WHEN n IS NULL THEN 1.0 ELSE round(round(CASE WHEN n > 20 THEN a * 0.85 WHEN n > 10 THEN a * 0.92 ELSE a END, 9), 2) END AS c FROM g3 LEFT JOIN n USING (chunk_id)), rp AS (SELECT document_id, chunk_id, doc_id % 4 AS kind, CASE doc_id % 4 WHEN 0 THEN CAST('0.9' || (doc_id % 10) AS DOUBLE) WHEN 1 THEN 0.8 WHEN 2 THEN 0.7 ELSE 0.5 END AS r FROM seed_llm), gt AS (SELECT document_id, c < 0.95 AS asked, c < 0.95 AND r > c + CAST(0.05 AS DOUBLE) AS accepted, kind FROM cf JOIN rp USING (chunk_id)) SELECT document_id, count(*) FILTER (asked) AS asked, count(*) FILTER (accepted) AS accepted, count(*) FILTER (accepted AND kind = 0) AS fixed FROM gt GROUP BY document_id",
     "review_changes": LQ._FULL + " SELECT document_id, type, count(*) AS n FROM (SELECT chunk_id, 'spelling' AS type FROM sc UNION ALL SELECT chunk_id, type FROM oc) x JOIN seed_chunks USING (chunk_id) GROUP BY ALL",
 }
+_FIGURES = "SELECT document_id, CASE WHEN total_pages % 3 > 0 THEN document_id || '.pdf' ELSE 'N/A' END AS filename, coalesce(total_changes, 0) AS total_changes, total_pages, completed, completed * 17.3::DOUBLE + 0.13::DOUBLE AS seconds, 0.8::DOUBLE + completed % 10 * 0.011::DOUBLE AS avg_confidence FROM (SELECT document_id, CAST(max(page_start) AS BIGINT) AS total_pages, count(*) AS completed FROM seed_chunks GROUP BY document_id) LEFT JOIN (SELECT document_id, count(*) AS total_changes FROM seed_changes GROUP BY document_id) USING (document_id)"
+ORACLES["change_header"] = cte("seed_chunks", "seed_changes") + f", f AS ({_FIGURES}) SELECT document_id, replace('# Review Changes Summary~~**Document:** ' || filename || '~**Generated:** 2024-01-31 12:00:00~**Total Changes:** ' || format('{{:,}}', total_changes) || '~~---~~## Processing Summary~~**Pages Processed:** ' || format('{{:,}}', total_pages) || '~**Chunks Processed:** ' || format('{{:,}}', completed) || '~**Total Time:** ' || format('{{:.1f}}', seconds) || ' seconds (' || format('{{:.1f}}', seconds / 60) || ' minutes)~**Processing Speed:** ' || format('{{:.1f}}', total_pages / seconds) || ' pages/second~**Average Confidence:** ' || format('{{:.2f}}', avg_confidence) || '~~---~~', '~', chr(10)) AS header FROM f"
