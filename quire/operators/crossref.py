@@ -167,9 +167,13 @@ def report(refs: DataFrame) -> DataFrame:
 
 
 def persist_validity(stored: DataFrame, checked: DataFrame) -> DataFrame:
-    """The stored references with the checked validity; a target_id is only overwritten by another one, never by null or ''."""
-    new = checked.select("ref_id", F.col("is_valid").alias("_valid"), F.nullif("target_id", F.lit("")).alias("_target"))
-    j = stored.join(new, "ref_id", "left")
+    """The stored references with the checked validity; a target_id is only overwritten by another one, never by null or ''.
+
+    A ref_id does not say its document, so references meet within theirs where both tables have document_id.
+    """
+    key = [*_document(stored, checked), "ref_id"]
+    new = checked.select(*key, F.col("is_valid").alias("_valid"), F.nullif("target_id", F.lit("")).alias("_target"))
+    j = stored.join(new, key, "left")
     return j.withColumn("is_valid", F.coalesce("_valid", "is_valid")).withColumn("target_id", F.coalesce("_target", "target_id")).drop("_valid", "_target")
 
 

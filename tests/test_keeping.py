@@ -89,3 +89,13 @@ def test_first_rows_of_groups(spark, monkeypatch):
     df = topk.first_k(spark.createDataFrame(rows, "g string, x int"), ["g"], ["x"], 4)
     assert df._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
     assert topk.first_k(df.limit(0).select("g", F.col("x")), ["g"], ["x"], 2).count() == 0
+
+
+def test_validity_stays_in_its_document(spark):
+    from quire.operators import crossref
+
+    stored = spark.createDataFrame([("d1", "r", None, False), ("d2", "r", "old", True), ("d3", "r", "old", True)], "document_id string, ref_id string, target_id string, is_valid boolean")
+    checked = spark.createDataFrame([("d1", "r", "t", True), ("d2", "r", "", False)], "document_id string, ref_id string, target_id string, is_valid boolean")
+    got = {r.document_id: (r.target_id, r.is_valid) for r in crossref.persist_validity(stored, checked).collect()}
+    assert got == {"d1": ("t", True), "d2": ("old", False), "d3": ("old", True)}
+    assert crossref.persist_validity(stored, checked.drop("document_id").filter("is_valid")).filter("is_valid AND target_id = 't'").count() == 3
