@@ -148,7 +148,7 @@ def thresholds(measured: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """The base counts, the ratios, base_failed and kept of every row of ``docs`` (doc_id, text, lang, source).
+    """The base counts, base_failed, kept and the ratios of every row of ``docs`` (doc_id, text, lang, source).
 
     kept is false for documents that fail the base rules, else true unless a ratio lies beyond a threshold of its group. A null
     text counts as one without words and fails; null languages and sources are groups of their own; repeated rows count as
@@ -160,4 +160,4 @@ def judge(docs: DataFrame) -> DataFrame:
         group = F.broadcast(group)
     joined = measured.join(group, measured["lang"].eqNullSafe(group["_lang"]) & measured["source"].eqNullSafe(group["_source"]), "left")
     within = reduce(lambda a, b: a & b, [F.coalesce(F.col(r) >= F.col(f"low_{r}"), F.lit(True)) & F.coalesce(F.col(r) <= F.col(f"high_{r}"), F.lit(True)) for r in RATIOS])
-    return joined.select("doc_id", *BASE, *RATIOS, "base_failed", (~F.col("base_failed") & within).alias("kept"))
+    return joined.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & within).alias("kept"), *RATIOS)
