@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.config import DEFAULT, EngineConfig
+from quire.functions.staging import staged
 from quire.operators import crossref, language, report, tables, triage
 from quire.operators.chunking import split_chunks
 
 
 @dataclass(frozen=True)
 class Review:
-    """Results of a review; nothing runs before one of them is read or written."""
+    """Results of a review; nothing but the split runs before one of them is read or written."""
 
     chunks: DataFrame
     reviewed: DataFrame
@@ -49,8 +50,11 @@ def review_chunks(chunks: DataFrame, config: EngineConfig = DEFAULT, replies: Da
 
 
 def review(chunks: DataFrame, toc_targets: DataFrame, config: EngineConfig = DEFAULT, replies: DataFrame | None = None) -> Review:
-    """Split, review, extract and validate references, and count by document. toc_targets: document_id, ref_type, target."""
-    split = split_chunks(chunks, config)
+    """Split, review, extract and validate references, and count by document. toc_targets: document_id, ref_type, target.
+
+    The split chunks, which all results are made from, are written once; everything else runs when it is read.
+    """
+    split = staged(split_chunks(chunks, config), "split")
     reviewed = review_chunks(split, config, replies)
     targets = crossref.known_targets(crossref.extract_targets(split, config.section_targets_from_text), toc_targets)
     refs = crossref.validate(crossref.extract_references(split), targets)
