@@ -241,9 +241,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return fp.join(first, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def keep_representatives(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One document of each component, with all columns: the smallest doc_id's (null ids last, then by the text's hash)."""
-    first = _grouped(docs, shingle, radius)[1].select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h")).distinct()
+def representatives(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``first`` (column first: no_id, doc_id, h) names, repeated rows once."""
+    named = first.select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h")).distinct()
     keyed = packed(docs, "doc_id", "text").withColumn("_key", F.xxhash64("text"))
-    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_id"]) & (keyed["_key"] == first["_h"]), "left_semi")
+    kept = keyed.join(named, keyed["doc_id"].eqNullSafe(named["_id"]) & (keyed["_key"] == named["_h"]), "left_semi")
     return unpacked(kept.dropDuplicates(["doc_id", "_key"]), docs.columns)
+
+
+def keep_representatives(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One document of each component, with all columns: the smallest doc_id's (null ids last, then by the text's hash)."""
+    return representatives(docs, _grouped(docs, shingle, radius)[1])

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, html_main, language_id, line_dedup, quality_rules, simhash, toxicity, warc, weak_labels
+from quire.llm import bpe, decontaminate, html_main, language_id, line_dedup, quality_rules, simhash, toxicity, warc, weak_labels, wide_simhash
 from quire.llm.queries import tokenizer
 
 DATA = "/root/testdata/sf0.001"
@@ -586,6 +586,87 @@ def test_alignment_in_halves(monkeypatch):
         assert len(found) == n and all(a[i] in it for i in found)
 
 
+# SimHash by similarity
+
+
+def bits_apart(a, b):
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def alike(a, b):
+    a, b = (set(zip(*[t.split()[k:] for k in range(5)])) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_wide_signature():
+    rng = random.Random(4)
+    words = [rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(9000)]  # more shingles than one step
+    text = " ".join(words).encode()
+    slow = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5])) for i in range(len(words) - 4)}
+    assert wide_simhash.shingles(text).tolist() == sorted(slow)
+    h = np.array(sorted(slow), np.uint64)
+    spread = [[int(x) for x in wide_simhash.mix(h ^ c)] for c in wide_simhash.SPREAD]
+    fp, keys = wide_simhash.signature(text)
+    assert [int(x) for x in fp] == [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in column) > len(h)) for column in spread]
+    again = wide_simhash.signature(b"  " + text.upper().replace(b" ", b"\n\t "))
+    assert (again[0] == fp).all() and (again[1] == keys).all() and len(set(keys.tolist())) == wide_simhash.BANDS
+    assert not any(x.any() for x in wide_simhash.signature(b" \n")) and len(wide_simhash.shingles(b"a b c")) == 1
+
+
+def test_wide_links(spark):
+    """Within a block all that lie within the radius are connected, in small blocks and in large ones."""
+    rng, rows = np.random.default_rng(3), {}
+    for key, size in enumerate((1, 2, 9, 23, 24, 70, 300)):
+        base = rng.integers(0, 2**64, (3, wide_simhash.WORDS), np.uint64)
+        for i in range(size):
+            flips = np.packbits(rng.random((wide_simhash.WORDS, 64)) < 0.09, axis=1).view(np.uint64)[:, 0]
+            rows[(base[i % 3] ^ flips).tobytes()] = key
+    df = spark.createDataFrame([(k, [v]) for k, v in rows.items()], "fp binary, keys array<long>")
+    got = {bytes(r.node): bytes(r.root) for r in simhash.components(wide_simhash.links(df)).collect()}
+    parent = {k: k for k in rows}
+    fps = {k: np.frombuffer(k, np.uint64) for k in rows}
+    for a in rows:
+        for b in rows:
+            if a < b and rows[a] == rows[b] and bits_apart(fps[a], fps[b]) <= wide_simhash.RADIUS:
+                x, y = find(parent, a), find(parent, b)
+                parent[max(x, y)] = min(x, y)
+    assert all(got.get(k, k) == find(parent, k) for k in rows)
+    assert 20 < len({find(parent, k) for k in rows}) < len(rows) - 100
+
+
+@pytest.mark.parametrize("most", [512, 8])
+def test_near_copies_by_similarity(spark, monkeypatch, most):
+    """Pairs of similarity 0.8 and more are found (at 8, through blocks keyed again), and texts without a near copy stay."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts, copied = [], set()
+    for n in range(150):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(60, 400))]
+        for copy in range((1, 1, 4)[n % 3] + 40 * (n == 2)):
+            own = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 80)) if copy else 0):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            copied |= {n} if copy else set()
+            texts.append((n, " ".join(own)))
+    monkeypatch.setattr(wide_simhash, "MAX_BLOCK", most)
+    df = frame(spark, [t for _, t in texts])
+    got = {r.doc_id: r.component_id for r in wide_simhash.near_copies(df).collect()}
+    pairs = [(i, j) for i, (m, t) in enumerate(texts) for j, (n, u) in enumerate(texts[:i]) if m == n and alike(t, u) >= 0.8]
+    found = sum(got[i] == got[j] for i, j in pairs)
+    assert len(pairs) > 200 and found >= 0.95 * len(pairs)
+    assert all(texts[i][0] == texts[root][0] for i, root in got.items())  # no text joins another one's copies
+    kept = {r.doc_id for r in wide_simhash.keep_representatives(df).collect()}
+    assert kept == set(got.values()) and {i for i, (n, _) in enumerate(texts) if n not in copied} <= kept
+
+
+def test_wide_awkward(spark, awkward, empty):
+    odd = wide_simhash.near_copies(awkward).collect()
+    assert len(odd) == 8 and sorted(str(r.component_id) for r in odd) == ["1", "1", "1", "1", "4", "4", "5", "None"]
+    kept = wide_simhash.keep_representatives(awkward)
+    assert kept.columns == awkward.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "None"]
+    assert wide_simhash.near_copies(empty).count() == wide_simhash.keep_representatives(empty).count() == 0
+
+
 # The pipeline
 
 
@@ -597,11 +678,11 @@ def test_pipeline(spark):
     ids = sorted(langs)
     cut = brute_lines([docs[i].text or "" for i in ids])
     left = {i: t for i, t in zip(ids, cut) if t.strip() or t == (docs[i].text or "")}
-    fps = {i: simhash.fingerprint(t.encode()) for i, t in left.items()}
+    signed = {i: wide_simhash.signature(t.encode()) for i, t in left.items()}
     parent = {i: i for i in left}
     for i in left:
         for j in left:
-            if i < j and (fps[i] ^ fps[j]).bit_count() <= corpus_pipeline.RADIUS:
+            if i < j and (signed[i][1] == signed[j][1]).any() and bits_apart(signed[i][0], signed[j][0]) <= wide_simhash.RADIUS:
                 x, y = find(parent, i), find(parent, j)
                 parent[max(x, y)] = min(x, y)
     left = {i: t for i, t in left.items() if parent[i] == i}
