@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.config import DEFAULT, EngineConfig
-from quire.functions.text import strip
+from quire.functions.text import bind, strip
 
 #: What starts a section heading.
 HEADERS = [
@@ -14,6 +14,8 @@ HEADERS = [
     r"^[A-Z][A-Z\s]{10,}$", r"^[A-Z][a-z\s]+:$",
 ]
 HEADER = "|".join(f"(?:{p})" for p in HEADERS)
+#: Pieces that a list takes before it is set aside whole, so that adding one does not copy all before it.
+BLOCK = 256
 
 
 def chunk_id(content: Column, page_no: Column, suffix: Column) -> Column:
@@ -22,16 +24,38 @@ def chunk_id(content: Column, page_no: Column, suffix: Column) -> Column:
     return F.concat(F.lit("chunk_"), page_no.cast("string"), F.lit("_"), F.substring(F.md5(F.concat(F.substring(content, 1, 100), page_no.cast("string"), suffix)), 1, 12), tail)
 
 
+def _start() -> Column:
+    """State of a split: the piece under way, the latest finished pieces, and full lists of earlier ones."""
+    return F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"), F.array().cast("array<array<string>>").alias("full"))
+
+
+def _next(a: Column, flush: Column, cur: Column) -> Column:
+    """The state with ``cur`` under way; where ``flush`` holds the piece before is finished (never inside ``bind``, which would copy the state)."""
+    piece, aside = F.array(strip(a["cur"])), F.size(a["out"]) >= BLOCK
+    out = F.when(aside & flush, piece).when(flush, F.concat(a["out"], piece)).otherwise(a["out"])
+    return F.struct(cur.alias("cur"), out.alias("out"), F.when(aside & flush, F.concat(a["full"], F.array(a["out"]))).otherwise(a["full"]).alias("full"))
+
+
+def _finished(a: Column) -> Column:
+    return F.flatten(F.concat(a["full"], F.array(a["out"])))
+
+
+def _joined(a: Column, p: Column) -> Column:
+    """The piece under way with one more paragraph."""
+    return F.when(a["cur"] != "", F.concat(a["cur"], F.lit("\n\n"), p)).otherwise(p)
+
+
 def fixed_pieces(text: Column, size: int, overlap: int) -> Column:
     """Stripped pieces: paragraphs are added until the next would pass ``size``; a new piece starts with the last ``overlap`` characters."""
-    zero = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
 
     def add(a: Column, p: Column) -> Column:
-        full = (F.length(a["cur"]) + F.length(p) > size) & (a["cur"] != "")
-        cur = F.when(full, F.concat(F.right(a["cur"], F.lit(overlap)), F.lit("\n\n"), p)).when(a["cur"] != "", F.concat(a["cur"], F.lit("\n\n"), p)).otherwise(p)
-        return F.struct(cur.alias("cur"), F.when(full, F.concat(a["out"], F.array(strip(a["cur"])))).otherwise(a["out"]).alias("out"))
+        flush = (F.length(a["cur"]) + F.length(p) > size) & (a["cur"] != "")
+        return _next(a, flush, F.when(flush, F.concat(F.right(a["cur"], F.lit(overlap)), F.lit("\n\n"), p)).otherwise(_joined(a, p)))
 
-    return F.aggregate(F.split(text, "\n\n"), zero, add, lambda a: F.when(strip(a["cur"]) != "", F.concat(a["out"], F.array(strip(a["cur"])))).otherwise(a["out"]))
+    def finish(a: Column) -> Column:
+        return bind(strip(a["cur"]), lambda rest: F.when(rest != "", F.concat(_finished(a), F.array(rest))).otherwise(_finished(a)))
+
+    return F.aggregate(F.split(text, "\n\n"), _start(), add, finish)
 
 
 def segments(text: Column) -> Column:
@@ -51,21 +75,22 @@ def semantic_overlap(text: Column, overlap: int) -> Column:
 
 def semantic_pieces(text: Column, least: int, most: int, overlap: int) -> Column:
     """Stripped pieces: a heading starts a new one once ``least`` is reached, any paragraph where it would pass ``most``; a short rest joins the piece before."""
-    zero = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
 
     def add(a: Column, s: Column) -> Column:
         n = F.length(a["cur"])
         flush = (a["cur"] != "") & ((s["boundary"] & (n >= least)) | (n + F.length(s["text"]) > most))
-        carry = semantic_overlap(a["cur"], overlap)
-        cur = F.when(flush, F.when(carry != "", F.concat(carry, F.lit("\n\n"), s["text"])).otherwise(s["text"])).when(a["cur"] != "", F.concat(a["cur"], F.lit("\n\n"), s["text"])).otherwise(s["text"])
-        return F.struct(cur.alias("cur"), F.when(flush, F.concat(a["out"], F.array(strip(a["cur"])))).otherwise(a["out"]).alias("out"))
+        again = bind(semantic_overlap(a["cur"], overlap), lambda carry: F.when(carry != "", F.concat(carry, F.lit("\n\n"), s["text"])).otherwise(s["text"]))
+        return _next(a, flush, F.when(flush, again).otherwise(_joined(a, s["text"])))
+
+    def end(a: Column, rest: Column, out: Column) -> Column:
+        n = F.size(out)
+        joined = F.concat(F.slice(out, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.element_at(out, F.greatest(n, F.lit(1))), F.lit("\n\n"), rest)))
+        return F.when(rest == "", out).when((F.length(a["cur"]) >= least) | (n == 0), F.concat(out, F.array(rest))).otherwise(joined)
 
     def finish(a: Column) -> Column:
-        rest, n = strip(a["cur"]), F.size(a["out"])
-        joined = F.concat(F.slice(a["out"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.element_at(a["out"], F.greatest(n, F.lit(1))), F.lit("\n\n"), rest)))
-        return F.when(rest == "", a["out"]).when((F.length(a["cur"]) >= least) | (n == 0), F.concat(a["out"], F.array(rest))).otherwise(joined)
+        return bind(strip(a["cur"]), lambda rest: bind(_finished(a), lambda out: end(a, rest, out)))
 
-    return F.aggregate(segments(text), zero, add, finish)
+    return F.aggregate(segments(text), _start(), add, finish)
 
 
 def split_chunks(chunks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -80,6 +105,9 @@ def split_chunks(chunks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame
         pieces = fixed_pieces(content, config.chunk_size, config.overlap)
     long = (F.col("chunk_type") == "text") & (F.length(content) > config.chunk_size)
     df = chunks.withColumn("_p", F.when(long, pieces)).withColumn("_p", F.when(F.size("_p") > 0, F.col("_p")))
-    out = df.select("*", F.posexplode_outer(F.coalesce("_p", F.array(content))).alias("_i", "_c"))
-    whole = F.col("_p").isNull()
-    return out.withColumns({"content": F.col("_c"), "chunk_id": F.when(whole, F.col("chunk_id")).otherwise(F.concat("chunk_id", F.lit("_sub_"), F.col("_i").cast("string"))), "sub_chunk": F.when(~whole, F.col("_i"))}).drop("_p", "_i", "_c")
+    # Neither the text nor its pieces go along with each piece.
+    own = [c for c in chunks.columns if c != "content"]
+    out = df.select(*own, F.col("_p").isNull().alias("_w"), F.posexplode_outer(F.coalesce("_p", F.array(content))).alias("_i", "content"))
+    part = F.concat("chunk_id", F.lit("_sub_"), F.col("_i").cast("string"))
+    named = out.withColumns({"chunk_id": F.when(F.col("_w"), F.col("chunk_id")).otherwise(part), "sub_chunk": F.when(~F.col("_w"), F.col("_i"))})
+    return named.select(*[c for c in chunks.columns if c != "sub_chunk"], "sub_chunk")

@@ -1,5 +1,9 @@
 """Exact expectations on literal rows."""
 
+import random
+import re
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +63,37 @@ def test_semantic_chunks_keep_every_paragraph(spark):
     assert len(pieces) > 1 and all(any(p.strip() in x for x in pieces) for p in paragraphs)
 
 
+def fixed_by_hand(text, size, overlap):
+    cur, out = "", []
+    for p in text.split("\n\n"):
+        if cur and len(cur) + len(p) > size:
+            out.append(cur.strip())
+            cur = cur[-overlap:] + "\n\n" + p
+        else:
+            cur = f"{cur}\n\n{p}" if cur else p
+    return out + ([cur.strip()] if cur.strip() else [])
+
+
+def test_fixed_chunks_by_hand(spark):
+    """More pieces than a list takes at a time, empty paragraphs at the ends and between, and texts without any piece."""
+    rng = random.Random(1)
+    texts = ["", "\n\n\n\n", " \n\n ", "x"] + ["\n\n".join("ab c"[: rng.randint(0, 4)] * rng.randint(0, 4) for _ in range(n)) for n in (5, 50, 700, 3000)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", chunking.fixed_pieces(F.col("t"), 20, 5)).collect()
+    assert {i: p for i, p in got} == {i: fixed_by_hand(t, 20, 5) for i, t in enumerate(texts)}
+    assert max(len(p) for _, p in got) > 3 * chunking.BLOCK
+
+
+@pytest.mark.parametrize("strategy", ["fixed", "semantic"])
+def test_chunks_of_a_long_text(spark, strategy):
+    """No paragraph of a long text is lost, and other columns stay as they are."""
+    text = "\n\n".join(f"paragraph {i} of a long text." for i in range(8000))
+    chunks = spark.createDataFrame([("c", "text", text, 7, "kept"), ("t", "table", text, 7, "kept"), ("s", "text", "short", 7, None), ("n", "text", None, 7, None)], "chunk_id string, chunk_type string, content string, sub_chunk int, other string")
+    out = chunking.split_chunks(chunks, replace(DEFAULT, chunking_strategy=strategy)).collect()
+    assert {int(n) for r in out if r.chunk_id.startswith("c_sub_") for n in re.findall(r"paragraph (\d+) of", r.content)} == set(range(8000))
+    assert sorted(r.sub_chunk for r in out if r.chunk_id.startswith("c_sub_")) == list(range(len(out) - 3)) and len(out) > 100
+    assert {(r.chunk_id, r.content, r.sub_chunk, r.other) for r in out if not r.chunk_id.startswith("c_")} == {("t", text, None, "kept"), ("s", "short", None, None), ("n", None, None, None)}
+
+
 @pytest.mark.parametrize("number, targets, want, conf", [
     ("5", ["5.0"], "5.0", 0.98), ("10", ["1"], "1", 0.97), ("3.1.5", ["3", "3.1"], "3.1", 0.9), ("3-4", ["3"], "3", 0.85), ("3-4", ["34"], "34", 0.8),
     ("12", ["21"], "21", 0.7), ("12", ["13"], "13", 0.7), ("12", ["7"], None, 0.0), ("7", ["7"], "7", 1.0),
