@@ -50,12 +50,12 @@ def changes(aligned: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     Added is medium, removed high; a modification is high by ``important``, else medium where the differ finds the texts less
     alike than ``threshold``, else low. Its details are the first five word-level edits. Equal pairs of texts are compared
-    once; comparing runs jobs (see ``differ``).
+    once (see ``differ``).
     """
     held = staged(aligned, "aligned").withColumn("key", differ.pair_key(F.col("content_v1"), F.col("content_v2")))
     a, b, kind = F.col("content_v1"), F.col("content_v2"), F.col("change_type")
     modified = held.filter(kind == "modified")
-    letters = differ.distinct_pairs(modified.filter(~important(a, b)), "content_v1", "content_v2", differ.characters)
+    letters = differ.distinct_pairs(modified.filter(~important(a, b)), "content_v1", "content_v2", lambda text: text)
     worded = differ.distinct_pairs(modified, "content_v1", "content_v2", differ.words)
     found, below = differ.compared(worded, letters, threshold)
     words = differ.word_changes(worded, found=found)

@@ -8,12 +8,18 @@ Positions at which both sides have the same element lie on diagonals, and gaps-a
 the best run of every box, clips the other runs of the box to what lies before and behind it, and so gives the boxes of the
 next round; rounds go on while a box has a run. All rows are cut at once, and no row is ever in one task as a whole but for its
 two arrays.
+
+A round reads all runs that are left, and unrelated texts have thousands of runs and hundreds of rounds. So rounds are for the
+pairs beyond ``NEAR`` only: all others are matched within their rows, which are spread over all tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +28,10 @@ from quire.functions.staging import staged
 
 #: Second sequences of so many elements have popular ones, which are over 1 / SHARE of it and one more.
 LONG, SHARE = 200, 100
+#: Places times places of the longest pairs that are matched within their rows (texts of 65,536 words or characters).
+NEAR = 1 << 32
+#: Fixed value: the type of a pair's blocks.
+FOUND = "array<struct<i:int,j:int,k:int>>"
 #: Fixed value: what separates words, which is all that counts as white space in Unicode.
 SPACES = r"[ \t-\r\x1c-\x1f\x85\xa0  -     　]+"
 
@@ -133,7 +143,7 @@ def _blocks_of(spark, tables: list[DataFrame]) -> DataFrame | None:
     return reduce(DataFrame.unionByName, first) if first else None
 
 
-def compared(words: DataFrame | None, letters: DataFrame | None = None, threshold: float = 0.5) -> tuple[DataFrame | None, DataFrame | None]:
+def _in_rounds(words: DataFrame | None, letters: DataFrame | None = None, threshold: float = 0.5) -> tuple[DataFrame | None, DataFrame | None]:
     """The blocks of ``words`` (see ``blocks``) and the verdicts on ``letters`` (see ``less_alike``), found in the same rounds."""
     given = words if words is not None else letters
     spark, kind = given.sparkSession, given.select("key").dtypes[0][1]
@@ -175,17 +185,71 @@ def compared(words: DataFrame | None, letters: DataFrame | None = None, threshol
     return found, below
 
 
+def _matcher(a, b) -> SequenceMatcher:
+    return SequenceMatcher(None, a.as_py() or [], b.as_py() or [])
+
+
+def _near_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([(c, pa.int32()) for c in "ijk"]))
+    for batch in batches:
+        found = [[dict(zip("ijk", m)) for m in _matcher(a, b).get_matching_blocks()[:-1]] for a, b in zip(batch.column("a"), batch.column("b"))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "found"])
+
+
+def _near_verdicts(threshold: float):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matchers = (_matcher(a, b) for a, b in zip(batch.column("a"), batch.column("b")))
+            below = [m.real_quick_ratio() < threshold or m.quick_ratio() < threshold or m.ratio() < threshold for m in matchers]  # from cheap bounds to the ratio itself
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(below, pa.bool_())], ["key", "below"])
+
+    return each
+
+
+def compared(words: DataFrame | None, letters: DataFrame | None = None, threshold: float = 0.5) -> tuple[DataFrame | None, DataFrame | None]:
+    """``words`` with found, the blocks of each pair in order, and the verdicts on ``letters`` (see ``less_alike``).
+
+    Columns a and b of ``letters`` may be texts instead of arrays. Pairs beyond ``NEAR`` go through their rounds together.
+    """
+
+    def parted(pairs: DataFrame | None) -> tuple[DataFrame, DataFrame] | None:
+        if pairs is None:
+            return None
+        texts = dict(pairs.dtypes)["a"] == "string"
+        places = lambda c: F.coalesce((F.length if texts else F.size)(c), F.lit(0)).cast("double")
+        far = pairs.filter(places("a") * places("b") > NEAR).select("key", *[(characters(F.col(c)) if texts else F.col(c)).alias(c) for c in ("a", "b")])
+        return pairs.filter(places("a") * places("b") <= NEAR).select("key", "a", "b"), far
+
+    worded, lettered = parted(words), parted(letters)
+    far = [staged(part[1], "far") if part and not part[1].isEmpty() else None for part in (worded, lettered)]
+    blocks_far, below_far = _in_rounds(*far, threshold) if any(f is not None for f in far) else (None, None)
+    found = below = None
+    if worded:
+        kinds = ", ".join(f"`{c}` {t}" for c, t in worded[0].dtypes)
+        found = worded[0].mapInArrow(_near_blocks, f"{kinds}, found {FOUND}")
+        if blocks_far is not None:
+            listed = blocks_far.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "j", "k"))).alias("found"))
+            found = found.unionByName(far[0].join(listed, "key", "left").withColumn("found", F.coalesce("found", F.array().cast(FOUND))))
+    if lettered:
+        below = lettered[0].mapInArrow(_near_verdicts(threshold), f"key {dict(lettered[0].dtypes)['key']}, below boolean")
+        below = below if below_far is None else below.unionByName(below_far)
+    return found, below
+
+
 def blocks(pairs: DataFrame) -> DataFrame:
     """key, i, j and k: ``k`` elements from ``i`` in a equal those from ``j`` in b. pairs: key (distinct), a and b (arrays of strings)."""
-    return compared(pairs)[0]
+    return compared(pairs)[0].select("key", F.explode("found").alias("m")).select("key", "m.*")
 
 
 def gaps(pairs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """pairs with gaps: in order, what differs before each block (i to ie in a, j to je in b) and the ``k`` equal elements of a behind it."""
-    listed = (blocks(pairs) if found is None else found).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "j", "k"))).alias("found"))
+    """pairs with gaps: in order, what differs before each block (i to ie in a, j to je in b) and the ``k`` equal elements of a behind it.
+
+    ``found`` is ``pairs`` with their blocks (see ``compared``) where these are known.
+    """
+    j = compared(pairs)[0] if found is None else found
     end = F.struct(F.size("a").alias("i"), F.size("b").alias("j"), F.lit(0).alias("k"))
     begin = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("k"))
-    j = pairs.join(listed, "key", "left").withColumn("found", F.concat(F.array(begin), F.coalesce("found", F.array().cast("array<struct<i:int,j:int,k:int>>")), F.array(end)))
+    j = j.withColumn("found", F.concat(F.array(begin), "found", F.array(end)))
     between = lambda p, q: F.struct((p["i"] + p["k"]).alias("i"), q["i"].alias("ie"), (p["j"] + p["k"]).alias("j"), q["j"].alias("je"), q["k"].alias("k"))
     n = F.size("found")
     return j.withColumn("gaps", F.zip_with(F.slice("found", F.lit(1), n - 1), F.slice("found", F.lit(2), n - 1), between)).drop("found")
@@ -196,7 +260,7 @@ def _part(side: str, lo: Column, hi: Column) -> Column:
 
 
 def word_changes(pairs: DataFrame, most: int = 5, found: DataFrame | None = None) -> DataFrame:
-    """key and details: the first ``most`` word-level edits from a to b, joined by semicolons; ``found`` are the blocks where known."""
+    """key and details: the first ``most`` word-level edits from a to b, joined by semicolons; ``found`` as for ``gaps``."""
 
     def edit(g: Column) -> Column:
         old, new, gone, come = _part("a", g["i"], g["ie"]), _part("b", g["j"], g["je"]), g["ie"] > g["i"], g["je"] > g["j"]

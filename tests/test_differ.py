@@ -86,3 +86,28 @@ def test_long_texts_in_linear_time(spark, name, text):
     began = time.time()
     r = spark.createDataFrame([(text,)], "t string").select(strip(F.col("t")).alias("s"), F.size(match_starts(F.col("t"), RANGE[1])).alias("n"), F.size(match_starts(F.col("t"), " a")).alias("m")).first()
     assert (r.s, r.n, r.m) == (text.strip(), 0, text.count(" a")) and time.time() - began < 30
+
+
+def test_far_pairs_in_rounds(spark, monkeypatch):
+    """Pairs beyond NEAR go through the rounds, beside others that do not."""
+    some = [c for c in cases() if c[0] < 12]
+    pairs = spark.createDataFrame(some, "key long, a array<string>, b array<string>")
+    blocks = lambda: {(r.key, tuple(r.a[r.i : r.i + r.k]), r.j - r.i) for r in differ.blocks(pairs).join(pairs, "key").collect()}
+    edits = lambda: {tuple(r) for r in differ.word_changes(pairs, 1_000).collect()}
+    below = lambda: {tuple(r) for r in differ.less_alike(pairs).collect()}
+    whole = (edits(), below(), sum(len(w) for _, w, _ in blocks()))
+    monkeypatch.setattr(differ, "NEAR", 5_000)
+    assert (edits(), below(), sum(len(w) for _, w, _ in blocks())) == whole
+
+
+def test_unrelated_texts_take_no_rounds(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice(["so", "it", "was", "then", "a", "long", "day"]) + str(rng.randint(0, 9)) for _ in range(150))
+    texts = spark.createDataFrame([(text(), text()) for _ in range(20)], "x string, y string")
+    pairs = differ.distinct_pairs(texts, "x", "y", differ.words)
+    spark.sparkContext.setJobGroup("differ", "differ")
+    try:
+        assert differ.blocks(pairs).count() > 20 and differ.less_alike(pairs).count() == 20
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("differ")) < 12
+    finally:
+        spark.sparkContext.setJobGroup("", "")
