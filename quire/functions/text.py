@@ -21,9 +21,13 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _unmarked(text: Column) -> Column:
+    return F.replace(text, F.lit(MARK), F.lit(OTHER))
+
+
 def match_starts(text: Column, pattern: str) -> Column:
     """0-based start of every match of ``pattern``, in order."""
-    pieces = F.split(F.regexp_replace(F.translate(text, MARK, OTHER), f"({pattern})", MARK + "$1"), MARK)
+    pieces = F.split(F.regexp_replace(_unmarked(text), f"({pattern})", MARK + "$1"), MARK)
     # Up to a piece's end the text is as long as the pieces before it, added up in steps of BLOCK pieces so that no sum starts anew.
     lengths = F.transform(pieces, F.length)
     return bind(lengths, running_sums)
@@ -43,15 +47,19 @@ def running_sums(n: Column) -> Column:
     return bind(bind(blocks, each), lambda ends: F.slice(ends, F.lit(1), F.size(ends) - 1))
 
 
-def matches(text: Column, pattern: str, group: int = 1) -> Column:
-    """array<struct<text, value, position>> of every match: the whole match, one group, and where it starts."""
+def cut_out(text: Column, pattern: str) -> Column:
+    """The text's pieces before, in and behind the matches of a pattern, in turn: every second piece is a match.
+
+    For a pattern that matches neither MARK nor an empty text; it passes over the text once.
+    """
+    return F.split(F.regexp_replace(_unmarked(text), f"({pattern})", f"{MARK}$1{MARK}"), MARK)
 
-    def of(t: Column) -> Column:
-        whole, value = (F.regexp_extract_all(t, F.lit(pattern), F.lit(g)) for g in (0, group))
-        zipped = F.arrays_zip(whole.alias("text"), value.alias("value"), match_starts(t, pattern).alias("position"))
-        return F.transform(zipped, lambda m: F.struct(m["text"].alias("text"), m["value"].alias("value"), m["position"].alias("position")))
 
-    return F.when(text.isNotNull(), bind(text, of))
+def matches(pieces: Column) -> Column:
+    """array<struct<text, position>> of the matches among the pieces of ``cut_out``: what they are and where they start."""
+    ends = bind(F.transform(pieces, F.length), running_sums)
+    each = F.zip_with(F.slice(pieces, F.lit(2), F.size(pieces)), ends, lambda t, at: F.struct(t.alias("text"), at.alias("position")))
+    return F.filter(each, lambda m, i: i % 2 == 0)
 
 
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:

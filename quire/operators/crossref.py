@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions.text import matches
+from quire.functions.text import bind, running_sums
 
 #: Reference patterns by type, in the order in which references are emitted.
 REFERENCES = [
@@ -24,21 +24,31 @@ TARGETS = {
     "section": [r"(?m)^(\d+(?:\.\d+)*)\s+[A-Z]", r"(?m)^(\d+(?:\.\d+)*)\s+[a-z]", r"(?m)(?:^|\n)\s*(\d+(?:\.\d+)*)\s+\w+", r"SECTION\s+(\d+(?:\.\d+)*)", r"Section\s+(\d+(?:\.\d+)*)", r"(?m)^##+\s*(\d+(?:\.\d+)*)"],
 }
 TYPES = ("section", "figure", "table", "equation")
+#: The words that reference patterns start with, their first letters, and such a word with all that a pattern can have behind it.
+_WORD = "(?:" + "|".join(dict.fromkeys(p.split("\\s")[0] for _, p in REFERENCES)) + ")"
+_FIRST = "".join(sorted({p[0] for _, p in REFERENCES}))
+_HEAD = rf"^{_WORD}\s*\d[\d.\-]*"
+_FOUND = "array<struct<pattern_no:int,reference_type:string,reference_text:string,target_number:string,position:int>>"
 
 
-def literal(pattern: str) -> str:
-    """The fixed characters that a reference pattern starts with."""
-    return pattern.split("\\s")[0].replace("\\", "")
+def references_of(content: Column) -> Column:
+    """array<struct<pattern_no, type, text, number, position>> in type, pattern and position order; patterns may overlap.
 
+    The text is cut once before every word that a pattern starts with. No match holds such a word but at its start, so each
+    pattern is only tried on the pieces' heads: the word, white space, and all digits, dots and hyphens behind it.
+    """
 
-def references_of(content: Column) -> Column:
-    """array<struct<pattern_no, type, text, number, position>> in type, pattern and position order; patterns may overlap."""
+    def of(heads: Column, no: int, kind: str, pattern: str) -> Column:
+        item = lambda h: F.struct(F.lit(no).alias("pattern_no"), F.lit(kind).alias("reference_type"), F.regexp_extract(h["head"], "^" + pattern, 0).alias("reference_text"), F.regexp_extract(h["head"], "^" + pattern, 1).alias("target_number"), h["position"].alias("position"))
+        return F.transform(F.filter(heads, lambda h: h["head"].rlike("^" + pattern)), item)
 
-    def of(no: int, kind: str, pattern: str) -> Column:
-        found = F.when(content.contains(literal(pattern)), matches(content, pattern))  # most texts lack most of the words
-        return F.transform(F.coalesce(found, F.array().cast("array<struct<text:string,value:string,position:int>>")), lambda m: F.struct(F.lit(no).alias("pattern_no"), F.lit(kind).alias("reference_type"), m["text"].alias("reference_text"), m["value"].alias("target_number"), m["position"].alias("position")))
+    def headed(pieces: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), bind(F.transform(pieces, F.length), running_sums))
+        each = F.zip_with(pieces, starts, lambda p, at: F.struct(F.regexp_extract(p, _HEAD, 0).alias("head"), at.alias("position")))
+        return F.filter(each, lambda h: h["head"] != "")
 
-    return F.concat(*[of(i, t, p) for i, (t, p) in enumerate(REFERENCES)])
+    pieces = F.split(content, f"(?=[{_FIRST}])(?={_WORD})")
+    return F.coalesce(bind(bind(pieces, headed), lambda heads: F.concat(*[of(heads, i, t, p) for i, (t, p) in enumerate(REFERENCES)])), F.array().cast(_FOUND))
 
 
 def extract_references(chunks: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.config import DEFAULT, EngineConfig
 from quire.functions.staging import staged
-from quire.functions.text import keep_case, matches
+from quire.functions.text import MARK, bind, cut_out, keep_case, matches
 from quire.operators import differ
 from quire.schemas import CHANGE
 
@@ -29,29 +29,38 @@ def _change(kind: str, original: Column, corrected: Column, position: Column, co
     return F.struct(F.lit(kind).alias("type"), original.alias("original"), corrected.alias("corrected"), position.cast("int").alias("position"), F.lit(confidence).alias("confidence"), reason.alias("reason"))
 
 
-def _rule(text: Column, rule: tuple[str, str, str, float], fix) -> Column:
-    kind, pattern, reason, conf = rule
-    return F.reverse(F.transform(matches(text, pattern, 0), lambda m: _change(kind, m["text"], fix(m["text"]), m["position"], conf, F.lit(reason))))
+def _fix(text: Column, pattern: str, change, plain) -> Column:
+    """struct<t, c>: the text with its matches corrected, and their changes from right to left; the pattern passes over the text once.
 
+    ``change`` makes a change of a match (text, position); ``plain`` corrects a text that has the mark by which others are cut.
+    """
 
-def spelling(text: Column) -> tuple[Column, Column]:
-    """Typos corrected in the word's case; changes per typo from right to left.
+    def of(pieces: Column) -> Column:
+        def both(found: Column) -> Column:
+            parts = F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(F.get(found, F.shiftright(i, 1))["corrected"]))
+            return F.struct(F.when(text.contains(MARK), plain(text)).otherwise(F.array_join(parts, "")).alias("t"), F.reverse(found).alias("c"))
 
-    A typo's patterns run only over texts that contain its letters at all.
-    """
+        return bind(F.transform(matches(pieces), change), both)
+
+    return F.when(text.isNotNull(), bind(cut_out(text, pattern), of))
+
+
+def _rule(text: Column, rule: tuple[str, str, str, float], fix, plain) -> Column:
+    kind, pattern, reason, conf = rule
+    return _fix(text, pattern, lambda m: _change(kind, m["text"], fix(m["text"]), m["position"], conf, F.lit(reason)), plain)
+
+
+def _spelling(text: Column) -> Column:
     zero = F.struct(text.alias("t"), F.array().cast(f"array<{CHANGE}>").alias("c"))
-    low = F.lower(text)
-    table = F.filter(F.array(*[F.lit(t) for t in TYPOS]), lambda t: F.contains(low, t))
+    table = bind(F.lower(text), lambda low: F.filter(F.array(*[F.lit(t) for t in TYPOS]), lambda t: F.contains(low, t)))
 
     def step(a: Column, typo: Column) -> Column:
-        c, fixed = F.array().cast(f"array<{CHANGE}>"), a["t"]
+        done = F.struct(a["t"].alias("t"), F.array().cast(f"array<{CHANGE}>").alias("c"))
         for word, correction in TYPOS.items():
-            c = F.when(typo == word, _typo(a["t"], word, correction)).otherwise(c)
-            fixed = F.when(typo == word, keep_case(a["t"], word, correction)).otherwise(fixed)
-        return F.struct(fixed.alias("t"), F.concat(a["c"], c).alias("c"))
+            done = F.when(typo == word, _typo(a["t"], word, correction)).otherwise(done)
+        return bind(done, lambda d: F.struct(d["t"].alias("t"), F.concat(a["c"], d["c"]).alias("c")))
 
-    done = F.aggregate(table, zero, step)
-    return done["t"], done["c"]
+    return F.aggregate(table, zero, step)
 
 
 def _typo(text: Column, typo: str, correction: str) -> Column:
@@ -59,20 +68,45 @@ def _typo(text: Column, typo: str, correction: str) -> Column:
         fixed = keep_case(m["text"], typo, correction)
         return _change("spelling", m["text"], fixed, m["position"], TYPO_CONFIDENCE, F.concat(F.lit("Common typo: '"), m["text"], F.lit("' → '"), fixed, F.lit("'")))
 
-    return F.reverse(F.transform(matches(text, rf"(?i:\b{typo}\b)", 0), change))
+    return _fix(text, rf"(?i:\b{typo}\b)", change, lambda t: keep_case(t, typo, correction))
+
+
+def _spaces(text: Column) -> Column:
+    return _rule(text, SPACES, lambda w: F.lit(" "), lambda t: F.regexp_replace(t, "  +", " "))
+
+
+def _punctuation(text: Column) -> Column:
+    apart = lambda t: F.regexp_replace(t, r"([.!?,;:])([A-Z])", "$1 $2")
+    return _rule(text, PUNCTUATION, apart, apart)
+
+
+def _ranges(text: Column) -> Column:
+    joined = lambda t: F.regexp_replace(t, RANGE[1], "$1-$2")
+    return _rule(text, RANGE, joined, joined)
+
+
+def spelling(text: Column) -> tuple[Column, Column]:
+    """Typos corrected in the word's case; changes per typo from right to left.
+
+    A typo's pattern runs only over texts that contain its letters at all.
+    """
+    both = _spelling(text)
+    return both["t"], both["c"]
 
 
 def grammar_spaces(text: Column) -> tuple[Column, Column]:
-    return F.regexp_replace(text, "  +", " "), _rule(text, SPACES, lambda w: F.lit(" "))
+    both = _spaces(text)
+    return both["t"], both["c"]
 
 
 def grammar_punctuation(text: Column) -> tuple[Column, Column]:
-    pair = r"([.!?,;:])([A-Z])"
-    return F.regexp_replace(text, pair, "$1 $2"), _rule(text, PUNCTUATION, lambda w: F.regexp_replace(w, pair, "$1 $2"))
+    both = _punctuation(text)
+    return both["t"], both["c"]
 
 
 def style_ranges(text: Column) -> tuple[Column, Column]:
-    return F.regexp_replace(text, RANGE[1], "$1-$2"), _rule(text, RANGE, lambda w: F.regexp_replace(w, RANGE[1], "$1-$2"))
+    both = _ranges(text)
+    return both["t"], both["c"]
 
 
 def review(chunks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -81,10 +115,9 @@ def review(chunks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     A null content gives null text and no changes. The passes are materialised as columns, one projection each.
     """
     df, parts = chunks.withColumn("_t0", F.col("content")), []
-    passes = [("spell", spelling)] * config.spellcheck + [("space", grammar_spaces), ("punct", grammar_punctuation)] * config.grammar_check + [("style", style_ranges)] * config.style_check
+    passes = [("spell", _spelling)] * config.spellcheck + [("space", _spaces), ("punct", _punctuation)] * config.grammar_check + [("style", _ranges)] * config.style_check
     for i, (name, apply) in enumerate(passes):
-        text, changes = apply(F.col(f"_t{i}"))
-        df = df.withColumn("_both", F.struct(text.alias("t"), changes.alias("c")))
+        df = df.withColumn("_both", apply(F.col(f"_t{i}")))
         df = df.withColumns({f"_t{i + 1}": F.col("_both.t"), f"_c_{name}": F.coalesce("_both.c", F.array().cast(f"array<{CHANGE}>"))}).drop("_both")
         parts.append(f"_c_{name}")
     joined = F.concat(*parts) if parts else F.array().cast(f"array<{CHANGE}>")
