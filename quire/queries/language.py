@@ -65,7 +65,9 @@ def change_defaults(spark, d):
 
 
 def inline_markup(spark, d):
-    r = _reviewed(spark, d).filter(F.size("changes") < 10)
+    # As generated columns: a filter on plain ones would be moved before the passes, with all of them inside its condition.
+    each = F.inline_outer(F.array(F.struct("content", "reviewed_content", "changes")))
+    r = _reviewed(spark, d).select("chunk_id", each).filter(F.size("changes") < 10)
     return r.select("chunk_id", L.inline_markup(F.col("content"), F.col("reviewed_content"), F.col("changes")).alias("markup"))
 
 
