@@ -166,14 +166,16 @@ def _places(at: list[int]) -> bytes:
     return width + np.array([len(at), *at], kind).tobytes()
 
 
-def encode(docs: DataFrame, path: str, pattern: str, head_docs: int = HEAD_DOCS, head_words: int = HEAD_WORDS, head_bytes: int = HEAD_BYTES) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, head_docs: int = HEAD_DOCS, head_words: int = HEAD_WORDS, head_bytes: int = HEAD_BYTES, decoded: bool = False) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers as binary) of every row of ``docs`` (doc_id, text).
 
     Equals encoding each pre-token of the whole text by itself with the vocabulary at ``path`` and no special tokens. Null
     and empty texts have no ids. Null doc_ids and repeated rows are encoded like any other; further columns are ignored; an
-    empty table gives an empty result.
+    empty table gives an empty result. With ``decoded`` the ids' bytes follow (see ``decode``), looked up by the same workers:
+    a second Python step behind the first would keep a second worker busy, and in memory, for every core.
     """
     spark = docs.sparkSession
+    look_up = _looking_up(spark, path) if decoded else None
     vocabulary = _Vocabulary(spark, path, pattern)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     head = spark.sparkContext.broadcast(_head(docs, vocabulary, head_docs, head_words, head_bytes))
@@ -214,29 +216,37 @@ def encode(docs: DataFrame, path: str, pattern: str, head_docs: int = HEAD_DOCS,
         press, fill_in = zstandard.ZstdDecompressor(), head.value.fill
         for b in batches:
             out = [fill_in(press.decompress(z), own).astype("<u4").tobytes() for z, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            columns = {"doc_id": b.column(0), "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())}
+            if look_up:
+                columns["decoded"] = pa.array(map(look_up, out), pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
     tail = in_batches(keyed.select("k", "h", "text"), rare, "k long, h long, word string, places binary", ROWS).repartition("word").sortWithinPartitions("word")
     own = tail.mapInArrow(once, "k long, h long, filling binary").groupBy("k", "h").agg(F.collect_set("filling").alias("own"))
     met = in_batches(keyed, common, "doc_id long, k long, h long, z binary", ROWS).join(own, ["k", "h"], "left").select("doc_id", "z", "own")
-    return in_batches(met, fill, "doc_id long, n_tokens long, ids binary", ROWS)
+    return in_batches(met, fill, "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded, ROWS)
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` (any columns, and ids as binary) with the decoded bytes as a further column ``decoded``; null ids give null.
-
-    The token-byte table is the vocabulary itself, of fixed size, and goes to every task. An id that it lacks fails the job.
-    """
+def _looking_up(spark, path: str):
+    """The function from ids (or null) to their bytes; the token-byte table is the vocabulary, of fixed size, and goes to every task."""
     ranks = load_ranks(path)
     table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    shared, at = encoded.sparkSession.sparkContext.broadcast(table), encoded.drop("decoded").columns.index("ids")
+    shared = spark.sparkContext.broadcast(table)
+    return lambda ids: None if ids is None else b"".join(map(shared.value.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``encoded`` (any columns, and ids as binary) with the decoded bytes as a further column ``decoded``; null ids give null.
+
+    An id that the vocabulary lacks fails the job.
+    """
+    look_up, at = _looking_up(encoded.sparkSession, path), encoded.drop("decoded").columns.index("ids")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.__getitem__
         for b in batches:
-            out = [None if x is None else b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in b.column(at).to_pylist()]
+            out = [look_up(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
 
     kept = encoded.drop("decoded")

@@ -25,7 +25,7 @@ def tokenizer() -> tuple[str, str]:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
-    out = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path, pattern), path)
+    out = bpe.encode(read(spark, sf_dir, "documents"), path, pattern, decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, decontaminate, html_main, language_id, line_dedup, quality_rules, simhash, toxicity, warc, weak_labels, wide_simhash
-from quire.llm.queries import tokenizer
+from quire.llm.queries import op2_byte_bpe, tokenizer
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -135,6 +135,17 @@ def test_bpe_long_words_and_repeated_rows(spark):
     assert len(got) == 45 and all(np.frombuffer(r.ids, "<u4").tolist() == want[r.doc_id] for r in got)
 
 
+def test_bpe_one_python_step_encodes_and_decodes(spark, tmp_path):
+    texts = ["Hello  world 12345", "naïve 😀", "", None]
+    path, pattern = tokenizer()
+    for columns in (["doc_id", "ids", "decoded"], ["decoded", "doc_id"]):
+        got = bpe.encode(frame(spark, texts), path, pattern, decoded=True).select(*columns).collect()
+        assert sorted(bytes(r.decoded) for r in got) == sorted((t or "").encode() for t in texts)
+    plan = op2_byte_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    steps = [line.count("MapInArrow") for line in plan.splitlines()]
+    assert any(steps) and not any(a and b for a, b in zip(steps, steps[1:]))
+
+
 def test_bpe_decode_awkward(spark):
     path, _ = tokenizer()
     df = spark.createDataFrame([(1, None, "x"), (2, bytearray(b""), "y")], "doc_id long, ids binary, decoded string")
