@@ -32,6 +32,8 @@ LONG, SHARE = 200, 100
 NEAR = 1 << 32
 #: Fixed value: the type of a pair's blocks.
 FOUND = "array<struct<i:int,j:int,k:int>>"
+#: Fixed value: the type of a pair's edits: words that go, words that come, and the equal words behind them; null for none.
+EDITS = "array<struct<old:string,new:string,kept:string>>"
 #: Fixed value: what separates words, which is all that counts as white space in Unicode.
 SPACES = r"[ \t-\r\x1c-\x1f\x85\xa0  -     　]+"
 
@@ -196,6 +198,33 @@ def _near_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "found"])
 
 
+def _near_edits(a: pa.Array, b: pa.Array) -> pa.Array:
+    old, new, kept, ends = [], [], [], [0]
+    join = lambda w: " ".join(w) or None
+    for x, y in zip(a.to_pylist(), b.to_pylist()):
+        if x is not None and y is not None:
+            x, y, i, j = x.split(), y.split(), 0, 0  # white space of Unicode, as in SPACES
+            for p, q, n in SequenceMatcher(None, x, y).get_matching_blocks():
+                old.append(join(x[i:p]))
+                new.append(join(y[j:q]))
+                kept.append(join(x[p : p + n]))
+                i, j = p + n, q + n
+        ends.append(len(old))
+    parts = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in (old, new, kept)], ["old", "new", "kept"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)
+
+
+def near_edits(a: Column, b: Column) -> Column:
+    """The edits (see ``EDITS``) between the words of two texts, matched within their row; none for a null text."""
+    return F.arrow_udf(_near_edits, EDITS)(a, b)
+
+
+def are_far(a: Column, b: Column) -> Column:
+    """Whether the words of two texts may be beyond ``NEAR``; every second character is a word's at most."""
+    places = lambda text: F.floor((F.length(text) + 1) / 2).cast("double")
+    return F.coalesce(places(a) * places(b) > NEAR, F.lit(False))
+
+
 def _near_verdicts(threshold: float):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,15 +300,23 @@ def word_changes(pairs: DataFrame, most: int = 5, found: DataFrame | None = None
     return gaps(pairs, found).select("key", F.array_join(F.slice(edits, 1, most), "; ").alias("details"))
 
 
+def marked(edits: Column) -> Column:
+    """Markup of edits (see ``EDITS``): old words struck out, new ones in colour, equal ones as they are."""
+
+    def piece(e: Column) -> Column:
+        return F.array(F.concat(F.lit("~~"), e["old"], F.lit("~~")), F.concat(F.lit('<span style="color:red">'), e["new"], F.lit("</span>")), e["kept"])
+
+    return F.array_join(F.flatten(F.transform(edits, piece)), " ")
+
+
 def word_markup(pairs: DataFrame) -> DataFrame:
     """key and markup: the words of a, with those that b lacks struck out and those that it has instead in colour."""
 
-    def piece(g: Column) -> Column:
-        old = F.when(g["ie"] > g["i"], F.concat(F.lit("~~"), _part("a", g["i"], g["ie"]), F.lit("~~")))
-        new = F.when(g["je"] > g["j"], F.concat(F.lit('<span style="color:red">'), _part("b", g["j"], g["je"]), F.lit("</span>")))
-        return F.array(old, new, F.when(g["k"] > 0, _part("a", g["ie"], g["ie"] + g["k"])))
+    def edit(g: Column) -> Column:
+        old, new = F.when(g["ie"] > g["i"], _part("a", g["i"], g["ie"])), F.when(g["je"] > g["j"], _part("b", g["j"], g["je"]))
+        return F.struct(old.alias("old"), new.alias("new"), F.when(g["k"] > 0, _part("a", g["ie"], g["ie"] + g["k"])).alias("kept"))
 
-    return gaps(pairs).select("key", F.array_join(F.flatten(F.transform("gaps", piece)), " ").alias("markup"))
+    return gaps(pairs).select("key", marked(F.transform("gaps", edit)).alias("markup"))
 
 
 def _matched(totals: DataFrame, tables: list[DataFrame]) -> DataFrame:

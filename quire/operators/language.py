@@ -167,11 +167,20 @@ def inline_markup(content: Column, reviewed: Column, changes: Column) -> Column:
 
 
 def markup(reviewed: DataFrame) -> DataFrame:
-    """reviewed with a column markup: inline for under ten changes, else word by word (see ``differ``), for which this runs jobs."""
-    held = staged(reviewed, "reviewed").withColumn("_pair", differ.pair_key(F.col("content"), F.col("reviewed_content")))
-    same, few = F.coalesce(F.col("content") == F.col("reviewed_content"), F.lit(False)), F.coalesce(F.size("changes") < 10, F.lit(False))
-    pairs = differ.distinct_pairs(held.filter(~same & ~few), "content", "reviewed_content", differ.words)
-    marked = differ.word_markup(pairs).withColumnsRenamed({"key": "_pair", "markup": "_words"})
-    plain = inline_markup(F.col("content"), F.col("reviewed_content"), F.col("changes"))
-    out = F.when(same, F.col("reviewed_content")).when(few, plain).otherwise(F.col("_words"))
-    return held.join(marked, "_pair", "left").withColumn("markup", out).drop("_pair", "_words")
+    """reviewed with a column markup: inline for under ten changes, else word by word (see ``differ``), for which this runs jobs.
+
+    Words are compared within their row; only texts beyond ``differ.NEAR`` are paired up for their rounds.
+    """
+    held = staged(reviewed, "reviewed")
+    a, b = F.col("content"), F.col("reviewed_content")
+    same, few, far = F.coalesce(a == b, F.lit(False)), F.coalesce(F.size("changes") < 10, F.lit(False)), differ.are_far(a, b)
+    plain = inline_markup(a, b, F.col("changes"))
+    near, huge = ~same & ~few & ~far, ~same & ~few & far
+    words = differ.marked(differ.near_edits(F.when(near, a), F.when(near, b)))
+    out = held.filter(~huge).withColumn("markup", F.when(same, b).when(few, plain).otherwise(words))
+    apart = held.filter(huge)
+    if apart.isEmpty():
+        return out
+    pairs = differ.distinct_pairs(apart, "content", "reviewed_content", differ.words)
+    rounds = differ.word_markup(pairs).withColumnRenamed("key", "_pair")
+    return out.unionByName(apart.withColumn("_pair", differ.pair_key(a, b)).join(rounds, "_pair").drop("_pair"))
