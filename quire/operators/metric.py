@@ -27,6 +27,8 @@ from quire.functions.staging import staged
 SAMPLE, CELLS, PASSES = 4096, 256, 6
 #: Vectors that a task sorts into blocks at a time, vectors of a block, and blocks of a cell that one join key holds.
 BUFFER, BLOCK, BLOCKS_A_KEY = 20_000, 512, 64
+#: Bytes of query blocks that a task holds before it hands them on: a query has a copy for each cell that it may reach.
+HELD_BYTES = 8 << 20
 #: Query blocks of more bytes than this are joined by shuffle instead of broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Rounding that the bounds allow for, relative to the lengths of the vectors.
@@ -117,6 +119,10 @@ def _query_blocks(index: Index, queries: DataFrame, own: bool) -> DataFrame:
     """cell, same, key and packed queries: of each query's own cell, or of all others that may hold a vector within ``reach``."""
     p, radius = index.pivots, index.radius
 
+    def batch_of(t: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.string(), pa.list_(t.schema.field("query_id").type), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["cell", "same", "query_ids", "q", "away", "reach"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _buffered(batches):
             x, group, reach = _lists(t.column("q")), np.array(t.column("same").to_pylist(), object).astype(str), t.column("reach").to_numpy()
@@ -126,15 +132,18 @@ def _query_blocks(index: Index, queries: DataFrame, own: bool) -> DataFrame:
             least = np.maximum(d - radius, (d - d[np.arange(len(x)), nearest][:, None]) / 2)
             slack = SLACK * (1 + np.abs(x).max(1, initial=0) + d.max(1, initial=0))
             wanted = here if own else ~here & (least <= (reach + slack)[:, None])
-            rows = []
+            rows, held = [], 0
             for same in np.unique(group).tolist():
                 for c in np.flatnonzero(wanted[group == same].any(0)).tolist():
                     at = np.flatnonzero(wanted[:, c] & (group == same))
                     for lo in range(0, len(at), BLOCK):
                         i = at[lo : lo + BLOCK]
                         rows.append((c, same, t.column("query_id").take(pa.array(i)).to_pylist(), x[i].tobytes(), d[i, c].tolist(), (reach + slack)[i].tolist()))
-            kinds = (pa.int32(), pa.string(), pa.list_(t.schema.field("query_id").type), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["cell", "same", "query_ids", "q", "away", "reach"])
+                        held += len(rows[-1][3])
+                        if held >= HELD_BYTES:
+                            yield batch_of(t, rows)
+                            rows, held = [], 0
+            yield batch_of(t, rows)
 
     packed = queries.select("query_id", "q", "same", "reach").mapInArrow(pack, f"cell int, same string, query_ids array<{queries.select('query_id').dtypes[0][1]}>, q binary, away array<double>, reach array<double>")
     keys = F.element_at(F.lit(index.keys.tolist()), F.col("cell") + 1).cast("int")

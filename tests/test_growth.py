@@ -3,8 +3,9 @@
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
-from quire.operators import differ, language
+from quire.operators import differ, language, metric
 
 
 def marked(a, b):
@@ -31,3 +32,22 @@ def test_markup_compares_words_within_rows(spark, monkeypatch, near):
             assert r.markup == marked(r.content, r.reviewed_content)
         elif r.content == r.reviewed_content:
             assert r.markup == r.content
+
+
+@pytest.fixture(scope="module")
+def grouped(spark):
+    v = spark.range(0, 4_000, numPartitions=8).select(F.col("id").alias("vec_id"), F.array(*[F.rand(i) for i in range(4)]).alias("e"), (F.col("id") % 10).alias("label"))
+    return v.localCheckpoint()
+
+
+def test_query_blocks_leave_before_all_are_made(spark, grouped, monkeypatch):
+    queries = grouped.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"), "label")
+    monkeypatch.setattr(metric, "HELD_BYTES", 1_000)
+    monkeypatch.setattr(metric, "BLOCK", 16)
+    got = {(r.query_id, r.rank): r.vec_id for r in metric.search(metric.build(grouped, "label"), queries, 3, "label").collect()}
+    rows = [(r.vec_id, r.e, r.label) for r in grouped.collect()]
+    want = {}
+    for q, x, group in (r for r in rows if r[0] % 20 == 0):
+        near = sorted((sum((a - b) ** 2 for a, b in zip(x, e)), i) for i, e, label in rows if label == group)[:3]
+        want |= {(q, n + 1): i for n, (_, i) in enumerate(near)}
+    assert got == want
