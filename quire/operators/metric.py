@@ -72,30 +72,35 @@ def pivots(vectors: DataFrame, n: int) -> np.ndarray:
 def build(vectors: DataFrame, same: str | None = None) -> Index | None:
     """The index of ``vectors`` (vec_id, e, and the column ``same``); none without vectors. Null vectors, and null ``same``, are left out."""
     kept = vectors.filter(F.col("e").isNotNull() & (F.col(same).isNotNull() if same else F.lit(True)))
-    kept = kept.select("vec_id", F.col("e").cast("array<double>").alias("e"), (F.col(same).cast("string") if same else F.lit("")).alias("same"))
+    kept = staged(kept.select("vec_id", F.col("e").cast("array<double>").alias("e"), (F.col(same).cast("string") if same else F.lit("")).alias("same")), "vectors")
     if not (n := kept.count()):
         return None
     p = pivots(kept, n)
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                d = distances(_lists(b.column("e")), p)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d.argmin(1), pa.int32()), pa.array(d.min(1))], [*b.schema.names, "cell", "r"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _buffered(batches):
-            x, group = _lists(t.column("e")), np.array(t.column("same").to_pylist(), object)
-            d = distances(x, p)
-            cell = d.argmin(1)
-            r = d[np.arange(len(x)), cell]
-            _, code = np.unique(group.astype(str), return_inverse=True)
-            order = np.lexsort((r, cell, code))
-            cut = np.flatnonzero(np.append(True, (np.diff(code[order]) != 0) | (np.diff(cell[order]) != 0)))
-            ends = [*cut[1:].tolist(), len(order)]
+            x, group, cell, r = _lists(t.column("e")), t.column("same").to_pylist(), t.column("cell").to_numpy(), t.column("r").to_numpy()
+            _, code = np.unique(np.array(group, object).astype(str), return_inverse=True)
+            cut = np.flatnonzero(np.append(True, (np.diff(code) != 0) | (np.diff(cell) != 0)))
+            ends = [*cut[1:].tolist(), len(cell)]
             spans = [(lo, min(lo + BLOCK, hi)) for a, hi in zip(cut.tolist(), ends) for lo in range(a, hi, BLOCK)]
             yield pa.RecordBatch.from_arrays([
-                pa.array([int(cell[order[lo]]) for lo, _ in spans], pa.int32()), pa.array([group[order[lo]] for lo, _ in spans], pa.string()), pa.array([hi - lo for lo, hi in spans], pa.int32()),
-                pa.array([float(r[order[lo]]) for lo, _ in spans], pa.float64()), pa.array([float(r[order[hi - 1]]) for _, hi in spans], pa.float64()),
-                pa.array([t.column("vec_id").take(pa.array(order[lo:hi])).to_pylist() for lo, hi in spans], pa.list_(t.schema.field("vec_id").type)), pa.array([x[order[lo:hi]].tobytes() for lo, hi in spans], pa.binary()),
+                pa.array([int(cell[lo]) for lo, _ in spans], pa.int32()), pa.array([group[lo] for lo, _ in spans], pa.string()), pa.array([hi - lo for lo, hi in spans], pa.int32()),
+                pa.array([float(r[lo]) for lo, _ in spans], pa.float64()), pa.array([float(r[hi - 1]) for _, hi in spans], pa.float64()),
+                pa.array([t.column("vec_id").slice(lo, hi - lo).to_pylist() for lo, hi in spans], pa.list_(t.schema.field("vec_id").type)), pa.array([x[lo:hi].tobytes() for lo, hi in spans], pa.binary()),
             ], ["cell", "same", "n", "low", "high", "ids", "m"])
 
     kind = kept.dtypes[0][1]
-    blocks = staged(kept.mapInArrow(pack, f"cell int, same string, n int, low double, high double, ids array<{kind}>, m binary"), "index")
+    # Ranges of group, cell and distance fill the blocks: what a task happens to read would leave a few vectors of a group and cell to each.
+    order = ["same", "cell", "r", "vec_id"]
+    placed = staged(kept.mapInArrow(place, f"vec_id {kind}, e array<double>, same string, cell int, r double"), "placed")
+    blocks = staged(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, f"cell int, same string, n int, low double, high double, ids array<{kind}>, m binary"), "index")
     radius, keys = np.zeros(len(p)), np.ones(len(p), int)
     for c in blocks.groupBy("cell").agg(F.max("high").alias("radius"), F.count("*").alias("n")).collect():  # one row for each cell
         radius[c["cell"]], keys[c["cell"]] = c["radius"], -(-c["n"] // BLOCKS_A_KEY)

@@ -40,6 +40,13 @@ def grouped(spark):
     return v.localCheckpoint()
 
 
+def test_blocks_of_groups_are_filled(spark, grouped):
+    index = metric.build(grouped, "label")
+    groups = index.blocks.select("cell", "same").distinct().count()
+    assert index.blocks.agg(F.sum("n")).first()[0] == 4_000
+    assert index.blocks.count() <= groups + 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # before: for each of the eight partitions
+
+
 def test_query_blocks_leave_before_all_are_made(spark, grouped, monkeypatch):
     queries = grouped.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"), "label")
     monkeypatch.setattr(metric, "HELD_BYTES", 1_000)
