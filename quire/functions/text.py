@@ -27,7 +27,7 @@ def _unmarked(text: Column) -> Column:
 
 def match_starts(text: Column, pattern: str) -> Column:
     """0-based start of every match of ``pattern``, in order."""
-    pieces = F.split(F.regexp_replace(_unmarked(text), f"({pattern})", MARK + "$1"), MARK)
+    pieces = F.split(F.regexp_replace(_unmarked(text), pattern, MARK + "$0"), MARK)
     # Up to a piece's end the text is as long as the pieces before it, added up in steps of BLOCK pieces so that no sum starts anew.
     lengths = F.transform(pieces, F.length)
     return bind(lengths, running_sums)
@@ -52,7 +52,7 @@ def cut_out(text: Column, pattern: str) -> Column:
 
     For a pattern that matches neither MARK nor an empty text; it passes over the text once.
     """
-    return F.split(F.regexp_replace(_unmarked(text), f"({pattern})", f"{MARK}$1{MARK}"), MARK)
+    return F.split(F.regexp_replace(_unmarked(text), pattern, f"{MARK}$0{MARK}"), MARK)
 
 
 def matches(pieces: Column) -> Column:

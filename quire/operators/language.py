@@ -68,7 +68,8 @@ def _typo(text: Column, typo: str, correction: str) -> Column:
         fixed = keep_case(m["text"], typo, correction)
         return _change("spelling", m["text"], fixed, m["position"], TYPO_CONFIDENCE, F.concat(F.lit("Common typo: '"), m["text"], F.lit("' → '"), fixed, F.lit("'")))
 
-    return _fix(text, rf"(?i:\b{typo}\b)", change, lambda t: keep_case(t, typo, correction))
+    # Letters first: where a word starts is looked up only behind them, and not at every place of the text.
+    return _fix(text, rf"(?i:{typo})(?<=\b(?i:{typo}))\b", change, lambda t: keep_case(t, typo, correction))
 
 
 def _spaces(text: Column) -> Column:

@@ -54,7 +54,8 @@ def review(chunks: DataFrame, toc_targets: DataFrame, config: EngineConfig = DEF
 
     The split chunks, which all results are made from, are written once; everything else runs when it is read.
     """
-    split = staged(split_chunks(chunks, config), "split")
+    # Dealt out first: the rules would else run in as many tasks as the input has files, or one.
+    split = staged(split_chunks(chunks.repartition("document_id", "chunk_id"), config), "split")
     reviewed = review_chunks(split, config, replies)
     targets = crossref.known_targets(crossref.extract_targets(split, config.section_targets_from_text), toc_targets)
     refs = crossref.validate(crossref.extract_references(split), targets)

@@ -58,3 +58,13 @@ def test_query_blocks_leave_before_all_are_made(spark, grouped, monkeypatch):
         near = sorted((sum((a - b) ** 2 for a, b in zip(x, e)), i) for i, e, label in rows if label == group)[:3]
         want |= {(q, n + 1): i for n, (_, i) in enumerate(near)}
     assert got == want
+
+
+def test_typos_are_found_by_their_letters_first(spark):
+    rows = [" teh,TEH tehx xteh Teh_ _teh teh\u0301 é😀teh 1teh teh1 tEh", "teh", "adnadn adn nad-nad", "wich occured Occured WICH wich"]
+    text, changes = language.spelling(F.col("t"))
+    df = spark.createDataFrame([(t,) for t in rows], "t string").select("t", text.alias("fixed"), changes.alias("c"))
+    assert r"(?i:\b" not in df._jdf.queryExecution().optimizedPlan().toString()  # a look-up at every place of every text
+    got = [(r.fixed, len(r.c)) for r in df.collect()]
+    assert got[1:] == [("the", 1), ("adnadn and and-and", 3), ("which occurred Occurred WHICH which", 5)]
+    assert got[0] == (" the,THE tehx xteh Teh_ _teh teh\u0301 é😀the 1teh teh1 the", 4)
