@@ -47,16 +47,18 @@ def running_sums(n: Column) -> Column:
     return bind(bind(blocks, each), lambda ends: F.slice(ends, F.lit(1), F.size(ends) - 1))
 
 
-def cut_out(text: Column, pattern: str) -> Column:
-    """The text's pieces before, in and behind the matches of a pattern, in turn: every second piece is a match.
+def marked(text: Column, pattern: str) -> Column:
+    """The text with MARK before and behind each match of a pattern that matches neither MARK nor an empty text."""
+    return F.regexp_replace(_unmarked(text), pattern, f"{MARK}$0{MARK}")
 
-    For a pattern that matches neither MARK nor an empty text; it passes over the text once.
-    """
-    return F.split(F.regexp_replace(_unmarked(text), pattern, f"{MARK}$0{MARK}"), MARK)
+
+def cut(text: Column) -> Column:
+    """A marked text's pieces before, in and behind the matches, in turn: every second piece is a match."""
+    return F.split(text, MARK)
 
 
 def matches(pieces: Column) -> Column:
-    """array<struct<text, position>> of the matches among the pieces of ``cut_out``: what they are and where they start."""
+    """array<struct<text, position>> of the matches among the pieces of ``cut``: what they are and where they start."""
     ends = bind(F.transform(pieces, F.length), running_sums)
     each = F.zip_with(F.slice(pieces, F.lit(2), F.size(pieces)), ends, lambda t, at: F.struct(t.alias("text"), at.alias("position")))
     return F.filter(each, lambda m, i: i % 2 == 0)
@@ -75,6 +77,11 @@ def keep_case(text: Column, word: str, correction: str) -> Column:
     return F.regexp_replace(text, rf"\b{word[0]}{rest}\b", correction)
 
 
+def cased(match: Column, word: str, correction: str) -> Column:
+    """The correction in the case of ``match``, which is the word in any case (see ``keep_case``)."""
+    return F.when(match == word.upper(), correction.upper()).when(match.startswith(word[0].upper()), correction.capitalize()).otherwise(correction)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two numeric arrays in double precision; null for a zero vector."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -51,9 +51,13 @@ def references_of(content: Column) -> Column:
     return F.coalesce(bind(bind(pieces, headed), lambda heads: F.concat(*[of(heads, i, t, p) for i, (t, p) in enumerate(REFERENCES)])), F.array().cast(_FOUND))
 
 
-def extract_references(chunks: DataFrame) -> DataFrame:
-    """One row per reference: ref_id, document_id, chunk_id, reference_text, reference_type, target_number, position, pattern_no, page_number."""
-    r = chunks.select("document_id", "chunk_id", F.col("page_start").alias("page_number"), F.inline_outer(references_of(F.col("content")))).filter("pattern_no IS NOT NULL")
+def extract_references(chunks: DataFrame, found: Column | None = None) -> DataFrame:
+    """One row per reference: ref_id, document_id, chunk_id, reference_text, reference_type, target_number, position, pattern_no, page_number.
+
+    ``found`` has the chunks' references (see ``references_of``) where they are known.
+    """
+    found = references_of(F.col("content")) if found is None else found
+    r = chunks.select("document_id", "chunk_id", F.col("page_start").alias("page_number"), F.inline_outer(found)).filter("pattern_no IS NOT NULL")
     ref_id = F.concat(F.lit("ref_"), F.substring(F.md5(F.concat("reference_text", "chunk_id", F.col("position").cast("string"))), 1, 12))
     return r.select(ref_id.alias("ref_id"), "document_id", "chunk_id", "reference_text", "reference_type", "target_number", "position", "pattern_no", "page_number")
 

@@ -32,8 +32,6 @@ LONG, SHARE = 200, 100
 NEAR = 1 << 32
 #: Fixed value: the type of a pair's blocks.
 FOUND = "array<struct<i:int,j:int,k:int>>"
-#: Fixed value: the type of a pair's edits: words that go, words that come, and the equal words behind them; null for none.
-EDITS = "array<struct<old:string,new:string,kept:string>>"
 #: Fixed value: what separates words, which is all that counts as white space in Unicode.
 SPACES = r"[ \t-\r\x1c-\x1f\x85\xa0  -     　]+"
 
@@ -191,32 +189,88 @@ def _matcher(a, b) -> SequenceMatcher:
     return SequenceMatcher(None, a.as_py() or [], b.as_py() or [])
 
 
+def matching(a: list, b: list) -> list[tuple[int, int, int]]:
+    """The blocks (i, j, k) that the standard differ finds, in order.
+
+    It looks through a box's elements again for every block; here all runs of two and more are found in one pass, and a box
+    only clips those of the box around it. Where none is left, its first equal elements are a block.
+    """
+    if a == b:
+        return [(0, 0, len(a))] if a else []
+    places: dict = {}
+    for j, w in enumerate(b):
+        places.setdefault(w, []).append(j)
+    if len(b) >= LONG:
+        most = len(b) // SHARE + 1
+        places = {w: js for w, js in places.items() if len(js) <= most}
+    # Behind the ends, and for popular elements, two marks that differ.
+    x, y = ([*(w if w in places else mark for w in side), mark] for side, mark in ((a, object()), (b, object())))
+    runs = []  # (start, end, diagonal)
+    for i, w in enumerate(a):
+        for j in places.get(w, ()):
+            if x[i - 1] != y[j - 1] and x[i + 1] == y[j + 1]:
+                k = 2
+                while x[i + k] == y[j + k]:
+                    k += 1
+                runs.append((i, i + k, j - i))
+    found, boxes = [], [(0, len(a), 0, len(b), runs)]
+    while boxes:
+        alo, ahi, blo, bhi, runs = boxes.pop()
+        i, j, k, cut = alo, blo, 0, []
+        for s, e, d in runs:
+            s = alo if s < alo else s
+            s = blo - d if s + d < blo else s
+            e = ahi if e > ahi else e
+            e = bhi - d if e + d > bhi else e
+            if e - s > 1:
+                cut.append((s, e, d))
+                if e - s > k or e - s == k and (s, s + d) < (i, j):
+                    i, j, k = s, s + d, e - s
+        if not k:
+            one = next(((p, q) for p in range(alo, ahi) for q in places.get(a[p], ()) if blo <= q < bhi), None)
+            i, j, k = (*one, 1) if one else (i, j, 0)
+        while i > alo and j > blo and a[i - 1] == b[j - 1]:
+            i, j, k = i - 1, j - 1, k + 1
+        while i + k < ahi and j + k < bhi and a[i + k] == b[j + k]:
+            k += 1
+        if k:
+            found.append((i, j, k))
+            if alo < i and blo < j:
+                boxes.append((alo, i, blo, j, [r for r in cut if r[0] < i and r[0] + r[2] < j]))
+            if i + k < ahi and j + k < bhi:
+                boxes.append((i + k, ahi, j + k, bhi, [r for r in cut if r[1] > i + k and r[1] + r[2] > j + k]))
+    out: list[tuple[int, int, int]] = []
+    for i, j, k in sorted(found):
+        if out and (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]) == (i, j):
+            out[-1] = (*out[-1][:2], out[-1][2] + k)
+        else:
+            out.append((i, j, k))
+    return out
+
+
 def _near_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([(c, pa.int32()) for c in "ijk"]))
     for batch in batches:
-        found = [[dict(zip("ijk", m)) for m in _matcher(a, b).get_matching_blocks()[:-1]] for a, b in zip(batch.column("a"), batch.column("b"))]
+        found = [[dict(zip("ijk", m)) for m in matching(a.as_py() or [], b.as_py() or [])] for a, b in zip(batch.column("a"), batch.column("b"))]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "found"])
 
 
-def _near_edits(a: pa.Array, b: pa.Array) -> pa.Array:
-    old, new, kept, ends = [], [], [], [0]
-    join = lambda w: " ".join(w) or None
-    for x, y in zip(a.to_pylist(), b.to_pylist()):
-        if x is not None and y is not None:
-            x, y, i, j = x.split(), y.split(), 0, 0  # white space of Unicode, as in SPACES
-            for p, q, n in SequenceMatcher(None, x, y).get_matching_blocks():
-                old.append(join(x[i:p]))
-                new.append(join(y[j:q]))
-                kept.append(join(x[p : p + n]))
-                i, j = p + n, q + n
-        ends.append(len(old))
-    parts = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in (old, new, kept)], ["old", "new", "kept"])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)
+def _markup(x: list[str], y: list[str]) -> str:
+    out, i, j = [], 0, 0
+    for p, q, n in [*matching(x, y), (len(x), len(y), 0)]:
+        out += [f"~~{' '.join(x[i:p])}~~"] * (p > i) + [f'<span style="color:red">{" ".join(y[j:q])}</span>'] * (q > j) + x[p : p + n]
+        i, j = p + n, q + n
+    return " ".join(out)
+
 
+def _near_markup(a: pa.Array, b: pa.Array) -> pa.Array:
+    # str.split knows the white space of Unicode, as SPACES does.
+    return pa.array([None if x is None or y is None else _markup(x.split(), y.split()) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.string())
 
-def near_edits(a: Column, b: Column) -> Column:
-    """The edits (see ``EDITS``) between the words of two texts, matched within their row; none for a null text."""
-    return F.arrow_udf(_near_edits, EDITS)(a, b)
+
+def near_markup(a: Column, b: Column) -> Column:
+    """The markup (see ``word_markup``) of two texts, whose words are matched within their row; null for a null text."""
+    return F.arrow_udf(_near_markup, "string")(a, b)
 
 
 def are_far(a: Column, b: Column) -> Column:
@@ -300,23 +354,15 @@ def word_changes(pairs: DataFrame, most: int = 5, found: DataFrame | None = None
     return gaps(pairs, found).select("key", F.array_join(F.slice(edits, 1, most), "; ").alias("details"))
 
 
-def marked(edits: Column) -> Column:
-    """Markup of edits (see ``EDITS``): old words struck out, new ones in colour, equal ones as they are."""
-
-    def piece(e: Column) -> Column:
-        return F.array(F.concat(F.lit("~~"), e["old"], F.lit("~~")), F.concat(F.lit('<span style="color:red">'), e["new"], F.lit("</span>")), e["kept"])
-
-    return F.array_join(F.flatten(F.transform(edits, piece)), " ")
-
-
 def word_markup(pairs: DataFrame) -> DataFrame:
     """key and markup: the words of a, with those that b lacks struck out and those that it has instead in colour."""
 
     def edit(g: Column) -> Column:
         old, new = F.when(g["ie"] > g["i"], _part("a", g["i"], g["ie"])), F.when(g["je"] > g["j"], _part("b", g["j"], g["je"]))
-        return F.struct(old.alias("old"), new.alias("new"), F.when(g["k"] > 0, _part("a", g["ie"], g["ie"] + g["k"])).alias("kept"))
+        kept = F.when(g["k"] > 0, _part("a", g["ie"], g["ie"] + g["k"]))
+        return F.array(F.concat(F.lit("~~"), old, F.lit("~~")), F.concat(F.lit('<span style="color:red">'), new, F.lit("</span>")), kept)
 
-    return gaps(pairs).select("key", marked(F.transform("gaps", edit)).alias("markup"))
+    return gaps(pairs).select("key", F.array_join(F.flatten(F.transform("gaps", edit)), " ").alias("markup"))
 
 
 def _matched(totals: DataFrame, tables: list[DataFrame]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.config import DEFAULT, EngineConfig
 from quire.functions.staging import staged
-from quire.functions.text import MARK, bind, cut_out, keep_case, matches
+from quire.functions.text import MARK, bind, cased, cut, keep_case, marked, matches
 from quire.operators import differ
 from quire.schemas import CHANGE
 
@@ -19,7 +19,7 @@ TYPOS = {
 #: Reasons and confidences of the rules.
 SPACES = ("grammar", r"  +", "Multiple spaces replaced with single space", 1.0)
 PUNCTUATION = ("grammar", r"[.!?,;:][A-Z]", "Missing space after punctuation", 0.9)
-RANGE = ("style", r"(?<!\d)(\d++)[ \t]++-[ \t]++(\d++)", "Standardized number range formatting", 0.85)
+RANGE = ("style", r"(\d(?<!\d\d)\d*+)[ \t]++-[ \t]++(\d++)", "Standardized number range formatting", 0.85)
 TYPO_CONFIDENCE = 0.95
 #: Fixed value: what a missing-space change counts for in a chunk's confidence.
 CALIBRATED = {"Missing space after punctuation": 0.92}
@@ -35,14 +35,20 @@ def _fix(text: Column, pattern: str, change, plain) -> Column:
     ``change`` makes a change of a match (text, position); ``plain`` corrects a text that has the mark by which others are cut.
     """
 
-    def of(pieces: Column) -> Column:
-        def both(found: Column) -> Column:
-            parts = F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(F.get(found, F.shiftright(i, 1))["corrected"]))
-            return F.struct(F.when(text.contains(MARK), plain(text)).otherwise(F.array_join(parts, "")).alias("t"), F.reverse(found).alias("c"))
+    def fixed(t: Column) -> Column:
+        def of(pieces: Column) -> Column:
+            def both(found: Column) -> Column:
+                parts = F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(F.get(found, F.shiftright(i, 1))["corrected"]))
+                return F.struct(F.when(t.contains(MARK), plain(t)).otherwise(F.array_join(parts, "")).alias("t"), F.reverse(found).alias("c"))
 
-        return bind(F.transform(matches(pieces), change), both)
+            return bind(F.transform(matches(pieces), change), both)
 
-    return F.when(text.isNotNull(), bind(cut_out(text, pattern), of))
+        # A text without matches is not cut up.
+        right = F.struct(t.alias("t"), F.array().cast(f"array<{CHANGE}>").alias("c"))
+        return F.when(t.isNotNull(), bind(marked(t, pattern), lambda m: F.when(m.contains(MARK), bind(cut(m), of)).otherwise(right)))
+
+    # Named once: passes that work on one another's texts would else grow by powers where a filter takes them all in.
+    return bind(text, fixed)
 
 
 def _rule(text: Column, rule: tuple[str, str, str, float], fix, plain) -> Column:
@@ -51,21 +57,23 @@ def _rule(text: Column, rule: tuple[str, str, str, float], fix, plain) -> Column
 
 
 def _spelling(text: Column) -> Column:
-    zero = F.struct(text.alias("t"), F.array().cast(f"array<{CHANGE}>").alias("c"))
-    table = bind(F.lower(text), lambda low: F.filter(F.array(*[F.lit(t) for t in TYPOS]), lambda t: F.contains(low, t)))
-
     def step(a: Column, typo: Column) -> Column:
         done = F.struct(a["t"].alias("t"), F.array().cast(f"array<{CHANGE}>").alias("c"))
         for word, correction in TYPOS.items():
             done = F.when(typo == word, _typo(a["t"], word, correction)).otherwise(done)
         return bind(done, lambda d: F.struct(d["t"].alias("t"), F.concat(a["c"], d["c"]).alias("c")))
 
-    return F.aggregate(table, zero, step)
+    def fixed(t: Column) -> Column:
+        zero = F.struct(t.alias("t"), F.array().cast(f"array<{CHANGE}>").alias("c"))
+        table = bind(F.lower(t), lambda low: F.filter(F.array(*[F.lit(w) for w in TYPOS]), lambda w: F.contains(low, w)))
+        return F.aggregate(table, zero, step)
+
+    return bind(text, fixed)
 
 
 def _typo(text: Column, typo: str, correction: str) -> Column:
     def change(m: Column) -> Column:
-        fixed = keep_case(m["text"], typo, correction)
+        fixed = cased(m["text"], typo, correction)
         return _change("spelling", m["text"], fixed, m["position"], TYPO_CONFIDENCE, F.concat(F.lit("Common typo: '"), m["text"], F.lit("' → '"), fixed, F.lit("'")))
 
     # Letters first: where a word starts is looked up only behind them, and not at every place of the text.
@@ -172,14 +180,14 @@ def markup(reviewed: DataFrame) -> DataFrame:
 
     Words are compared within their row; only texts beyond ``differ.NEAR`` are paired up for their rounds.
     """
-    held = staged(reviewed, "reviewed")
     a, b = F.col("content"), F.col("reviewed_content")
-    same, few, far = F.coalesce(a == b, F.lit(False)), F.coalesce(F.size("changes") < 10, F.lit(False)), differ.are_far(a, b)
-    plain = inline_markup(a, b, F.col("changes"))
-    near, huge = ~same & ~few & ~far, ~same & ~few & far
-    words = differ.marked(differ.near_edits(F.when(near, a), F.when(near, b)))
-    out = held.filter(~huge).withColumn("markup", F.when(same, b).when(few, plain).otherwise(words))
-    apart = held.filter(huge)
+    same, few = F.coalesce(a == b, F.lit(False)), F.coalesce(F.size("changes") < 10, F.lit(False))
+    # Whether a text is huge is written too: looking for such rows reads nothing else.
+    held = staged(reviewed.withColumn("_huge", ~same & ~few & differ.are_far(a, b)), "reviewed")
+    near = ~same & ~few & ~F.col("_huge")
+    words = differ.near_markup(F.when(near, a), F.when(near, b))
+    out = held.filter(~F.col("_huge")).withColumn("markup", F.when(same, b).when(few, inline_markup(a, b, F.col("changes"))).otherwise(words)).drop("_huge")
+    apart = held.filter("_huge").drop("_huge")
     if apart.isEmpty():
         return out
     pairs = differ.distinct_pairs(apart, "content", "reviewed_content", differ.words)

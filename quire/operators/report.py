@@ -27,7 +27,9 @@ def assemble(chunks: DataFrame) -> DataFrame:
     head = F.when(section.isNotNull() & ~section.eqNullSafe(before), F.concat(F.lit("\n## "), section, F.lit("\n"))).otherwise("")
     page = F.when(F.coalesce("page_start", F.lit(0)) != 0, F.concat(F.lit("<!-- Page "), _str("page_start"), F.lit(" -->\n"))).otherwise("")
     text = F.coalesce(F.nullif("reviewed_content", F.lit("")), "content", F.lit(""))
-    part = chunks.withColumn("_part", F.concat(head, page, text, F.lit("\n\n")))
+    # One text goes to a document's task, not the content and its review.
+    texts = chunks.select("document_id", "page_start", "chunk_id", "section_hierarchy", text.alias("_text"))
+    part = texts.withColumn("_part", F.concat(head, page, "_text", F.lit("\n\n")))
     return part.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_start", "chunk_id", "_part"))), lambda x: x["_part"]), "").alias("body"))
 
 
@@ -49,15 +51,16 @@ def contents_text(toc: DataFrame) -> DataFrame:
 def reference_report(refs: DataFrame) -> DataFrame:
     """document_id and the report on its references: totals, a table of broken ones, counts by type."""
     row = F.concat(F.lit("| "), "reference_text", F.lit(" | "), "reference_type", F.lit(" | "), "target_number", F.lit(" | "), _str("page_number"), F.lit(" | "), "chunk_id", F.lit(" |"))
-    bad = F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_valid"), F.struct("page_number", "chunk_id", "pattern_no", "position", row.alias("l"))))), lambda x: x["l"])
-    g = refs.groupBy("document_id").agg(F.count("*").alias("n"), F.count_if("is_valid").alias("v"), bad.alias("bad"))
-    by = refs.groupBy("document_id", "reference_type").agg(F.count("*").alias("n"), F.count_if("is_valid").alias("v"))
+    bad = F.collect_list(F.when(~F.col("is_valid"), F.struct("page_number", "chunk_id", "pattern_no", "position", row.alias("l"))))
+    # By type first, so that the references are read once for both.
+    by = refs.filter("document_id IS NOT NULL").groupBy("document_id", "reference_type").agg(F.count("*").alias("n"), F.count_if("is_valid").alias("v"), bad.alias("bad"))
     line = F.concat(F.lit("| "), "reference_type", F.lit(" | "), _str("n"), F.lit(" | "), _str("v"), F.lit(" | "), (F.col("n") - F.col("v")).cast("string"), F.lit(" |"))
-    by = by.groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("types"))
+    bad = F.transform(F.array_sort(F.flatten(F.collect_list("bad"))), lambda x: x["l"])
+    g = by.groupBy("document_id").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), bad.alias("bad"), F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("types"))
     head = F.concat(F.lit("# Cross-Reference Validation Report\n\n**Total References:** "), _str("n"), F.lit("  \n**Valid:** "), _str("v"), F.lit("  \n**Invalid:** "), (F.col("n") - F.col("v")).cast("string"), F.lit("  \n\n"))
     table = F.when(F.size("bad") > 0, F.concat(F.lit("## Broken References\n\n| Reference | Type | Target | Page | Chunk ID |\n|-----------|------|--------|------|----------|\n"), F.array_join("bad", "\n"), F.lit("\n"))).otherwise("")
     tail = F.concat(F.lit("\n## References by Type\n\n| Type | Total | Valid | Invalid |\n|------|-------|-------|---------|\n"), "types", F.lit("\n"))
-    return g.join(by, "document_id").select("document_id", F.concat(head, table, tail).alias("report"))
+    return g.select("document_id", F.concat(head, table, tail).alias("report"))
 
 
 def header(metadata: DataFrame) -> DataFrame:

@@ -55,10 +55,12 @@ def review(chunks: DataFrame, toc_targets: DataFrame, config: EngineConfig = DEF
     The split chunks, which all results are made from, are written once; everything else runs when it is read.
     """
     # Dealt out first: the rules would else run in as many tasks as the input has files, or one.
-    split = staged(split_chunks(chunks.repartition("document_id", "chunk_id"), config), "split")
+    # References are found in the same pass: a column of its own, which only their readers read.
+    both = staged(split_chunks(chunks.repartition("document_id", "chunk_id"), config).withColumn("_refs", crossref.references_of(F.col("content"))), "split")
+    split = both.drop("_refs")
     reviewed = review_chunks(split, config, replies)
     targets = crossref.known_targets(crossref.extract_targets(split, config.section_targets_from_text), toc_targets)
-    refs = crossref.validate(crossref.extract_references(split), targets)
+    refs = crossref.validate(crossref.extract_references(both, F.col("_refs")), targets)
     cents = F.sum(F.round(F.col("confidence") * 100).cast("long"))  # whole numbers, so that the mean has no order of summation
     per_doc = reviewed.groupBy("document_id").agg(
         F.max("page_start").cast("long").alias("total_pages"), F.count("*").alias("total_chunks"), F.round(cents / (F.count("*") * 100), 4).alias("avg_confidence"),

@@ -1,11 +1,13 @@
 """Steps whose cost grew faster than their input, or cost too much of it."""
 
+import random
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import differ, language, metric
+from quire.operators import crossref, differ, language, metric, report
+from quire.plans import review as plan
 
 
 def marked(a, b):
@@ -68,3 +70,53 @@ def test_typos_are_found_by_their_letters_first(spark):
     got = [(r.fixed, len(r.c)) for r in df.collect()]
     assert got[1:] == [("the", 1), ("adnadn and and-and", 3), ("which occurred Occurred WHICH which", 5)]
     assert got[0] == (" the,THE tehx xteh Teh_ _teh teh\u0301 é😀the 1teh teh1 the", 4)
+
+
+class Word(str):
+    """A word that counts how often it is looked up."""
+
+    looked_up = 0
+
+    def __hash__(self):
+        Word.looked_up += 1
+        return str.__hash__(self)
+
+    __eq__ = str.__eq__
+
+
+def test_words_are_looked_up_a_fixed_number_of_times():
+    text = [Word(f"{i}") for i in range(1_500)]
+    other = [Word("x" if i % 5 == 3 else w) for i, w in enumerate(text)]
+    Word.looked_up = 0
+    assert sum(k for _, _, k in differ.matching(text, other)) == 1_200
+    assert Word.looked_up <= 10 * len(text)  # before: again for every block around them
+
+
+@pytest.mark.parametrize("words", [1, 2, 3, 20, 150])
+@pytest.mark.parametrize("n", [0, 1, 7, 40, 199, 200, 330])
+def test_matching_finds_the_standard_blocks(words, n):
+    r = random.Random(words * 1_000 + n)
+    for _ in range(6):
+        a = [r.choice([None, *"pqr"]) if r.random() < 0.1 else int(words * r.random() ** 2) for _ in range(n)]
+        b = [x for w in a for x in r.choice([[w]] * 8 + [[], [w, -1], [-2], [r.randrange(words)]])]
+        for x, y in ((a, b), (b, a), (a, a), (a, b[::-1])):
+            assert differ.matching(x, y) == [tuple(m) for m in SequenceMatcher(None, x, y).get_matching_blocks()[:-1]]
+
+
+def test_references_are_found_once(spark):
+    kinds = "document_id string, chunk_id string, page_start int, section_hierarchy string, chunk_type string, content string, rows int, caption string, image_size bigint, image_index int"
+    chunks = spark.createDataFrame([("d", f"c{i}", i, "s", "text", f"See Section 1.{i} and Table 2. " * 80, None, None, None, None) for i in range(3)], kinds)
+    targets = spark.createDataFrame([("d", "section", "1.1")], "document_id string, ref_type string, target string")
+    result = plan.review(chunks, targets)
+    text = result.references._jdf.queryExecution().optimizedPlan().toString()
+    assert crossref._FIRST not in text and "_refs" in text and "_refs" not in result.chunks.columns  # before: cut out of the text again by each reader
+    want = crossref.validate(crossref.extract_references(result.chunks), crossref.known_targets(targets))
+    assert sorted(result.references.collect()) == sorted(want.collect()) and want.count() > 400
+    refs = spark.createDataFrame(result.references.collect(), result.references.schema)
+    assert report.reference_report(refs)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1  # before: 2
+
+
+def test_texts_without_matches_are_not_cut(spark):
+    rows = ["all right here.", "a\x01b", "a  b\x01c.D", "1111 - 22 - 3 4 -\t5", "", None]
+    out = language.review(spark.createDataFrame([(t,) for t in rows], "content string")).collect()
+    assert [(r.reviewed_content, len(r.changes)) for r in out] == [("all right here.", 0), ("a\x01b", 0), ("a b\x01c. D", 2), ("1111-22 - 3 4-5", 2), ("", 0), (None, 0)]
