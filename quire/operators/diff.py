@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +17,8 @@ from quire.operators import differ
 
 #: Words that make a numeric change important; the mixed-case ones never occur in lower-cased text.
 KEYWORDS = ["voltage", "current", "frequency", "temperature", "max", "min", "MHz", "GHz", "mA", "µA", "typical", "maximum", "minimum"]
+#: Vectors of a document that are compared together; how far a product may be from the similarity, and norms beyond which it may be further.
+BLOCK, SLACK, NORMS = 256, 1e-9, (1e-140, 1e140)
 
 
 def align_sections(v1: DataFrame, v2: DataFrame) -> DataFrame:
@@ -49,18 +55,26 @@ def changes(aligned: DataFrame, threshold: float = 0.5) -> DataFrame:
     """document_id, section, change_type, pages (0 where absent), 200-character previews, significance, details.
 
     Added is medium, removed high; a modification is high by ``important``, else medium where the differ finds the texts less
-    alike than ``threshold``, else low. Its details are the first five word-level edits. Equal pairs of texts are compared
-    once (see ``differ``).
+    alike than ``threshold``, else low. Its details are the first five word-level edits. A pair of texts is compared where it
+    stands; huge ones go in rounds (see ``differ``), equal ones once.
     """
-    held = staged(aligned, "aligned").withColumn("key", differ.pair_key(F.col("content_v1"), F.col("content_v2")))
     a, b, kind = F.col("content_v1"), F.col("content_v2"), F.col("change_type")
-    modified = held.filter(kind == "modified")
-    letters = differ.distinct_pairs(modified.filter(~important(a, b)), "content_v1", "content_v2", lambda text: text)
-    worded = differ.distinct_pairs(modified, "content_v1", "content_v2", differ.words)
-    found, below = differ.compared(worded, letters, threshold)
-    words = differ.word_changes(worded, found=found)
-    judged = held.join(below, "key", "left").join(words.withColumnRenamed("details", "_words"), "key", "left")
-    level = F.when(important(a, b), "high").when(F.col("below"), "medium").otherwise("low")
+    modified = kind == "modified"
+    far = modified & (differ.are_far(a, b) | differ.letters_far(a, b))
+    shown = lambda text: F.when(modified, text).otherwise(F.substring(text, 1, 200))
+    held = staged(aligned.withColumns({"high": modified & important(a, b), "far": far, "content_v1": shown(a), "content_v2": shown(b)}), "aligned")
+    only = lambda which, text: F.when(which, text)
+    low = modified & ~F.col("high")
+    judged = held.filter("NOT far").withColumns({"below": differ.near_verdict(only(low, a), only(low, b), threshold), "_words": differ.near_changes(only(modified, a), only(modified, b))})
+    rest = held.filter("far")
+    if not rest.isEmpty():
+        rest = rest.withColumn("key", differ.pair_key(a, b))
+        letters = differ.distinct_pairs(rest.filter("NOT high"), "content_v1", "content_v2", lambda text: text)
+        worded = differ.distinct_pairs(rest, "content_v1", "content_v2", differ.words)
+        found, below = differ.compared(worded, letters, threshold)
+        words = differ.word_changes(worded, found=found).withColumnRenamed("details", "_words")
+        judged = judged.unionByName(rest.join(below.hint("merge"), "key", "left").join(words.hint("merge"), "key", "left").drop("key"))
+    level = F.when(F.col("high"), "high").when(F.col("below"), "medium").otherwise("low")
     return judged.select(
         "document_id", "section", "change_type", F.coalesce("page_v1", F.lit(0)).alias("page_v1"), F.coalesce("page_v2", F.lit(0)).alias("page_v2"),
         F.coalesce(F.substring(a, 1, 200), F.lit("")).alias("content_v1"), F.coalesce(F.substring(b, 1, 200), F.lit("")).alias("content_v2"),
@@ -93,6 +107,52 @@ def changelog(changed: DataFrame, title: Column) -> DataFrame:
     return g.select("document_id", F.concat(head, high, medium, low).alias("changelog"))
 
 
+def _in_blocks(side: DataFrame, key: str, e: str) -> DataFrame:
+    """document_id and arrays of ``BLOCK`` structs (id, e) at most."""
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy(key)) - 1
+    rows = side.select("document_id", F.floor(place / BLOCK).alias("block"), F.struct(F.col(key).alias("id"), F.col(e).cast("array<double>").alias("e")).alias("row"))
+    return rows.groupBy("document_id", "block").agg(F.collect_list("row").alias(e)).drop("block")
+
+
+def _vectors(rows: pa.Array, width: int) -> np.ndarray:
+    """A block's vectors over their norms, with NaN for all that a product would not tell safely."""
+    e = rows.field("e")
+    out = np.full((len(rows), width), np.nan)
+    sizes = np.diff(e.offsets.to_numpy())
+    whole = np.flatnonzero((sizes == width) & e.is_valid().to_numpy(zero_copy_only=False))
+    flat = e.values.to_numpy(zero_copy_only=False)
+    out[whole] = flat[e.offsets.to_numpy()[whole][:, None] + np.arange(width)]
+    with np.errstate(all="ignore"):
+        norm = np.sqrt((out * out).sum(1))
+        return out / np.where((norm > NORMS[0]) & (norm < NORMS[1]), norm, np.nan)[:, None]
+
+
+def _alike(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """document_id, id1, id2, similarity of a document's pairs that are similar enough; left: id1, e1; right: id2, e2.
+
+    Blocks of both sides meet in one matrix product, and what it does not rule out is measured in full.
+    """
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            for at in range(batch.num_rows):
+                one, two = (batch.column(c)[at].values for c in ("e1", "e2"))
+                width = max(int(np.diff(side.field("e").offsets.to_numpy()).max(initial=0)) for side in (one, two))
+                with np.errstate(all="ignore"):
+                    far = _vectors(one, width) @ _vectors(two, width).T < threshold - SLACK
+                p, q = np.nonzero(~far)
+                for lo in range(0, len(p), 4 * BLOCK):
+                    x, y = one.take(pa.array(p[lo : lo + 4 * BLOCK])), two.take(pa.array(q[lo : lo + 4 * BLOCK]))
+                    document = pa.array([batch.column("document_id")[at].as_py()] * len(x), batch.schema.field("document_id").type)
+                    yield pa.RecordBatch.from_arrays([document, x.field("id"), y.field("id"), x.field("e"), y.field("e")], ["document_id", "id1", "id2", "e1", "e2"])
+
+    pairs = _in_blocks(left, "id1", "e1").join(_in_blocks(right, "id2", "e2"), "document_id")
+    kinds = [dict(side.dtypes)[c] for side, c in ((left, "document_id"), (left, "id1"), (right, "id2"))]
+    found = pairs.mapInArrow(close, f"document_id {kinds[0]}, id1 {kinds[1]}, id2 {kinds[2]}, e1 array<double>, e2 array<double>")
+    return found.select("document_id", "id1", "id2", F.coalesce(cosine(F.col("e1"), F.col("e2")), F.lit(0.0)).alias("similarity")).filter(F.col("similarity") >= threshold)
+
+
 def align_greedy(v1: DataFrame, v2: DataFrame, threshold: float = DEFAULT.align_threshold) -> DataFrame:
     """document_id, id1, id2, similarity: one-to-one matches in v1's order, each taking the best free v2 vector (ties: smallest id2).
 
@@ -101,22 +161,22 @@ def align_greedy(v1: DataFrame, v2: DataFrame, threshold: float = DEFAULT.align_
 
     The order is kept without one row waiting for another: in rounds every v1 row proposes to the best v2 row that no earlier
     one holds, and every v2 row keeps the earliest proposer. What is held only ever passes to earlier rows, and where nothing
-    changes any more, the matches are those of going through v1 in order. Only similar pairs take part.
+    changes any more, the matches are those of going through v1 in order. Only similar pairs take part. What is held is a small
+    file of many rows, so it is not broadcast: Spark would go by the size of the file, and the driver would keep all rows.
     """
     both = v1.select("document_id").distinct().join(v2.select("document_id").distinct(), "document_id", "left_semi")
     left, right = (v.join(both, "document_id", "left_semi") for v in (v1, v2))
-    alike = left.join(right, "document_id").select("document_id", "id1", "id2", F.coalesce(cosine(F.col("e1"), F.col("e2")), F.lit(0.0)).alias("similarity"))
-    pairs = staged(alike.filter(F.col("similarity") >= threshold), "alike")
+    pairs = staged(_alike(left, right, threshold), "alike")
     held = pairs.select("document_id", "id2", F.col("id1").alias("holder")).limit(0)
     while True:
-        free = pairs.join(held, ["document_id", "id2"], "left").filter(F.col("holder").isNull() | (F.col("holder") >= F.col("id1")))
+        free = pairs.join(held.hint("merge"), ["document_id", "id2"], "left").filter(F.col("holder").isNull() | (F.col("holder") >= F.col("id1")))
         proposed = free.groupBy("document_id", "id1").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "id2")).alias("p")).select("document_id", "p.id2", "id1")
         now = staged(proposed.groupBy("document_id", "id2").agg(F.min("id1").alias("holder")), "held")
-        if now.join(held, ["document_id", "id2", "holder"], "left_anti").isEmpty():
+        if now.join(held.hint("merge"), ["document_id", "id2", "holder"], "left_anti").isEmpty():
             break
         held = now
-    matched = pairs.join(held, ["document_id", "id2"]).filter(F.col("holder") == F.col("id1")).select("document_id", "id1", "id2", "similarity")
-    alone = lambda side, own, other: side.select("document_id", own).join(matched, ["document_id", own], "left_anti").select("document_id", own, F.lit(None).cast("long").alias(other), F.lit(None).cast("double").alias("similarity"))
+    matched = pairs.join(held.hint("merge"), ["document_id", "id2"]).filter(F.col("holder") == F.col("id1")).select("document_id", "id1", "id2", "similarity")
+    alone = lambda side, own, other: side.select("document_id", own).join(matched.hint("merge"), ["document_id", own], "left_anti").select("document_id", own, F.lit(None).cast("long").alias(other), F.lit(None).cast("double").alias("similarity"))
     return matched.unionByName(alone(left, "id1", "id2")).unionByName(alone(right, "id2", "id1"))
 
 
